@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliofield.llm import mixing, quality, secrets, url_filter
+from heliofield.llm import html_extract, mixing, quality, secrets, suffix_dedup, url_filter
 from heliofield.llm.runtime import table
 
 
@@ -14,12 +14,18 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op10_html_text(spark, sf_dir):
+    return html_extract.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries():
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_source_mix": mixing.op2_source_mix,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op9_url_templates": url_filter.op9_url_templates,
+        "op10_html_text": op10_html_text,
     }
 
 

@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heliofield.functions.packaging import ship
+
 _RUN = uuid.uuid4().hex
 
 
@@ -45,4 +47,6 @@ def save(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; also makes sure that executors have this package."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
