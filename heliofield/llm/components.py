@@ -1,0 +1,36 @@
+"""Connected components of an edge table by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from heliofield.llm.runtime import save
+
+
+def _star(pairs: DataFrame, large: bool) -> DataFrame:
+    """``pairs``: a, b. Neighbours are pointed at the least neighbour (or the node itself)."""
+    if large:
+        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    else:
+        both = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    met = both.join(least, "a")
+    if large:
+        out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    else:
+        out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b); a component is named by its least node."""
+    pairs, seen = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
+    while True:
+        state = pairs.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(2**31))).alias("h")).first()
+        if (state["n"], state["h"]) == seen:
+            break
+        seen = (state["n"], state["h"])
+        pairs = save(_star(_star(pairs, True), False), "edges")
+    roots = pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliofield.llm import html_extract, mixing, quality, secrets, suffix_dedup, url_filter
+from heliofield.llm import decontam, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, url_filter
 from heliofield.llm.runtime import table
 
 
@@ -24,6 +24,8 @@ def queries():
         "op2_source_mix": mixing.op2_source_mix,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op8_decontaminate": decontam.op8_decontaminate,
         "op9_url_templates": url_filter.op9_url_templates,
         "op10_html_text": op10_html_text,
     }
