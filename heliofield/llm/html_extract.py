@@ -10,7 +10,8 @@ Text inside an article or main element is never taken for template text, however
 
 Occurrence vectors are compared by a fingerprint summed over pages, so no host is gathered in one task: per
 (host, token) one partial sum a task is shuffled. Templates are small (each token is on half of the host's pages),
-and pages meet them in a join with a salted host.
+and
+pages meet them in a broadcast join behind a check of their measured size, or in a join with a salted host.
 
 Defined results: a null or empty page has an empty text; a host with a single page has no template tokens and is
 read by roles alone; repeated rows are read alike; an empty table gives an empty result; other columns are not read.
@@ -28,9 +29,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliofield.llm.runtime import save
 from heliofield.llm.url_filter import split_url
 
 SALTS = 32
+#: Templates up to this measured size are sent to all tasks; larger ones meet the pages in a salted join.
+BROADCAST_BYTES = 16 << 20
 #: A class is valid with this many tokens, on at least half of the host's pages.
 CLASS_TOKENS = 2
 #: Per cent of the host's slot text that the main container holds.
@@ -175,7 +179,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 def deduce_templates(tokens: DataFrame) -> DataFrame:
     """(host, container, template_text): the main container's path and the hashes of the template's text blocks."""
     vector = F.pmod(F.xxhash64("page", "n"), F.lit(2**31))
-    seen = tokens.groupBy("host", "path", "text_hash").agg(F.count("*").alias("pages"), F.sum(vector).alias("vector"), F.sum("chars").alias("chars"), F.bool_and("slot").alias("slot"))
+    seen = save(tokens.groupBy("host", "path", "text_hash").agg(F.count("*").alias("pages"), F.sum(vector).alias("vector"), F.sum("chars").alias("chars"), F.bool_and("slot").alias("slot")), "tokens")
     size = seen.where("path = '' and text_hash is null").select("host", F.col("pages").alias("host_pages"), F.col("vector").alias("root_vector"))
     classes = seen.groupBy("host", "pages", "vector").agg(F.count("*").alias("members"))
     valid = classes.join(size, "host").where((F.col("members") >= CLASS_TOKENS) & (F.col("pages") * 2 >= F.col("host_pages")) & (F.col("host_pages") >= 2))
@@ -210,9 +214,13 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, host, text, n_chars."""
     host, _ = split_url(F.col("url"))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col("html").cast("string").alias("html"))
-    templates = deduce_templates(page_tokens(source.select("host", "page_id", "html")))
-    salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    templates = save(deduce_templates(page_tokens(source.select("host", "page_id", "html"))), "templates")
+    weight = templates.agg(F.sum(64 + F.octet_length("host") + F.coalesce(F.octet_length("container"), F.lit(0)) + 8 * F.coalesce(F.size("template_text"), F.lit(0))).alias("n")).first()["n"] or 0
+    if weight <= BROADCAST_BYTES:
+        joined = source.join(F.broadcast(templates), "host", "left")
+    else:
+        salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = source.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps: dict = {}
