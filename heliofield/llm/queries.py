@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliofield.llm import decontam, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, url_filter
+from heliofield.llm import decontam, html_extract, lm, mixing, near_dedup, quality, secrets, suffix_dedup, token_output, url_filter
 from heliofield.llm.runtime import table
 
 
@@ -22,9 +22,11 @@ def queries():
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_source_mix": mixing.op2_source_mix,
+        "op3_token_shards": token_output.op3_token_shards,
         "op4_quality_rules": op4_quality_rules,
         "op5_secret_scan": op5_secret_scan,
         "op6_near_dedup": near_dedup.op6_near_dedup,
+        "op7_lm_scores": lm.op7_lm_scores,
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_url_templates": url_filter.op9_url_templates,
         "op10_html_text": op10_html_text,
