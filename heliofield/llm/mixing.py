@@ -43,10 +43,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     after = by_level.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy()
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum(cap).over(before), F.lit(0))).cast("double") / F.sum("w").over(after)
+    # the level rises while sources fill up and falls from the first one that stays open: the highest is final
     stepped = ranked.withColumn("level", level)
-    open_ = F.col("level") * F.col("w") <= F.col("source_size") * max_epochs
-    final = F.min(F.when(open_, F.col("level"))).over(whole)
-    return stepped.withColumn("target", F.least((F.col("source_size") * max_epochs).cast("double"), F.coalesce(final, F.lit(float("inf"))) * F.col("w"))).select("sk", "source_size", "target")
+    return stepped.withColumn("target", F.least((F.col("source_size") * max_epochs).cast("double"), F.max("level").over(whole) * F.col("w"))).select("sk", "source_size", "target")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix") -> DataFrame:
@@ -105,7 +104,7 @@ s as (select sk, cast(sum(size) as bigint) as source_size from d group by sk),
 w as (select *, [5, 2, 1][cast((row_number() over (order by sk) - 1) % 3 + 1 as integer)] as w from s),
 l as (select *, cast(sum(source_size) over () - coalesce(sum(source_size * 3) over (order by cast(source_size * 3 as double) / w, sk rows between unbounded preceding and 1 preceding), 0) as double)
     / sum(w) over (order by cast(source_size * 3 as double) / w, sk rows between current row and unbounded following) as level from w),
-t as (select sk, source_size, least(cast(source_size * 3 as double), coalesce(min(case when level * w <= source_size * 3 then level end) over (), 'inf'::double) * w) as target from l),
+t as (select sk, source_size, least(cast(source_size * 3 as double), max(level) over () * w) as target from l),
 b as (select *, case when source_size > 0 then cast(floor(target + 0.5) as bigint) // source_size else 0 end as epochs from t),
 p as (select d.*, b.source_size, b.target, b.epochs, cast(floor(target + 0.5) as bigint) - epochs * b.source_size as rest,
     coalesce(sum(size) over (partition by d.sk order by key, doc_id, size rows between unbounded preceding and 1 preceding), 0) as before from d join b on d.sk = b.sk)
