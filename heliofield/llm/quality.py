@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade.
 
 Every rule is a cheap reading of counts that one pass over the text yields, or a costlier reading of the
-text itself. ``plan_cascade`` measures each rule's cost and how much it rejects on a bounded sample of rows
-and orders the rules by rejection per cost; ``apply_cascade`` runs them in that order, each rule only on the
+text itself. ``plan_cascade`` measures each rule's cost and how much it rejects on a bounded sample of rows (at most
+``SAMPLE_ROWS`` of at most ``SAMPLE_CHARS`` characters) and orders the rules by rejection per cost; ``apply_cascade`` runs them in that order, each rule only on the
 rows that all earlier ones kept. The order changes the work, never the verdict: a row is kept exactly if no
 rule rejects it.
 
@@ -28,7 +28,8 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 _HEAD = (np.arange(256) & 0xC0) != 0x80  # first byte of a code point
 #: Rows of the sample on which costs and selectivities are estimated (they set the order only).
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
+SAMPLE_CHARS = 50_000
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
@@ -137,62 +138,69 @@ def base_failed(counts: dict[str, np.ndarray]) -> np.ndarray:
     return (counts["n_words"] < 20) | (100 * counts["n_repeat_words"] > 30 * counts["n_words"])
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejection per cost, estimated on at most ``sample_rows`` rows that pass the base rule.
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> list[str]:
+    """Rule names by rejection per cost, estimated on the driver on the first ``sample_rows`` rows that are no longer than ``sample_chars``.
 
-    The estimate affects only the order of evaluation."""
-    wanted = max(1, sample_rows // 8)
+    The estimate affects only the order of evaluation, never a verdict."""
+    rows = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text") <= sample_chars).take(sample_rows)
+    texts = pa.array([r["text"] for r in rows], pa.string())
+    counts = measure(texts)
+    good = ~base_failed(counts)
+    counts, texts = {k: v[good] for k, v in counts.items()}, texts.filter(pa.array(good))
+    worth = {}
+    for rule in rules:
+        began = time.perf_counter()
+        rejected = int(np.count_nonzero(rule.rejects(counts, texts)))
+        worth[rule.name] = (rejected + 0.5) / max(time.perf_counter() - began, 1e-9)
+    return sorted(worth, key=lambda name: -worth[name])
 
-    def trial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = 0
-        for batch in batches:
-            texts = batch.column(0).slice(0, wanted - seen)
-            seen += len(texts)
-            counts = measure(texts)
-            good = ~base_failed(counts)
-            counts = {k: v[good] for k, v in counts.items()}
-            texts = texts.filter(pa.array(good))
-            for rule in rules:
-                began = time.perf_counter()
-                rejected = int(np.count_nonzero(rule.rejects(counts, texts)))
-                yield pa.RecordBatch.from_pydict({"rule": [rule.name], "rows": [int(good.sum())], "rejected": [rejected], "cost": [time.perf_counter() - began]})
-            if seen >= wanted:
-                return
-
-    sample = docs.select("text").limit(sample_rows)
-    seen = sample.mapInArrow(trial, "rule string, rows long, rejected long, cost double").groupBy("rule").agg(F.sum("rows").alias("rows"), F.sum("rejected").alias("rejected"), F.sum("cost").alias("cost"))
-    by_name = {r["rule"]: r for r in seen.collect()}  # one row a rule
-
-    def worth(rule: Rule) -> float:
-        r = by_name.get(rule.name)
-        return -((r["rejected"] + 0.5) / max(r["cost"], 1e-9)) if r else 0.0
-
-    return [r.name for r in sorted(rules, key=worth)]
+
+def _ordered(rules: tuple[Rule, ...], order: list[str]) -> list[Rule]:
+    by_name = {r.name: r for r in rules}
+    return [by_name[x] for x in order]
+
+
+def _judged(texts: pa.Array, steps: list[Rule]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Counts, base failures, and the first rule that rejects each text ("" if none); later rules see only survivors."""
+    counts = measure(texts)
+    failed = base_failed(counts)
+    why = np.full(len(failed), "", object)
+    why[failed] = "base"
+    alive = np.flatnonzero(~failed)
+    for rule in steps:
+        if not len(alive):
+            break
+        out = rule.rejects({k: v[alive] for k, v in counts.items()}, texts.take(pa.array(alive)))
+        why[alive[out]] = rule.name
+        alive = alive[~out]
+    return counts, failed, why
 
 
 def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None) -> DataFrame:
     """One row a document: the base counts, ``base_failed``, ``kept`` and the first rule that rejected it."""
-    by_name = {r.name: r for r in rules}
-    steps = [by_name[x] for x in (order or plan_cascade(docs, rules))]
+    steps = _ordered(rules, order or plan_cascade(docs, rules))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            counts = measure(texts)
-            failed = base_failed(counts)
-            why = np.full(len(failed), "", object)
-            why[failed] = "base"
-            alive = np.flatnonzero(~failed)
-            for rule in steps:
-                if not len(alive):
-                    break
-                out = rule.rejects({k: v[alive] for k, v in counts.items()}, texts.take(pa.array(alive)))
-                why[alive[out]] = rule.name
-                alive = alive[~out]
-            kept = why == ""
+            counts, failed, why = _judged(batch.column(1), steps)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(counts[k]) for k in MEASURES), pa.array(failed), pa.array(kept), pa.array([x or None for x in why], pa.string())],
+                [batch.column(0), *(pa.array(counts[k]) for k in MEASURES), pa.array(failed), pa.array(why == ""), pa.array([x or None for x in why], pa.string())],
                 names=["doc_id", *MEASURES, "base_failed", "kept", "rejected_by"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, RESULT)
+
+
+def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None) -> DataFrame:
+    """The rows of ``docs`` that the cascade keeps, with all their columns."""
+    names = [f"__c{k}" for k in range(len(docs.columns))]  # names may clash
+    at = docs.columns.index("text")
+    steps = _ordered(rules, order or plan_cascade(docs, rules))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, why = _judged(batch.column(at), steps)
+            yield batch.filter(pa.array(why == ""))
+
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
