@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from heliofield.plans import cloud
+
+GROUPS = (cloud,)
+
+
+def _all():
+    return {k: v for g in GROUPS for k, v in g.queries().items()}
+
 
 def queries():
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
