@@ -6,10 +6,12 @@
    which makes its own shingles frequent, doesn't look less alike than a small one.
 3. ``BANDS`` * ``ROWS`` consistent weighted samples a document are banded into buckets. Texts that are equal are one
    text from here on.
-4. In a bucket, all texts are compared with its least, those alike leave, and the rest go on with their least. Two
-   texts that left with different leaders, or one that stayed, are compared too where the triangle inequality of the
-   weighted Jaccard distance allows a link. So each pair of a bucket that is alike is joined, without listing all pairs.
-5. Links are verified by exact weighted Jaccard similarity, at least ``SIMILARITY``; classes are their connected components.
+4. A bucket of at most ``GROUP`` texts is compared in one task, where a matrix product gives its exact similarities and only a
+   spanning set of links leaves; buckets of the same texts are compared once. In a larger bucket, all texts are compared with
+   its least, those alike leave, and the rest go on with their least until few are left. A text that left and one that stayed are
+   compared too where the triangle inequality of the weighted Jaccard distance allows a link. So each pair of a bucket that is alike
+   is joined, and no list of all pairs is made.
+5. Links need an exact weighted Jaccard similarity of ``SIMILARITY``; classes are their connected components.
 
 Defined results: rows without a ``doc_id`` are left out of the classes; null texts are empty, and empty texts are copies
 of each other; a text of fewer than five words is one shingle; repeated rows of one ``doc_id`` give one row (the class of the
@@ -34,6 +36,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 FREQUENCY_BITS = 20
 IDF_SHARE = 0.1
+#: Candidate groups of at most this many texts are compared in one task, by one matrix product.
+GROUP = 1024
+_COLUMNS = 4096
 _PART = 1 << 14
 _DRAWS = 1 << 16
 
@@ -199,50 +204,139 @@ def _verified(pairs: DataFrame, features: DataFrame, idf) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, similarity double")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, idf_share: float = IDF_SHARE) -> DataFrame:
+def local_links(ids: list[int], blobs: list[bytes], idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """(text, least text of its component) in one small group, by exact similarities from one matrix product."""
+    m = len(ids)
+    values = [np.frombuffer(b, np.uint32) for b in blobs]
+    size = np.array([len(v) for v in values])
+    owner = np.repeat(np.arange(m), size)
+    flat = np.concatenate(values)
+    begin = np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))
+    at = np.arange(len(flat))
+    again = at - np.maximum.accumulate(np.where(begin, at, 0))  # a shingle's n-th occurrence is an element of its own
+    key, inverse, count = np.unique((flat.astype(np.uint64) << np.uint64(20)) | again.astype(np.uint64), return_inverse=True, return_counts=True)
+    weight = idf[(key >> np.uint64(20)).astype(np.uint32) & np.uint32(len(idf) - 1)].astype(np.float64)
+    total = np.bincount(owner, weight[inverse], minlength=m)
+    common = count > 1
+    column = np.cumsum(common) - 1
+    held = common[inverse]
+    row, col = owner[held], column[inverse[held]]
+    order = np.argsort(col, kind="stable")
+    row, col, weight = row[order], col[order], weight[common]
+    both = np.zeros((m, m))
+    for c in range(0, len(weight), _COLUMNS):
+        a, b = np.searchsorted(col, (c, c + _COLUMNS))
+        x = np.zeros((m, min(_COLUMNS, len(weight) - c)))
+        x[row[a:b], col[a:b] - c] = 1
+        both += (x * weight[c : c + _COLUMNS]) @ x.T
+    alike = both >= similarity * (total[:, None] + total[None, :] - both) - 1e-9
+    np.fill_diagonal(alike, True)
+    order = np.argsort(ids, kind="stable")
+    label = np.empty(m, np.int64)
+    label[order] = np.arange(m)
+    while True:
+        new = np.where(alike, label[None, :], m).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    least = np.asarray(ids)[order]
+    return [(int(a), int(least[k])) for a, k in zip(ids, label, strict=True) if a != least[k]]
+
+
+def _linked(groups: DataFrame, features: DataFrame, idf, similarity: float) -> DataFrame:
+    """(a, b) links that join every group's alike texts; ``groups``: bucket, doc_id, at most ``GROUP`` texts each."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids, blobs = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            found = local_links(ids, blobs, idf.value, similarity) if len(ids) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for group, doc, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if group != name:
+                    if ids:
+                        yield flush()
+                    name, ids, blobs = group, [], []
+                ids.append(doc)
+                blobs.append(blob.as_py())
+        if ids:
+            yield flush()
+
+    keyed = groups.join(features, "doc_id").select("bucket", "doc_id", "shingles")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(link, "a long, b long")
+
+
+def _border(judged: DataFrame, classes: DataFrame, similarity: float, group: int) -> DataFrame:
+    """(bucket, doc_id) groups of those that left with a leader and those that stayed though a link to one that left is possible.
+
+    The texts that left are all of the leader's class, so only texts of other classes count as stayed. By the triangle inequality, two are
+    alike only if their distances to the leader differ by at most 1 - similarity. Texts are dealt into blocks by that distance and at
+    random, at most about half a group each, and a group is a pair of blocks that the bound allows."""
+    far = 1 - similarity
+    step = far / 4
+    named = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+    leader = classes.select(F.col("node").alias("a"), F.col("component").alias("a_class"))
+    near = judged.where(F.col("similarity") >= 1 - 2 * far - 1e-9).select("bucket", "a", F.col("b").alias("doc_id"), (1 - F.col("similarity")).alias("d"), (F.col("similarity") >= similarity).alias("left"))
+    near = near.join(named, "doc_id", "left").join(leader, "a", "left").withColumn("class", F.coalesce("class", "doc_id")).withColumn("a_class", F.coalesce("a_class", "a"))
+    near = near.where("left or class <> a_class").withColumn("cell", F.floor(F.col("d") / step).cast("int"))
+    key = ["bucket", "a", "left", "cell"]
+    cells = near.groupBy(*key).agg(F.ceil(F.count("*") / (group // 2)).cast("int").alias("parts"))
+    dealt = near.join(cells, key).select(*key, "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    blocks = cells.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    one = blocks.where("left").select("bucket", "a", F.col("cell").alias("c1"), F.col("part").alias("p1"))
+    two = blocks.where("not left").select("bucket", "a", F.col("cell").alias("c2"), F.col("part").alias("p2"))
+    met = one.join(two, ["bucket", "a"]).where((F.col("c1") + 1) * step + far + 1e-9 >= F.col("c2") * step).withColumn("pair", F.xxhash64("bucket", "a", "c1", "p1", "c2", "p2"))
+    wanted = met.select("bucket", "a", F.lit(True).alias("left"), F.col("c1").alias("cell"), F.col("p1").alias("part"), "pair").unionByName(met.select("bucket", "a", F.lit(False).alias("left"), F.col("c2").alias("cell"), F.col("p2").alias("part"), "pair"))
+    return dealt.join(wanted, [*key, "part"]).select(F.col("pair").alias("bucket"), "doc_id")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, idf_share: float = IDF_SHARE, group: int = GROUP) -> DataFrame:
     """doc_id, class_id: one row a document; a class is named by its least document."""
     spark = docs.sparkSession
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
     idf = spark.sparkContext.broadcast(idf_table(document_frequencies(texts.select("text")), idf_share))
     signed = save(_signed(texts.select("doc_id", "digest", "text"), idf, bands, rows), "signed")
-    single = signed.groupBy("doc_id").agg(F.min("digest").alias("digest"))
-    member = single.join(signed.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "digest").select("doc_id", "copy_of")
-    # equal texts are one text; a bucket is (band, hash)
-    distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min_by("buckets", "doc_id").alias("buckets"))
+    single = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "buckets")).alias("s")).select("doc_id", "s.*")
+    # equal texts are one text from here on
+    member = save(single.join(single.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "digest"), "members")
+    distinct = member.where("doc_id = copy_of")
     entries = distinct.select("doc_id", F.posexplode("buckets").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    open_ = save(entries.join(shared, "bucket"), "buckets")
-    wanted = open_.select("doc_id").distinct()
-    features = save(_features(texts.join(wanted, "doc_id").groupBy("doc_id").agg(F.min_by("text", "digest").alias("text"))), "features")
-    far = 1 - similarity
-    known: DataFrame | None = None
-    left: DataFrame | None = None
+    leaders = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1")
+    open_ = save(entries.join(leaders, "bucket"), "buckets")
+    wanted = distinct.select("doc_id", "digest").join(open_.select("doc_id").distinct(), "doc_id")
+    features = save(_features(texts.join(wanted, ["doc_id", "digest"]).select("doc_id", "text")), "features")
+    open_ = open_.select("doc_id", "bucket", "n")
+    small, open_ = open_.where(F.col("n") <= group), open_.where(F.col("n") > group)
+    known = left = None
     while not open_.isEmpty():
-        leaders = open_.groupBy("bucket").agg(F.min("doc_id").alias("a"))
-        met = open_.join(leaders, "bucket").where("doc_id > a").withColumnRenamed("doc_id", "b")
+        # buckets beyond ``group``: everyone against the least text, those alike leave
+        met = open_.join(open_.groupBy("bucket").agg(F.min("doc_id").alias("a")), "bucket").where("doc_id > a").withColumnRenamed("doc_id", "b")
         pairs = met.select("a", "b").distinct()
         fresh = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
-        checked = save(_verified(fresh, features, idf), "checked")
-        known = checked if known is None else known.unionByName(checked)
-        judged = save(met.join(known, ["a", "b"]), "judged").select("bucket", "a", "b", "similarity")
-        left = judged if left is None else left.unionByName(judged)
-        open_ = save(judged.where(F.col("similarity") < similarity).select("bucket", F.col("b").alias("doc_id")), "buckets")
-        lonely = open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        open_ = save(open_.join(lonely, "bucket", "left_semi"), "buckets")
-    if known is None:
-        return member.select("doc_id", F.col("copy_of").alias("class_id"))
-    links = known.where(F.col("similarity") >= similarity).select("a", "b")
+        checked = _verified(fresh, features, idf)
+        known = save(checked if known is None else known.unionByName(checked), "known")
+        judged = met.join(known, ["a", "b"]).select("bucket", "a", "b", "similarity")
+        left = save(judged if left is None else left.unionByName(judged), "left")
+        gone = left.where(F.col("similarity") >= similarity).select("bucket", F.col("b").alias("doc_id")).unionByName(left.select("bucket", F.col("a").alias("doc_id")))
+        rest = open_.select("doc_id", "bucket").join(gone.distinct(), ["bucket", "doc_id"], "left_anti")
+        counted = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+        rest = save(rest.join(counted, "bucket"), "buckets")
+        small = small.unionByName(rest.where(F.col("n") <= group))
+        open_ = rest.where(F.col("n") > group)
+    # buckets of the same texts are compared once
+    same = small.groupBy("bucket").agg(F.count("*").alias("k"), F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(2**40))).alias("h"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).groupBy("k", "h", "x").agg(F.min("bucket").alias("bucket")).where("k > 1").select("bucket")
+    links = save(_linked(small.join(same, "bucket", "left_semi"), features, idf, similarity).distinct(), "links")
+    if known is not None:
+        links = links.unionByName(known.where(F.col("similarity") >= similarity).select("a", "b"))
     classes = components(links)
-    # a text that left with leader a, and one that stayed behind a, can be alike only within the triangle's bound
-    name = lambda x, k: x.join(classes.select(F.col("node").alias(k), F.col("component").alias(f"{k}_class")), k, "left").withColumn(f"{k}_class", F.coalesce(f"{k}_class", k))
-    went = name(left.where(F.col("similarity") >= similarity).select("bucket", "a", F.col("b").alias("x"), (1 - F.col("similarity")).alias("dx")), "x")
-    stayed = name(left.where((F.col("similarity") < similarity) & (F.col("similarity") >= 1 - 2 * far - 1e-9)).select("bucket", "a", F.col("b").alias("y"), (1 - F.col("similarity")).alias("dy")), "y")
-    rest = went.join(stayed, ["bucket", "a"]).where((F.col("x_class") != F.col("y_class")) & (F.col("dx") + far + 1e-9 >= F.col("dy"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = save(_verified(rest.join(known, ["a", "b"], "left_anti"), features, idf), "checked").where(F.col("similarity") >= similarity).select("a", "b")
-    if not more.isEmpty():
-        classes = components(links.unionByName(more))
+    if known is not None:
+        more = save(_linked(_border(left, classes, similarity, group), features, idf, similarity).distinct(), "links")
+        if not more.isEmpty():
+            classes = components(links.unionByName(more))
     named = classes.select(F.col("node").alias("copy_of"), F.col("component").alias("class_id"))
-    return member.join(named, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"))
+    return member.select("doc_id", "copy_of").join(named, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
