@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from heliofield.plans import cloud
+from heliofield.plans import cloud, light
 
-GROUPS = (cloud,)
+GROUPS = (cloud, light)
 
 
 def _all():
