@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from heliofield.plans import cloud, light
+from heliofield.plans import clocks, cloud, light, power, shapes
 
-GROUPS = (cloud, light)
+GROUPS = (cloud, light, power, clocks, shapes)
 
 
 def _all():
