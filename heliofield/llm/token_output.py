@@ -94,8 +94,9 @@ def _tokenised(docs: DataFrame, path: str, length: int) -> DataFrame:
 
 def training_order(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
     """slot, shard, offset (byte), doc_id, seq, n_tokens, ids (``length`` little-endian ids), sorted by slot in each shard."""
-    made = save(_tokenised(docs, path, length), "tokens")
+    made = save(_tokenised(docs, path, length), "tokens", "zstd")
     totals = made.groupBy("task").agg(F.sum("sequences").alias("sequences"))  # one row a task
+    # 16 bytes a task
     base = totals.select("task", (F.sum("sequences").over(Window.orderBy("task")) - F.col("sequences")).alias("base"))
     n = totals.agg(F.sum("sequences").alias("n")).first()["n"] or 0
 
@@ -117,7 +118,7 @@ def training_order(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH
             doc = batch.column(0).take(pa.array(owner)) if len(ids) else batch.column(0)
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard), pa.array(slot % shard * stride), doc, pa.array(seq), pa.array(size), pa.array(pieces, pa.binary())], names=["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids"])
 
-    numbered = made.join(base, "task").select("doc_id", (F.col("base") + F.col("first")).alias("number"), "sequences", "ids")
+    numbered = made.join(F.broadcast(base), "task").select("doc_id", (F.col("base") + F.col("first")).alias("number"), "sequences", "ids")
     placed = numbered.mapInArrow(cut, "slot long, shard long, offset long, doc_id long, seq long, n_tokens long, ids binary")
     return placed.repartition("shard").sortWithinPartitions("slot")
 
