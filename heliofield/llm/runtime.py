@@ -1,49 +1,13 @@
-"""Shared-folder helpers: lineage is cut by tables written where every executor can read them."""
+"""What the subpackage's operators take from the library: saved tables and input tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from heliofield.functions.packaging import ship
+from heliofield.functions.storage import save, shared_dir
 
-_RUN = uuid.uuid4().hex
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="heliofield-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/heliofield-{_RUN}"
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone already at exit
-        pass
-
-
-_known: set[str] = set()
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: survives lost executors, is computed once."""
-    spark = df.sparkSession
-    root = shared_dir(spark)
-    if root not in _known:
-        _known.add(root)
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["save", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
