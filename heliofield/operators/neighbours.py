@@ -61,26 +61,55 @@ def typical_cell(points: DataFrame, axes: str, k: int) -> tuple[float, float]:
     return max(1.25 * (k / (ball * density)) ** (1 / len(axes)), 1e-3), max(sides)
 
 
+def _pruned(queries: DataFrame, points: DataFrame, k: int, axes: str, reach: float) -> DataFrame:
+    """Candidates that surely hold the k nearest of each query that appears, within ``reach``, by occupied cells a quarter of it wide.
+
+    The cells' farthest corners and counts bound the k-th distance; only points of cells nearer than that bound are met."""
+    size = reach / 4
+    fine = _cells(points.select(F.col("pid").alias("nid"), *(F.col(c).alias(f"__n{c}") for c in axes), *axes), axes, size, "__f").drop(*axes)
+    cells = fine.groupBy(*(f"__f{c}" for c in axes)).agg(F.count("*").alias("__count"))
+    for c in axes:
+        cells = cells.withColumn(f"__c{c}", F.floor(F.col(f"__f{c}") / 4))
+    near = _around(queries, axes, reach, 1).join(cells, [f"__c{c}" for c in axes])
+    low, high = F.lit(0.0), F.lit(0.0)
+    for c in axes:
+        a, b = F.col(f"__f{c}") * size - F.col(c), F.col(c) - (F.col(f"__f{c}") + 1) * size
+        gap, far = F.greatest(a, b, F.lit(0.0)), F.greatest(F.abs(a), F.abs(b))
+        low, high = low + gap * gap, high + far * far
+    keys = [f"__f{c}" for c in axes]
+    near = near.select("pid", *axes, *keys, "__count", F.sqrt(low).alias("__low"), F.sqrt(high).alias("__high"))
+    upto = F.sum("__count").over(Window.partitionBy("pid").orderBy("__high", *keys).rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("__upto", upto).withColumn("__bound", F.min(F.when(F.col("__upto") >= k, F.col("__high"))).over(Window.partitionBy("pid")))
+    near = near.where((F.col("__bound") <= reach) & (F.col("__low") <= F.col("__bound") + 1e-9))
+    return near.join(fine, keys).withColumn("dist", _distance(axes))
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz", cell: float | None = None) -> DataFrame:
-    """pid, nid, dist, rank (1..k): exact nearest points; a query that is in ``points`` is its own first neighbour."""
+    """pid, nid, dist, rank (1..k): exact nearest points; a query that is in ``points`` is its own first neighbour.
+
+    Most queries end in the first round, in the cells around them; sparse places go on with a reach four times as long."""
     auto, extent = typical_cell(points, axes, k)
-    span = max(extent, typical_cell(queries, axes, k)[1])
-    cell, ring = cell or auto, 1
+    span = extent + typical_cell(queries, axes, k)[1]
+    reach, first = cell or auto, True
+    order = Window.partitionBy("pid").orderBy("dist", "nid")
+    ranked = lambda met: met.select("pid", "nid", "dist").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     left, done = queries.select("pid", *axes), None
     while True:
-        order = Window.partitionBy("pid").orderBy("dist", "nid")
-        found = _met(left, points, axes, cell, ring).select("pid", "nid", "dist").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        found = save(found, "knn")
-        last = ring * cell > 4 * span
-        ok = found.where((F.col("rank") == k) & (F.col("dist") <= ring * cell)).select("pid")
-        sure = found if last else found.join(ok, "pid", "left_semi")
+        if reach > 4 * span:  # everything is within reach
+            found = save(ranked(_met(left, points, axes, reach, 1)), "knn")
+            return found if done is None else done.unionByName(found)
+        if first:
+            found = save(ranked(_met(left, points, axes, reach, 1)), "knn")
+            ok = found.where((F.col("rank") == k) & (F.col("dist") <= reach)).select("pid")
+            sure = found.join(ok, "pid", "left_semi")
+        else:
+            sure = save(ranked(_pruned(left, points, k, axes, reach)), "knn")
+            ok = sure.where(F.col("rank") == 1).select("pid")
         done = sure if done is None else done.unionByName(sure)
-        if last:
-            return done
         left = save(left.join(ok, "pid", "left_anti"), "left")
         if left.isEmpty():
             return done
-        ring *= 2
+        reach, first = reach * 4, False
 
 
 def within(queries: DataFrame, points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
