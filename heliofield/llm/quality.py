@@ -53,7 +53,7 @@ def _shouting(text: str) -> bool:
 
 
 def _few_letters(text: str) -> bool:
-    return sum(map(str.isalpha, text)) < 0.5 * max(1, len(text) - text.count(" ") - text.count("\n"))
+    return sum(map(str.isalpha, text)) < 0.3 * max(1, len(text) - text.count(" ") - text.count("\n"))
 
 
 #: The default rules; thresholds are far outside ordinary prose.

@@ -1,7 +1,7 @@
 """URL filters: a path-template tree over each host, in DataFrame operations only.
 
 Fixed rules judge first. For the rest, paths become templates: digit runs are generalised inside segments, and
-a position whose values are many for its number of pages becomes a wildcard. Templates under one parent whose
+rare values of a position that has many of them become a wildcard. Templates under one parent whose
 labels don't differ significantly are merged, and a template is rejected when the smoothed share of rejected
 pages among its labelled ones reaches ``purity``.
 
@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 PURITY_PERCENT = 80
 SMOOTHING = 10
-#: A position is a wildcard if it has more distinct values than this, and more than a quarter of its pages.
+#: Where a position has more rare values than this, they become a wildcard; a value is rare on one page or on at most one in ``RARE_OF``.
 FEW_VALUES = 8
+RARE_OF = 50
 #: Chi-square of one degree of freedom at 5 %.
 CHI_SQUARE = 3.84
 SALTS = 32
@@ -48,9 +49,11 @@ def templates(shapes: DataFrame) -> DataFrame:
     at = shapes.select("host", "shape", "n", F.posexplode(F.split("shape", "/")).alias("pos", "seg"))
     at = at.withColumn("parent", F.array_join(F.slice(F.split("shape", "/"), F.lit(1), F.col("pos")), "/"))
     values = at.groupBy("host", "pos", "parent", "seg").agg(F.sum("n").alias("n"))
-    nodes = values.groupBy("host", "pos", "parent").agg(F.count("*").alias("distinct"), F.sum("n").alias("pages"))
-    wild = nodes.where((F.col("distinct") > FEW_VALUES) & (F.col("distinct") * 4 > F.col("pages"))).select("host", "pos", "parent", F.lit(True).alias("wild"))
-    parts = at.join(wild, ["host", "pos", "parent"], "left").select("host", "shape", "pos", F.when(F.col("wild"), F.lit("*")).otherwise(F.col("seg")).alias("seg"))
+    nodes = values.groupBy("host", "pos", "parent").agg(F.sum("n").alias("pages"))
+    rare = values.join(nodes, ["host", "pos", "parent"]).where(F.col("n") * RARE_OF <= F.greatest("pages", F.lit(RARE_OF)))
+    wild = rare.groupBy("host", "pos", "parent").agg(F.count("*").alias("values")).where(F.col("values") > FEW_VALUES).select("host", "pos", "parent")
+    wild = rare.join(wild, ["host", "pos", "parent"]).select("host", "pos", "parent", "seg", F.lit(True).alias("wild"))
+    parts = at.join(wild, ["host", "pos", "parent", "seg"], "left").select("host", "shape", "pos", F.when(F.col("wild"), F.lit("*")).otherwise(F.col("seg")).alias("seg"))
     listed = parts.groupBy("host", "shape").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "seg"))), lambda x: x["seg"]).alias("segs"))
     return listed.select("host", "shape", F.array_join("segs", "/").alias("template"), F.array_join(F.slice("segs", F.lit(1), F.size("segs") - 1), "/").alias("parent"))
 
@@ -104,8 +107,9 @@ s as (select h.*, (select first(rh || rp order by len(rh || rp) desc) from r whe
 c as (select host, shape, count(*) as n, count(*) filter (said = 'block') as bad, count(*) filter (said = 'allow') as good from s group by all),
 a as (select host, shape, n, string_split(shape, '/') as segs, unnest(range(len(string_split(shape, '/')))) as pos from c),
 p as (select host, shape, n, pos, segs[pos + 1] as seg, array_to_string(segs[1:pos], '/') as parent from a),
-v as (select host, pos, parent from p group by all having count(distinct seg) > 8 and count(distinct seg) * 4 > sum(n)),
-t as (select p.host, shape, list(case when v.host is not null then '*' else seg end order by p.pos) as segs from p left join v on p.host = v.host and p.pos = v.pos and p.parent = v.parent group by p.host, shape),
+n as (select host, pos, parent, seg, sum(p.n) as cnt, sum(sum(p.n)) over (partition by host, pos, parent) as pages from p group by host, pos, parent, seg),
+v as (select *, count(*) over (partition by host, pos, parent) as rare from n where cnt * 50 <= greatest(pages, 50)),
+t as (select p.host, shape, list(case when v.rare > 8 then '*' else p.seg end order by p.pos) as segs from p left join v on p.host = v.host and p.pos = v.pos and p.parent = v.parent and p.seg = v.seg group by p.host, shape),
 e as (select c.*, array_to_string(segs, '/') as template, array_to_string(segs[1:len(segs) - 1], '/') as parent from t join c on t.host = c.host and t.shape = c.shape),
 k as (select host, template, parent, sum(bad) as bad, sum(good) as good from e group by all),
 x as (select *, sum(bad) over w - bad as rb, sum(good) over w - good as rg, sum(bad) over () as ab, greatest(sum(bad + good) over (), 1) as al from k window w as (partition by host, parent)),
