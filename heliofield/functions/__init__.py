@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,8 @@ def civil_offset(day: Column) -> Column:
 
 def hours(n: Column) -> Column:
     return F.make_dt_interval(F.lit(0), n)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """The same rows; the optimiser can't copy the columns' expressions into later ones across the explode."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")

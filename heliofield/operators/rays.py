@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliofield.functions import once
 from heliofield.operators.points import BUILDING, GROUND, VEGETATION
 
 K_BASE = 1 / 2.08
@@ -36,11 +37,6 @@ def _crossing(d: Column, s: Column, m: Column, size: float) -> Callable[[Column]
     return lambda plane: (m + plane * size - s) / d
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """The same rows; the optimiser can't copy the columns' expressions into later ones across the explode."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("__row")).select("__row.*")
-
-
 def segments(rays: DataFrame, box: DataFrame, size: float, buffer: float = BUFFER) -> DataFrame:
     """Ray columns + t0, length, ix, iy, iz, near (voxel touches the origin's), outside (the ray starts outside)."""
     r = rays.crossJoin(F.broadcast(box))  # one row
@@ -51,7 +47,7 @@ def segments(rays: DataFrame, box: DataFrame, size: float, buffer: float = BUFFE
     outside = F.lit(False)
     for c in "xyz":
         outside = outside | (F.col(f"v{c}") < 0) | (F.col(f"v{c}") >= F.col(f"n{c}"))
-    r = _once(r.withColumn("outside", outside))
+    r = once(r.withColumn("outside", outside))
     ends, planes = [], []
     for c in "xyz":
         d, s, m, n, v = (F.col(f"{k}{c}") for k in "dsmnv")
@@ -60,11 +56,11 @@ def segments(rays: DataFrame, box: DataFrame, size: float, buffer: float = BUFFE
         ends.append(F.when(moving, at(F.when(d > 0, n).otherwise(F.lit(0)))).otherwise(F.lit(float("inf"))))
         steps = F.when(d > 0, F.sequence(v + 1, n)).otherwise(F.sequence(v, F.lit(0).cast("long")))
         planes.append(F.when(moving & ~F.col("outside"), F.transform(steps, at)).otherwise(F.array().cast("array<double>")))
-    r = _once(r.withColumn("t_end", F.least(*ends)).withColumn("planes", F.concat(F.array(F.lit(0.0)), *planes)))
+    r = once(r.withColumn("t_end", F.least(*ends)).withColumn("planes", F.concat(F.array(F.lit(0.0)), *planes)))
     cuts = F.array_sort(F.filter("planes", lambda t: t <= F.col("t_end")))
     pairs = F.arrays_zip(F.slice("cuts", F.lit(1), F.size("cuts") - 1).alias("a"), F.slice("cuts", F.lit(2), F.size("cuts") - 1).alias("b"))
     # an outside ray keeps one empty segment, so that it keeps its row
-    seg = _once(r.withColumn("cuts", F.when(F.col("outside"), F.array(F.lit(0.0), F.lit(0.0))).otherwise(cuts)).drop("planes")).withColumn("p", F.explode(pairs))
+    seg = once(r.withColumn("cuts", F.when(F.col("outside"), F.array(F.lit(0.0), F.lit(0.0))).otherwise(cuts)).drop("planes")).withColumn("p", F.explode(pairs))
     seg = seg.withColumn("t0", F.col("p.a")).withColumn("length", F.col("p.b") - F.col("p.a")).where("length > 0 or outside")
     for c in "xyz":
         seg = seg.withColumn(f"i{c}", F.floor((F.col(f"s{c}") + F.col(f"d{c}") * ((F.col("p.a") + F.col("p.b")) / 2) - F.col(f"m{c}")) / size))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from heliofield.plans import clocks, cloud, files, light, power, shapes
+from heliofield.plans import audits, clocks, cloud, files, light, power, shapes
 
-GROUPS = (cloud, light, power, clocks, shapes, files)
+GROUPS = (cloud, light, power, clocks, shapes, files, audits)
 
 
 def _all():
