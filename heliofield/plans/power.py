@@ -205,8 +205,8 @@ select event_id, round(plane,6) as plane, round(greatest(plane/1000.0D*3960.0D*(
     )
     q["bank_sum"] = (lambda s, d: two_banks(s, d).select("t", *r6("output")), f"with v as ({VIEWS}), b as (select t, avg(v*4.0D) as output from v group by t) select t, round(output*8/14 + output*6/14, 6) as output from b where minute(t) % 2 = 0")
     # energies are multiples of 1/120000: a billionth keeps both engines off the rounding ties
-    off_tie = [F.round(F.col(c) + 1e-9, 6).alias(c) for c in METRICS if c.endswith("_wh")]
-    q["day_metrics"] = (lambda s, d: metrics(s, d).select("day", "n_daytime", *r6(*METRICS[:8]), *off_tie), f"with {DAYM} select day, n_daytime, {round_sql(METRICS[:8])}, {', '.join(f'round({c} + 1e-9, 6) as {c}' for c in METRICS[8:])} from dm")
+    off_tie = lambda: [F.round(F.col(c) + 1e-9, 6).alias(c) for c in METRICS if c.endswith("_wh")]
+    q["day_metrics"] = (lambda s, d: metrics(s, d).select("day", "n_daytime", *r6(*METRICS[:8]), *off_tie()), f"with {DAYM} select day, n_daytime, {round_sql(METRICS[:8])}, {', '.join(f'round({c} + 1e-9, 6) as {c}' for c in METRICS[8:])} from dm")
     summ = [f"{m}_{k}" for m in ("rmse", "mae", "mbe", "r2") for k in ("base", "shaded")]
     kwh = [f"{k}_kwh" for k in ("real", "base", "shaded")]
     inner = f"select count(*) as days, {', '.join(f'avg({c}) as {c}' for c in summ)}, {', '.join(f'sum({k}_wh)/1000 as {k}_kwh' for k in ('real', 'base', 'shaded'))} from dm"
