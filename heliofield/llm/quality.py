@@ -204,3 +204,26 @@ def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list
 
     plain = docs.toDF(*names)
     return plain.mapInArrow(keep, plain.schema).toDF(*docs.columns)
+
+
+#: The default rules and counts in DuckDB's SQL.
+SQL = r"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+l as (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
+w as (select rid, unnest(ws) as word, unnest(range(len(ws))) as pos from l),
+k as (select rid, pos, concat_ws(' ', word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o, lead(word, 5) over o, lead(word, 6) over o, lead(word, 7) over o) as key,
+    lead(word, 7) over o is not null as full_ from w window o as (partition by rid order by pos)),
+t as (select rid, pos from (select rid, pos, count(*) over (partition by rid, key) as c from k where full_) x where c > 1),
+r as (select rid, count(distinct pos + o) as n_repeat_words from t cross join (select unnest(range(8)) as o) u group by rid),
+n as (select rid, count(*) as n_words, sum(len(word)) as word_chars from w group by rid),
+li as (select rid, unnest(string_split(text, chr(10))) as line from d),
+g as (select rid, sum(c) as n_lines, sum(c - 1) as n_dup_lines from (select rid, line, count(*) as c from li where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid, line) x group by rid),
+c as (select doc_id, text, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, cast(len(text) - len(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
+    cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
+    len(regexp_replace(text, '[^\p{L}]', '', 'g')) as letters, len(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as capitals, len(translate(text, ' ' || chr(10), '')) as solid
+  from d left join n on d.rid = n.rid left join g on d.rid = g.rid left join r on d.rid = r.rid),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not (base_failed or n_symbols * 10 > n_words or word_chars > 20 * n_words or word_chars < 2 * n_words or n_dup_lines > greatest(3, 0.3 * n_lines) or capitals > 0.6 * greatest(1, letters) or letters < 0.3 * greatest(1, solid)) as kept
+from b
+"""

@@ -7,7 +7,7 @@ from heliofield.llm.runtime import table
 
 
 def op4_quality_rules(spark, sf_dir):
-    return quality.apply_cascade(table(spark, sf_dir, "documents"))
+    return quality.apply_cascade(table(spark, sf_dir, "documents")).drop("rejected_by")  # which rule came first is a matter of cost
 
 
 def op5_secret_scan(spark, sf_dir):
@@ -34,4 +34,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_source_mix": mixing.SQL, "op9_url_templates": url_filter.SQL}
+    return {"op2_source_mix": mixing.SQL, "op4_quality_rules": quality.SQL, "op9_url_templates": url_filter.SQL}
