@@ -51,14 +51,14 @@ def _met(queries: DataFrame, points: DataFrame, axes: str, cell: float, ring: in
 
 
 def typical_cell(points: DataFrame, axes: str, k: int) -> tuple[float, float]:
-    """(cell size for k neighbours at the cloud's mean density, extent of the cloud)."""
+    """(cell size, extent of the cloud): at the mean density, nearly all points have k neighbours within a cell's width."""
     r = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{c}") for c in axes for f, n in ((F.min, "a"), (F.max, "b")))).first()
     if not r["n"]:
         return 1.0, 1.0
     sides = [max(r[f"b{c}"] - r[f"a{c}"], 1e-3) for c in axes]
     density = r["n"] / math.prod(sides)
     ball = math.pi if len(axes) == 2 else 4 / 3 * math.pi
-    return max(1.25 * (k / (ball * density)) ** (1 / len(axes)), 1e-3), max(sides)
+    return max(((k + 3 * math.sqrt(k) + 2) / (ball * density)) ** (1 / len(axes)), 1e-3), max(sides)
 
 
 def _pruned(queries: DataFrame, points: DataFrame, k: int, axes: str, reach: float) -> DataFrame:
