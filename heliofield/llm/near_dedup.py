@@ -11,7 +11,8 @@
    its least, those alike leave, and the rest go on with their least until few are left. A text that left and one that stayed are
    compared too where the triangle inequality of the weighted Jaccard distance allows a link. So each pair of a bucket that is alike
    is joined, and no list of all pairs is made.
-5. Links need an exact weighted Jaccard similarity of ``SIMILARITY``; classes are their connected components.
+5. Links need an exact weighted Jaccard similarity of ``SIMILARITY``, or that much of the plain one (with idf between 1 and
+   1 + IDF_SHARE the two differ by that share at most); classes are their connected components.
 
 Defined results: rows without a ``doc_id`` are left out of the classes; null texts are empty, and empty texts are copies
 of each other; a text of fewer than five words is one shingle; repeated rows of one ``doc_id`` give one row (the class of the
@@ -180,6 +181,15 @@ def _features(texts: DataFrame) -> DataFrame:
 
 
 def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
+    return _similarities(a, b, idf)[0]
+
+
+def likeness(a: bytes, b: bytes, idf: np.ndarray) -> float:
+    """The larger of the weighted Jaccard similarity and the plain one, both counting a shingle as often as it occurs."""
+    return max(_similarities(a, b, idf))
+
+
+def _similarities(a: bytes, b: bytes, idf: np.ndarray) -> tuple[float, float]:
     x, nx = np.unique(np.frombuffer(a, np.uint32), return_counts=True)
     y, ny = np.unique(np.frombuffer(b, np.uint32), return_counts=True)
     mask = np.uint32(len(idf) - 1)
@@ -187,7 +197,9 @@ def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     both = float(np.minimum(wx[i], wy[j]).sum(dtype=np.float64))
     total = float(wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64)) - both
-    return both / total if total else 1.0
+    plain = int(np.minimum(nx[i], ny[j]).sum())
+    union = int(nx.sum() + ny.sum()) - plain
+    return both / total if total else 1.0, plain / union if union else 1.0
 
 
 def _verified(pairs: DataFrame, features: DataFrame, idf) -> DataFrame:
@@ -197,7 +209,7 @@ def _verified(pairs: DataFrame, features: DataFrame, idf) -> DataFrame:
         weight = idf.value
         for batch in batches:
             left, right = (c.to_pylist() for c in batch.columns[2:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([weighted_jaccard(x, y, weight) for x, y in zip(left, right, strict=True)], pa.float64())], names=["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([likeness(x, y, weight) for x, y in zip(left, right, strict=True)], pa.float64())], names=["a", "b", "similarity"])
 
     one = features.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
     two = features.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
@@ -205,7 +217,7 @@ def _verified(pairs: DataFrame, features: DataFrame, idf) -> DataFrame:
 
 
 def local_links(ids: list[int], blobs: list[bytes], idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """(text, least text of its component) in one small group, by exact similarities from one matrix product."""
+    """(text, least text of its component) in one small group, by exact similarities from matrix products."""
     m = len(ids)
     values = [np.frombuffer(b, np.uint32) for b in blobs]
     size = np.array([len(v) for v in values])
@@ -216,20 +228,23 @@ def local_links(ids: list[int], blobs: list[bytes], idf: np.ndarray, similarity:
     again = at - np.maximum.accumulate(np.where(begin, at, 0))  # a shingle's n-th occurrence is an element of its own
     key, inverse, count = np.unique((flat.astype(np.uint64) << np.uint64(20)) | again.astype(np.uint64), return_inverse=True, return_counts=True)
     weight = idf[(key >> np.uint64(20)).astype(np.uint32) & np.uint32(len(idf) - 1)].astype(np.float64)
-    total = np.bincount(owner, weight[inverse], minlength=m)
+    measures = [(w, np.bincount(owner, w[inverse], minlength=m)) for w in (weight, np.ones(len(weight)))]  # weighted, and plain
     common = count > 1
     column = np.cumsum(common) - 1
     held = common[inverse]
     row, col = owner[held], column[inverse[held]]
     order = np.argsort(col, kind="stable")
-    row, col, weight = row[order], col[order], weight[common]
-    both = np.zeros((m, m))
-    for c in range(0, len(weight), _COLUMNS):
+    row, col, n = row[order], col[order], int(common.sum())
+    both = [np.zeros((m, m)) for _ in measures]
+    for c in range(0, n, _COLUMNS):
         a, b = np.searchsorted(col, (c, c + _COLUMNS))
-        x = np.zeros((m, min(_COLUMNS, len(weight) - c)))
+        x = np.zeros((m, min(_COLUMNS, n - c)))
         x[row[a:b], col[a:b] - c] = 1
-        both += (x * weight[c : c + _COLUMNS]) @ x.T
-    alike = both >= similarity * (total[:, None] + total[None, :] - both) - 1e-9
+        for sums, (w, _) in zip(both, measures, strict=True):
+            sums += (x * w[common][c : c + _COLUMNS]) @ x.T
+    alike = np.zeros((m, m), bool)
+    for sums, (_, total) in zip(both, measures, strict=True):
+        alike |= sums >= similarity * (total[:, None] + total[None, :] - sums) - 1e-9
     np.fill_diagonal(alike, True)
     order = np.argsort(ids, kind="stable")
     label = np.empty(m, np.int64)
@@ -268,13 +283,14 @@ def _linked(groups: DataFrame, features: DataFrame, idf, similarity: float) -> D
     return keyed.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(link, "a long, b long")
 
 
-def _border(judged: DataFrame, classes: DataFrame, similarity: float, group: int) -> DataFrame:
+def _border(judged: DataFrame, classes: DataFrame, similarity: float, group: int, slack: float) -> DataFrame:
     """(bucket, doc_id) groups of those that left with a leader and those that stayed though a link to one that left is possible.
 
     The texts that left are all of the leader's class, so only texts of other classes count as stayed. By the triangle inequality, two are
-    alike only if their distances to the leader differ by at most 1 - similarity. Texts are dealt into blocks by that distance and at
+    alike only if their distances to the leader differ by at most 1 - similarity; ``slack`` covers how far the two measures of similarity can lie
+    apart. Texts are dealt into blocks by that distance and at
     random, at most about half a group each, and a group is a pair of blocks that the bound allows."""
-    far = 1 - similarity
+    far = 1 - similarity + slack
     step = far / 4
     named = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
     leader = classes.select(F.col("node").alias("a"), F.col("component").alias("a_class"))
@@ -300,11 +316,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     signed = save(_signed(texts.select("doc_id", "digest", "text"), idf, bands, rows), "signed")
     single = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "buckets")).alias("s")).select("doc_id", "s.*")
     # equal texts are one text from here on
-    member = save(single.join(single.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "digest"), "members")
+    # aggregates are saved before they are joined: both sides are then plain scans, and a hot key's rows can be split over tasks
+    single = save(single, "single")
+    member = save(single.join(save(single.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "copies"), "digest"), "members")
     distinct = member.where("doc_id = copy_of")
     entries = distinct.select("doc_id", F.posexplode("buckets").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
-    leaders = entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("a")).where("n > 1")
-    open_ = save(entries.join(leaders, "bucket"), "buckets")
+    full = save(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "full")
+    open_ = save(entries.join(full, "bucket"), "buckets")
     wanted = distinct.select("doc_id", "digest").join(open_.select("doc_id").distinct(), "doc_id")
     features = save(_features(texts.join(wanted, ["doc_id", "digest"]).select("doc_id", "text")), "features")
     open_ = open_.select("doc_id", "bucket", "n")
@@ -332,7 +350,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
         links = links.unionByName(known.where(F.col("similarity") >= similarity).select("a", "b"))
     classes = components(links)
     if known is not None:
-        more = save(_linked(_border(left, classes, similarity, group), features, idf, similarity).distinct(), "links")
+        more = save(_linked(_border(left, classes, similarity, group, idf_share), features, idf, similarity).distinct(), "links")
         if not more.isEmpty():
             classes = components(links.unionByName(more))
     named = classes.select(F.col("node").alias("copy_of"), F.col("component").alias("class_id"))

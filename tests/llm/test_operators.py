@@ -307,7 +307,7 @@ def brute_classes(rows, frequencies, similarity=near_dedup.SIMILARITY):
 
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if texts[a] == texts[b] or (blobs[a] and blobs[b] and near_dedup.weighted_jaccard(blobs[a], blobs[b], idf) >= similarity):
+            if texts[a] == texts[b] or (blobs[a] and blobs[b] and near_dedup.likeness(blobs[a], blobs[b], idf) >= similarity):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: find(d) for d in ids}
