@@ -52,4 +52,6 @@ def queries():
         lambda s, d: FO.landmarks(inv(s, d), "e").select("day", "peak_at", "above_at", *r6("mean_0h", "mean_12h")),
         f"with i0 as ({INV}), r as (select *, cast(t as date) as day, row_number() over (partition by cast(t as date) order by e desc, t) as rn from i0) select day, min(case when rn = 1 then t end) as peak_at, min(case when e > 100 then t end) as above_at, round(avg(case when hour(t) = 0 then e end),6) as mean_0h, round(avg(case when hour(t) = 12 then e end),6) as mean_12h from r group by day",
     )
+    q["interval_histogram"] = (lambda s, d: gaps(s, d).where("gap_min is not null").groupBy(F.least(F.lit(180), F.rint("gap_min").cast("int")).alias("minutes")).agg(F.count("*").alias("n")), f"with {GAPS} select least(180, cast(round_even(gap_min, 0) as int)) as minutes, count(*) as n from g where gap_min is not null group by 1")
+    q["daily_counts_by_month"] = (lambda s, d: inv(s, d).groupBy(F.month("t").alias("month"), F.to_date("t").alias("day")).agg(F.count("*").alias("n")).groupBy("month").agg(F.count("*").alias("days"), F.min("n").alias("least"), F.max("n").alias("most")), f"with i0 as ({INV}), c as (select cast(t as date) as day, count(*) as n from i0 group by 1) select cast(month(day) as int) as month, count(*) as days, min(n) as least, max(n) as most from c group by 1")
     return {k: (f, duck(sql)) for k, (f, sql) in q.items()}

@@ -56,6 +56,7 @@ def queries():
     q["stride_sample"] = (lambda s, d: P.stride_sample(pts(s, d), 7), f"{W} select pid, x, y, z, cls from (select *, row_number() over (order by pid) - 1 as rn from pts) n where rn % 7 = 0")
     q["uniform_sample"] = (lambda s, d: P.uniform_sample(pts(s, d), 1000), f"{W} select pid, x, y, z, cls from pts order by md5('s' || cast(pid as varchar)), pid limit 1000")
     q["merge_clouds"] = (lambda s, d: P.merge_clouds([(P.bbox_crop(pts(s, d), 0, 20, 0, 60), 3), (P.bbox_crop(pts(s, d), 30, 60, 0, 60), 3)]), f"{W} {pick} x <= 20 union all {pick} x >= 30")
+    q["set_difference"] = (lambda s, d: pts(s, d).select("pid").exceptAll(P.bbox_crop(pts(s, d), 5.0, 55.0, 5.0, 55.0).select("pid")), f"{W} select pid from pts where not (x >= 5 and x <= 55 and y >= 5 and y <= 55)")
     q["class_histogram"] = (lambda s, d: P.class_histogram(pts(s, d)).select("cls", "n", *r6("pct")), f"{W} select cls, count(*) as n, round(100.0D*count(*)/sum(count(*)) over (), 6) as pct from pts group by cls")
     q["scene_bounds"] = (lambda s, d: P.scene_box(pts(s, d), SIZE).select(*r6("mx", "my", "mz"), "nx", "ny", "nz"), f"{W}, {BOX} select round(mx,6) as mx, round(my,6) as my, round(mz,6) as mz, nx, ny, nz from box")
     q["roof_height"] = (

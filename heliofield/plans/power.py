@@ -171,6 +171,7 @@ select event_id, round(plane,6) as plane, round(greatest(plane/1000.0D*3960.0D*(
     dcnt = f"i0 as ({INV}), dc as (select cast(t as date) as day, count(*) as n from i0 group by 1)"
     q["clear_days"] = (lambda s, d: PV.clear_days(days(s, d)), f"with {dcnt}, q as (select quantile_cont(n, 0.25) as a, quantile_cont(n, 0.75) as b from dc) select day, n from dc, q where n > b + 0.8D*(b-a)")
     q["exclude_days"] = (lambda s, d: PV.exclude_days(days(s, d), ["2024-01-05", "2024-01-09"]), f"with {dcnt} select day, n from dc where day not in (date '2024-01-05', date '2024-01-09')")
+    q["days_with_weather"] = (lambda s, d: PV.clear_days(days(s, d), 0.0).join(frame(s, d, TEMP).select(F.to_date("t").alias("day")), "day", "left_semi"), f"with {dcnt}, q as (select quantile_cont(n, 0.25) as a, quantile_cont(n, 0.75) as b from dc), tw as ({TEMP}) select day, n from dc, q where n > b and day in (select cast(t as date) from tw)")
     q["ranked_days"] = (lambda s, d: PV.ranked_days(days(s, d), 5), f"with {dcnt} select day, n, cast(row_number() over (order by n desc, day) as int) as rank from dc order by n desc, day limit 5")
     q["albedo_sigmoid"] = (
         lambda s, d: frame(s, d, TEMP).groupBy(F.to_date("t").alias("day")).agg(F.avg("temp").alias("m")).select("day", PV.albedo(F.col("m")).alias("albedo"), PV.albedo_legacy(F.col("m")).alias("legacy")),
