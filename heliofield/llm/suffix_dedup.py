@@ -107,15 +107,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words: spans whose passages occur in another document too."""
     named = docs.where("doc_id is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     suffixes = save(named.mapInArrow(_suffixes, "rid long, doc_id long, at int, suffix long"), "suffixes")
-    shared = suffixes.groupBy("suffix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("suffix")
+    # aggregates are saved before they are joined: both sides are then plain scans, and a hot key's rows can be split over
+    # tasks; they grow with the corpus, so they are merged, never broadcast
+    shared = save(suffixes.groupBy("suffix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("suffix"), "shared").hint("merge")
     kept = suffixes.join(shared, "suffix").groupBy("rid").agg(F.collect_set("at").alias("kept"))  # as long as its text at most
     runs = save(named.join(kept, "rid").select("doc_id", "text", "kept").mapInArrow(_extended, "doc_id long, suffix long, run long, start int, passages array<long>"), "runs")
-    kinds = runs.groupBy("suffix", "run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    varied = kinds.groupBy("suffix").agg(F.count("*").alias("kinds")).where("kinds > 1").select("suffix")
-    several = runs.join(varied, "suffix").groupBy("suffix", "run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("passages").alias("passages"))
-    starts = several.select("suffix", "run", "lo", "hi", F.posexplode("passages").alias("offset", "passage"))
+    kinds = save(runs.groupBy("suffix", "run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("passages").alias("passages")), "kinds")
+    varied = save(kinds.groupBy("suffix").agg(F.count("*").alias("kinds")).where("kinds > 1").select("suffix"), "varied").hint("merge")
+    starts = kinds.join(varied, "suffix").select("suffix", "run", "lo", "hi", F.posexplode("passages").alias("offset", "passage"))
     met = starts.groupBy("passage").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("passage")
-    partly = starts.join(met, "passage").groupBy("suffix", "run").agg(F.collect_set("offset").alias("offsets"))  # W at most
+    partly = save(starts.join(met, "passage").groupBy("suffix", "run").agg(F.collect_set("offset").alias("offsets")), "partly").hint("merge")  # W at most
     whole = runs.join(varied, "suffix", "left_anti").select("doc_id", "start", F.size("passages").alias("n"), F.lit(None).cast("array<int>").alias("offsets"))
     some = runs.join(partly, ["suffix", "run"]).select("doc_id", "start", F.size("passages").alias("n"), "offsets")
     by_doc = whole.unionByName(some).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "offsets")).alias("runs"))
