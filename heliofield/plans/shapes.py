@@ -1,4 +1,7 @@
-"""Queries on neighbourhoods: heights, features, scores, growth, clusters."""
+"""Queries on neighbourhoods: heights, features, scores, growth, clusters.
+
+The short names run on the roof points, where their SQL twins' brute force is affordable; ``*_whole`` are the jobs over the whole cloud.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,9 @@ import math
 from pyspark.sql import functions as F
 
 from heliofield.functions.packaging import ship
+from heliofield.functions.storage import save
 from heliofield.operators import neighbours as N
+from heliofield.operators.points import candidates
 from heliofield.plans.cloud import W, r6
 from heliofield.plans.proxies import duck, pts
 
@@ -19,9 +24,14 @@ def roof(s, d):
     return pts(s, d).where("cls = 6")
 
 
-def toy(s, d):
-    """Roof points with deterministic scores and normals, for growth."""
-    return roof(s, d).select("pid", "x", "y", "z", (F.pmod("pid", F.lit(1000)) / 1000.0).alias("score"), (0.9 + F.pmod(F.floor(F.col("pid") / 7), F.lit(10)) / 100.0).alias("normal_z"))
+def tall(s, d):
+    """The cloud's candidates: unclassified and high vegetation points at a height above ground."""
+    return save(candidates(N.height_above_ground(pts(s, d))), "candidates")
+
+
+def toy(s, d, points=roof):
+    """Points with deterministic scores and normals, for growth."""
+    return points(s, d).select("pid", "x", "y", "z", (F.pmod("pid", F.lit(1000)) / 1000.0).alias("score"), (0.9 + F.pmod(F.floor(F.col("pid") / 7), F.lit(10)) / 100.0).alias("normal_z"))
 
 
 R = f"{W}, roof as (select * from pts where cls = 6)"
@@ -94,8 +104,53 @@ RREC = R.replace("with pts", "with recursive pts")
 STATS = """st as (select label, count(*) as size, max(x)-min(x) as dx, max(y)-min(y) as dy, max(z)-min(z) as dz, quantile_cont(z, 0.75)-quantile_cont(z, 0.25) as z_iqr from roof join lb on lb.pid = roof.pid group by label)"""
 
 
+def whole():
+    """Features and outliers of every point, and scores, growth and clusters of every candidate; no SQL, brute force is too slow there."""
+    r4 = lambda *names: [F.round(n, 4).alias(n) for n in names]
+    multi = ["planarity", "normal_z", "linearity", "sphericity", "surface_variation", "normal_z_std", "entropy"]
+
+    def normal_std(s, d):
+        edges = N.knn(pts(s, d), pts(s, d), 20)
+        return N.normal_spread(edges, N.eigen_features(N.covariances(edges, pts(s, d)))).select("pid", *r4("normal_z_std"))
+
+    def inliers(s, d):
+        ship(s)
+        return N.plane_inliers(pts(s, d)).select("pid", *r6("ransac"))
+
+    def additive(s, d):
+        own = tall(s, d)
+        ship(s)
+        return N.building_score_additive(N.multi_scale(own).join(N.plane_inliers(own), "pid")).select("pid", *r4("score"))
+
+    def grow(s, d):
+        own = save(toy(s, d, tall), "scored")
+        return N.region_grow(own, own.where("score >= 0.97"), 1.0, 1.5, 0.5, 0.98)
+
+    def clusters(s, d):
+        own = tall(s, d)
+        return N.cluster_stats(own, N.dbscan(own, 0.6))
+
+    return {
+        "knn_cloud_whole": lambda s, d: N.knn(pts(s, d), pts(s, d), 10).select("pid", "nid", "rank", *r6("dist")),
+        "outlier_removal_whole": lambda s, d: N.remove_outliers(pts(s, d), 20, 2.0).select("pid"),
+        "neighbourhood_covariance_whole": lambda s, d: N.covariances(N.knn(pts(s, d), pts(s, d), 10), pts(s, d)).select("pid", *r6("cxx", "cyy", "czz", "cxy", "cxz", "cyz")),
+        "eigen_features_whole": lambda s, d: N.eigen_features(N.covariances(N.knn(pts(s, d), pts(s, d), 20), pts(s, d))).select("pid", *r4(*FEATURES, "normal_z")),
+        "normal_std_whole": normal_std,
+        "multi_scale_features_whole": lambda s, d: N.multi_scale(pts(s, d)).select("pid", *r4(*multi)),
+        "building_score_whole": lambda s, d: N.building_score(N.multi_scale(tall(s, d)), "v3").select("pid", *r4("score")),
+        "building_score_upgrade_whole": lambda s, d: N.building_score(N.multi_scale(tall(s, d)), "upgrade").select("pid", *r4("score")),
+        "building_score_additive_whole": additive,
+        "seed_filter_whole": lambda s, d: toy(s, d, tall).where("score >= 0.7").select("pid"),
+        "plane_inlier_ratio_whole": inliers,
+        "region_grow_whole": grow,
+        "dbscan_labels_whole": lambda s, d: N.dbscan(tall(s, d), 0.6),
+        "cluster_stats_whole": lambda s, d: clusters(s, d).select("label", "size", *r6("dx", "dy", "dz", "z_iqr")),
+        "cluster_shape_rules_whole": lambda s, d: N.cluster_verdicts(clusters(s, d), 20),
+    }
+
+
 def queries():
-    q = {}
+    q = {k: (f, "") for k, f in whole().items()}
     ship_all = lambda f: lambda s, d: (ship(s), f(s, d))[1]
     q["knn_ground_hag"] = (lambda s, d: N.height_above_ground(pts(s, d)).select("pid", "cls", *r6("hag")), f"{W}, gr as (select * from pts where cls = 2), {knn_sql('pts', 'gr', 4, 'xy', 6.0, 'k')} select pts.pid, pts.cls, round(greatest(pts.z - b, 0), 6) as hag from pts join (select k.pid, sum(gr.z/greatest(dist, 1e-10))/sum(1/greatest(dist, 1e-10)) as b from k join gr on gr.pid = k.nid group by k.pid) w on w.pid = pts.pid")
     q["hag_nearest"] = (lambda s, d: N.to_height_above_ground(pts(s, d)).select("pid", "cls", *r6("z")), f"{W}, gr as (select * from pts where cls = 2), {knn_sql('pts', 'gr', 1, 'xy', 6.0, 'k')} select pts.pid, pts.cls, round(case when pts.cls = 2 then 0 else pts.z - gr.z end, 6) as z from pts join k on k.pid = pts.pid join gr on gr.pid = k.nid")
