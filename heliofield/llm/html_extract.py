@@ -4,9 +4,10 @@ Pages of a host share a template. Every page is read into tokens: element paths,
 Tokens that occur equally often on every page of the host (same occurrence vector) form an equivalence class; a
 class is valid if it is large and frequent enough, classes are nested by their paths, and the tokens of valid
 classes are the template. What remains are the slots; the deepest template element that holds most of the
-host's slot text is its main container. A page's text is its slots in an article or main element, or else in the
-host's container, without elements whose role is a menu, header, footer, sidebar, notice, advert, form or comment.
-Text inside an article or main element is never taken for template text, however often it recurs.
+host's slot text is its main container. A page's text is its slots in the host's container, without elements whose
+role is a menu, header, footer, sidebar, notice, advert, form or comment. An article or main element is further
+evidence: it narrows the container where it holds most of its text, stands in where the page has no container,
+and its text is taken for template text only if it recurs on ``MAIN_PAGES`` pages or more.
 
 Occurrence vectors are compared by a fingerprint summed over pages, so no host is gathered in one task: per
 (host, token) one partial sum a task is shuffled. Templates are small (each token is on half of the host's pages),
@@ -37,6 +38,8 @@ SALTS = 32
 BROADCAST_BYTES = 16 << 20
 #: A class is valid with this many tokens, on at least half of the host's pages.
 CLASS_TOKENS = 2
+#: Text inside an article or main element is the template's only if it is on this many pages.
+MAIN_PAGES = 8
 #: Per cent of the host's slot text that the main container holds.
 CONTAINER_PERCENT = 60
 
@@ -46,6 +49,8 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _LABEL = re.compile(r"""(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+#: Paths of elements that hold a single piece of text (steps have no digits); none is a container.
+_PIECE = r"/(p|h|li|dt|dd|th|pre|blockquote|address|caption|figcaption|summary|legend|ul|ol|dl)(\.[^/]*)?$"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"button", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "html", "head", "body", "summary", "legend"}
@@ -151,48 +156,53 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
 
 
+def _fixed(path: str, text: str) -> int:
+    """The key of a text block: its text at its path."""
+    return _hash(f"{path}\n{text}")
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, path, text_hash, n, chars, slot): a page's tokens; ``text_hash`` is null for element paths."""
+    """(host, page, path, text_hash, n, chars, slot, main): a page's tokens; ``text_hash`` is null for element paths."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps: dict = {}
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], [], []]
             for host, page, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 blocks, opened = read_page(source or "", steps)
-                found: dict[tuple[str, int | None], list] = {("", None): [1, 0, False]}
+                found: dict[tuple[str, int | None], list] = {("", None): [1, 0, False, False]}
                 for path, n in opened.items():
-                    found[path, None] = [n, 0, False]
+                    found[path, None] = [n, 0, False, False]
                 for path, side, main, text in blocks:
-                    entry = found.setdefault((path, _hash(text)), [0, 0, not side])
+                    entry = found.setdefault((path, _fixed(path, text)), [0, 0, not side, main])
                     entry[0] += 1
                     entry[1] += len(text)
-                for (path, text), (n, chars, slot) in found.items():
-                    for col, value in zip(cols, (host, page, path, text, n, chars, slot), strict=True):
+                for (path, text), (n, chars, slot, main) in found.items():
+                    for col, value in zip(cols, (host, page, path, text, n, chars, slot, main), strict=True):
                         col.append(value)
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "page", "path", "text_hash", "n", "chars", "slot"])
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "page", "path", "text_hash", "n", "chars", "slot", "main"])
 
-    return pages.mapInArrow(tokens, "host string, page long, path string, text_hash long, n long, chars long, slot boolean")
+    return pages.mapInArrow(tokens, "host string, page long, path string, text_hash long, n long, chars long, slot boolean, main boolean")
 
 
 def deduce_templates(tokens: DataFrame) -> DataFrame:
     """(host, container, template_text): the main container's path and the hashes of the template's text blocks."""
     vector = F.pmod(F.xxhash64("page", "n"), F.lit(2**31))
-    seen = save(tokens.groupBy("host", "path", "text_hash").agg(F.count("*").alias("pages"), F.sum(vector).alias("vector"), F.sum("chars").alias("chars"), F.bool_and("slot").alias("slot")), "tokens")
+    seen = save(tokens.groupBy("host", "path", "text_hash").agg(F.count("*").alias("pages"), F.sum(vector).alias("vector"), F.sum("chars").alias("chars"), F.bool_and("slot").alias("slot"), F.bool_or("main").alias("main")), "tokens")
     size = seen.where("path = '' and text_hash is null").select("host", F.col("pages").alias("host_pages"), F.col("vector").alias("root_vector"))
     classes = seen.groupBy("host", "pages", "vector").agg(F.count("*").alias("members"))
     valid = classes.join(size, "host").where((F.col("members") >= CLASS_TOKENS) & (F.col("pages") * 2 >= F.col("host_pages")) & (F.col("host_pages") >= 2))
     template = seen.join(valid.select("host", "pages", "vector", "host_pages"), ["host", "pages", "vector"])
-    fixed = template.where("text_hash is not null and host_pages >= 3").groupBy("host").agg(F.collect_set("text_hash").alias("template_text"))
-    fixed_rows = template.where("text_hash is not null and host_pages >= 3").select("host", "path", "text_hash")
+    fixed_rows = template.where(f"text_hash is not null and host_pages >= 3 and (not main or pages >= {MAIN_PAGES})").select("host", "path", "text_hash")
+    fixed = fixed_rows.groupBy("host").agg(F.collect_set("text_hash").alias("template_text"))
     slots = seen.where("slot and text_hash is not null").join(fixed_rows, ["host", "path", "text_hash"], "left_anti").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     steps = F.split("path", "/")
     up = slots.select("host", "chars", steps.alias("steps"), F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth"))
     held = up.groupBy("host", "depth", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/").alias("path")).agg(F.sum("chars").alias("chars"))
     total = F.max("chars").over(Window.partitionBy("host"))
     main = held.withColumn("total", total).where(F.col("chars") * 100 >= F.col("total") * CONTAINER_PERCENT)
-    elements = template.where("text_hash is null").select("host", "path")
+    elements = template.where(F.col("text_hash").isNull() & ~F.col("path").rlike(_PIECE)).select("host", "path")
     main = main.join(elements.withColumn("known", F.lit(True)), ["host", "path"], "left").where((F.col("depth") == 1) | F.col("known"))
     container = main.groupBy("host").agg(F.max(F.struct("depth", "chars", "path"))["path"].alias("container"))
     return size.select("host").join(container, "host", "left").join(fixed, "host", "left")
@@ -200,14 +210,16 @@ def deduce_templates(tokens: DataFrame) -> DataFrame:
 
 def page_text(source: str, container: str | None, template_text: set[int], steps: dict) -> str:
     blocks, _ = read_page(source, steps)
-    inside = [b for b in blocks if b[2]]
-    if inside:
-        return "\n".join(text for _, side, _, text in inside if not side)
     inside = [b for b in blocks if not b[1]]
     if container:
         under = [b for b in inside if b[0] == container or b[0].startswith(container + "/")]
-        inside = under or inside
-    return "\n".join(text for _, _, _, text in inside if _hash(text) not in template_text)
+        outside = any(b[2] for b in inside) and not any(b[2] for b in under)
+        inside = [b for b in inside if b[2] or b in under] if outside else under or inside
+    inside = [b for b in inside if _fixed(b[0], b[3]) not in template_text]
+    main = [b for b in inside if b[2]]
+    if 2 * sum(len(b[3]) for b in main) >= sum(len(b[3]) for b in inside):
+        inside = main or inside
+    return "\n".join(b[3] for b in inside)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

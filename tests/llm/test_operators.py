@@ -486,3 +486,17 @@ def test_html_extraction(spark):
         assert {r.page_id: r.text for r in html_extract.extract_text(frame).collect()} == {k: r.text for k, r in got.items()}
     finally:
         html_extract.BROADCAST_BYTES = many
+
+
+def test_html_template_decides_inside_articles_too(spark):
+    share = "<div>Share this page with friends</div>"
+    article = "<article><h1>Title {0}</h1><p>Body text number {0} of the story</p>" + share + "<div>Licence: all rights reserved</div></article>"
+    teaser = "<div class='content'><h2>Head {0}</h2><p>Body text number {0} that goes on for a while</p></div><article><p>teaser {0}</p></article>"
+    rows = [(i, f"http://one.net/{i}", PAGE.format(i, article.format(i))) for i in range(12)]
+    rows += [(50, "http://one.net/q", PAGE.format(50, "<article><h1>Quote</h1><p>Share this page with friends</p><p>as they say</p></article>"))]
+    rows += [(100 + i, f"http://two.net/{i}", PAGE.format(i, teaser.format(i))) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert got[i] == f"Title {i}\nBody text number {i} of the story"
+        assert got[100 + i].startswith(f"Head {i}\nBody text number {i} that goes on for a while")
+    assert got[50] == "Quote\nShare this page with friends\nas they say"  # at another path it is no template text
