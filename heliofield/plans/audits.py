@@ -44,8 +44,14 @@ def capped(s, d):
     return M.completed(sweep.select(F.col("alt").cast("int").alias("alt"), F.col("az").cast("int").alias("az"), "shadow")).where("alt % 10 = 5 and az % 30 = 0").select("alt", "az", *r6("shadow"))
 
 
+def capped_whole(s, d):
+    """The same at every degree; cells above 55 degrees stay null."""
+    sweep = light.sweep_whole(s, d, top=55.0).where("az < 360")
+    return M.completed(sweep.select(F.col("alt").cast("int").alias("alt"), F.col("az").cast("int").alias("az"), "shadow")).select("alt", "az", *r6("shadow"))
+
+
 def queries():
-    q = {}
+    q = {"sky_sweep_capped_whole": (capped_whole, "")}
     q["chain_audit"] = (
         lambda s, d: A.chain_audit({"logger": (inv(s, d), "e"), "forecast": (views(s, d), "v")}).select("stage", "day", "peak_at", "above_at", *r6("mean_0h", "mean_12h")),
         f"with i0 as ({INV}), v0 as ({VIEWS}), u as ({landmark_sql('logger', 'i0', 'e')} union all {landmark_sql('forecast', 'v0', 'v')}) select stage, day, peak_at, above_at, round(mean_0h,6) as mean_0h, round(mean_12h,6) as mean_12h from u",

@@ -12,8 +12,11 @@ from heliofield.plans import cloud
 from heliofield.plans.cloud import API, BOX, COL, GRID, LAD, SIZE, VOX, W, fill_sql, r6
 from heliofield.plans.proxies import duck, pts
 
+#: The grid of the SQL twins; the sweep itself has every degree (the horizon's row is shaded without tracing).
 ALTS, AZS = [float(a) for a in range(5, 90, 10)], [float(a) for a in range(0, 360, 30)]
+ALL_ALTS, ALL_AZS = [float(a) for a in range(1, 91)], [float(a) for a in range(360)]
 LOCAL = (G.Array("Bank 1", (28.0, 24.0, 0.0), 12.0, 170.0, (5, 4, 3)),)
+DENSE_BYTES = 256 << 20
 TWO = (G.Array("North", (22.0, 28.0, 107.0), 20.0, 260.0, (6, 2)), G.Array("South", (36.0, 32.0, 107.0), 20.0, 260.0, (4, 2), "right"))
 
 
@@ -39,6 +42,38 @@ def per_ray(spark, d, panels=None):
     return R.transmittance(R.segments(rays_of(spark, d, panels=panels), box_of(spark, d), SIZE), grid_of(spark, d))
 
 
+def whole_rays(spark, d, panels=None, top=90.0):
+    return rays_of(spark, d, [a for a in ALL_ALTS if a <= top], ALL_AZS, panels=panels)
+
+
+def per_ray_whole(spark, d, panels=None, top=90.0):
+    """Every traced direction, by the kernel where the dense grid may be sent to the tasks."""
+    rays, grid, box = whole_rays(spark, d, panels, top), grid_of(spark, d), box_of(spark, d)
+    b = box.first()
+    if b["nx"] * b["ny"] * b["nz"] * 5 <= DENSE_BYTES:
+        return R.march(rays, grid, box, SIZE)
+    return R.transmittance(R.segments(rays, box, SIZE), grid)
+
+
+def sweep_whole(spark, d, panels=None, top=90.0):
+    """array_id, alt, az, shadow: 91 x 361 rows an array, up to ``top`` degrees."""
+    panels = panels_of(spark, d) if panels is None else panels
+    arrays = panels.select("array_id").distinct()
+    horizon = arrays.crossJoin(F.broadcast(spark.createDataFrame([(0.0, a) for a in ALL_AZS], "alt double, az double"))).withColumn("t", F.lit(0.0))  # 360 rows
+    return R.sky_sweep(per_ray_whole(spark, d, panels, top).select("array_id", "alt", "az", "t").unionByName(horizon))
+
+
+def whole():
+    """The jobs over all 91 x 360 directions; no SQL, its segments are too many there."""
+    return {
+        "ray_segments_whole": lambda s, d: R.segments(whole_rays(s, d), box_of(s, d), SIZE).groupBy("alt", "az", "panel").agg(F.count("*").alias("n"), F.round(F.sum("length"), 6).alias("length"), F.count_if("near").alias("near")),
+        "ray_transmittance_whole": lambda s, d: R.transmittance(R.segments(whole_rays(s, d), box_of(s, d), SIZE), grid_of(s, d)).select("alt", "az", "panel", "ray", *r6("t")),
+        "ray_transmittance_kernel_whole": lambda s, d: R.march(whole_rays(s, d), grid_of(s, d), box_of(s, d), SIZE).select("alt", "az", "panel", "ray", *r6("t")),
+        "sky_sweep_whole": lambda s, d: sweep_whole(s, d).select("alt", "az", *r6("shadow")),
+        "sky_sweep_two_arrays_whole": lambda s, d: sweep_whole(s, d, G.panel_points(s, TWO)).select("array_id", "alt", "az", *r6("shadow")),
+    }
+
+
 def offset_sweep(spark, d):
     """Voxel layer of panels and roof for a list of height offsets, and the offset that clears the roof's layer."""
     box = box_of(spark, d)
@@ -101,7 +136,7 @@ SWEEP = "m as (select array_id, alt, az, 1 - avg(t) as shadow from tr group by a
 
 
 def queries():
-    q = {}
+    q = {k: (f, "") for k, f in whole().items()}
     q["panel_points"] = (
         lambda s, d: G.panel_points(s, G.BANK1 + G.BANK2).select("array_id", "panel", "row", "pos", *r6("x", "y", "z")),
         f"with {panels_sql(G.BANK1 + G.BANK2, 'panels', None)} select array_id, panel, row, pos, round(x,6) as x, round(y,6) as y, round(z,6) as z from panels",

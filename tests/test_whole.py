@@ -8,7 +8,7 @@ import math
 import numpy as np
 import pytest
 
-from heliofield.plans import shapes
+from heliofield.plans import audits, light, shapes
 
 CLOUD = "pid long, x double, y double, z double, cls int"
 STEP = 17  # ids are this far apart, so that they spread over the scores made of them
@@ -171,3 +171,15 @@ def test_growth_and_clusters_are_those_of_every_candidate(run, scene):
         assert [stats[k].size, stats[k].dx, stats[k].dy, stats[k].dz] == pytest.approx([len(own), *side], abs=1e-6)
         assert stats[k].z_iqr == pytest.approx(np.subtract(*np.quantile(own[:, 2], [0.75, 0.25])), abs=1e-6)
         assert rules[k].reject == ("noise" if k == -1 else "size" if len(own) < 20 else "area")  # crowns are under 20 square metres
+
+
+def test_sweeps_have_every_direction(spark):
+    d = "/root/testdata/sf0.001"
+    few = {(r.alt, r.az): r.shadow for r in light.queries()["sky_sweep"][0](spark, d).collect()}
+    got = {(r.alt, r.az): r.shadow for r in light.queries()["sky_sweep_whole"][0](spark, d).collect()}
+    assert set(got) == {(float(a), float(z)) for a in range(91) for z in range(361)}
+    assert all(got[0.0, float(z)] == 1 for z in range(361)) and all(got[float(a), 360.0] == got[float(a), 0.0] for a in range(91))
+    assert all(got[k] == pytest.approx(v, abs=2e-6) for k, v in few.items())
+    capped = {(r.alt, r.az): r.shadow for r in audits.queries()["sky_sweep_capped_whole"][0](spark, d).collect()}
+    assert all(capped[a, z] == pytest.approx(got[a, z], abs=2e-6) for a in range(56) for z in range(360))
+    assert all(v is None for (a, z), v in capped.items() if a > 55 or z == 360)
