@@ -1,8 +1,10 @@
 """Secret scans with structural confirmation.
 
-Three base patterns always count. Beyond them, candidates (signed tokens, armoured keys, long base64 or hex
-runs) are reported only when their structure holds: the base64 or hex decodes, a key's nested lengths add up,
-or a token's header is JSON that names an algorithm. Spans are ``kind:start:end`` in code points.
+Three base patterns always count. Beyond them, candidates (signed tokens, armoured keys, all base64, base64url or hex
+runs of ``LEAST`` characters or more) are reported only when their structure holds: the base64 or hex decodes, a key's
+nested lengths add up at every level, or a token's header is JSON that names an algorithm. A run may be wrapped over lines, also
+escaped ones, and a key may start at any character of it; header lines of an armour are skipped, and an encrypted body, which has no
+structure of its own, counts under its headers. Spans are ``kind:start:end`` in code points.
 
 Defined results: a null text is empty and has no spans; repeated rows give repeated results; an empty table
 gives an empty result; only ``doc_id`` and ``text`` are read.
@@ -25,8 +27,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-B64 = re.compile(r"(?<![A-Za-z0-9+/=_-])M[A-Za-z0-9+/]{39,}={0,2}")
+LEAST = 40
+_BREAK = r"(?:\\r\\n|\\n|\\r|\r\n|\n|\r)"
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+?)-----END \1-----", re.DOTALL)
+HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:[^\r\n]*")
+LINES = re.compile(_BREAK)
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK}[\x20\t>#*]*+[A-Za-z0-9+/_-]{{4,}}+)*+={{0,2}}")
+HEXRUN = re.compile(rf"[0-9A-Fa-f]{{16,}}+(?:{_BREAK}[\x20\t>#*]*+[0-9A-Fa-f]{{2,}}+)*+")
+HEXSTARTS = re.compile(r"(?=30(?:[0-7][0-9A-Fa-f]|8[1-4])|6f70656e737368)", re.IGNORECASE)
+URLSAFE = str.maketrans("-_", "+/")
+OPENSSH = b"openssh-key-v1\0"
 KINDS = ("assign", "access", "hex", "armour", "key", "signed")
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
 
@@ -41,36 +51,132 @@ def _decoded(text: str, alphabet: str = "+/") -> bytes | None:
         return None
 
 
-def nested_lengths(raw: bytes) -> bool:
-    """Whether ``raw`` is one DER sequence whose members fill it exactly, an integer or sequence first."""
-
-    def header(at: int, end: int) -> tuple[int, int, int] | None:
-        if at + 2 > end:
+def _part(raw: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, first, end) of the DER value at ``at``, if it ends by ``end``."""
+    if at + 2 > end:
+        return None
+    tag, size, at = raw[at], raw[at + 1], at + 2
+    if size & 0x80:
+        n = size & 0x7F
+        if not 1 <= n <= 4 or at + n > end:
             return None
-        tag, size, at = raw[at], raw[at + 1], at + 2
-        if size & 0x80:
-            n = size & 0x7F
-            if not 1 <= n <= 4 or at + n > end:
-                return None
-            size, at = int.from_bytes(raw[at : at + n], "big"), at + n
-        return (tag, at, at + size) if at + size <= end else None
-
-    top = header(0, len(raw))
+        size, at = int.from_bytes(raw[at : at + n], "big"), at + n
+    return (tag, at, at + size) if at + size <= end else None
+
+
+def nested_lengths(raw: bytes) -> bool:
+    """Whether ``raw`` is one DER sequence whose members fill it exactly at every level, an integer or sequence first."""
+    top = _part(raw, 0, len(raw))
     if not top or top[0] != 0x30 or top[2] != len(raw):
         return False
-    at, members, tags = top[1], 0, []
-    while at < top[2]:
-        part = header(at, top[2])
-        if not part:
-            return False
-        tags.append(part[0])
-        at, members = part[2], members + 1
-    return members >= 2 and tags[0] in (0x02, 0x30) and all(t in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1) for t in tags)
+    tags: list[int] = []
+    todo = [(top[1], top[2], True)]
+    while todo:
+        at, end, outer = todo.pop()
+        while at < end:
+            part = _part(raw, at, end)
+            if not part:
+                return False
+            if outer:
+                tags.append(part[0])
+            if part[0] in (0x30, 0x31, 0xA0, 0xA1):
+                todo.append((part[1], part[2], False))
+            at = part[2]
+    return len(tags) >= 2 and tags[0] in (0x02, 0x30) and all(t in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1) for t in tags)
+
+
+def key_length(raw: bytes) -> int:
+    """Bytes of the key that ``raw`` starts with, 0 if there is none."""
+    if raw.startswith(OPENSSH):
+        at = len(OPENSSH)
+        for _ in range(3):  # cipher, derivation and its options
+            at += 4 + int.from_bytes(raw[at : at + 4], "big")
+            if at + 4 > len(raw):
+                return 0
+        keys = int.from_bytes(raw[at : at + 4], "big")
+        at += 4
+        for _ in range(keys + 1 if 1 <= keys <= 64 else 0):  # the public keys and the private part
+            if at + 4 > len(raw):
+                return 0
+            at += 4 + int.from_bytes(raw[at : at + 4], "big")
+        return at if 1 <= keys <= 64 and at <= len(raw) else 0
+    top = _part(raw, 0, len(raw))
+    return top[2] if top and nested_lengths(raw[: top[2]]) else 0
+
+
+def _key(body: str) -> bool:
+    """Whether an armour's body is a key: its header lines are skipped, an encrypted one is whole cipher blocks."""
+    lines = [x.strip() for x in LINES.split(body)]
+    headers = [x for x in lines if HEADER.fullmatch(x)]
+    raw = _decoded("".join(x for x in lines if not HEADER.fullmatch(x)))
+    if not raw:
+        return False
+    if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in headers):
+        return any(x.startswith("DEK-Info:") for x in headers) and len(raw) >= 32 and len(raw) % 8 == 0
+    return key_length(raw) == len(raw) or raw.startswith(OPENSSH)
+
 
+def _run(text: str, start: int, end: int) -> tuple[str, list[int], list[int]]:
+    """A run without its line breaks, the place of each character, and the numbers of those that start a line."""
+    chars, places, heads, at = [], [], [], start
+    for m in [*re.finditer(rf"{_BREAK}[\x20\t>#*]*", text[start:end]), None]:
+        upto = start + m.start() if m else end
+        heads.append(len(places))
+        chars.append(text[at:upto])
+        places.extend(range(at, upto))
+        at = start + m.end() if m else end
+    return "".join(chars), places, heads
 
-def _key(text: str) -> bool:
-    raw = _decoded(text)
-    return raw is not None and (nested_lengths(raw) or raw.startswith(b"openssh-key-v1\0"))
+
+def _base64_keys(text: str) -> list[tuple[int, int, int]]:
+    found = []
+    for m in RUN.finditer(text):
+        if len(m[0]) < LEAST:
+            continue
+        clean, places, heads = _run(text, m.start(), m.start() + len(m[0].rstrip("=")))
+        clean = clean.translate(URLSAFE)
+        if text[max(m.start() - 1, 0) : m.start()] == "\\" and clean[:1] in ("n", "r"):
+            heads.append(1)  # after an escaped line break
+        done = 0
+        for head in sorted(heads):
+            if head < done or len(clean) - head < LEAST - 2 or clean[head] not in "Mb":
+                continue
+            have = clean[head:]
+            if not have.startswith("b3BlbnNza"):
+                top = _part(_decoded(have[:12]) or b"", 0, 1 << 62)
+                if not top or top[0] != 0x30 or top[2] * 4 > len(have) * 3:
+                    continue
+                have = have[: -(-top[2] * 4 // 3)]
+            if len(have) % 4 == 1:
+                have = have[:-1]
+            size = key_length(_decoded(have) or b"")
+            last = head + -(-size * 4 // 3) - 1
+            if size and (last + 1 == len(places) or places[last + 1] != places[last] + 1):
+                end = places[last] + 1
+                end += next(i for i in range(3) if i == 2 or text[end + i : end + i + 1] != "=")
+                found.append((places[head], 4, end))
+                done = last + 1
+    return found
+
+
+def _hex_keys(text: str) -> list[tuple[int, int, int]]:
+    found = []
+    for m in HEXRUN.finditer(text):
+        if len(m[0]) < LEAST:
+            continue
+        clean, places, _ = _run(text, m.start(), m.end())
+        done = 0
+        for s in HEXSTARTS.finditer(clean):
+            if s.start() < done:
+                continue
+            first = _part(bytes.fromhex(clean[s.start() : s.start() + 12 + (len(clean) - s.start()) % 2][:12]), 0, 1 << 62) if clean.startswith("30", s.start()) and len(clean) - s.start() >= 12 else None
+            if first and first[2] * 2 > len(clean) - s.start():
+                continue
+            size = key_length(bytes.fromhex(clean[s.start() : len(clean) - (len(clean) - s.start()) % 2][: 2 * first[2] if first else None]))
+            if 2 * size >= LEAST - 8:
+                done = s.start() + 2 * size
+                found.append((places[s.start()], 4, places[done - 1] + 1))
+    return found
 
 
 def _signed(header: str) -> bool:
@@ -90,17 +196,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def confirmed_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """Further spans whose structure is confirmed."""
     found = []
     if "-----BEGIN " in text:
         found += [(m.start(), 3, m.end()) for m in ARMOUR.finditer(text) if _key(m[2])]
-    found += [(m.start(), 4, m.end()) for m in B64.finditer(text) if _key(m[0]) and not any(s <= m.start() < e for s, k, e in found)]
+    armours = list(found)
+    found += [x for x in _base64_keys(text) + _hex_keys(text) if not any(s <= x[0] < e for s, _, e in armours)]
     if "eyJ" in text:
         found += [(m.start(), 5, m.end()) for m in SIGNED.finditer(text) if _signed(m[1])]
-    for start, kind, end in base:  # a hex run may itself hold an encoded key
-        if kind == 2 and (end - start) % 2 == 0 and text.startswith("30", start) and nested_lengths(bytes.fromhex(text[start:end])):
-            found.append((start, 4, end))
     return found
 
 
@@ -117,7 +221,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
             for scalar in batch.column(1):
                 text = scalar.as_py() or ""
                 base = base_spans(text)
-                more = confirmed_spans(text, base)
+                more = confirmed_spans(text)
                 for k in range(3):
                     rows[k].append(sum(x[1] == k for x in base))
                 rows[3].append(hashlib.sha256(_joined(base).encode()).hexdigest())

@@ -285,6 +285,33 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan_secrets(docs).count() == docs.count() and secrets.scan_secrets(empty).count() == 0
 
 
+def test_secrets_in_their_usual_forms(spark):
+    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 120))) + der(2, b"\x01\0\x01"))
+    text = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + text(b"none") + text(b"none") + text(b"") + (1).to_bytes(4, "big") + text(bytes(51)) + text(bytes(range(136)))
+    b64, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("=")
+    wrapped = "\n".join(b64[i : i + 64] for i in range(0, len(b64), 64))
+    body = base64.b64encode(bytes(range(160))).decode()
+    broken = der(0x30, der(2, b"\0") + der(0x30, b"\x02\x7f" + bytes(60)))
+    texts = {
+        0: base64.b64encode(ssh).decode(),
+        1: wrapped + "\nnext words",
+        2: wrapped.replace("\n", "\\n"),
+        3: f"k: {url} end",
+        4: key.hex().upper(),
+        5: "abcd" + key.hex() + "ff",
+        6: f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n{body}\n-----END RSA PRIVATE KEY-----",
+        7: '{"private_key": "-----BEGIN PRIVATE KEY-----\\n' + wrapped.replace("\n", "\\n") + '\\n-----END PRIVATE KEY-----\\n"}',
+        8: base64.b64encode(broken).decode() + " " + broken.hex().upper(),
+        9: "M" + "ABCDEFGH" * 12,
+    }
+    got = {r.doc_id: r for r in secrets.scan_secrets(table(spark, list(texts.items()))).collect()}
+    assert [got[i].n_confirmed for i in range(10)] == [1, 1, 1, 1, 1, 1, 1, 1, 0, 0]
+    assert got[0].spans == f"key:0:{len(texts[0])}" and got[1].spans == f"key:0:{len(wrapped)}" and got[2].spans == f"key:0:{len(texts[2])}"
+    assert got[3].spans == f"key:3:{3 + len(url)}" and f"key:0:{len(texts[4])}" in got[4].spans and f"key:4:{4 + 2 * len(key)}" in got[5].spans
+    assert got[6].spans.startswith("armour:0:") and got[7].spans.startswith("armour:17:")
+
+
 def brute_classes(rows, frequencies, similarity=near_dedup.SIMILARITY):
     import pyarrow as pa
 
