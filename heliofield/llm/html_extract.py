@@ -15,7 +15,7 @@ and
 pages meet them in a broadcast join behind a check of their measured size, or in a join with a salted host.
 
 Defined results: a null or empty page has an empty text; a host with a single page has no template tokens and is
-read by roles alone; repeated rows are read alike; an empty table gives an empty result; other columns are not read.
+read by roles alone; pages with the same text count as one towards a template, and repeated rows are read alike; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,6 +57,7 @@ _CLOSES_P = _BLOCK - {"button", "caption", "td", "th", "tr", "tbody", "thead", "
 _OWN_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("article aside body div footer form header main nav ol section table ul dl blockquote td".split())
 _SIDE = frozenset("nav footer aside form head dialog menu button fieldset".split())
+_STRONG = frozenset("nav footer aside head dialog menu button".split())
 _SIDE_LABEL = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|menu|nav\w*|breadcrumbs?|sidebar|widget|footer|header|masthead|cookies?|notices?|consent|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|replies|disqus|pagination|pager|search|contentinfo|complementary)(?:$|[\s_-])",
     re.IGNORECASE,
@@ -68,16 +69,39 @@ def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
     labels = [next(filter(None, m.groups()[1:]), "") for m in _LABEL.finditer(attributes)] if attributes else []
     words = " ".join(labels)
     main = name in ("article", "main") or any(x in ("main", "articleBody") for x in labels)
-    side = name in _SIDE or (bool(words) and not main and bool(_SIDE_LABEL.search(words)))
+    side = name in _SIDE or (bool(words) and not main and name not in ("html", "body") and bool(_SIDE_LABEL.search(words)))
     return re.sub(r"[\d/]+", "", f"{name}.{'.'.join(words.split())}" if words else name), side, main
 
 
+def _settled(blocks: list[tuple[str, tuple, bool, str]]) -> list[tuple[str, bool, bool, str]]:
+    """Blocks with the side elements around them (number, surely a side part, in an article) read as one role.
+
+    A side element around the page's articles is a wrapper if they hold more text than all that is beside no side element; so is one of
+    an unsure role that holds most of a page that has no other text."""
+    size = lambda own: sum(len(b[3]) for b in own)
+    held = [b for b in blocks if b[2] and b[1] and not any(x[2] for x in b[1])]
+    if held and size(held) > size([b for b in blocks if not b[1]]):
+        blocks = [(b[0], tuple(x for x in b[1] if x[2]), b[2], b[3]) if b[2] else b for b in blocks]
+    total = size(blocks)
+    while blocks and all(b[1] for b in blocks):
+        chars: Counter = Counter()
+        for b in blocks:
+            if not b[1][0][1]:
+                chars[b[1][0][0]] += len(b[3])
+        top = chars.most_common(1)
+        if not top or 2 * top[0][1] < total:
+            break
+        blocks = [(b[0], tuple(x for x in b[1] if x[0] != top[0][0]), b[2], b[3]) for b in blocks]
+    return [(b[0], bool(b[1]), b[2], b[3]) for b in blocks]
+
+
 def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, bool, bool, str]], Counter]:
     """Blocks in page order as (path, beside the text, in an article, text), and how often each path opens."""
     steps = {} if steps is None else steps
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    blocks: list[tuple[str, bool, bool, str]] = []
+    stack: list[tuple[str, str, tuple, bool]] = [("", "", (), False)]
+    blocks: list[tuple[str, tuple, bool, str]] = []
     opened: Counter = Counter()
+    number = 0
     pending: list[str] = []
     owner = stack[0]
 
@@ -147,9 +171,11 @@ def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, boo
         path = f"{top[1]}/{step}" if block else top[1]
         if block:
             opened[path] += 1
-        stack.append((name, path, top[2] or side, top[3] or main))
+        number += 1
+        own = ((number, name in _STRONG or name == "header", top[3]),) if side else ()
+        stack.append((name, path, top[2] + own, top[3] or main))
     flush()
-    return blocks, opened
+    return _settled(blocks), opened
 
 
 def _hash(text: str) -> int:
@@ -168,8 +194,9 @@ def page_tokens(pages: DataFrame) -> DataFrame:
         steps: dict = {}
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], [], [], []]
-            for host, page, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for host, _, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 blocks, opened = read_page(source or "", steps)
+                page = _hash("\n".join([b[3] for b in blocks if not b[1]] or [b[3] for b in blocks]))  # copies count once
                 found: dict[tuple[str, int | None], list] = {("", None): [1, 0, False, False]}
                 for path, n in opened.items():
                     found[path, None] = [n, 0, False, False]
@@ -189,7 +216,8 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 def deduce_templates(tokens: DataFrame) -> DataFrame:
     """(host, container, template_text): the main container's path and the hashes of the template's text blocks."""
     vector = F.pmod(F.xxhash64("page", "n"), F.lit(2**31))
-    seen = save(tokens.groupBy("host", "path", "text_hash").agg(F.count("*").alias("pages"), F.sum(vector).alias("vector"), F.sum("chars").alias("chars"), F.bool_and("slot").alias("slot"), F.bool_or("main").alias("main")), "tokens")
+    once = tokens.groupBy("host", "page", "path", "text_hash").agg(F.max("n").alias("n"), F.max("chars").alias("chars"), F.bool_and("slot").alias("slot"), F.bool_or("main").alias("main"))
+    seen = save(once.groupBy("host", "path", "text_hash").agg(F.count("*").alias("pages"), F.sum(vector).alias("vector"), F.sum("chars").alias("chars"), F.bool_and("slot").alias("slot"), F.bool_or("main").alias("main")), "tokens")
     size = seen.where("path = '' and text_hash is null").select("host", F.col("pages").alias("host_pages"), F.col("vector").alias("root_vector"))
     classes = seen.groupBy("host", "pages", "vector").agg(F.count("*").alias("members"))
     valid = classes.join(size, "host").where((F.col("members") >= CLASS_TOKENS) & (F.col("pages") * 2 >= F.col("host_pages")) & (F.col("host_pages") >= 2))

@@ -527,3 +527,18 @@ def test_html_template_decides_inside_articles_too(spark):
         assert got[i] == f"Title {i}\nBody text number {i} of the story"
         assert got[100 + i].startswith(f"Head {i}\nBody text number {i} that goes on for a while")
     assert got[50] == "Quote\nShare this page with friends\nas they say"  # at another path it is no template text
+
+
+def test_html_keeps_copies_and_wrapped_pages(spark):
+    plain = "<div class='content'><h2>Head {0}</h2><p>Body text number {0} that goes on for a while</p></div>"
+    article = "<article><h1>Title</h1><p>Text of the story</p></article>"
+    rows = [(i, f"http://one.net/{i}", PAGE.format(i, plain.format(n))) for i, n in enumerate((1, 1, 2, 3))]
+    rows += [(10, "http://two.net/", PAGE.format(1, article).replace("<body>", "<body class='has-sidebar'>"))]
+    rows += [(11, "http://three.net/", PAGE.format(1, f"<div class='no-sidebar header-fixed'>{article}</div>"))]
+    rows += [(12, "http://four.net/", "<body><form><nav>menu</nav><div><p>Text of the story in a form</p></div></form></body>")]
+    rows += [(13, "http://five.net/", f"<body>{article}<div id='comments'><article><p>nice one</p></article></div></body>")]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, n in enumerate((1, 1, 2, 3)):
+        assert got[i] == f"Head {n}\nBody text number {n} that goes on for a while"
+    assert got[10] == got[11] == got[13] == "Title\nText of the story"
+    assert got[12] == "Text of the story in a form"
