@@ -7,12 +7,13 @@ space) and its q-grams are looked up among the benchmark's. Shared q-grams are c
 first counted in a hashed table, which can only count too many, then exactly. Retained regions are verified by an
 alignment within the band.
 
-The benchmark is a query set, not the corpus: its size is measured, and it is sent to the tasks in blocks of at most
-``BLOCK_BYTES``, one pass over the documents a block. Documents are never shuffled.
+The benchmark is a query set, not the corpus: its size is measured, and it is sent to the tasks in blocks of about
+``BLOCK_BYTES``, one pass over the documents a block, one block at a time. Documents are never shuffled. Items of fewer than ``Q``
+normalised bytes have no q-gram; they are searched for exactly, as whole words.
 
-Defined results: null and empty texts match nothing; items with fewer than ``Q`` normalised bytes identify no text and are not searched;
-a repeated document gives its rows again, equal items are reported each under its id; empty tables give an empty result;
-only ``doc_id``, ``text`` and ``item_id``, ``text`` are read.
+Defined results: null and empty texts match nothing, null and empty items are found nowhere; a very long text is searched whole;
+of occurrences that tie in edits one is reported; a repeated document gives its rows again, equal items are reported each under its
+id (null too); empty tables give an empty result; only ``doc_id``, ``text`` and ``item_id``, ``text`` are read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliofield.llm import textops
-from heliofield.llm.runtime import table
+from heliofield.llm.runtime import save, table
 
 Q = 7
 EDIT_SHARE = 0.1
@@ -61,14 +62,14 @@ class Index:
     """The q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, bytes]], share: float = EDIT_SHARE):
-        cleaned = []
+        cleaned, short = [], []
         for item, text in items:
             data = np.frombuffer(text, np.uint8)
             out, _, _ = normal(data, np.array([0, len(data)]))
             out = out[:-1] if len(out) and out[-1] == 0x20 else out
-            if len(out) >= Q:
-                cleaned.append((item, out))
-        self.ids = [i for i, _ in cleaned]
+            (cleaned if len(out) >= Q else short).append((item, out))
+        self.ids = [i for i, _ in cleaned] + [i for i, _ in short]
+        self.short = [(len(cleaned) + k, t.tobytes().strip()) for k, (_, t) in enumerate(short) if t.tobytes().strip()]
         self.text = [t for _, t in cleaned]
         size = np.array([len(t) for t in self.text], np.int64)
         self.size = size
@@ -143,10 +144,25 @@ def align(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) ->
     return (edits, low + origin, low + k + len(item)) if edits <= most else None
 
 
+def _short(index: Index, out: np.ndarray, cuts: np.ndarray, origin: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+    """Items too short for the lemma: their first exact occurrence as whole words in each text."""
+    raw = out.tobytes() if index.short else b""
+    for k, item in index.short:
+        at, last = raw.find(item), -1
+        while at >= 0:
+            d, end = int(np.searchsorted(cuts, at, "right")) - 1, at + len(item)
+            whole = end <= cuts[d + 1] and (at == cuts[d] or raw[at - 1] == 0x20) and (end == cuts[d + 1] or raw[end] == 0x20)
+            if whole and d != last:
+                last = d
+                yield d, k, int(origin[at]), int(origin[end - 1]) + 1, 0
+            at = raw.find(item, at + 1)
+
+
 def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, start, end, edits) with places in ``data``; the best occurrence of each item in each text."""
     out, cuts, origin = normal(data, offsets)
-    if len(out) < Q or not index.ids:
+    yield from _short(index, out, cuts, origin)
+    if len(out) < Q or not index.text:
         return
     place, gram = index.lookup(qgrams(out))
     doc = np.searchsorted(cuts, place, "right") - 1
@@ -196,43 +212,73 @@ def search(index: Index, data: np.ndarray, offsets: np.ndarray) -> Iterator[tupl
         yield d, i, first, last, edits
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, item_id, start, end (code points), edits: the best occurrence of each item in each document."""
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, bytes]]]:
+    """The benchmark in blocks of ``block_bytes`` or so; at least one, which may be empty."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        block = [(r["item_id"], r["text"].encode()) for r in own.orderBy("item_id", "text").collect()]  # block_bytes or so
-        parts.append(_pass(source, docs.sparkSession.sparkContext.broadcast(block), share))
-    return reduce(DataFrame.unionByName, parts)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        yield [(r["item_id"], r["text"].encode()) for r in own.orderBy("item_id", "text").collect()]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, start, end (code points), edits: the best occurrence of each item in each document."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts, waiting = [], None
+    for block in _blocks(benchmark, block_bytes):
+        if waiting is not None:  # more than one block: one after another, so that only one is in memory
+            parts.append(save(waiting[0], "leaks"))
+            waiting[1].unpersist()
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        waiting = _pass(source, sent, share), sent
+    return reduce(DataFrame.unionByName, [*parts, waiting[0]])
+
+
+def _found(index: Index, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, item, first and last code point, edits) over a column of texts."""
+    data, offsets = textops.utf8(column)
+    for i, j in textops.slabs(offsets):
+        part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        for d, item, start, end, edits in search(index, part, own):
+            chars = lambda a, b: int(np.count_nonzero((part[a:b] & 0xC0) != 0x80))  # noqa: B023, E731
+            first = chars(own[d], start)
+            yield i + d, item, first, first + chars(start, end), edits
 
 
 def _pass(source: DataFrame, block, share: float) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(block.value, share)
         for batch in batches:
-            data, offsets = textops.utf8(batch.column(1))
             ids = batch.column(0).to_pylist()
-            rows: list[tuple] = []
-            for i, j in textops.slabs(offsets):
-                part, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                for d, item, start, end, edits in search(index, part, own):
-                    chars = lambda a, b: int(np.count_nonzero((part[a:b] & 0xC0) != 0x80))  # noqa: B023, E731
-                    first = chars(own[d], start)
-                    rows.append((ids[i + d], index.ids[item], first, first + chars(start, end), edits))
+            rows = [(ids[d], index.ids[item], *place) for d, item, *place in _found(index, batch.column(1))]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "end", "edits"])
 
     return source.mapInArrow(find, RESULT)
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    bad = contaminated(docs, benchmark).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no benchmark item: each is judged by its own text, whatever its ``doc_id``.
+
+    Rows are filtered where they are read; a benchmark of several blocks takes a saved pass a block."""
+    at = docs.columns.index("text")
+    left, sent = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))), None
+    for block in _blocks(benchmark, block_bytes):
+        if sent is not None:
+            left = save(left, "clean")
+            sent.unpersist()
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            index = Index(sent.value, share)
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[d for d, *_ in _found(index, batch.column(at))]] = False
+                yield batch.filter(pa.array(clean))
+
+        left = left.mapInArrow(keep, left.schema)
+    return left.toDF(*docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir):

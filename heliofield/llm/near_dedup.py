@@ -1,22 +1,24 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
-1. Shingles are runs of five words. Their document frequencies are counted over all documents in a table of
-   ``FREQUENCY_BITS`` hashed counters, so what is broadcast has a fixed size; a frequency below one counter's load reads as that load.
-2. A shingle weighs tf * idf with idf = 1 + IDF_SHARE * log(N / df) / log(N): between 1 and 1 + IDF_SHARE, so that a large group of copies,
-   which makes its own shingles frequent, doesn't look less alike than a small one.
+1. Shingles are runs of five words. Their document frequencies are counted over all documents in hashed counters. A group of near copies
+   counts about once: a document's weight in the count is one over the number of documents that share one of its ``SKETCHES`` least
+   shingles (hashed counters too), so a large group of copies doesn't look less alike than a small one.
+2. A shingle weighs tf * idf with idf = 1 + log(N / df), where a df below N / ``RARE`` reads as N / ``RARE``. The number of counters is
+   ``LOAD`` * ``RARE`` times the mean number of shingles a document, so their mean load is at most 1 / ``LOAD`` of the least df that is told
+   apart, at any number of documents: what is broadcast grows with the length of a document, not with the corpus, up to ``MOST_BITS``.
 3. ``BANDS`` * ``ROWS`` consistent weighted samples a document are banded into buckets. Texts that are equal are one
    text from here on.
-4. A bucket of at most ``GROUP`` texts is compared in one task, where a matrix product gives its exact similarities and only a
-   spanning set of links leaves; buckets of the same texts are compared once. In a larger bucket, all texts are compared with
-   its least, those alike leave, and the rest go on with their least until few are left. A text that left and one that stayed are
-   compared too where the triangle inequality of the weighted Jaccard distance allows a link. So each pair of a bucket that is alike
-   is joined, and no list of all pairs is made.
-5. Links need an exact weighted Jaccard similarity of ``SIMILARITY``, or that much of the plain one (with idf between 1 and
-   1 + IDF_SHARE the two differ by that share at most); classes are their connected components.
-
-Defined results: rows without a ``doc_id`` are left out of the classes; null texts are empty, and empty texts are copies
-of each other; a text of fewer than five words is one shingle; repeated rows of one ``doc_id`` give one row (the class of the
-text with the least digest); an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
+4. A bucket of at most ``GROUP`` texts and ``GROUP_BYTES`` is compared in one task, where a matrix product gives its exact similarities and
+   only a spanning set of links leaves; buckets of the same texts are compared once. In a larger bucket, all texts are compared with its least,
+   those alike leave, and the rest is dealt into the buckets of a further, independent set of bands, ``LEVELS`` times at most; what is still
+   larger is compared by blocks. A text that left and one that stayed are compared too where the triangle inequality of the weighted
+   Jaccard distance allows a link. No list of all pairs is made.
+5. Links need an exact weighted Jaccard similarity of ``SIMILARITY``; classes are their connected components, over texts.
+
+Defined results: null texts are empty, and empty texts are copies of each other; a text of fewer than five words is one shingle; a very long
+text is read whole; a class is named by the least ``doc_id`` of its rows; rows without a ``doc_id`` belong to classes, but have no row in
+``near_duplicates``; repeated rows of one ``doc_id`` give one row there (the class of the text with the least digest); of texts that tie the
+one with the least digest counts; an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliofield.llm import textops
@@ -34,11 +36,14 @@ from heliofield.llm.runtime import save, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 3
-FREQUENCY_BITS = 20
-IDF_SHARE = 0.1
-#: Candidate groups of at most this many texts are compared in one task, by one matrix product.
-GROUP = 1024
+BANDS, ROWS = 14, 4
+#: Frequencies below one document in ``RARE`` read as that; counters carry at most 1 / ``LOAD`` of it on average.
+RARE, LOAD = 1024, 4
+LEAST_BITS, MOST_BITS = 12, 24
+SKETCHES, SKETCH_BITS = 3, 20
+#: Candidate groups of at most this many texts, and bytes of shingles, are compared in one task, by one matrix product.
+GROUP, GROUP_BYTES = 1024, 64 << 20
+LEVELS = 3
 _COLUMNS = 4096
 _PART = 1 << 14
 _DRAWS = 1 << 16
@@ -63,19 +68,22 @@ def _slab_shingles(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.
         yield i, j, *shingles(textops.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
 
 
-def document_frequencies(texts: DataFrame, bits: int = FREQUENCY_BITS) -> np.ndarray:
-    """Hashed document frequencies of all shingles, and the number of documents at the end."""
-    size, part = 1 << bits, min(_PART, 1 << bits)
+def sketches(value: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+    """The least hash of each text's shingles under ``SKETCHES`` hash functions."""
+    wide = value.astype(np.uint64)
+    return [np.minimum.reduceat(textops.mix(wide + np.uint64((k + 1) << 40)), edge) for k in range(SKETCHES)] if len(edge) else [np.zeros(0, np.uint64)] * SKETCHES
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = np.zeros(size, np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, _, _, value, _ in _slab_shingles(batch.column(0)):
-                seen += np.bincount(value & np.uint32(size - 1), minlength=size)
-        if rows:
-            blocks = [seen[k : k + part].astype(np.int32 if rows < 2**31 else np.int64) for k in range(0, size, part)]
-            yield pa.RecordBatch.from_pydict({"part": list(range(len(blocks))) + [len(blocks)], "counts": [b.astype(np.int64).tobytes() for b in blocks] + [np.array([rows]).tobytes()]})
+
+def _slots(sketch: list[np.ndarray]) -> list[np.ndarray]:
+    return [(textops.mix(x) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) + (k << SKETCH_BITS) for k, x in enumerate(sketch)]
+
+
+def _edges(doc: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
+
+
+def _summed(parts: DataFrame, size: int) -> np.ndarray:
+    """Counters summed over the tasks; ``parts`` has (part, counts): ``_PART`` counters a part, int64."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -86,28 +94,89 @@ def document_frequencies(texts: DataFrame, bits: int = FREQUENCY_BITS) -> np.nda
         if sums:
             yield pa.RecordBatch.from_pydict({"part": list(sums), "counts": [x.tobytes() for x in sums.values()]})
 
-    kind = "part long, counts binary"
-    parts = texts.mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()  # 2 ** bits counters
-    out = np.zeros(size + 1, np.int64)
-    for r in parts:
+    out = np.zeros(size, np.int64)
+    for r in parts.repartition("part").mapInArrow(add, "part long, counts binary").collect():  # ``size`` counters
         block = np.frombuffer(r["counts"], np.int64)
-        out[r["part"] * part : r["part"] * part + len(block)] = block
+        out[r["part"] * _PART : r["part"] * _PART + len(block)] = block
     return out
 
 
-def idf_table(frequencies: np.ndarray, share: float = IDF_SHARE) -> np.ndarray:
-    n = max(int(frequencies[-1]), 2)
-    df = np.clip(frequencies[:-1], 1, n)
-    return (1 + share * np.log(n / df) / np.log(n)).astype(np.float32)
+def _emitted(seen: np.ndarray) -> pa.RecordBatch:
+    """The parts of a task's counters that aren't all zero."""
+    blocks = [(k // _PART, seen[k : k + _PART]) for k in range(0, len(seen), _PART)]
+    blocks = [(k, b.tobytes()) for k, b in blocks if b.any()]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int64()), pa.array([b for _, b in blocks], pa.binary())], names=["part", "counts"])
+
+
+def sketch_counts(texts: DataFrame) -> np.ndarray:
+    """Hashed counts of all documents' sketches; at the end the numbers of documents with a word, and of their distinct shingles."""
+    size = SKETCHES << SKETCH_BITS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots, docs, total = [], 0, 0
+        for batch in batches:
+            for _, _, doc, value, _ in _slab_shingles(batch.column(0)):
+                edge = _edges(doc)
+                docs, total = docs + len(edge), total + len(value)
+                slots += _slots(sketches(value, edge))
+        if docs:
+            yield _emitted(np.append(np.bincount(np.concatenate(slots), minlength=size), [docs, total]).astype(np.int64))
+
+    return _summed(texts.mapInArrow(count, "part long, counts binary"), size + 2)
+
+
+def document_weights(sketch: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+    """What each document counts for in the frequencies, in 4096ths: one over the documents that share a sketch with it, beyond the counters' load."""
+    load = counts[-2] / 2**SKETCH_BITS
+    same = np.max([counts[s] for s in _slots(sketch)], axis=0) - load - 4 * np.sqrt(load) if len(sketch[0]) else np.zeros(0)
+    return (4096 / np.maximum(same, 1)).astype(np.int64)
+
+
+def frequency_bits(counts: np.ndarray) -> int:
+    mean = counts[-1] / max(int(counts[-2]), 1)
+    return int(np.clip(np.ceil(np.log2(max(LOAD * RARE * mean, 1))), LEAST_BITS, MOST_BITS))
+
+
+def document_frequencies(texts: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Hashed document frequencies of all shingles in 4096ths, and the documents' summed weight at the end."""
+    size = 1 << frequency_bits(counts)
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for _, _, doc, value, _ in _slab_shingles(batch.column(0)):
+                edge = _edges(doc)
+                weight = document_weights(sketches(value, edge), sent.value)
+                per = np.repeat(weight, np.diff(np.append(edge, len(value))))
+                seen[:-1] += np.bincount(value & np.uint32(size - 1), per, minlength=size).astype(np.int64)
+                seen[-1] += weight.sum()
+        if seen.any():
+            yield _emitted(seen)
+
+    out = _summed(texts.mapInArrow(count, "part long, counts binary"), size + 1)
+    sent.unpersist()
+    return out
+
+
+def idf_table(frequencies: np.ndarray) -> np.ndarray:
+    n = max(float(frequencies[-1]), 4096.0)
+    df = np.clip(frequencies[:-1].astype(np.float64), max(4096.0, n / RARE), n)
+    return (1 + np.log(n / df)).astype(np.float16).astype(np.float32)
+
+
+def weights_of(texts: DataFrame) -> np.ndarray:
+    """The table of idf by shingle."""
+    return idf_table(document_frequencies(texts, sketch_counts(texts)))
 
 
 class Sampler:
     """Consistent weighted samples; draws come from tables of ``_DRAWS`` entries a sample."""
 
-    _made: dict[tuple[int, int], Sampler] = {}
+    _made: dict[tuple[int, int, int], Sampler] = {}
 
-    def __init__(self, bands: int, rows: int):
-        rng = np.random.Generator(np.random.PCG64(731))
+    def __init__(self, bands: int, rows: int, level: int = 0):
+        rng = np.random.Generator(np.random.PCG64(731 + level))
         n = bands * rows
         log = lambda: np.log(rng.random((n, _DRAWS)) + 1e-12) + np.log(rng.random((n, _DRAWS)) + 1e-12)
         self.r = (-log()).astype(np.float32)
@@ -117,10 +186,10 @@ class Sampler:
         self.bands, self.rows = bands, rows
 
     @classmethod
-    def get(cls, bands: int, rows: int) -> Sampler:
-        if (bands, rows) not in cls._made:
-            cls._made[bands, rows] = cls(bands, rows)
-        return cls._made[bands, rows]
+    def get(cls, bands: int, rows: int, level: int = 0) -> Sampler:
+        if (bands, rows, level) not in cls._made:
+            cls._made[bands, rows, level] = cls(bands, rows, level)
+        return cls._made[bands, rows, level]
 
     def buckets(self, value: np.ndarray, log_weight: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Band hashes (texts x bands); ``edge``: where each text's shingles begin."""
@@ -143,29 +212,52 @@ class Sampler:
         return out.view(np.int64)
 
 
+def _bucketed(value: np.ndarray, tf: np.ndarray, edge: np.ndarray, log_idf: np.ndarray, sampler: Sampler) -> np.ndarray:
+    return sampler.buckets(value, log_idf[value & np.uint32(len(log_idf) - 1)] + np.log(tf).astype(np.float32), edge)
+
+
+def _lists(per: np.ndarray, found: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))
+
+
 def _signed(texts: DataFrame, idf, bands: int, rows: int) -> DataFrame:
-    """(doc_id, digest, buckets) of every document; ``buckets`` is empty without words."""
+    """(doc_id, digest, size, buckets) of every row; ``size`` is the number of shingles, ``buckets`` is empty without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, sampler = np.log(idf.value), Sampler.get(bands, rows)
-        mask = np.uint32(len(weight) - 1)
+        log_idf, sampler = np.log(idf.value.astype(np.float32)), Sampler.get(bands, rows)
         for batch in batches:
-            per = np.zeros(batch.num_rows, np.int64)
+            per, size = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
             found = []
             for i, _, doc, value, tf in _slab_shingles(batch.column(2)):
                 if len(doc):
-                    edge = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                    edge = _edges(doc)
                     per[i + doc[edge]] = bands
-                    found.append(sampler.buckets(value, weight[value & mask] + np.log(tf).astype(np.float32), edge).ravel())
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], names=["doc_id", "digest", "buckets"])
+                    size[i + doc[edge]] = np.add.reduceat(tf, edge)
+                    found.append(_bucketed(value, tf, edge, log_idf, sampler).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size), _lists(per, found)], names=["doc_id", "digest", "size", "buckets"])
+
+    return texts.mapInArrow(sign, "doc_id long, digest string, size long, buckets array<long>")
+
+
+def _dealt(features: DataFrame, idf, bands: int, rows: int, level: int) -> DataFrame:
+    """(node, buckets) by the bands of a further level, from saved shingles."""
 
-    return texts.mapInArrow(sign, "doc_id long, digest string, buckets array<long>")
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_idf, sampler = np.log(idf.value.astype(np.float32)), Sampler.get(bands, rows, level)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [np.unique(np.frombuffer(x.as_buffer(), np.uint32), return_counts=True) for x in part.column(1)]
+                size = np.array([len(v) for v, _ in own], np.int64)
+                value, tf = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+                keys = _bucketed(value, tf, np.cumsum(size) - size, log_idf, sampler).ravel()
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(np.full(part.num_rows, bands), [keys])], names=["node", "buckets"])
+
+    return features.select("node", "shingles").mapInArrow(sign, "node long, buckets array<long>")
 
 
 def _features(texts: DataFrame) -> DataFrame:
-    """(doc_id, shingles): sorted shingles, each as often as it occurs."""
+    """(node, shingles): sorted shingles, each as often as it occurs."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,21 +267,13 @@ def _features(texts: DataFrame) -> DataFrame:
                 for d in range(j - i):
                     own = slice(edge[d], edge[d + 1])
                     out[i + d] = np.repeat(value[own], tf[own]).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "shingles"])
 
-    return texts.mapInArrow(read, "doc_id long, shingles binary")
+    return texts.mapInArrow(read, "node long, shingles binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
-    return _similarities(a, b, idf)[0]
-
-
-def likeness(a: bytes, b: bytes, idf: np.ndarray) -> float:
-    """The larger of the weighted Jaccard similarity and the plain one, both counting a shingle as often as it occurs."""
-    return max(_similarities(a, b, idf))
-
-
-def _similarities(a: bytes, b: bytes, idf: np.ndarray) -> tuple[float, float]:
+    """The weighted Jaccard similarity of two texts' shingles, by tf * idf."""
     x, nx = np.unique(np.frombuffer(a, np.uint32), return_counts=True)
     y, ny = np.unique(np.frombuffer(b, np.uint32), return_counts=True)
     mask = np.uint32(len(idf) - 1)
@@ -197,22 +281,19 @@ def _similarities(a: bytes, b: bytes, idf: np.ndarray) -> tuple[float, float]:
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     both = float(np.minimum(wx[i], wy[j]).sum(dtype=np.float64))
     total = float(wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64)) - both
-    plain = int(np.minimum(nx[i], ny[j]).sum())
-    union = int(nx.sum() + ny.sum()) - plain
-    return both / total if total else 1.0, plain / union if union else 1.0
+    return both / total if total else 1.0
 
 
 def _verified(pairs: DataFrame, features: DataFrame, idf) -> DataFrame:
     """(a, b, similarity) of distinct pairs."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = idf.value
+        weight = idf.value.astype(np.float32)
         for batch in batches:
-            left, right = (c.to_pylist() for c in batch.columns[2:])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([likeness(x, y, weight) for x, y in zip(left, right, strict=True)], pa.float64())], names=["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([weighted_jaccard(x.as_buffer(), y.as_buffer(), weight) for x, y in zip(*batch.columns[2:], strict=True)], pa.float64())], names=["a", "b", "similarity"])
 
-    one = features.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
-    two = features.select(F.col("doc_id").alias("b"), F.col("shingles").alias("right"))
+    one = features.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    two = features.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, similarity double")
 
 
@@ -228,23 +309,20 @@ def local_links(ids: list[int], blobs: list[bytes], idf: np.ndarray, similarity:
     again = at - np.maximum.accumulate(np.where(begin, at, 0))  # a shingle's n-th occurrence is an element of its own
     key, inverse, count = np.unique((flat.astype(np.uint64) << np.uint64(20)) | again.astype(np.uint64), return_inverse=True, return_counts=True)
     weight = idf[(key >> np.uint64(20)).astype(np.uint32) & np.uint32(len(idf) - 1)].astype(np.float64)
-    measures = [(w, np.bincount(owner, w[inverse], minlength=m)) for w in (weight, np.ones(len(weight)))]  # weighted, and plain
+    total = np.bincount(owner, weight[inverse], minlength=m)
     common = count > 1
     column = np.cumsum(common) - 1
     held = common[inverse]
     row, col = owner[held], column[inverse[held]]
     order = np.argsort(col, kind="stable")
     row, col, n = row[order], col[order], int(common.sum())
-    both = [np.zeros((m, m)) for _ in measures]
+    both = np.zeros((m, m))
     for c in range(0, n, _COLUMNS):
         a, b = np.searchsorted(col, (c, c + _COLUMNS))
         x = np.zeros((m, min(_COLUMNS, n - c)))
         x[row[a:b], col[a:b] - c] = 1
-        for sums, (w, _) in zip(both, measures, strict=True):
-            sums += (x * w[common][c : c + _COLUMNS]) @ x.T
-    alike = np.zeros((m, m), bool)
-    for sums, (_, total) in zip(both, measures, strict=True):
-        alike |= sums >= similarity * (total[:, None] + total[None, :] - sums) - 1e-9
+        both += (x * weight[common][c : c + _COLUMNS]) @ x.T
+    alike = both >= similarity * (total[:, None] + total[None, :] - both) - 1e-9
     np.fill_diagonal(alike, True)
     order = np.argsort(ids, kind="stable")
     label = np.empty(m, np.int64)
@@ -259,13 +337,13 @@ def local_links(ids: list[int], blobs: list[bytes], idf: np.ndarray, similarity:
 
 
 def _linked(groups: DataFrame, features: DataFrame, idf, similarity: float) -> DataFrame:
-    """(a, b) links that join every group's alike texts; ``groups``: bucket, doc_id, at most ``GROUP`` texts each."""
+    """(a, b) links that join every group's alike texts; ``groups``: bucket, node, at most ``GROUP`` texts each."""
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, ids, blobs = None, [], []
 
         def flush() -> pa.RecordBatch:
-            found = local_links(ids, blobs, idf.value, similarity) if len(ids) > 1 else []
+            found = local_links(ids, blobs, idf.value.astype(np.float32), similarity) if len(ids) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -279,91 +357,132 @@ def _linked(groups: DataFrame, features: DataFrame, idf, similarity: float) -> D
         if ids:
             yield flush()
 
-    keyed = groups.join(features, "doc_id").select("bucket", "doc_id", "shingles")
-    return keyed.repartition("bucket").sortWithinPartitions("bucket", "doc_id").mapInArrow(link, "a long, b long")
+    keyed = groups.join(features, "node").select("bucket", "node", "shingles")
+    return keyed.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(link, "a long, b long")
 
 
-def _border(judged: DataFrame, classes: DataFrame, similarity: float, group: int, slack: float) -> DataFrame:
-    """(bucket, doc_id) groups of those that left with a leader and those that stayed though a link to one that left is possible.
+def _parts(group: int) -> Column:
+    """Blocks of at most about half a group's texts and bytes."""
+    return F.greatest(F.lit(1), F.ceil(F.count("*") / (group // 2)), F.ceil(F.sum(4 * F.col("size")) / (GROUP_BYTES // 2))).cast("int")
+
+
+def _blocks(groups: DataFrame, group: int) -> DataFrame:
+    """(bucket, node) groups, a pair of blocks each, that bring all texts of every bucket together; ``groups``: bucket, node, size."""
+    cells = groups.groupBy("bucket").agg(_parts(group).alias("parts"))
+    dealt = groups.join(cells, "bucket").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    other = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return other.select(F.xxhash64("bucket", F.least("part", "with"), F.greatest("part", "with")).alias("bucket"), "node")
+
+
+def _border(judged: DataFrame, classes: DataFrame, similarity: float, group: int) -> DataFrame:
+    """(bucket, node) groups of those that left with a leader and those that stayed though a link to one that left is possible.
 
     The texts that left are all of the leader's class, so only texts of other classes count as stayed. By the triangle inequality, two are
-    alike only if their distances to the leader differ by at most 1 - similarity; ``slack`` covers how far the two measures of similarity can lie
-    apart. Texts are dealt into blocks by that distance and at
-    random, at most about half a group each, and a group is a pair of blocks that the bound allows."""
-    far = 1 - similarity + slack
+    alike only if their distances to the leader differ by at most 1 - similarity. Texts are dealt into blocks by that distance and at
+    random, and a group is a pair of blocks that the bound allows."""
+    far = 1 - similarity
     step = far / 4
-    named = classes.select(F.col("node").alias("doc_id"), F.col("component").alias("class"))
+    named = classes.select("node", F.col("component").alias("class"))
     leader = classes.select(F.col("node").alias("a"), F.col("component").alias("a_class"))
-    near = judged.where(F.col("similarity") >= 1 - 2 * far - 1e-9).select("bucket", "a", F.col("b").alias("doc_id"), (1 - F.col("similarity")).alias("d"), (F.col("similarity") >= similarity).alias("left"))
-    near = near.join(named, "doc_id", "left").join(leader, "a", "left").withColumn("class", F.coalesce("class", "doc_id")).withColumn("a_class", F.coalesce("a_class", "a"))
+    near = judged.where(F.col("similarity") >= 1 - 2 * far - 1e-9).select("bucket", "a", F.col("b").alias("node"), "size", (1 - F.col("similarity")).alias("d"), (F.col("similarity") >= similarity).alias("left"))
+    near = near.join(named, "node", "left").join(leader, "a", "left").withColumn("class", F.coalesce("class", "node")).withColumn("a_class", F.coalesce("a_class", "a"))
     near = near.where("left or class <> a_class").withColumn("cell", F.floor(F.col("d") / step).cast("int"))
     key = ["bucket", "a", "left", "cell"]
-    cells = near.groupBy(*key).agg(F.ceil(F.count("*") / (group // 2)).cast("int").alias("parts"))
-    dealt = near.join(cells, key).select(*key, "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    cells = near.groupBy(*key).agg(_parts(group).alias("parts"))
+    dealt = near.join(cells, key).select(*key, "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     blocks = cells.select(*key, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     one = blocks.where("left").select("bucket", "a", F.col("cell").alias("c1"), F.col("part").alias("p1"))
     two = blocks.where("not left").select("bucket", "a", F.col("cell").alias("c2"), F.col("part").alias("p2"))
     met = one.join(two, ["bucket", "a"]).where((F.col("c1") + 1) * step + far + 1e-9 >= F.col("c2") * step).withColumn("pair", F.xxhash64("bucket", "a", "c1", "p1", "c2", "p2"))
     wanted = met.select("bucket", "a", F.lit(True).alias("left"), F.col("c1").alias("cell"), F.col("p1").alias("part"), "pair").unionByName(met.select("bucket", "a", F.lit(False).alias("left"), F.col("c2").alias("cell"), F.col("p2").alias("part"), "pair"))
-    return dealt.join(wanted, [*key, "part"]).select(F.col("pair").alias("bucket"), "doc_id")
+    return dealt.join(wanted, [*key, "part"]).select(F.col("pair").alias("bucket"), "node")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, idf_share: float = IDF_SHARE, group: int = GROUP) -> DataFrame:
-    """doc_id, class_id: one row a document; a class is named by its least document."""
-    spark = docs.sparkSession
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
-    idf = spark.sparkContext.broadcast(idf_table(document_frequencies(texts.select("text")), idf_share))
+def _counted(entries: DataFrame) -> DataFrame:
+    """``entries`` (bucket, node, size) with their bucket's texts and bytes, where there are two or more."""
+    full = save(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(4 * F.col("size")).alias("bytes")).where("n > 1"), "full")
+    return save(entries.join(full, "bucket"), "buckets")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+
+
+def text_classes(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, group: int = GROUP, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row, and (digest, node, least, class): a row a distinct text with its least ``doc_id``; both saved."""
+    spark = texts.sparkSession
+    idf = spark.sparkContext.broadcast(weights_of(texts.select("text")).astype(np.float16))
     signed = save(_signed(texts.select("doc_id", "digest", "text"), idf, bands, rows), "signed")
-    single = signed.groupBy("doc_id").agg(F.min(F.struct("digest", "buckets")).alias("s")).select("doc_id", "s.*")
-    # equal texts are one text from here on
-    # aggregates are saved before they are joined: both sides are then plain scans, and a hot key's rows can be split over tasks
-    single = save(single, "single")
-    member = save(single.join(save(single.groupBy("digest").agg(F.min("doc_id").alias("copy_of")), "copies"), "digest"), "members")
-    distinct = member.where("doc_id = copy_of")
-    entries = distinct.select("doc_id", F.posexplode("buckets").alias("band", "hash")).select("doc_id", F.xxhash64("band", "hash").alias("bucket"))
-    full = save(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "full")
-    open_ = save(entries.join(full, "bucket"), "buckets")
-    wanted = distinct.select("doc_id", "digest").join(open_.select("doc_id").distinct(), "doc_id")
-    features = save(_features(texts.join(wanted, ["doc_id", "digest"]).select("doc_id", "text")), "features")
-    open_ = open_.select("doc_id", "bucket", "n")
-    small, open_ = open_.where(F.col("n") <= group), open_.where(F.col("n") > group)
-    known = left = None
-    while not open_.isEmpty():
-        # buckets beyond ``group``: everyone against the least text, those alike leave
-        met = open_.join(open_.groupBy("bucket").agg(F.min("doc_id").alias("a")), "bucket").where("doc_id > a").withColumnRenamed("doc_id", "b")
-        pairs = met.select("a", "b").distinct()
-        fresh = pairs.join(known, ["a", "b"], "left_anti") if known is not None else pairs
-        checked = _verified(fresh, features, idf)
-        known = save(checked if known is None else known.unionByName(checked), "known")
-        judged = met.join(known, ["a", "b"]).select("bucket", "a", "b", "similarity")
-        left = save(judged if left is None else left.unionByName(judged), "left")
-        gone = left.where(F.col("similarity") >= similarity).select("bucket", F.col("b").alias("doc_id")).unionByName(left.select("bucket", F.col("a").alias("doc_id")))
-        rest = open_.select("doc_id", "bucket").join(gone.distinct(), ["bucket", "doc_id"], "left_anti")
-        counted = rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-        rest = save(rest.join(counted, "bucket"), "buckets")
-        small = small.unionByName(rest.where(F.col("n") <= group))
-        open_ = rest.where(F.col("n") > group)
+    # equal texts are one text from here on; aggregates are saved before they are joined: both sides are then plain scans, and a
+    # hot key's rows can be split over tasks
+    distinct = signed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+    distinct = save(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct")
+    entries = distinct.select("node", "size", F.posexplode("buckets").alias("band", "hash")).select("node", "size", F.xxhash64("band", "hash").alias("bucket"))
+    open_ = _counted(entries)
+    key = F.concat(F.col("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    wanted = save(distinct.join(open_.select("node").distinct(), "node").select("node", "digest", F.col("least").alias("doc_id")).withColumn("key", key).select("node", "key"), "wanted")
+    held = texts.withColumn("key", key).select("key", "text")
+    if not signed.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        held = held.groupBy("key").agg(F.first("text").alias("text"))  # repeated rows
+    features = save(_features(held.join(wanted, "key").select("node", "text")), "features")
+    tight = (F.col("n") <= group) & (F.col("bytes") <= GROUP_BYTES)
+    small, open_ = open_.where(tight).select("bucket", "node"), open_.where(~tight)
+    known: list[DataFrame] = []
+    judged: list[DataFrame] = []
+    for level in range(1, levels + 1):
+        if open_.isEmpty():
+            break
+        # everyone against the least text, those alike leave, the rest is dealt anew
+        met = open_.join(save(open_.groupBy("bucket").agg(F.min("node").alias("a")), "leaders"), "bucket").where("node > a").withColumnRenamed("node", "b")
+        known.append(save(_verified(met.select("a", "b").distinct(), features, idf), "known"))
+        judged.append(save(met.join(known[-1], ["a", "b"]).select("bucket", "a", "b", "size", "similarity"), "judged"))
+        rest = judged[-1].where(F.col("similarity") < similarity).select("bucket", F.col("b").alias("node"), "size")
+        rest = _counted(rest)
+        small = small.unionByName(rest.where(tight).select("bucket", "node"))
+        rest = rest.where(~tight).select("bucket", "node", "size")
+        again = _dealt(features.join(rest.select("node").distinct(), "node"), idf, bands, rows, level)
+        open_ = _counted(rest.join(save(again, "dealt"), "node").select("node", "size", "bucket", F.posexplode("buckets").alias("band", "hash")).select("node", "size", F.xxhash64("bucket", "band", "hash").alias("bucket")))
+        small, open_ = small.unionByName(open_.where(tight).select("bucket", "node")), open_.where(~tight)
+    if known and not open_.isEmpty():
+        small = small.unionByName(_blocks(open_.select("bucket", "node", "size"), group))
     # buckets of the same texts are compared once
-    same = small.groupBy("bucket").agg(F.count("*").alias("k"), F.sum(F.pmod(F.xxhash64("doc_id"), F.lit(2**40))).alias("h"), F.bit_xor(F.xxhash64("doc_id")).alias("x")).groupBy("k", "h", "x").agg(F.min("bucket").alias("bucket")).where("k > 1").select("bucket")
+    same = small.groupBy("bucket").agg(F.count("*").alias("k"), F.sum(F.pmod(F.xxhash64("node"), F.lit(2**40))).alias("h"), F.bit_xor(F.xxhash64("node")).alias("x")).groupBy("k", "h", "x").agg(F.min("bucket").alias("bucket")).where("k > 1").select("bucket")
     links = save(_linked(small.join(same, "bucket", "left_semi"), features, idf, similarity).distinct(), "links")
-    if known is not None:
-        links = links.unionByName(known.where(F.col("similarity") >= similarity).select("a", "b"))
+    for checked in known:
+        links = links.unionByName(checked.where(F.col("similarity") >= similarity).select("a", "b"))
     classes = components(links)
-    if known is not None:
-        more = save(_linked(_border(left, classes, similarity, group, idf_share), features, idf, similarity).distinct(), "links")
-        if not more.isEmpty():
-            classes = components(links.unionByName(more))
-    named = classes.select(F.col("node").alias("copy_of"), F.col("component").alias("class_id"))
-    return member.select("doc_id", "copy_of").join(named, "copy_of", "left").select("doc_id", F.coalesce("class_id", "copy_of").alias("class_id"))
+    more = [save(_linked(_border(x, classes, similarity, group), features, idf, similarity).distinct(), "links") for x in judged]
+    if any(not x.isEmpty() for x in more):
+        for x in more:
+            links = links.unionByName(x)
+        classes = components(links)
+    named = distinct.select("digest", "node", "least").join(classes, "node", "left").select("digest", "node", "least", F.coalesce("component", "node").alias("class"))
+    return signed.select("doc_id", "digest"), save(named, "classes")
+
+
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id: one row a document; a class is named by its least document."""
+    members, texts = text_classes(_texts(docs), **how)
+    # every aggregate is saved before it is joined, as in text_classes
+    names = save(texts.groupBy("class").agg(F.min("least").alias("class_id")), "names")
+    single = save(members.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("digest")), "single")
+    return single.join(save(texts.join(names, "class").select("digest", "class_id"), "named"), "digest").select("doc_id", "class_id")
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class (the least id), one row of it; rows without an id stay."""
-    kept = near_duplicates(docs, **how).where("doc_id = class_id").select("doc_id")
-    named = docs.join(kept, "doc_id", "left_semi")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each class, with all its columns: a row of its least ``doc_id`` (one without an id only where the class has no other)."""
+    names = [f"c{k}" for k in range(len(docs.columns))]  # the rows' own columns may have any name
+    plain = docs.toDF(*names)
+    texts = _texts(plain.select(F.col(names[docs.columns.index("doc_id")]).alias("doc_id"), F.col(names[docs.columns.index("text")]).alias("text")))
+    members, classes = text_classes(texts, **how)
+    first = classes.groupBy("class").agg(F.min(F.struct(F.col("least").isNull().alias("no_id"), "least", "digest")).alias("f"))
+    key = lambda digest, doc_id: F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("")))
+    kept = save(first.select(key(F.col("f.digest"), F.col("f.least")).alias("key")), "kept")
+    text = F.coalesce(F.col(names[docs.columns.index("text")]).cast("string"), F.lit(""))
+    left = plain.withColumn("key", key(F.md5(text), F.col(names[docs.columns.index("doc_id")]).cast("long"))).join(kept, "key", "left_semi")
+    if not members.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["key"])
+    return left.select(*names).toDF(*docs.columns)
 
 
 def op6_near_dedup(spark, sf_dir):

@@ -169,13 +169,48 @@ def test_mix_fills_small_sources(spark, sizes):
     check_mix(mixing.mix(table(spark, rows)).collect(), [(*r, None) for r in rows])
 
 
-def test_mixed_documents_are_what_the_mix_takes(docs, rows):
-    distinct = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
-    plan = {r.doc_id: r.taken for r in mixing.mix(distinct).collect()}
+def delivered(frame, **how):
     out = collections.Counter()
-    for r in mixing.mixed_documents(distinct).collect():
-        out[r.doc_id] += len(WORD.findall(r.text or ""))
-    assert {d: n for d, n in plan.items() if n} == dict(out)
+    for r in mixing.mixed_documents(frame, **how).collect():
+        out[r.doc_id, r.source] += len(WORD.findall(r.text or ""))
+    return out
+
+
+def test_mixed_documents_are_what_the_mix_takes(spark, docs, empty):
+    plan = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        plan[r.doc_id, r.source] += r.taken
+    assert {k: n for k, n in plan.items() if n} == dict(delivered(docs))
+    assert mixing.mixed_documents(empty).count() == 0 and mixing.mixed_documents(empty).columns == empty.columns
+
+
+@pytest.mark.parametrize("chunk", [mixing.CHUNK, 2])
+def test_mixed_documents_decide_rows(spark, monkeypatch, chunk):
+    """Repeated and null ids, equal rows at the cut, and columns with the operator's own names."""
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    text = " ".join(words(7, 3))
+    rows = [(1, " ".join(words(10 + k % 3, k)), "a", k, "x", 5) for k in range(9)] + [(None, " ".join(words(5, 50 + k % 2)), "b" if k % 3 else None, k, None, None) for k in range(12)]
+    rows += [(2, text, "c", 1, "same", 0)] * 8 + [(3, None, "c", 1, "", 0), (4, " ", "c", 1, "", 0)]
+    rows += [(100 + k, " ".join(words(40, k)), "d", k, "n", k) for k in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, key long, __copy string, n int")
+    size = collections.Counter()
+    for r in rows:
+        size[r[2]] += len(WORD.findall(r[1] or ""))
+    taken = collections.Counter()
+    for r in mixing.mix(frame).collect():
+        taken[r.source] += r.taken
+    got = collections.Counter()
+    out = mixing.mixed_documents(frame)
+    assert out.columns == frame.columns
+    whole = {(r[0], r[2], r[3], r[4], r[5]): r[1] for r in rows}
+    cut = collections.Counter()
+    for r in out.collect():
+        got[r.source] += len(WORD.findall(r.text))
+        full = whole[r.doc_id, r.source, r.key, r["__copy"], r.n]
+        assert full.startswith(r.text)
+        cut[r.source] += r.text != full
+    assert got == +taken and all(n <= 1 for n in cut.values())
+    assert collections.Counter(map(tuple, out.collect())) == collections.Counter(map(tuple, mixing.mixed_documents(frame.repartition(5)).collect()))
 
 
 def test_feistel_is_a_bijection():
@@ -312,45 +347,79 @@ def test_secrets_in_their_usual_forms(spark):
     assert got[6].spans.startswith("armour:0:") and got[7].spans.startswith("armour:17:")
 
 
-def brute_classes(rows, frequencies, similarity=near_dedup.SIMILARITY):
-    import pyarrow as pa
+def plain_shingles(text, k=near_dedup.SHINGLE):
+    """Word runs as tuples, with counts; a shorter text is one run."""
+    w = [x.encode() for x in WORD.findall(text)]
+    return collections.Counter([tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if len(w) >= k else [tuple(w)] if w else [])
 
-    idf = near_dedup.idf_table(frequencies)
-    texts = {}
+
+def shingle_value(run):
+    """The operator's number of a word run."""
+    data = b" ".join(run)
+    w = textops.Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    return int(near_dedup.shingles(w)[1][0])
+
+
+def brute_classes(spark, rows, similarity=near_dedup.SIMILARITY):
+    """All pairs of texts by weighted Jaccard over runs of words; a class has the least id of its rows."""
+    texts = collections.defaultdict(list)
     for d, t, *_ in rows:
-        if d is not None:
-            texts[d] = t or ""
-    blobs = {}
-    for d, t in texts.items():
-        v = [(value, tf) for _, _, _, value, tf in near_dedup._slab_shingles(pa.array([t]))]
-        blobs[d] = np.repeat(v[0][0], v[0][1]).tobytes() if v else b""
-    ids = sorted(texts)
-    root = {d: d for d in ids}
+        texts[t or ""].append(d)
+    idf = near_dedup.weights_of(spark.createDataFrame([(t or "",) for _, t, *_ in rows], "text string"))
+    bags = []
+    for t in texts:
+        bag = plain_shingles(t)
+        bags.append({x: n * float(idf[shingle_value(x) & (len(idf) - 1)]) for x, n in bag.items()})
+    root = list(range(len(bags)))
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if texts[a] == texts[b] or (blobs[a] and blobs[b] and near_dedup.likeness(blobs[a], blobs[b], idf) >= similarity):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {d: find(d) for d in ids}
+    pairs = []
+    for i, a in enumerate(bags):
+        for j in range(i):
+            b = bags[j]
+            both = sum(min(w, b[x]) for x, w in a.items() if x in b)
+            if a and b and both >= similarity * (sum(a.values()) + sum(b.values()) - both) - 1e-9:
+                pairs.append((i, j))
+                root[find(i)] = find(j)
+    least = {}
+    for k, ids in enumerate(texts.values()):
+        for d in ids:
+            if d is not None:
+                least[find(k)] = min(d, least.get(find(k), d))
+    classes = {d: least[find(k)] for k, ids in enumerate(texts.values()) for d in ids if d is not None}
+    return classes, len({find(k) for k in range(len(bags))}), pairs
 
 
 @pytest.mark.parametrize("group", [near_dedup.GROUP, 4])
 def test_near_duplicates(spark, docs, rows, empty, group):
-    from pyspark.sql import functions as F
-
-    texts = docs.where("doc_id is not null").select(F.coalesce("text", F.lit("")).alias("text"))
-    want = brute_classes(rows, near_dedup.document_frequencies(texts))
-    got = near_dedup.near_duplicates(docs, group=group, bands=20).collect()
+    want, _, _ = brute_classes(spark, rows)
+    got = near_dedup.near_duplicates(docs, group=group).collect()
     assert {r.doc_id: r.class_id for r in got} == want and len(got) == len(want)
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_recall_of_the_registered_setting(spark):
+    """Pairs at all similarities around the threshold, against all pairs: nine in ten of those at 0.8 or more are linked, none below."""
+    rng, rows = random.Random(21), []
+    for i in range(150):
+        base = words(rng.randrange(40, 160), 5000 + i, 3000)
+        copy = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+    want, _, pairs = brute_classes(spark, rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    linked = sum(want[2 * i] == want[2 * i + 1] for i in range(150))
+    found = sum(got[2 * i] == got[2 * i + 1] for i in range(150))
+    assert len(pairs) < 145 and linked > 30
+    assert 0.97 * linked <= found <= linked
+    assert all(got[d] == d or got[d] == want[d] for d in got)
+
+
 @pytest.mark.parametrize("group", [6, 1024])
 def test_near_duplicates_of_a_drifting_family(spark, group):
     """Texts that drift step by step: neighbours are alike, far ones aren't."""
@@ -359,16 +428,50 @@ def test_near_duplicates_of_a_drifting_family(spark, group):
         base = list(base)
         base[(i * 53) % 200] = f"d{i}"
         rows.append((i, " ".join(base)))
-    frame = table(spark, rows)
-    want = brute_classes(rows, near_dedup.document_frequencies(frame.select("text")))
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(frame, group=group, bands=40, rows=1).collect()}
+    want, _, _ = brute_classes(spark, rows)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(spark, rows), group=group, bands=40, rows=1).collect()}
     assert got == want
 
 
-def test_deduplicated_keeps_one_of_each(docs, rows):
-    got = [r.doc_id for r in near_dedup.deduplicated(docs).collect()]
-    classes = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
-    assert collections.Counter(got) == collections.Counter([*{c for c in classes.values()}, None])
+def test_near_duplicates_of_a_large_group_count_once(spark):
+    """Copies with edits are a third of all rows: their shingles still weigh as much as others."""
+    base = words(200, 31)
+    rows = [(i, " ".join(words(100, 700 + i, 3000))) for i in range(120)]
+    for i in range(60):
+        copy = list(base)
+        copy[(i * 37) % 195] = f"e{i}"
+        rows.append((1000 + i, " ".join(copy)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    assert all(got[1000 + i] == 1000 for i in range(60)) and all(got[i] == i for i in range(120))
+
+
+def test_near_duplicates_in_one_bucket_of_unlike_texts(spark):
+    """Texts of one shared half: with single samples they crowd into few buckets, which levels and blocks take apart."""
+    shared = words(60, 41)
+    rows = [(i, " ".join(shared + words(60, 800 + i, 3000))) for i in range(120)]
+    rows += [(500 + i, rows[i][1] + " more") for i in range(0, 120, 10)]
+    want, _, _ = brute_classes(spark, rows)
+    for levels in (1, 3):
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(table(spark, rows), group=16, bands=6, rows=1, levels=levels).collect()}
+        assert got == want
+
+
+def test_deduplicated_keeps_one_of_each(spark, docs, rows):
+    got = near_dedup.deduplicated(docs).collect()
+    classes, n, _ = brute_classes(spark, rows)
+    ids = [r.doc_id for r in got]
+    assert sorted(d for d in ids if d is not None) == sorted(set(classes.values())) and len(ids) == n
+    assert near_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_deduplicated_decides_rows(spark):
+    """Null ids are copies too; two texts of one id are two texts; columns may have any name."""
+    one, two, three = (" ".join(words(60, 900 + k)) for k in range(3))
+    rows = [(None, one, "a"), (None, one, "b"), (5, two, "c"), (5, three, "d"), (7, two + " more", "e"), (8, three, "f"), (9, three, "f"), (8, three, "f"), (None, None, "g"), (None, "", "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    got = sorted(((r.doc_id, r.text or "", r.key) for r in near_dedup.deduplicated(frame).collect()), key=str)
+    assert frame.columns == near_dedup.deduplicated(frame).columns
+    assert [(d, t) for d, t, _ in got] == sorted([(5, two), (5, three), (None, one), (None, "")], key=str)
 
 
 def test_language_model(spark, docs, rows, empty):
@@ -463,10 +566,22 @@ def test_decontamination(spark, docs, empty):
         for r in got:
             if r.edits == 0:
                 assert clean(texts[r.doc_id][r.start : r.end]).strip(b" ") == clean(dict(items)[r.item_id]).strip(b" ")
-    assert {r.doc_id for r in decontam.decontaminated(frame, bench).collect()} == set(dict(rows)) - {d for d, _ in want}
+    for block in (decontam.BLOCK_BYTES, 300):
+        assert {r.doc_id for r in decontam.decontaminated(frame, bench, block_bytes=block).collect()} == set(dict(rows)) - {d for d, _ in want}
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.contaminated(empty, bench).count() == 0
 
 
+def test_decontamination_decides_rows(spark):
+    leak = " ".join(words(25, 77))
+    rows = [(None, f"before {leak} after", 1), (None, "clean text of no id", 2), (5, f"x {leak}", 3), (5, "clean text of the same id", 4), (6, None, 5), (7, "a " * 30000 + leak, 6), (8, "tin y", 7), (9, "so tiny a word", 8), (10, "tinyest", 9), (11, "TINY", 10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, c0 int")
+    bench = spark.createDataFrame([(1, leak), (2, "tiny"), (None, None), (3, " ")], "item_id long, text string")
+    left = decontam.decontaminated(frame, bench)
+    assert left.columns == frame.columns and sorted(r.c0 for r in left.collect()) == [2, 4, 5, 7, 9]
+    short = {r.doc_id: (r.start, r.end) for r in decontam.contaminated(frame, bench).where("item_id = 2").collect()}
+    assert short == {9: (3, 7), 11: (0, 4)}
+
+
 def test_url_filter(spark):
     urls = [
         (1, "http://A.Example.ORG/en/12"), (2, "https://example.org/es/x?y"), (3, "https://m.example.org/en/2#t"), (4, "ftp://b.com/fr/1"), (5, "http://x.com/de/2"), (6, "http://xcom/de/2"),
