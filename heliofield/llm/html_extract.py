@@ -1,33 +1,39 @@
 """HTML main text by equivalence-class template deduction.
 
 Pages of a host share a template. Every page is read into tokens: element paths, and text blocks at their path.
-Tokens that occur equally often on every page of the host (same occurrence vector) form an equivalence class; a
-class is valid if it is large and frequent enough, classes are nested by their paths, and the tokens of valid
-classes are the template. What remains are the slots; the deepest template element that holds most of the
-host's slot text is its main container. A page's text is its slots in the host's container, without elements whose
+Tokens that occur equally often on every page of the host (same occurrence vector) form an equivalence class. A class is
+large and frequent enough, or no template; of those, classes are nested by order and span: a class is valid if it lies in one gap of every
+class that was taken before it (or that one in a gap of it). The tokens of valid classes, in order, are the host's template. A page is aligned
+to it: blocks that follow the template's order are fixed text, what lies between them are the slots. The deepest template element that
+holds most of the host's slot text is its main container. A page's text is its slots in the host's container, without elements whose
 role is a menu, header, footer, sidebar, notice, advert, form or comment. An article or main element is further
 evidence: it narrows the container where it holds most of its text, stands in where the page has no container,
 and its text is taken for template text only if it recurs on ``MAIN_PAGES`` pages or more.
 
+A class name or role tells a side part only if all its words do ("ad-slot", but not "related-work"); in an article, ids and headings' labels
+don't count. Text is kept or dropped by whole blocks, so a block with one word of its own is kept whole; words inside blocks are no tokens.
+
 Occurrence vectors are compared by a fingerprint summed over pages, so no host is gathered in one task: per
-(host, token) one partial sum a task is shuffled. Templates are small (each token is on half of the host's pages),
-and
+(host, token) one partial sum a task is shuffled. Templates are small (each token is on half of the host's pages, so there are at most twice
+as many as on its mean page), and
 pages meet them in a broadcast join behind a check of their measured size, or in a join with a salted host.
 
-Defined results: a null or empty page has an empty text; a host with a single page has no template tokens and is
-read by roles alone; pages with the same text count as one towards a template, and repeated rows are read alike; an empty table gives an empty result; other columns are not read.
+Defined results: a null or empty page has an empty text; a very long page is read whole; a host with a single page has no template tokens and is
+read by roles alone; pages with the same text count as one towards a template, and repeated rows are read alike; of containers that tie in
+depth the one with more text counts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliofield.llm.runtime import save
@@ -58,19 +64,34 @@ _OWN_CLOSE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPE = frozenset("article aside body div footer form header main nav ol section table ul dl blockquote td".split())
 _SIDE = frozenset("nav footer aside form head dialog menu button fieldset".split())
 _STRONG = frozenset("nav footer aside head dialog menu button".split())
-_SIDE_LABEL = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|menu|nav\w*|breadcrumbs?|sidebar|widget|footer|header|masthead|cookies?|notices?|consent|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|replies|disqus|pagination|pager|search|contentinfo|complementary)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words of labels that tell a side part, and words that may stand beside them.
+_SIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner banners promo promos promotion sponsor sponsored sponsors menu menus nav navbar navigation breadcrumb breadcrumbs sidebar widget widgets"
+    " footer header masthead cookie cookies notice notices consent popup modal newsletter subscribe subscription share sharing social related comment comments replies disqus pagination pager search"
+    " contentinfo complementary".split()
+)
+_PLAIN_WORDS = frozenset(
+    "site page main top bottom left right primary secondary global local list box bar block wrap wrapper container inner outer area section button buttons link links post posts article articles"
+    " story stories content signup slot unit item items form field input group panel row col column mobile desktop js user reader icons icon media trail toggle dropdown sub level first last bg text"
+    " title head body region zone module component sticky float overlay gdpr privacy policy alert wp id class x size large small wide".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _tells_side(label: str) -> bool:
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", label).lower()) if w]
+    return any(w in _SIDE_WORDS for w in words) and all(w in _SIDE_WORDS or w in _PLAIN_WORDS for w in words)
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool, bool]:
-    """Path step (digits dropped), whether the element is beside the text, whether it is the article."""
-    labels = [next(filter(None, m.groups()[1:]), "") for m in _LABEL.finditer(attributes)] if attributes else []
-    words = " ".join(labels)
-    main = name in ("article", "main") or any(x in ("main", "articleBody") for x in labels)
-    side = name in _SIDE or (bool(words) and not main and name not in ("html", "body") and bool(_SIDE_LABEL.search(words)))
-    return re.sub(r"[\d/]+", "", f"{name}.{'.'.join(words.split())}" if words else name), side, main
+def _label(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Path step (digits dropped), whether the element is beside the text outside an article and inside one, whether it is the article."""
+    found = [(m[1].lower(), next(filter(None, m.groups()[1:]), "")) for m in _LABEL.finditer(attributes)] if attributes else []
+    words = " ".join(x for _, x in found)
+    main = name in ("article", "main") or any(x in ("main", "articleBody") for _, x in found)
+    plain = main or name in ("html", "body")
+    side = name in _SIDE or (not plain and any(_tells_side(w) for _, x in found for w in x.split()))
+    inner = name in _SIDE or (not plain and name not in _HEADINGS and any(_tells_side(w) for kind, x in found if kind != "id" for w in x.split()))
+    return re.sub(r"[\d/]+", "", f"{name}.{'.'.join(words.split())}" if words else name), side, inner, main
 
 
 def _settled(blocks: list[tuple[str, tuple, bool, str]]) -> list[tuple[str, bool, bool, str]]:
@@ -95,22 +116,25 @@ def _settled(blocks: list[tuple[str, tuple, bool, str]]) -> list[tuple[str, bool
     return [(b[0], bool(b[1]), b[2], b[3]) for b in blocks]
 
 
-def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, bool, bool, str]], Counter]:
-    """Blocks in page order as (path, beside the text, in an article, text), and how often each path opens."""
+def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[int]], list[int]]:
+    """Blocks in page order as (path, beside the text, in an article, text), how often and where first each path opens, and the blocks' places."""
     steps = {} if steps is None else steps
     stack: list[tuple[str, str, tuple, bool]] = [("", "", (), False)]
     blocks: list[tuple[str, tuple, bool, str]] = []
-    opened: Counter = Counter()
-    number = 0
+    opened: dict[str, list[int]] = {}
+    places: list[int] = []
+    number = tick = 0
     pending: list[str] = []
     owner = stack[0]
 
     def flush() -> None:
-        nonlocal owner
+        nonlocal owner, tick
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
             if text:
                 blocks.append((owner[1], owner[2], owner[3], text))
+                places.append(tick)
+                tick += 1
             pending.clear()
 
     for m in _TOKEN.finditer(page):
@@ -162,20 +186,22 @@ def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, boo
             got = _label(*key)
             if len(steps) < 10000:
                 steps[key] = got
-        step, side, main = got
+        step, side, inner, main = got
         top = stack[-1]
+        side = inner if top[3] else side
         if name == "header" and top[3]:
             side = False  # an article's own heading
         elif name == "header":
             side = True
         path = f"{top[1]}/{step}" if block else top[1]
         if block:
-            opened[path] += 1
+            opened.setdefault(path, [0, tick])[0] += 1
+            tick += 1
         number += 1
         own = ((number, name in _STRONG or name == "header", top[3]),) if side else ()
         stack.append((name, path, top[2] + own, top[3] or main))
     flush()
-    return _settled(blocks), opened
+    return _settled(blocks), opened, places
 
 
 def _hash(text: str) -> int:
@@ -188,66 +214,129 @@ def _fixed(path: str, text: str) -> int:
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, path, text_hash, n, chars, slot, main): a page's tokens; ``text_hash`` is null for element paths."""
+    """(host, page, path, text_hash, n, place, chars, slot, main): a page's tokens; ``text_hash`` is null for element paths."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps: dict = {}
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], [], [], []]
+            cols: list[list] = [[] for _ in range(9)]
             for host, _, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks, opened = read_page(source or "", steps)
+                blocks, opened, places = read_page(source or "", steps)
                 page = _hash("\n".join([b[3] for b in blocks if not b[1]] or [b[3] for b in blocks]))  # copies count once
-                found: dict[tuple[str, int | None], list] = {("", None): [1, 0, False, False]}
-                for path, n in opened.items():
-                    found[path, None] = [n, 0, False, False]
-                for path, side, main, text in blocks:
-                    entry = found.setdefault((path, _fixed(path, text)), [0, 0, not side, main])
+                found: dict[tuple[str, int | None], list] = {("", None): [1, -1, 0, False, False]}
+                for path, (n, place) in opened.items():
+                    found[path, None] = [n, place, 0, False, False]
+                for (path, side, main, text), place in zip(blocks, places, strict=True):
+                    entry = found.setdefault((path, _fixed(path, text)), [0, place, 0, not side, main])
                     entry[0] += 1
-                    entry[1] += len(text)
-                for (path, text), (n, chars, slot, main) in found.items():
-                    for col, value in zip(cols, (host, page, path, text, n, chars, slot, main), strict=True):
+                    entry[2] += len(text)
+                for (path, text), (n, place, chars, slot, main) in found.items():
+                    for col, value in zip(cols, (host, page, path, text, n, place, chars, slot, main), strict=True):
                         col.append(value)
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "page", "path", "text_hash", "n", "chars", "slot", "main"])
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["host", "page", "path", "text_hash", "n", "place", "chars", "slot", "main"])
 
-    return pages.mapInArrow(tokens, "host string, page long, path string, text_hash long, n long, chars long, slot boolean, main boolean")
+    return pages.mapInArrow(tokens, "host string, page long, path string, text_hash long, n long, place long, chars long, slot boolean, main boolean")
 
 
-def deduce_templates(tokens: DataFrame) -> DataFrame:
-    """(host, container, template_text): the main container's path and the hashes of the template's text blocks."""
+def occurrences(tokens: DataFrame) -> DataFrame:
+    """(host, path, text_hash, pages, vector, place, chars, slot, main): one row a token of a host; equal vectors make a class."""
     vector = F.pmod(F.xxhash64("page", "n"), F.lit(2**31))
-    once = tokens.groupBy("host", "page", "path", "text_hash").agg(F.max("n").alias("n"), F.max("chars").alias("chars"), F.bool_and("slot").alias("slot"), F.bool_or("main").alias("main"))
-    seen = save(once.groupBy("host", "path", "text_hash").agg(F.count("*").alias("pages"), F.sum(vector).alias("vector"), F.sum("chars").alias("chars"), F.bool_and("slot").alias("slot"), F.bool_or("main").alias("main")), "tokens")
-    size = seen.where("path = '' and text_hash is null").select("host", F.col("pages").alias("host_pages"), F.col("vector").alias("root_vector"))
+    once = tokens.groupBy("host", "page", "path", "text_hash").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("chars").alias("chars"), F.bool_and("slot").alias("slot"), F.bool_or("main").alias("main"))
+    return once.groupBy("host", "path", "text_hash").agg(F.count("*").alias("pages"), F.sum(vector).alias("vector"), F.avg("place").alias("place"), F.sum("chars").alias("chars"), F.bool_and("slot").alias("slot"), F.bool_or("main").alias("main"))
+
+
+def nested(classes: dict[tuple[int, int], list[float]]) -> set[tuple[int, int]]:
+    """Of classes (pages, vector) with their tokens' places in order: those that nest. Classes on more pages, then larger ones, go first."""
+    taken: list[tuple[tuple[int, int], list[float]]] = []
+    one_gap = lambda inner, outer: bisect_left(outer, inner[0]) == bisect_right(outer, inner[-1])
+    for name in sorted(classes, key=lambda c: (-c[0], -len(classes[c]), c[1])):
+        own = sorted(classes[name])
+        if all(one_gap(own, x) or one_gap(x, own) for _, x in taken):
+            taken.append((name, own))
+    return {name for name, _ in taken}
+
+
+def _templates(hosts: DataFrame) -> DataFrame:
+    """(host, path, text_hash, rank) of the tokens of valid classes; ``hosts``: a row a host with its candidate tokens."""
+
+    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[], [], [], []]
+            for host, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                classes = defaultdict(list)
+                for t in tokens:
+                    classes[t["pages"], t["vector"]].append(t["place"])
+                valid = nested(classes)
+                fixed = sorted((t for t in tokens if (t["pages"], t["vector"]) in valid), key=lambda t: (t["place"], t["path"], t["text_hash"] or 0))
+                for rank, t in enumerate(fixed):
+                    for col, value in zip(cols, (host, t["path"], t["text_hash"], rank), strict=True):
+                        col.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["host", "path", "text_hash", "rank"])
+
+    return hosts.mapInArrow(nest, "host string, path string, text_hash long, rank long")
+
+
+def deduce_templates(tokens: DataFrame) -> DataFrame:
+    """(host, container, template_text, template_rank): the main container's path, and the template's text blocks with their order."""
+    seen = save(occurrences(tokens), "tokens")
+    size = seen.where("path = '' and text_hash is null").select("host", F.col("pages").alias("host_pages"))
     classes = seen.groupBy("host", "pages", "vector").agg(F.count("*").alias("members"))
-    valid = classes.join(size, "host").where((F.col("members") >= CLASS_TOKENS) & (F.col("pages") * 2 >= F.col("host_pages")) & (F.col("host_pages") >= 2))
-    template = seen.join(valid.select("host", "pages", "vector", "host_pages"), ["host", "pages", "vector"])
-    fixed_rows = template.where(f"text_hash is not null and host_pages >= 3 and (not main or pages >= {MAIN_PAGES})").select("host", "path", "text_hash")
-    fixed = fixed_rows.groupBy("host").agg(F.collect_set("text_hash").alias("template_text"))
-    slots = seen.where("slot and text_hash is not null").join(fixed_rows, ["host", "path", "text_hash"], "left_anti").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
+    frequent = classes.join(size, "host").where((F.col("members") >= CLASS_TOKENS) & (F.col("pages") * 2 >= F.col("host_pages")) & (F.col("host_pages") >= 2))
+    candidates = seen.join(frequent.select("host", "pages", "vector"), ["host", "pages", "vector"])
+    # at most twice the tokens of a mean page
+    hosts = candidates.groupBy("host").agg(F.collect_list(F.struct("path", "text_hash", "pages", "vector", "place")).alias("tokens"))
+    template = save(_templates(hosts), "template-tokens")
+    facts = seen.select("host", "path", "text_hash", "pages", "main").join(size, "host")
+    same = F.coalesce(F.col("t.text_hash"), F.lit(0)) == F.coalesce(F.col("s.text_hash"), F.lit(0))
+    met = template.alias("t").join(facts.alias("s"), (F.col("t.host") == F.col("s.host")) & (F.col("t.path") == F.col("s.path")) & same & F.col("t.text_hash").isNotNull())
+    fixed_rows = met.where(f"host_pages >= 3 and (not main or pages >= {MAIN_PAGES})").select("t.host", "t.path", "t.text_hash", "rank")
+    fixed = fixed_rows.groupBy("host").agg(F.collect_list(F.struct("text_hash", "rank")).alias("fixed"))
+    fixed = fixed.select("host", F.col("fixed.text_hash").alias("template_text"), F.col("fixed.rank").alias("template_rank"))
+    slots = seen.where("slot and text_hash is not null").join(fixed_rows.select("host", "path", "text_hash"), ["host", "path", "text_hash"], "left_anti").groupBy("host", "path").agg(F.sum("chars").alias("chars"))
     steps = F.split("path", "/")
     up = slots.select("host", "chars", steps.alias("steps"), F.explode(F.sequence(F.lit(1), F.size(steps))).alias("depth"))
     held = up.groupBy("host", "depth", F.array_join(F.slice("steps", F.lit(1), F.col("depth")), "/").alias("path")).agg(F.sum("chars").alias("chars"))
-    total = F.max("chars").over(Window.partitionBy("host"))
-    main = held.withColumn("total", total).where(F.col("chars") * 100 >= F.col("total") * CONTAINER_PERCENT)
+    total = held.groupBy("host").agg(F.max("chars").alias("total"))
+    main = held.join(total, "host").where(F.col("chars") * 100 >= F.col("total") * CONTAINER_PERCENT)
     elements = template.where(F.col("text_hash").isNull() & ~F.col("path").rlike(_PIECE)).select("host", "path")
     main = main.join(elements.withColumn("known", F.lit(True)), ["host", "path"], "left").where((F.col("depth") == 1) | F.col("known"))
     container = main.groupBy("host").agg(F.max(F.struct("depth", "chars", "path"))["path"].alias("container"))
     return size.select("host").join(container, "host", "left").join(fixed, "host", "left")
 
 
-def page_text(source: str, container: str | None, template_text: set[int], steps: dict) -> str:
-    blocks, _ = read_page(source, steps)
-    inside = [b for b in blocks if not b[1]]
+def _aligned(ranks: list[tuple[int, int]]) -> set[int]:
+    """Of (place, rank) in page order the places of a longest run in the template's order."""
+    tails: list[int] = []
+    ends: list[int] = []
+    before: dict[int, int | None] = {}
+    for k, (_, rank) in enumerate(ranks):
+        at = bisect_right(tails, rank)
+        tails[at : at + 1] = [rank]
+        ends[at : at + 1] = [k]
+        before[k] = ends[at - 1] if at else None
+    out, k = set(), ends[-1] if ends else None
+    while k is not None:
+        out.add(ranks[k][0])
+        k = before[k]
+    return out
+
+
+def page_text(source: str, container: str | None, template: dict[int, int], steps: dict) -> str:
+    blocks, _, _ = read_page(source, steps)
+    keys = [_fixed(b[0], b[3]) for b in blocks] if template else []
+    fixed = _aligned([(k, template[x]) for k, x in enumerate(keys) if x in template])
+    inside = [(k, b) for k, b in enumerate(blocks) if not b[1]]
     if container:
-        under = [b for b in inside if b[0] == container or b[0].startswith(container + "/")]
-        outside = any(b[2] for b in inside) and not any(b[2] for b in under)
-        inside = [b for b in inside if b[2] or b in under] if outside else under or inside
-    inside = [b for b in inside if _fixed(b[0], b[3]) not in template_text]
-    main = [b for b in inside if b[2]]
-    if 2 * sum(len(b[3]) for b in main) >= sum(len(b[3]) for b in inside):
-        inside = main or inside
-    return "\n".join(b[3] for b in inside)
+        under = [(k, b) for k, b in inside if b[0] == container or b[0].startswith(container + "/")]
+        outside = any(b[2] for _, b in inside) and not any(b[2] for _, b in under)
+        held = {k for k, _ in under}
+        inside = [(k, b) for k, b in inside if b[2] or k in held] if outside else under or inside
+    slots = [b for k, b in inside if k not in fixed]
+    main = [b for b in slots if b[2]]
+    if 2 * sum(len(b[3]) for b in main) >= sum(len(b[3]) for b in slots):
+        slots = main or slots
+    return "\n".join(b[3] for b in slots)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -255,7 +344,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     host, _ = split_url(F.col("url"))
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(host, F.lit("")).alias("host"), F.col("html").cast("string").alias("html"))
     templates = save(deduce_templates(page_tokens(source.select("host", "page_id", "html"))), "templates")
-    weight = templates.agg(F.sum(64 + F.octet_length("host") + F.coalesce(F.octet_length("container"), F.lit(0)) + 8 * F.coalesce(F.size("template_text"), F.lit(0))).alias("n")).first()["n"] or 0
+    weight = templates.agg(F.sum(64 + F.octet_length("host") + F.coalesce(F.octet_length("container"), F.lit(0)) + 16 * F.greatest(F.size("template_text"), F.lit(0))).alias("n")).first()["n"] or 0
     if weight <= BROADCAST_BYTES:
         joined = source.join(F.broadcast(templates), "host", "left")
     else:
@@ -265,7 +354,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps: dict = {}
         for batch in batches:
-            out = [page_text(h or "", c, set(t or ()), steps) for h, c, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            out = [page_text(h or "", c, dict(zip(t or (), r or (), strict=True)), steps) for h, c, t, r in zip(*(x.to_pylist() for x in batch.columns[3:7]), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.string()), pa.array(map(len, out), pa.int64())], names=["page_id", "url", "host", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "host", "html", "container", "template_text").mapInArrow(texts, "page_id long, url string, host string, text string, n_chars long")
+    return joined.select("page_id", "url", "host", "html", "container", "template_text", "template_rank").mapInArrow(texts, "page_id long, url string, host string, text string, n_chars long")

@@ -6,12 +6,13 @@ text itself. ``plan_cascade`` measures each rule's cost and how much it rejects
 rows that all earlier ones kept. The order changes the work, never the verdict: a row is kept exactly if no
 rule rejects it.
 
-Defined results: a null or empty text has no words and fails the base rule; repeated rows are judged alike;
-an empty table gives an empty result; columns of the input other than ``doc_id`` and ``text`` are not read.
+Defined results: a null or empty text has no words and fails the base rule; a very long text is measured whole (only the sample leaves it
+out); rules that tie in worth keep their order; repeated rows are judged alike; an empty table gives an empty result; columns of the input other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -30,6 +31,8 @@ _HEAD = (np.arange(256) & 0xC0) != 0x80  # first byte of a code point
 #: Rows of the sample on which costs and selectivities are estimated (they set the order only).
 SAMPLE_ROWS = 500
 SAMPLE_CHARS = 50_000
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_LOW = {k: k + 32 for k in range(65, 91)}
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
@@ -56,12 +59,36 @@ def _few_letters(text: str) -> bool:
     return sum(map(str.isalpha, text)) < 0.3 * max(1, len(text) - text.count(" ") - text.count("\n"))
 
 
-#: The default rules; thresholds are far outside ordinary prose.
+def _lines_of(text: str) -> list[str]:
+    return [x for x in (line.strip(" \t\r\f\v") for line in text.split("\n")) if x]
+
+
+def _ellipses(text: str) -> bool:
+    lines = _lines_of(text)
+    return 10 * sum(x.endswith(("...", "\u2026")) for x in lines) > 3 * len(lines)
+
+
+def _bullets(text: str) -> bool:
+    lines = _lines_of(text)
+    return 10 * sum(x.startswith(("\u2022", "-", "*")) for x in lines) > 9 * len(lines)
+
+
+def _wordless(text: str) -> bool:
+    words = _WORD.findall(text)
+    return 10 * sum(any(map(str.isalpha, w)) for w in words) < 7 * len(words)
+
+
+#: The default rules, after those published for web corpora; thresholds are far outside ordinary prose of any language.
 RULES = (
     Rule("symbols", lambda c, t: c["n_symbols"] * 10 > c["n_words"]),
     Rule("word_length", lambda c, t: (c["word_chars"] > 20 * c["n_words"]) | (c["word_chars"] < 2 * c["n_words"])),
     Rule("duplicate_lines", lambda c, t: c["n_dup_lines"] > np.maximum(3, 0.3 * c["n_lines"])),
     Rule("shouting", lambda c, t: np.array([_per(x, _shouting) for x in t.to_pylist()], bool)),
+    Rule("braces", lambda c, t: np.array([_per(x, lambda s: s.count("{") + s.count("}") > 0.05 * len(_WORD.findall(s))) for x in t.to_pylist()], bool)),
+    Rule("placeholder", lambda c, t: np.array([_per(x, lambda s: "lorem ipsum" in s.translate(_LOW)) for x in t.to_pylist()], bool)),
+    Rule("ellipses", lambda c, t: np.array([_per(x, _ellipses) for x in t.to_pylist()], bool)),
+    Rule("bullets", lambda c, t: np.array([_per(x, _bullets) for x in t.to_pylist()], bool)),
+    Rule("wordless", lambda c, t: np.array([_per(x, _wordless) for x in t.to_pylist()], bool)),
     Rule("few_letters", lambda c, t: np.array([_per(x, _few_letters) for x in t.to_pylist()], bool)),
 )
 
@@ -209,21 +236,25 @@ def kept_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, order: list
 #: The default rules and counts in DuckDB's SQL.
 SQL = r"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+x as (select rid, count(*) as n_texts, count(*) filter (suffix(line, '...') or suffix(line, '…')) as ends, count(*) filter (prefix(line, '•') or prefix(line, '-') or prefix(line, '*')) as begins
+    from (select rid, trim(unnest(string_split(text, chr(10))), chr(32) || chr(9) || chr(13) || chr(12) || chr(11)) as line from d) y where line <> '' group by rid),
 l as (select rid, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
 w as (select rid, unnest(ws) as word, unnest(range(len(ws))) as pos from l),
 k as (select rid, pos, concat_ws(' ', word, lead(word, 1) over o, lead(word, 2) over o, lead(word, 3) over o, lead(word, 4) over o, lead(word, 5) over o, lead(word, 6) over o, lead(word, 7) over o) as key,
     lead(word, 7) over o is not null as full_ from w window o as (partition by rid order by pos)),
 t as (select rid, pos from (select rid, pos, count(*) over (partition by rid, key) as c from k where full_) x where c > 1),
 r as (select rid, count(distinct pos + o) as n_repeat_words from t cross join (select unnest(range(8)) as o) u group by rid),
-n as (select rid, count(*) as n_words, sum(len(word)) as word_chars from w group by rid),
+n as (select rid, count(*) filter (regexp_matches(word, '\p{L}')) as lettered, count(*) as n_words, sum(len(word)) as word_chars from w group by rid),
 li as (select rid, unnest(string_split(text, chr(10))) as line from d),
 g as (select rid, sum(c) as n_lines, sum(c - 1) as n_dup_lines from (select rid, line, count(*) as c from li where regexp_matches(line, '[^\x20\x09-\x0D]') group by rid, line) x group by rid),
 c as (select doc_id, text, coalesce(n_words, 0) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, cast(len(text) - len(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
     cast(coalesce(n_dup_lines, 0) as bigint) as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words,
-    len(regexp_replace(text, '[^\p{L}]', '', 'g')) as letters, len(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as capitals, len(translate(text, ' ' || chr(10), '')) as solid
-  from d left join n on d.rid = n.rid left join g on d.rid = g.rid left join r on d.rid = r.rid),
+    len(regexp_replace(text, '[^\p{L}]', '', 'g')) as letters, len(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as capitals, len(translate(text, ' ' || chr(10), '')) as solid,
+    coalesce(lettered, 0) as lettered, len(text) - len(translate(text, '{}', '')) as braces, coalesce(n_texts, 0) as n_texts, coalesce(ends, 0) as ends, coalesce(begins, 0) as begins
+  from d left join x on d.rid = x.rid left join n on d.rid = n.rid left join g on d.rid = g.rid left join r on d.rid = r.rid),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from c)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or n_symbols * 10 > n_words or word_chars > 20 * n_words or word_chars < 2 * n_words or n_dup_lines > greatest(3, 0.3 * n_lines) or capitals > 0.6 * greatest(1, letters) or letters < 0.3 * greatest(1, solid)) as kept
+  not (base_failed or n_symbols * 10 > n_words or word_chars > 20 * n_words or word_chars < 2 * n_words or n_dup_lines > greatest(3, 0.3 * n_lines) or capitals > 0.6 * greatest(1, letters) or letters < 0.3 * greatest(1, solid)
+    or braces > 0.05 * n_words or contains(translate(text, 'LOREMIPSU', 'loremipsu'), 'lorem ipsum') or 10 * ends > 3 * n_texts or 10 * begins > 9 * n_texts or 10 * lettered < 7 * n_words) as kept
 from b
 """

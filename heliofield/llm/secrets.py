@@ -6,8 +6,8 @@ nested lengths add up at every level, or a token's header is JSON that names an
 escaped ones, and a key may start at any character of it; header lines of an armour are skipped, and an encrypted body, which has no
 structure of its own, counts under its headers. Spans are ``kind:start:end`` in code points.
 
-Defined results: a null text is empty and has no spans; repeated rows give repeated results; an empty table
-gives an empty result; only ``doc_id`` and ``text`` are read.
+Defined results: a null text is empty and has no spans; a very long text is scanned whole; spans that tie in their start go by kind;
+repeated rows give repeated results; an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
+SIGNED = re.compile(r"(?<![A-Za-z0-9_])((?:ey[JA]|ew[o0k])[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
 LEAST = 40
 _BREAK = r"(?:\\r\\n|\\n|\\r|\r\n|\n|\r)"
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+?)-----END \1-----", re.DOTALL)
@@ -35,6 +35,7 @@ LINES = re.compile(_BREAK)
 RUN = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK}[\x20\t>#*]*+[A-Za-z0-9+/_-]{{4,}}+)*+={{0,2}}")
 HEXRUN = re.compile(rf"[0-9A-Fa-f]{{16,}}+(?:{_BREAK}[\x20\t>#*]*+[0-9A-Fa-f]{{2,}}+)*+")
 HEXSTARTS = re.compile(r"(?=30(?:[0-7][0-9A-Fa-f]|8[1-4])|6f70656e737368)", re.IGNORECASE)
+INNER = re.compile(r"[_/+-](?=M[A-P]|b3BlbnNza)")
 URLSAFE = str.maketrans("-_", "+/")
 OPENSSH = b"openssh-key-v1\0"
 KINDS = ("assign", "access", "hex", "armour", "key", "signed")
@@ -134,11 +135,12 @@ def _base64_keys(text: str) -> list[tuple[int, int, int]]:
         if len(m[0]) < LEAST:
             continue
         clean, places, heads = _run(text, m.start(), m.start() + len(m[0].rstrip("=")))
-        clean = clean.translate(URLSAFE)
+        clean_, clean = clean, clean.translate(URLSAFE)
         if text[max(m.start() - 1, 0) : m.start()] == "\\" and clean[:1] in ("n", "r"):
             heads.append(1)  # after an escaped line break
+        heads += [x.end() for x in INNER.finditer(clean_)]  # a key may follow a dash, a slash or an underscore
         done = 0
-        for head in sorted(heads):
+        for head in sorted(set(heads)):
             if head < done or len(clean) - head < LEAST - 2 or clean[head] not in "Mb":
                 continue
             have = clean[head:]
@@ -203,7 +205,7 @@ def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
         found += [(m.start(), 3, m.end()) for m in ARMOUR.finditer(text) if _key(m[2])]
     armours = list(found)
     found += [x for x in _base64_keys(text) + _hex_keys(text) if not any(s <= x[0] < e for s, _, e in armours)]
-    if "eyJ" in text:
+    if "eyJ" in text or "eyA" in text or "ewo" in text or "ew0" in text or "ewk" in text:
         found += [(m.start(), 5, m.end()) for m in SIGNED.finditer(text) if _signed(m[1])]
     return found
 

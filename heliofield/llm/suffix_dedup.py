@@ -9,11 +9,13 @@ and runs of one suffix that differ are matched start by start. Overlapping match
 The sort is Spark's: equal prefixes meet by hash with partial sums (lowest and highest document) before the
 shuffle, so a prefix that a third of all texts share is one row a task; different runs of one prefix, not its
 occurrences, are expanded. Nothing is sampled, and a passage is found if and only if ``PASSAGE`` or more words of it
-occur in two documents.
+occur in two documents. Words, prefixes and runs are compared by 64-bit hashes; a match needs the prefix and the run, or the prefix and the
+passage, to agree, and runs are confirmed by a second, independent hash, so two that differ pass with a probability of about 2^-128.
 
-Defined results: rows without a ``doc_id`` can't be named and are left out; null and short texts hold no passage;
-repeated rows of one ``doc_id`` are one document, so they don't repeat each other; an empty table gives an empty
-result; only ``doc_id`` and ``text`` are read.
+Defined results: null and short texts hold no passage; a very long text is read whole; rows without a ``doc_id`` are documents of
+their own, named null (rows of equal text are one); repeated rows of one ``doc_id`` are one document, so they don't repeat each other, and a
+passage that occurs twice in one document only is no match; documents that tie are all reported; an empty table gives an empty result; only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from heliofield.llm.runtime import save
 
 K, W = 26, 25
 PASSAGE = K + W - 1
+_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 class Runs:
@@ -59,7 +62,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = Runs(words)
             if len(runs.at):
                 place = runs.at - words.first[:-1][runs.doc]
-                yield pa.RecordBatch.from_pydict({"rid": ids[0][i:j][runs.doc], "doc_id": ids[1][i:j][runs.doc], "at": place.astype(np.int32), "suffix": runs.suffix})
+                yield pa.RecordBatch.from_pydict({"rid": ids[0][i:j][runs.doc], "who": ids[1][i:j][runs.doc], "at": place.astype(np.int32), "suffix": runs.suffix})
 
 
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +83,15 @@ def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(words.hash) + 1, np.uint64)
             np.cumsum(words.hash * textops._powers(textops._GRAM, len(words.hash)), out=total[1:])
             run = textops.mix((total[last + PASSAGE] - total[first]) * textops._powers(textops._GRAM_INV, len(words.hash))[first] + (last - first).astype(np.uint64))
+            np.cumsum(textops.mix(words.hash ^ _OTHER) * textops._powers(textops._GRAM, len(words.hash)), out=total[1:])
+            check = textops.mix((total[last + PASSAGE] - total[first]) * textops._powers(textops._GRAM_INV, len(words.hash))[first])
             count = last - first + 1
             edge = np.concatenate(([0], np.cumsum(count)))
             flat = np.arange(edge[-1]) - np.repeat(edge[:-1] - first, count)
             passage = textops.grams(words.hash, PASSAGE)[flat].view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[i:j][doc]), pa.array(runs.suffix[pick]), pa.array(run.view(np.int64)), pa.array((first - words.first[:-1][doc]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(passage))],
-                names=["doc_id", "suffix", "run", "start", "passages"],
+                [pa.array(ids[i:j][doc]), pa.array(runs.suffix[pick]), pa.array(run.view(np.int64)), pa.array(check.view(np.int64)), pa.array((first - words.first[:-1][doc]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(passage))],
+                names=["who", "suffix", "run", "check", "start", "passages"],
             )
 
 
@@ -100,27 +105,31 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out += [(doc, int(a), int(b) + PASSAGE) for a, b in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)], strict=True)]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         start, end = (pa.array(c, pa.int64()) for c in columns[1:])
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), start, end, pa.array([b - a for _, a, b in out], pa.int64())], names=["doc_id", "start_word", "end_word", "n_words"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), start, end, pa.array([b - a for _, a, b in out], pa.int64())], names=["who", "start_word", "end_word", "n_words"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words: spans whose passages occur in another document too."""
-    named = docs.where("doc_id is not null and text is not null").select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    suffixes = save(named.mapInArrow(_suffixes, "rid long, doc_id long, at int, suffix long"), "suffixes")
+    doc_id = F.col("doc_id").cast("long")
+    named = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(doc_id, F.xxhash64("text")).alias("who"), doc_id.isNotNull().alias("named"), F.col("text").cast("string").alias("text"))
+    suffixes = save(named.select("rid", "who", "text").mapInArrow(_suffixes, "rid long, who long, at int, suffix long"), "suffixes")
     # aggregates are saved before they are joined: both sides are then plain scans, and a hot key's rows can be split over
     # tasks; they grow with the corpus, so they are merged, never broadcast
-    shared = save(suffixes.groupBy("suffix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("suffix"), "shared").hint("merge")
+    shared = save(suffixes.groupBy("suffix").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).where("lo < hi").select("suffix"), "shared").hint("merge")
     kept = suffixes.join(shared, "suffix").groupBy("rid").agg(F.collect_set("at").alias("kept"))  # as long as its text at most
-    runs = save(named.join(kept, "rid").select("doc_id", "text", "kept").mapInArrow(_extended, "doc_id long, suffix long, run long, start int, passages array<long>"), "runs")
-    kinds = save(runs.groupBy("suffix", "run").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.first("passages").alias("passages")), "kinds")
+    runs = save(named.join(kept, "rid").select("who", "text", "kept").mapInArrow(_extended, "who long, suffix long, run long, check long, start int, passages array<long>"), "runs")
+    key = ["suffix", "run", "check"]
+    kinds = save(runs.groupBy(*key).agg(F.min("who").alias("lo"), F.max("who").alias("hi"), F.first("passages").alias("passages")), "kinds")
     varied = save(kinds.groupBy("suffix").agg(F.count("*").alias("kinds")).where("kinds > 1").select("suffix"), "varied").hint("merge")
-    starts = kinds.join(varied, "suffix").select("suffix", "run", "lo", "hi", F.posexplode("passages").alias("offset", "passage"))
-    met = starts.groupBy("passage").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("passage")
-    partly = save(starts.join(met, "passage").groupBy("suffix", "run").agg(F.collect_set("offset").alias("offsets")), "partly").hint("merge")  # W at most
-    whole = runs.join(varied, "suffix", "left_anti").select("doc_id", "start", F.size("passages").alias("n"), F.lit(None).cast("array<int>").alias("offsets"))
-    some = runs.join(partly, ["suffix", "run"]).select("doc_id", "start", F.size("passages").alias("n"), "offsets")
-    by_doc = whole.unionByName(some).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "offsets")).alias("runs"))
-    return by_doc.mapInArrow(_spans, "doc_id long, start_word long, end_word long, n_words long")
+    starts = kinds.join(varied, "suffix").select(*key, "lo", "hi", F.posexplode("passages").alias("offset", "passage"))
+    met = starts.groupBy("suffix", "passage").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("suffix", "passage")
+    partly = save(starts.join(met, ["suffix", "passage"]).groupBy(*key).agg(F.collect_set("offset").alias("offsets")), "partly").hint("merge")  # W at most
+    whole = runs.join(varied, "suffix", "left_anti").select("who", "start", F.size("passages").alias("n"), F.lit(None).cast("array<int>").alias("offsets"))
+    some = runs.join(partly, key).select("who", "start", F.size("passages").alias("n"), "offsets")
+    by_doc = whole.unionByName(some).groupBy("who").agg(F.collect_list(F.struct("start", "n", "offsets")).alias("runs"))
+    spans = by_doc.mapInArrow(_spans, "who long, start_word long, end_word long, n_words long")
+    nameless = save(named.where("not named").select("who").distinct().withColumn("nameless", F.lit(True)), "nameless")
+    return spans.join(nameless, "who", "left").select(F.when(F.col("nameless").isNull(), F.col("who")).alias("doc_id"), "start_word", "end_word", "n_words")
 
 
 def op1_suffix_dedup(spark, sf_dir):

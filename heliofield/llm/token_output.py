@@ -1,14 +1,19 @@
 """Token-ID output in training order.
 
-Texts are tokenised once (a public vocabulary file, its path is a parameter) and each text ends with the end id. Ids are cut
-into sequences of ``LENGTH``; every task numbers its own, a prefix sum over the tasks' totals makes the numbers global.
-A keyed Feistel network over the next even number of bits, walked until it lands below the number of sequences, turns numbers into slots: a
-bijection that needs no sort and no table, and can be inverted to resume anywhere. ``SHARD`` consecutive slots are a
-shard; a shard is one range partition, and slot s lies at byte ``(s mod SHARD) * stride`` of shard ``s div SHARD``.
-
-Defined results: a null or empty text gives no sequence; a null ``doc_id`` is kept; repeated rows give repeated sequences in
-slots of their own; an empty table gives an empty result; only ``doc_id`` and ``text`` are read. The last sequence of a text is
-padded with the end id to the stride; ``n_tokens`` says how many ids are its own.
+Rows are sorted by (``doc_id``, hash of the text) in range partitions, and texts are tokenised once in that order (a public vocabulary file,
+its path is a parameter); each ends with the end id. Ids are cut into sequences of ``LENGTH``; every task numbers its own, a prefix sum over
+the tasks' totals makes the numbers global. A number is the count of sequences of all lesser rows, so it doesn't depend on how the input is
+split. A keyed Feistel network over the next even number of bits, walked until it lands below the number of sequences, turns numbers into
+slots: a bijection that needs no table and can be inverted. ``SHARD`` consecutive slots are a shard; a range of shards is one partition, and
+slot s lies at byte ``(s mod SHARD) * stride`` of shard ``s div SHARD``.
+
+``write_shards`` keeps the tokens and a manifest (input's digest, vocabulary, key, length, shard) beside the shards and writes them in waves of consecutive
+shards, each committed whole. Called again it writes the missing waves only; with another input or key it refuses.
+
+Defined results: a null or empty text gives no sequence; a very long text is tokenised whole and gives as many sequences as it needs; a null
+``doc_id`` is kept, first in order; rows that tie (equal id and text) are interchangeable and each has its sequences in slots of their own;
+an empty table gives an empty result; only ``doc_id`` and ``text`` are read. The last sequence of a text is padded with the end id to
+the stride; ``n_tokens`` says how many ids are its own.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ LENGTH = 512
 SHARD = 1024
 KEY = 0x5EED
 ROUNDS = 6
+#: A write is committed in this many steps.
+WAVES = 16
 VOCABULARY = os.environ.get("HELIOFIELD_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Pre-splitting pattern of the vocabulary (fixed value of the public tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,11 +45,12 @@ _loaded: dict[str, tuple] = {}
 
 
 def encoder(path: str = VOCABULARY):
-    """(encoding, end id) of a vocabulary in rank form; the end id is the first free one."""
+    """(encoding, end id) of a vocabulary in rank form; the end id is the first free one. Executors read the copy that was sent to them."""
     if path not in _loaded:
         import tiktoken
 
-        with open(path, "rb") as lines:
+        sent = SparkFiles.get(os.path.basename(path)) if TaskContext.get() else path
+        with open(sent if os.path.exists(sent) else path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _loaded[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
     return _loaded[path]
@@ -88,17 +96,26 @@ def _tokenised(docs: DataFrame, path: str, length: int) -> DataFrame:
                 )
                 yield out.filter(kept)
 
+    docs.sparkSession.sparkContext.addFile(path)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(tokens, "doc_id long, task long, first long, sequences long, ids binary")
+    # equal rows are interchangeable, so a third number may deal them over partitions
+    keyed = source.where("octet_length(text) > 0").select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("tie"))
+    order = [F.asc_nulls_first("doc_id"), "hash", "tie"]
+    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return ranged.select("doc_id", "text").mapInArrow(tokens, "doc_id long, task long, first long, sequences long, ids binary")
 
 
-def training_order(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
-    """slot, shard, offset (byte), doc_id, seq, n_tokens, ids (``length`` little-endian ids), sorted by slot in each shard."""
-    made = save(_tokenised(docs, path, length), "tokens", "zstd")
-    totals = made.groupBy("task").agg(F.sum("sequences").alias("sequences"))  # one row a task
-    # 16 bytes a task
+def _numbered(made: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, number of the first sequence, sequences, ids), and the number of all sequences; ``made``: saved tokens."""
+    totals = made.groupBy("task").agg(F.sum("sequences").alias("sequences"))  # 16 bytes a task
     base = totals.select("task", (F.sum("sequences").over(Window.orderBy("task")) - F.col("sequences")).alias("base"))
     n = totals.agg(F.sum("sequences").alias("n")).first()["n"] or 0
+    return made.join(F.broadcast(base), "task").select("doc_id", (F.col("base") + F.col("first")).alias("number"), "sequences", "ids"), n
+
+
+def _placed(numbered: DataFrame, n: int, path: str, length: int, shard: int, key: int, first: int = 0, last: int | None = None) -> DataFrame:
+    """The sequences of slots first..last - 1 in ranges of shards, sorted by slot."""
+    last = n if last is None else last
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, end = encoder(path)
@@ -106,21 +123,32 @@ def training_order(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH
         pad = np.array([end], np.uint16 if wide == 2 else np.uint32).tobytes()
         stride = length * wide
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             number, count = (batch.column(c).to_numpy() for c in (1, 2))
             owner = np.repeat(np.arange(batch.num_rows), count)
             seq = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
             slot = permute(number[owner] + seq, n, key)
+            own = np.flatnonzero((slot >= first) & (slot < last))
+            owner, seq, slot = owner[own], seq[own], slot[own]
             raw = [x.as_buffer() for x in batch.column(3)]
             pieces = [raw[o][s * stride : (s + 1) * stride].to_pybytes() for o, s in zip(owner.tolist(), seq.tolist(), strict=True)]
             size = np.array([len(p) // wide for p in pieces], np.int64)
             pieces = [p + pad * ((stride - len(p)) // wide) for p in pieces]
-            doc = batch.column(0).take(pa.array(owner)) if len(ids) else batch.column(0)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // shard), pa.array(slot % shard * stride), doc, pa.array(seq), pa.array(size), pa.array(pieces, pa.binary())], names=["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slot), pa.array(slot // shard), pa.array(slot % shard * stride), batch.column(0).take(pa.array(owner)), pa.array(seq), pa.array(size), pa.array(pieces, pa.binary())],
+                names=["slot", "shard", "offset", "doc_id", "seq", "n_tokens", "ids"],
+            )
 
-    numbered = made.join(F.broadcast(base), "task").select("doc_id", (F.col("base") + F.col("first")).alias("number"), "sequences", "ids")
     placed = numbered.mapInArrow(cut, "slot long, shard long, offset long, doc_id long, seq long, n_tokens long, ids binary")
-    return placed.repartition("shard").sortWithinPartitions("slot")
+    low, shards = first // shard, max(1, -(-last // shard) - first // shard)
+    parts = min(shards, int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # slots are dense, so the ranges are known without a sample
+    return placed.repartitionById(parts, F.expr(f"cast((shard - {low}) * {parts} div {shards} as int)")).sortWithinPartitions("slot")
+
+
+def training_order(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> DataFrame:
+    """slot, shard, offset (byte), doc_id, seq, n_tokens, ids (``length`` little-endian ids), sorted by slot in ranges of shards."""
+    numbered, n = _numbered(save(_tokenised(docs, path, length), "tokens", "zstd"))
+    return _placed(numbered, n, path, length, shard, key)
 
 
 def shard_files(ordered: DataFrame) -> DataFrame:
@@ -146,16 +174,39 @@ def shard_files(ordered: DataFrame) -> DataFrame:
     return ordered.select("shard", "slot", "ids").mapInArrow(join, "shard long, first_slot long, sequences long, payload binary")
 
 
-def write_shards(ordered: DataFrame, path: str) -> None:
-    """Write the shards that ``path`` doesn't have yet, so an interrupted write is resumed by calling it again."""
-    spark = ordered.sparkSession
-    try:
-        have = spark.read.parquet(path).select("shard").distinct()
-        ordered = ordered.join(have, "shard", "left_anti").repartition("shard").sortWithinPartitions("slot")
-    except Exception as error:  # nothing is written yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    shard_files(ordered).write.mode("append").parquet(path)
+def _committed(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark write to ``path`` was committed."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def manifest(docs: DataFrame, path: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY) -> str:
+    """What fixes the output: the rows' number and digest (in any order), the vocabulary's name and the parameters."""
+    each = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    seen = docs.agg(F.count("*").alias("n"), F.bit_xor(each).alias("x"), F.sum(F.pmod(each, F.lit(2**31))).alias("s")).first()
+    return f"rows={seen['n']} digest={seen['x']},{seen['s']} vocabulary={os.path.basename(path)} length={length} shard={shard} key={key}"
+
+
+def write_shards(docs: DataFrame, target: str, path: str = VOCABULARY, length: int = LENGTH, shard: int = SHARD, key: int = KEY, waves: int = WAVES) -> list[int]:
+    """Write all shards of ``docs`` below ``target``; returns the waves written by this call, those of earlier calls are left as they are."""
+    spark = docs.sparkSession
+    own = f"{manifest(docs, path, length, shard, key)} waves={waves}"
+    if _committed(spark, f"{target}/_manifest"):
+        have = spark.read.text(f"{target}/_manifest").first()["value"]
+        if have != own:
+            raise ValueError(f"{target} holds another output: {have}, not {own}")
+    else:
+        spark.createDataFrame([(own,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/_manifest")
+    if not _committed(spark, f"{target}/_tokens"):
+        _tokenised(docs, path, length).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/_tokens")
+    numbered, n = _numbered(spark.read.parquet(f"{target}/_tokens"))
+    shards, done = -(-n // shard), []
+    for wave in range(waves):
+        first, last = (min(n, shards * k // waves * shard) for k in (wave, wave + 1))
+        if first < last and not _committed(spark, f"{target}/wave={wave}"):
+            shard_files(_placed(numbered, n, path, length, shard, key, first, last)).write.mode("overwrite").parquet(f"{target}/wave={wave}")
+            done.append(wave)
+    return done
 
 
 def read_slots(spark: SparkSession, path: str, first: int, last: int, shard: int = SHARD) -> DataFrame:

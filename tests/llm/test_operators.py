@@ -81,8 +81,8 @@ def repeated_spans(rows, k=suffix_dedup.PASSAGE):
     where = collections.defaultdict(set)
     texts = {}
     for d, t, *_ in rows:
-        if d is not None and t is not None:
-            texts[d, t] = t.encode().split()
+        if t is not None:
+            texts[("text", t) if d is None else d, t] = t.encode().split()
     for (d, _), w in texts.items():
         for s in range(len(w) - k + 1):
             where[tuple(w[s : s + k])].add(d)
@@ -103,6 +103,9 @@ def repeated_spans(rows, k=suffix_dedup.PASSAGE):
 
 
 def test_suffix_dedup(docs, rows, empty):
+    assert suffix_dedup.repeated_passages(table(docs.sparkSession, [(None, rows[0][1]), (None, rows[0][1])])).count() == 0  # one document
+    nameless = suffix_dedup.repeated_passages(docs.unionByName(table(docs.sparkSession, [(None, rows[0][1])]))).collect()
+    assert (0, 0, len(rows[0][1].split())) in {(r.doc_id, r.start_word, r.end_word) for r in nameless} and any(r.doc_id is None for r in nameless)
     got = suffix_dedup.repeated_passages(docs).collect()
     assert {(r.doc_id, r.start_word, r.end_word) for r in got} == repeated_spans(rows)
     assert len(got) == len(repeated_spans(rows))
@@ -221,7 +224,7 @@ def test_feistel_is_a_bijection():
     assert (token_output.permute(np.arange(1000), 1000, key=1) != token_output.permute(np.arange(1000), 1000, key=2)).any()
 
 
-def test_token_output_round_trip(spark, docs, rows, empty, tmp_path):
+def test_token_output_round_trip(docs, rows, empty):
     ordered = token_output.training_order(docs, length=64, shard=16)
     got = ordered.collect()
     assert sorted(r.slot for r in got) == list(range(len(got)))
@@ -235,15 +238,39 @@ def test_token_output_round_trip(spark, docs, rows, empty, tmp_path):
         assert ids[-1] == end and encoding.decode(ids[:-1]) == t
         texts.append(d)
     assert set(parts) == {d for d, t, *_ in rows if t}
-    path = f"file://{tmp_path}/shards"
-    token_output.write_shards(ordered, path)
-    before = spark.read.parquet(path).count()
-    token_output.write_shards(ordered, path)  # nothing is left to write
-    assert spark.read.parquet(path).count() == before == -(-len(got) // 16)
+    assert token_output.training_order(empty).count() == 0
+    other = token_output.training_order(docs.repartition(11), length=64, shard=16).collect()  # the order doesn't depend on the split
+    assert {(r.slot, r.doc_id, r.ids) for r in other} == {(r.slot, r.doc_id, r.ids) for r in got}
+
+
+def test_token_shards_are_ranges(spark, docs):
+    from pyspark.sql import functions as F
+
+    ordered = token_output.training_order(docs, length=64, shard=4)
+    spans = sorted((r.a, r.b) for r in ordered.groupBy(F.spark_partition_id()).agg(F.min("shard").alias("a"), F.max("shard").alias("b")).collect())
+    assert len(spans) > 1 and all(x[1] < y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def test_token_write_resumes(spark, docs, tmp_path):
+    import shutil
+
+    target = f"file://{tmp_path}/shards"
+    how = {"length": 64, "shard": 16, "waves": 4}
+    got = token_output.training_order(docs, length=64, shard=16).collect()
+    assert token_output.write_shards(docs, target, **how) == [0, 1, 2, 3]
+    before = spark.read.parquet(target).count()
+    assert before == -(-len(got) // 16) and token_output.write_shards(docs, target, **how) == []
+    shutil.rmtree(f"{tmp_path}/shards/wave=2")  # as after a crash: one wave is missing, one was not committed
+    (tmp_path / "shards/wave=1/_SUCCESS").unlink()
+    shutil.rmtree(f"{tmp_path}/shards/_tokens")
+    assert token_output.write_shards(docs.repartition(7), target, **how) == [1, 2]
     by_slot = {r.slot: r.ids for r in got}
-    part = token_output.read_slots(spark, path, 10, 40, shard=16).collect()
+    rows = token_output.read_slots(spark, target, 0, len(got), shard=16).collect()
+    assert len(rows) == len(got) and {r.slot: r.ids for r in rows} == by_slot
+    part = token_output.read_slots(spark, target, 10, 40, shard=16).collect()
     assert {r.slot: r.ids for r in part} == {s: by_slot[s] for s in range(10, 40)}
-    assert token_output.training_order(empty).count() == 0
+    with pytest.raises(ValueError, match="another output"):
+        token_output.write_shards(docs.limit(5), target, **how)
 
 
 def brute_quality(text):
@@ -260,6 +287,8 @@ def brute_quality(text):
 
 def test_quality_counts_and_cascade(spark, rows, docs, empty):
     extra = [(200, "a b c d e f g h\n" * 9, "en"), (201, "x# y$ " * 40, "en"), (202, "same line here\nother\nsame line here\n\n \nother", "en"), (203, "SHOUT LOUD " * 5 + " ".join("WORD" + str(i).translate(DIGITS).upper() for i in range(60)), "en")]
+    prose = [" ".join(words(40, 60 + k)) for k in range(5)]
+    extra += [(204, prose[0].replace(" ", " {} "), "en"), (205, prose[1] + " LOREM Ipsum", "en"), (206, prose[2].replace(" ", " x...\n"), "en"), (207, "\n- ".join(["", *(f"{w} {w}q {w}z" for w in prose[3].split())]), "en"), (208, prose[4].replace(" ", " 12 34 "), "en")]
     every = docs.unionByName(table(spark, extra))
     got = quality.apply_cascade(every).collect()
     want = collections.Counter((d, *brute_quality(t)) for d, t, *_ in [*rows, *extra])
@@ -268,6 +297,8 @@ def test_quality_counts_and_cascade(spark, rows, docs, empty):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert not (r.base_failed and r.kept) and r.kept == (r.rejected_by is None)
     by = {r.doc_id: r for r in got}
+    fixed = {r.doc_id: r.rejected_by for r in quality.apply_cascade(every, order=[r.name for r in quality.RULES]).collect()}
+    assert [fixed[k] for k in range(204, 209)] == ["braces", "placeholder", "ellipses", "bullets", "wordless"]
     assert not by[201].kept and not by[203].kept and by[0].kept
     names = [r.name for r in quality.RULES]
     for order in (names, names[::-1]):  # the order changes work, not verdicts
@@ -320,6 +351,61 @@ def test_secrets(spark, docs, empty):
     assert secrets.scan_secrets(docs).count() == docs.count() and secrets.scan_secrets(empty).count() == 0
 
 
+def leftmost(text, kind):
+    """A plain scanner of one base kind: (start, end) by trying every place."""
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    body = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    out, at = [], 0
+    while at < len(text):
+        end = None
+        if kind == "access" and text.startswith("AKIA", at):
+            end = at + 4
+            while end < len(text) and text[end] in body and (text[end].isdigit() or "A" <= text[end] <= "Z"):
+                end += 1
+            end, least = (end if end > at + 4 else None), 16
+            size = (end or at) - at
+        elif kind == "hex" and text[at] in "0123456789abcdef":
+            end = at
+            while end < len(text) and text[end] in "0123456789abcdef":
+                end += 1
+            size, least = end - at, 32
+        elif kind == "assign":
+            for name in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+                if text[at : at + len(name)].encode("utf-8", "replace").translate(low).decode("utf-8", "replace") == name:
+                    k = at + len(name)
+                    k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    if text[k : k + 1] not in (":", "="):
+                        continue
+                    k += 1
+                    while text[k : k + 1] == " ":
+                        k += 1
+                    k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                    first = k
+                    while k < len(text) and text[k] in body:
+                        k += 1
+                    if k > first:
+                        end, size, least = k, k - first, 8
+                        break
+        if end is None:
+            at += 1
+            continue
+        if size >= least:
+            out.append((at, end))
+        at = end
+    return out
+
+
+def test_secret_base_spans_against_a_plain_scanner():
+    rng = random.Random(12)
+    bits = ["password", "Token", "API_KEY", "apikey", "secret", ":", "=", " ", "'", '"', "abcdefgh", "12", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef", "f" * 20, "é", "\n", "-", "Z"]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 40)))
+        want = [(s, k, e) for k, kind in enumerate(("assign", "access", "hex")) for s, e in leftmost(text, kind)]
+        assert sorted(secrets.base_spans(text)) == sorted(want), text
+
+
 def test_secrets_in_their_usual_forms(spark):
     key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 120))) + der(2, b"\x01\0\x01"))
     text = lambda x: len(x).to_bytes(4, "big") + x
@@ -344,6 +430,15 @@ def test_secrets_in_their_usual_forms(spark):
     assert [got[i].n_confirmed for i in range(10)] == [1, 1, 1, 1, 1, 1, 1, 1, 0, 0]
     assert got[0].spans == f"key:0:{len(texts[0])}" and got[1].spans == f"key:0:{len(wrapped)}" and got[2].spans == f"key:0:{len(texts[2])}"
     assert got[3].spans == f"key:3:{3 + len(url)}" and f"key:0:{len(texts[4])}" in got[4].spans and f"key:4:{4 + 2 * len(key)}" in got[5].spans
+    more = {
+        0: "private_key=" + b64,
+        1: "x-" + url,
+        2: base64.urlsafe_b64encode(b'{ "alg": "HS256", "typ": "JWT" }').decode().rstrip("=") + ".payload123.sig",
+        3: base64.urlsafe_b64encode(b'{\n "alg": "HS256"}').decode().rstrip("=") + ".payload123.sig",
+        4: "-" + base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=") + ".payload123.",
+    }
+    found = {r.doc_id: r for r in secrets.scan_secrets(table(spark, list(more.items()))).collect()}
+    assert [found[i].n_confirmed for i in range(5)] == [1] * 5
     assert got[6].spans.startswith("armour:0:") and got[7].spans.startswith("armour:17:")
 
 
@@ -603,6 +698,23 @@ def test_url_templates_learn_from_labels(spark):
     assert got[1001].verdict == "allow" and got[2001].verdict == "allow" and got[2001].template == "/*"
 
 
+def test_url_templates_generalise_below_a_variable_segment(spark):
+    name = lambda k: f"n{k}x".translate(DIGITS)
+    urls = [(i, f"http://a.net/u/{name(i)}/{name(i * 7)}") for i in range(60)] + [(100 + i, f"http://a.net/u/{name(i)}/edit") for i in range(60)] + [(200 + i, f"http://a.net/{'/'.join(name(i + k) for k in range(12))}") for i in range(30)]
+    got = {r.page_id: r.template for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    assert {got[i] for i in range(60)} == {"/u/*/*"} and {got[100 + i] for i in range(60)} == {"/u/*/edit"}
+    assert {got[200 + i] for i in range(30)} == {"/" + "/".join("*" * url_filter.DEPTH)}
+
+
+def test_url_branches_are_judged_by_their_nearest_labels(spark):
+    rules = (("block", "b.net", "/x/spam"), ("allow", "b.net", "/y/"), ("block", "w.net", "/q"))
+    urls = [(i, f"http://b.net/x/spam{i}/a") for i in range(60)] + [(100 + i, f"http://b.net/y/p{i}") for i in range(60)]
+    urls += [(200, "http://b.net/x/other/a"), (201, "http://b.net/z/a"), (202, "http://c.net/x/spa"), (203, "http://w.net/a")] + [(300 + i, f"http://w.net/q{i}") for i in range(60)]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert got[200].verdict == "block" and got[200].rule is None  # as its branch
+    assert got[201].verdict == got[202].verdict == "allow" and got[203].verdict == "block"  # the host's share decides
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href="/a">menu {0}</a></li></ul></nav>
 <div class="ad">buy {0}</div>{1}<div id="comments"><p>nice {0}</p></div><aside>side</aside><form><p>sign up</p></form><footer>&copy; host {0}</footer></body></html>"""
 
@@ -657,3 +769,57 @@ def test_html_keeps_copies_and_wrapped_pages(spark):
         assert got[i] == f"Head {n}\nBody text number {n} that goes on for a while"
     assert got[10] == got[11] == got[13] == "Title\nText of the story"
     assert got[12] == "Text of the story in a form"
+
+
+def test_html_labels_of_whole_words_only(spark):
+    page = """<body><article><h1>T</h1><h2 id="social-history">Social history</h2><p>aa</p><section class="related-work"><p>bb</p></section><div id="search">cc</div>
+    <div class="ad-slot">buy</div><div class="share-buttons">Share</div><section class="comments"><p>nice</p></section><div class="siteFooter">foot</div></article></body>"""
+    frame = spark.createDataFrame([(1, "http://one.net/", page), (1, "http://one.net/", page), (2, "http://two.net/", "<article><p>" + "word " * 60000 + "</p></article>")], "page_id long, url string, html string")
+    got = html_extract.extract_text(frame).collect()
+    assert [r.text for r in got if r.page_id == 1] == ["T\nSocial history\naa\nbb\ncc"] * 2
+    assert [r.n_chars for r in got if r.page_id == 2] == [5 * 60000 - 1]
+
+
+BARE = "<body><div class=qa><span>Our site</span><div>Home</div><div>About</div></div><div class=qb><div>{0}</div><div>{1}</div><div>{2}</div></div><div class=qc><div>All rights reserved</div><div>Imprint</div></div></body>"
+
+
+def test_html_template_without_articles_or_telling_names(spark):
+    texts = [[" ".join(words(12, 100 * i + k)) for k in range(3)] for i in range(9)]
+    texts[4][1] = "Imprint"  # the template's words elsewhere are the page's own
+    rows = [(i, f"http://one.net/{i}", BARE.format(*t)) for i, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(t) for i, t in enumerate(texts)}
+
+
+def test_html_occurrence_classes_against_brute_force(spark):
+    rng = random.Random(6)
+    pages = []
+    for i in range(14):
+        items = "".join(f"<li>{rng.choice('abc')}</li>" for _ in range(1 + i % 3))
+        pages.append((i, f"http://h{i % 2}.net/{i}", f"<body><div class=m><p>fixed one</p><ul>{items}</ul></div><div class=t><p>{' '.join(words(6, i))}</p>{'<p>often</p>' * (i % 4)}</div><p>fixed two</p></body>"))
+    pages.append(pages[0])
+    vectors, n = collections.defaultdict(dict), collections.Counter()
+    for host in (0, 1):
+        for i, _, source in pages[:14]:
+            if i % 2 != host:
+                continue
+            n[f"h{host}.net"] += 1
+            blocks, opened, _ = html_extract.read_page(source)
+            count = collections.Counter((b[0], html_extract._fixed(b[0], b[3])) for b in blocks) + collections.Counter({(p, None): k for p, (k, _) in opened.items()}) + collections.Counter({("", None): 1})
+            for token, k in count.items():
+                vectors[f"h{host}.net", *token][i] = k
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("split(url, '/')[2] as host", "page_id", "html")
+    got = html_extract.occurrences(html_extract.page_tokens(frame)).collect()
+    assert {(r.host, r.path, r.text_hash) for r in got} == set(vectors)
+    brute, mine = collections.defaultdict(set), collections.defaultdict(set)
+    for (host, *token), vector in vectors.items():
+        brute[host, tuple(sorted(vector.items()))].add(tuple(token))
+    for r in got:
+        mine[r.host, r.pages, r.vector].add((r.path, r.text_hash))
+    assert sorted(map(sorted, ([str(x) for x in c] for c in brute.values()))) == sorted(map(sorted, ([str(x) for x in c] for c in mine.values())))
+
+
+def test_html_classes_nest_by_span():
+    classes = {(9, 1): [0.0, 10.0, 20.0], (9, 2): [11.0, 15.0], (8, 3): [12.0, 14.0], (8, 4): [9.0, 16.0], (7, 5): [1.0, 2.0]}
+    assert html_extract.nested(classes) == {(9, 1), (9, 2), (8, 3), (7, 5)}
+    assert html_extract._aligned([(0, 5), (1, 1), (2, 2), (3, 2), (4, 0), (5, 7)]) == {1, 2, 3, 5}
