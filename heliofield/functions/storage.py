@@ -13,9 +13,12 @@ _known: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder of this run in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """A folder of this run in ``spark.checkpoint.dir``; a temporary one only where that is unset and driver and tasks are one process (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="heliofield-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/heliofield-{_RUN}"

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from heliofield.functions import sigmoid
 from heliofield.functions.storage import save
 from heliofield.operators.graph import components
-from heliofield.operators.points import BUILDING, GROUND, HIGH, candidates, lowest_percent
+from heliofield.operators.points import BUILDING, GROUND, HIGH, RELEVANT, candidates, class_filter, crop, lowest_percent
 
 SCALES = (10, 20, 40)
+#: A point's own cell may hold this many times the points that the search is made for.
+CROWD = 4
 
 
 def _cells(df: DataFrame, axes: str, cell: float, prefix: str) -> DataFrame:
@@ -50,15 +52,37 @@ def _met(queries: DataFrame, points: DataFrame, axes: str, cell: float, ring: in
     return _around(queries, axes, cell, ring).join(near, [f"__c{c}" for c in axes]).withColumn("dist", _distance(axes)).drop(*(f"__c{c}" for c in axes))
 
 
+def _met_by_points(queries: DataFrame, points: DataFrame, axes: str, cell: float, ring: int) -> DataFrame:
+    """The same pairs as ``_met``, with the points copied to the cells around them: a query's pairs are then in one task, for sums before a shuffle."""
+    near = _around(points.select(F.col("pid").alias("nid"), *axes), axes, cell, ring)
+    near = near.select("nid", *(F.col(c).alias(f"__n{c}") for c in axes), *(f"__c{c}" for c in axes))
+    return _cells(queries, axes, cell, "__c").join(near, [f"__c{c}" for c in axes]).withColumn("dist", _distance(axes)).drop(*(f"__c{c}" for c in axes))
+
+
+def _nearest(met: DataFrame) -> DataFrame:
+    """pid, nid, dist of the least distance, on a tie of the least id."""
+    return met.groupBy("pid").agg(F.min(F.struct("dist", "nid")).alias("m")).select("pid", F.col("m.nid").alias("nid"), F.col("m.dist").alias("dist"))
+
+
 def typical_cell(points: DataFrame, axes: str, k: int) -> tuple[float, float]:
-    """(cell size, extent of the cloud): at the mean density, nearly all points have k neighbours within a cell's width."""
+    """A cell as wide as the reach in which a typical point has its k nearest, and the longest side of the points' box.
+
+    The box's mean density gives a first width. Where points are clumped, their own cells hold more than that: the width shrinks until a point's cell
+    holds on average (over points) no more than ``CROWD`` times what was meant, so the pairs met stay in proportion to the points."""
     r = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{c}") for c in axes for f, n in ((F.min, "a"), (F.max, "b")))).first()
     if not r["n"]:
         return 1.0, 1.0
     sides = [max(r[f"b{c}"] - r[f"a{c}"], 1e-3) for c in axes]
-    density = r["n"] / math.prod(sides)
     ball = math.pi if len(axes) == 2 else 4 / 3 * math.pi
-    return max(((k + 3 * math.sqrt(k) + 2) / (ball * density)) ** (1 / len(axes)), 1e-3), max(sides)
+    meant = (k + 3 * math.sqrt(k) + 2) / ball
+    cell = max((meant * math.prod(sides) / r["n"]) ** (1 / len(axes)), 1e-3)
+    while cell > 1e-3:
+        counts = _cells(points.select(*axes), axes, cell, "__c").groupBy(*(f"__c{c}" for c in axes)).agg(F.count("*").alias("n"))
+        own = counts.agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("m")).first()["m"]
+        if own <= CROWD * meant:
+            break
+        cell = max(cell * max((meant / own) ** (1 / len(axes)), 0.25), 1e-3)
+    return cell, max(sides)
 
 
 def _pruned(queries: DataFrame, points: DataFrame, k: int, axes: str, reach: float) -> DataFrame:
@@ -89,17 +113,20 @@ def knn(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz", cell:
 
     Most queries end in the first round, in the cells around them; sparse places go on with a reach four times as long."""
     auto, extent = typical_cell(points, axes, k)
-    span = extent + typical_cell(queries, axes, k)[1]
+    box = queries.agg(*(f(c).alias(f"{n}{c}") for c in axes for f, n in ((F.min, "a"), (F.max, "b")))).first()
+    span = extent + max([(box[f"b{c}"] or 0.0) - (box[f"a{c}"] or 0.0) for c in axes] + [1e-3])
     reach, first = cell or auto, True
     order = Window.partitionBy("pid").orderBy("dist", "nid")
-    ranked = lambda met: met.select("pid", "nid", "dist").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = lambda met: _nearest(met).withColumn("rank", F.lit(1))
+    ranked = best if k == 1 else lambda met: met.select("pid", "nid", "dist").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    meet = _met_by_points if k == 1 else _met
     left, done = queries.select("pid", *axes), None
     while True:
         if reach > 4 * span:  # everything is within reach
-            found = save(ranked(_met(left, points, axes, reach, 1)), "knn")
+            found = save(ranked(meet(left, points, axes, reach, 1)), "knn")
             return found if done is None else done.unionByName(found)
         if first:
-            found = save(ranked(_met(left, points, axes, reach, 1)), "knn")
+            found = save(ranked(meet(left, points, axes, reach, 1)), "knn")
             ok = found.where((F.col("rank") == k) & (F.col("dist") <= reach)).select("pid")
             sure = found.join(ok, "pid", "left_semi")
         else:
@@ -119,7 +146,7 @@ def within(queries: DataFrame, points: DataFrame, radius: float, axes: str = "xy
 
 def nearest_within(queries: DataFrame, points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
     """pid, nid, dist: the single nearest point, if it is at most ``radius`` away."""
-    return within(queries, points, radius, axes).groupBy("pid").agg(F.min(F.struct("dist", "nid")).alias("m")).select("pid", F.col("m.nid").alias("nid"), F.col("m.dist").alias("dist"))
+    return _nearest(_met_by_points(queries.select("pid", *axes), points, axes, radius, 1).where(F.col("dist") <= radius))
 
 
 def ground_or_lowest(points: DataFrame) -> DataFrame:
@@ -348,6 +375,13 @@ def reclassify_buildings(points: DataFrame, threshold: float = 0.70, radius: flo
     return points.join(accepted, "pid", "left").withColumn("cls", F.when(F.col("__b"), F.lit(BUILDING)).otherwise(F.col("cls")).cast("int")).drop("__b")
 
 
+def prepare_cloud(points: DataFrame, bounds: tuple[float, float, float, float] | None = None, vertices=None, classes=RELEVANT, k: int = 20, ratio: float = 3.0, skip_outliers: bool = False, **how) -> DataFrame:
+    """Crop, outliers and class filter, building reclassification, in this order; z stays an elevation. ``how`` goes to ``reclassify_buildings``."""
+    inside = save(crop(points, bounds, vertices), "cropped")
+    clean = save(class_filter(remove_outliers(inside, k, ratio, skip_outliers), classes), "filtered")
+    return reclassify_buildings(clean, **how)
+
+
 def planarity_reclass(points: DataFrame, k: int = 20, threshold: float = 0.7) -> DataFrame:
     """High vegetation whose neighbourhood is planar becomes building."""
     own = points.where(F.col("cls") == HIGH)

@@ -15,7 +15,7 @@ from heliofield.operators.series import asof_backward, full_join, resample
 
 @dataclass(frozen=True)
 class Site:
-    """Site parameters and their defaults."""
+    """Site parameters and their defaults (fixed values of the studied site)."""
 
     latitude: float = 62.979849
     longitude: float = 27.648656
@@ -57,13 +57,23 @@ def albedo_legacy(temperature: Column) -> Column:
 
 
 def weather_day(weather: DataFrame, radiation: DataFrame, cams: DataFrame | None, ts: str = "t", site: Site = Site()) -> DataFrame:
-    """Assembled weather, one row a five-minute bin: full join, bin means, satellite dni as of each bin, and the day's albedo."""
-    binned = resample(full_join([weather, radiation], ts), ts, ["temp", "ghi", "dhi"]).withColumn("day", F.to_date(ts))
+    """Assembled weather, one row a five-minute bin: full join, bin means, and the day's albedo.
+
+    The satellite series ``cams`` gives dni as of each bin, and ghi and dhi where the ground has none and it has such columns; without it dni is 0.
+    ``weather`` may have a wind column."""
+    joined = full_join([weather, radiation], ts)
+    ground = [c for c in ("temp", "wind", "ghi", "dhi") if c in joined.columns]
+    binned = resample(joined, ts, ground).withColumn("day", F.to_date(ts))
+    for c in {"temp", "wind", "ghi", "dhi"} - set(ground):
+        binned = binned.withColumn(c, F.lit(None).cast("double"))
     daily = binned.groupBy("day").agg(F.avg("temp").alias("mean_temp"))
-    filled = binned if cams is None else asof_backward(binned, cams, ts).withColumn("dni", F.col("match.dni")).drop("match")
     if cams is None:
-        filled = filled.withColumn("dni", F.lit(0.0))
-    return filled.join(daily, "day").select("day", ts, "dni", "dhi", "ghi", "temp", albedo(F.col("mean_temp"), site).alias("albedo"))
+        filled = binned.withColumn("dni", F.lit(0.0))
+    else:
+        filled = asof_backward(binned, cams, ts).withColumn("dni", F.col("match.dni"))
+        for c in {"ghi", "dhi"} & set(cams.columns):
+            filled = filled.withColumn(c, F.coalesce(c, F.col("match")[c]))
+    return filled.join(daily, "day").select("day", ts, "dni", "dhi", "ghi", "temp", "wind", albedo(F.col("mean_temp"), site).alias("albedo"))
 
 
 def apply_shadows(forecast: DataFrame, matrix: DataFrame, beam_only: bool = False) -> DataFrame:

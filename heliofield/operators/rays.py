@@ -6,6 +6,7 @@ the grid in one equi-join, and a ray's transmittance is an order-independent agg
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,11 +106,12 @@ def trace(segs: DataFrame, grid: DataFrame, limit: int = 20) -> DataFrame:
 def march(rays: DataFrame, grid: DataFrame, box: DataFrame, size: float, skip: float = SKIP, buffer: float = BUFFER, k: float = K_BASE, g: float = 0.5, most_bytes: int = 256 << 20) -> DataFrame:
     """The same per-ray transmittance by stepping Arrow batches of rays through a dense copy of the grid.
 
-    The dense grid is sent to the tasks only if it has at most ``most_bytes``; use ``segments`` and ``transmittance`` beyond."""
+    The dense grid is sent to the tasks only if it has at most ``most_bytes``; a larger one is met by segments in a join."""
     b = box.first()
     dims = np.array([b["nx"], b["ny"], b["nz"]])
-    if int(dims.prod()) * 5 > most_bytes:
-        raise ValueError("the dense grid is too large to broadcast; use segments() and transmittance()")
+    if math.prod(dims.tolist()) * 9 > most_bytes:
+        key = [c for c in rays.columns if c not in ("ox", "oy", "oz", "dx", "dy", "dz")]
+        return transmittance(segments(rays, box, size, buffer), grid, skip, buffer, k, lambda _: F.lit(g), key)
     cells = grid.select("ix", "iy", "iz", "cls", "lad").toArrow()
     cls, lad = np.zeros(dims, np.int8), np.zeros(dims, np.float64)
     index = tuple(np.asarray(cells.column(c)) for c in ("ix", "iy", "iz"))

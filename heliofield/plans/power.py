@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heliofield.operators import evaluation as E
 from heliofield.operators import matrix as M
 from heliofield.operators import pv as PV
 from heliofield.operators import series as S
@@ -80,8 +81,8 @@ def chg(new, old):
 INV_SQL = f"i0 as ({INV}), i1 as (select *, lag(t) over (order by t, event_id) as prev_t from i0), i2 as (select *, epoch_us(t - prev_t)/60e6 as dt_min from i1)"
 DST = "case when d_ > last_day(make_date(year(d_), 3, 1)) - cast((dayofweek(last_day(make_date(year(d_), 3, 1)))) as int) and d_ <= last_day(make_date(year(d_), 10, 1)) - cast((dayofweek(last_day(make_date(year(d_), 10, 1)))) as int) then 3 else 2 end"
 BIN = "time_bucket(interval '5 minutes', t)"
-WX = f"""tw as ({TEMP}), ra as ({RAD}), fj as (select coalesce(tw.t, ra.t) as t, temp, ghi, dhi from tw full join ra on tw.t = ra.t)"""
-BINS = f"""bi as (select {BIN} as t, avg(temp) as temp, avg(ghi) as ghi, avg(dhi) as dhi from fj group by 1), sp as (select unnest(generate_series(a, b, interval '5 minutes')) as t from (select min(t) as a, max(t) as b from bi) r), re as (select sp.t, temp, ghi, dhi from sp left join bi on sp.t = bi.t)"""
+WX = f"""tw as ({TEMP}), ra as ({RAD}), fj as (select coalesce(tw.t, ra.t) as t, temp, wind, ghi, dhi from tw full join ra on tw.t = ra.t)"""
+BINS = f"""bi as (select {BIN} as t, avg(temp) as temp, avg(wind) as wind, avg(ghi) as ghi, avg(dhi) as dhi from fj group by 1), sp as (select unnest(generate_series(a, b, interval '5 minutes')) as t from (select min(t) as a, max(t) as b from bi) r), re as (select sp.t, temp, wind, ghi, dhi from sp left join bi on sp.t = bi.t)"""
 R3 = ["temp", "ghi", "dhi"]
 
 
@@ -102,13 +103,37 @@ def tz_shift(s, d):
     return S.logger_to_local(inv(s, d).withColumn("day", F.to_date("t")), "t", "day").select("event_id", "day", "t")
 
 
+def cams(s, d):
+    return frame(s, d, CAMS).groupBy("t").agg(*(F.max(c).alias(c) for c in ("dni", "ghi", "dhi")))
+
+
+def weather(s, d):
+    return PV.weather_day(frame(s, d, TEMP), frame(s, d, RAD), cams(s, d))
+
+
+def log(s, d):
+    return S.inverter_power(inv(s, d)).select("t", "power_w")
+
+
 def matched(s, d):
-    """Measured, base and shaded of each day on the five-minute grid, in civil time."""
-    log = S.logger_to_local(inv(s, d).withColumn("day", F.to_date("t")), "t", "day").groupBy("day", F.window("t", "5 minutes")["start"].alias("t")).agg(F.avg("e").alias("measured"))
-    fc = PV.apply_shadows(forecast(s, d), matrix(s)).withColumn("day", F.to_date("t"))
-    fc = S.utc_to_local(fc, "t", "day").groupBy("day", F.window("t", "5 minutes")["start"].alias("t")).agg(F.avg(F.col("output") * 0.95).alias("base"), F.avg(F.col("output_shaded") * 0.95).alias("shaded"))
-    a, b = S.day_grid(log, "day", "t", ["measured"]), S.day_grid(fc, "day", "t", ["base", "shaded"])
-    return a.join(b, ["day", "t"], "full").select("day", "t", *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("measured", "base", "shaded")))
+    """Measured, base and shaded of each day with weather on the five-minute grid, in civil time."""
+    return E.matched_days(E.measured_days(log(s, d)), E.forecast_days(weather(s, d), matrix(s), shift_minutes=-30.0))
+
+
+#: Two sub-arrays of one logger (fixed values of the studied site: 8 and 6 of 14 panels).
+NORTH, SOUTH = PV.Site(nominal_w=2640.0, tilt=12.0, azimuth=170.0), PV.Site(nominal_w=1980.0, tilt=15.0, azimuth=190.0)
+
+
+def turned(m):
+    """The proxy matrix of the second sub-array: the first one's, half as dark."""
+    return m.withColumn("shadow", F.col("shadow") * 0.5)
+
+
+def evaluated(s, d, arrays=None):
+    """Pairs and metrics of the days that have a log, with the weather loaded for them."""
+    m = matrix(s)
+    listed = inv(s, d).select(F.to_date("t").alias("day")).distinct()
+    return E.evaluate_days(listed, log(s, d), lambda days: weather(s, d).join(days, "day", "left_semi").drop("day"), arrays or [(NORTH, m), (SOUTH, turned(m))], -30.0)
 
 
 def two_banks(s, d):
@@ -136,6 +161,43 @@ def sun_fraction(s, d):
     return PV.apply_shadows(forecast(s, d), matrix(s)).select("event_id", *r6("altitude", "azimuth", "shadow_beam", "shadow_diffuse", "beam_fraction", "diffuse_fraction", "output_shaded"))
 
 
+WEATHER = f"""{WX}, {BINS}, c as (select t, max(dni) as dni, max(ghi) as cg, max(dhi) as cd from ({CAMS}) x group by t), dy as (select cast(t as date) as day, avg(temp) as m from re group by 1),
+wd as (select dy.day, re.t, c.dni, coalesce(re.dhi, c.cd) as dhi, coalesce(re.ghi, c.cg) as ghi, re.temp, re.wind, case when m is null then 0.2D else round(0.65D/(1+exp((m-1)/0.75D)) + 0.2D*(1-1/(1+exp((m-1)/0.75D))), 3) end as albedo
+  from re asof left join c on re.t >= c.t join dy on cast(re.t as date) = dy.day)"""
+D_SUN = "last_day(make_date(year({1}), {0}, 1)) - cast(dayofweek(last_day(make_date(year({1}), {0}, 1))) as int)"
+OFFSET = f"case when day > {D_SUN.format(3, 'day')} and day <= {D_SUN.format(10, 'day')} then 3 else 2 end"
+
+
+def array_sql(k: int, site: PV.Site, dark: str) -> str:
+    """a<k>: (day, t, base, shaded) of one sub-array, from the weather wd with the sun's position in wp."""
+    tilt, az = f"radians({site.tilt}D)", f"radians({site.azimuth}D)"
+    return f"""m{k} as (select alt, az, shadow*{dark} as shadow from ({MATRIX}) x), h{k} as (select case when sum(w) <> 0 then sum(shadow*w)/sum(w) else 0 end as sd from (select shadow, cos(radians(90.0D-(alt+1)))*sin(radians(90.0D-(alt+1))) as w from m{k}) h),
+g{k} as (select *, greatest(case when altitude > 0 then coalesce(dni, 0)*greatest(sin(radians(altitude))*cos({tilt}) + cos(radians(altitude))*sin({tilt})*cos(radians(azimuth)-{az}), 0.0D) else 0 end
+  + coalesce(dhi, 0)*((1+cos({tilt}))/2) + coalesce(ghi, 0)*albedo*((1-cos({tilt}))/2), 0.0D) as plane from wp),
+o{k} as (select *, greatest(plane/1000.0D*{site.nominal_w}D*(1-0.004D*(coalesce(temp, 20.0D) + plane*(25.0D/800.0D)*9.5D/(5.7D+3.8D*coalesce(wind, 2.0D)) - 25.0D)), 0.0D) as output,
+  case when dni is null or ghi is null then 0.0D else least(1.0D, greatest(0.0D, dni*greatest(cos(radians(90.0D-altitude)), 0.0D)/greatest(ghi, 1e-6))) end as b,
+  case when dhi is null or ghi is null then 0.0D else least(1.0D, greatest(0.0D, dhi/greatest(ghi, 1e-6))) end as d from g{k}),
+s{k} as (select o{k}.*, sd, case when altitude > 0.5D then greatest(0.0D, least(1.0D, shadow)) else 0 end as sb from o{k} cross join h{k} join m{k} on m{k}.alt = r_ and m{k}.az = c_),
+b{k} as (select day, time_bucket(interval '5 minutes', t - interval '30 minutes' + to_hours({OFFSET})) as t, avg(output*0.95D) as base, avg(output*greatest(0.0D, least(1.0D, b*(1-sb) + d*(1-sd) + greatest(0.0D, least(1.0D, 1-b-d))*(1-sd)))*0.95D) as shaded from s{k} group by 1, 2),
+a{k} as (select sp.day, sp.t, case when b{k}.t is null then 0 else base end as base, case when b{k}.t is null then 0 else shaded end as shaded from spine sp left join b{k} on sp.day = b{k}.day and sp.t = b{k}.t)"""
+
+
+def evaluation_sql(arrays: list[tuple[PV.Site, str]], days: str) -> str:
+    """pr: (day, t, real, base, shaded), from the inverter log and the weather of the days in the given condition."""
+    real = f"""{INV_SQL}, ik as (select median(dt_min) as md, max(e)*(60.0D/5.0D)*2 as cap from i2), iw as (select t, cast(t as date) as day, case when e is null then 0 when coalesce(dt_min, md) = 0 then case when e > 0 then cap else 0 end else least(e/(coalesce(dt_min, md)/60.0D), cap) end as power_w from i2, ik),
+lb as (select day, time_bucket(interval '5 minutes', t + to_hours({OFFSET} - 3)) as t, avg(power_w) as real from iw group by 1, 2)"""
+    sums = ", ".join("+".join(f"a{k}.{c}" for k in range(len(arrays))) + f" as {c}" for c in ("base", "shaded"))
+    met = "".join(f" join a{k} on a0.day = a{k}.day and a0.t = a{k}.t" for k in range(1, len(arrays)))
+    return f"""{WEATHER}, {real}, wk as (select * from wd where {days}), {sun_sql('wk', 't', 'w0')}, wp as (select w0.*, {PROJ} from w0),
+spine as (select day, unnest(generate_series(cast(day as timestamp), cast(day as timestamp) + interval '1435 minutes', interval '5 minutes')) as t from (select distinct day from wk) x),
+{", ".join(array_sql(k, site, dark) for k, (site, dark) in enumerate(arrays))},
+fc as (select a0.day, a0.t, {sums} from a0{met}), pr as (select fc.day, fc.t, coalesce(lb.real, 0) as real, coalesce(base, 0) as base, coalesce(shaded, 0) as shaded from fc left join lb on fc.day = lb.day and fc.t = lb.t)"""
+
+
+BANKS = [(NORTH, "1.0D"), (SOUTH, "0.5D")]
+LOGGED = "day in (select cast(t as date) from i0)"
+
+
 def queries():
     q = {}
     q["matrix_smooth_2x2"] = (lambda s, d: M.smooth(matrix(s), 2, 2).select("alt", "az", *r6("shadow")), smooth_sql(2, 2))
@@ -183,10 +245,7 @@ select event_id, round(plane,6) as plane, round(greatest(plane/1000.0D*3960.0D*(
         lambda s, d: S.asof_backward(views(s, d), frame(s, d, CAMS), "t", tie=["event_id"]).select("event_id", F.col("match.event_id").alias("from_id"), F.round("match.dni", 6).alias("dni")),
         f"with v as ({VIEWS}), c as (select *, row_number() over (partition by t order by event_id desc) as rn from ({CAMS}) x) select v.event_id, c.event_id as from_id, round(c.dni, 6) as dni from v asof left join (select * from c where rn = 1) c on v.t >= c.t",
     )
-    q["weather_assembly"] = (
-        lambda s, d: PV.weather_day(frame(s, d, TEMP), frame(s, d, RAD), frame(s, d, CAMS).groupBy("t").agg(F.max("dni").alias("dni"))).select("day", "t", *r6("dni", "dhi", "ghi", "temp", "albedo")),
-        f"with {WX}, {BINS}, c as (select t, max(dni) as dni from ({CAMS}) x group by t), dy as (select cast(t as date) as day, avg(temp) as m from re group by 1) select dy.day, re.t, round(c.dni,6) as dni, {round_sql(['dhi', 'ghi', 'temp'])}, case when m is null then 0.2D else round(0.65D/(1+exp((m-1)/0.75D)) + 0.2D*(1-1/(1+exp((m-1)/0.75D))), 3) end as albedo from re asof left join c on re.t >= c.t join dy on cast(re.t as date) = dy.day",
-    )
+    q["weather_assembly"] = (lambda s, d: weather(s, d).select("day", "t", *r6("dni", "dhi", "ghi", "temp", "wind", "albedo")), f"with {WEATHER} select day, t, {round_sql(['dni', 'dhi', 'ghi', 'temp', 'wind', 'albedo'])} from wd")
     q["inverter_power"] = (
         lambda s, d: S.inverter_power(inv(s, d)).select("event_id", "t", *r6("dt_min", "power_w")),
         f"with {INV_SQL}, k as (select median(dt_min) as md, max(e)*(60.0D/5.0D)*2 as cap from i2) select event_id, t, round(dt_min,6) as dt_min, round(case when e is null then 0 when coalesce(dt_min, md) = 0 then case when e > 0 then cap else 0 end else least(e/(coalesce(dt_min, md)/60.0D), cap) end, 6) as power_w from i2, k",
@@ -198,11 +257,16 @@ select event_id, round(plane,6) as plane, round(greatest(plane/1000.0D*3960.0D*(
     off = f"case when d_ > {sun.format(3)} and d_ <= {sun.format(10)} then 3 else 2 end"
     q["tz_shift_local"] = (tz_shift, f"with i0 as ({INV}), s as (select event_id, t, cast(t as date) as d_ from i0) select event_id, d_ as day, t + to_hours({off} - 3) as t from s")
     q["forecast_shift"] = (lambda s, d: S.shift_on_grid(S.utc_to_local(views(s, d).withColumn("day", F.to_date("t")), "t", "day"), "t", -30.0).select("event_id", "t"), f"with v as ({VIEWS}), s as (select event_id, t, cast(t as date) as d_ from v) select event_id, t + to_hours({off}) - interval '30 minutes' as t from s")
-    lg = f"with i0 as ({INV}), s as (select t, e, cast(t as date) as d_ from i0), l as (select d_ as day, time_bucket(interval '5 minutes', t + to_hours({off} - 3)) as t, avg(e) as measured from s group by 1, 2)"
-    fcs = f"{FC}, g as (select *, {frac} from fc), o as (select t, cast(t as date) as d_, output*0.95D as base, ({shaded})*0.95D as shaded from g), f as (select d_ as day, time_bucket(interval '5 minutes', t + to_hours({off})) as t, avg(base) as base, avg(shaded) as shaded from o group by 1, 2)"
-    q["day_pipeline"] = (
-        matched,
-        f"{lg}, {fcs}, ds as (select distinct day from l union select distinct day from f), sp as (select day, unnest(generate_series(cast(day as timestamp), cast(day as timestamp) + interval '1435 minutes', interval '5 minutes')) as t from ds) select sp.day, sp.t, round(coalesce(measured, 0), 6) as measured, round(coalesce(base, 0), 6) as base, round(coalesce(shaded, 0), 6) as shaded from sp left join l on sp.day=l.day and sp.t=l.t left join f on sp.day=f.day and sp.t=f.t",
+    power3 = ["real", "base", "shaded"]
+    q["day_pipeline"] = (lambda s, d: matched(s, d).select("day", "t", *r6(*power3)), f"with {evaluation_sql([(PV.Site(), '1.0D')], 'true')} select day, t, {round_sql(power3)} from pr")
+    q["bank_day_pipeline"] = (lambda s, d: evaluated(s, d)[0].select("day", "t", *r6(*power3)), f"with {evaluation_sql(BANKS, LOGGED)} select day, t, {round_sql(power3)} from pr")
+    q["evaluate_days"] = (
+        lambda s, d: evaluated(s, d)[1].select("day", "n_daytime", *(F.round(c, 4).alias(c) for c in METRICS)),
+        f"with {evaluation_sql(BANKS, LOGGED)}, {DAYM.replace(PAIRS, 'select day, real, base, shaded from pr')} select day, n_daytime, {', '.join(f'round({c}, 4) as {c}' for c in METRICS)} from dm",
+    )
+    q["carry_irradiance"] = (
+        lambda s, d: E.carry_irradiance(views(s, d).groupBy("t").agg(F.avg("v").alias("output"), F.max("v").alias("ghi")), cams(s, d)).select("t", *r6("output", "ghi", "dni", "dhi")),
+        f"with v as (select t, avg(v) as output, max(v) as ghi from ({VIEWS}) x group by t), c as (select t, max(dni) as dni, max(dhi) as dhi from ({CAMS}) x group by t) select v.t, round(output, 6) as output, round(ghi, 6) as ghi, round(dni, 6) as dni, round(dhi, 6) as dhi from v left join c on v.t = c.t",
     )
     q["bank_sum"] = (lambda s, d: two_banks(s, d).select("t", *r6("output")), f"with v as ({VIEWS}), b as (select t, avg(v*4.0D) as output from v group by t) select t, round(output*8/14 + output*6/14, 6) as output from b where minute(t) % 2 = 0")
     # energies are multiples of 1/120000: a billionth keeps both engines off the rounding ties

@@ -20,9 +20,9 @@ from (select pid, x, y, u, cast(case when x>=25 and x<35 and y>=25 and y<35 and
     (l_partkey*11 + l_orderkey*7 + l_linenumber*5) % 1000 as u from {lineitem}) p) s"""
 
 INV = "select date_trunc('minute', ts) as t, event_id, value as e from {events}"
-TEMP = "select date_trunc('minute', ts) as t, avg(value)/10.0D - 10.0D as temp from {events} where event_type = 'signup' group by 1"
+TEMP = "select date_trunc('minute', ts) as t, avg(value)/10.0D - 10.0D as temp, avg(value % 7.0D) as wind from {events} where event_type = 'signup' group by 1"
 RAD = "select date_trunc('minute', ts) as t, avg(value)*3.0D as ghi, avg(value) as dhi from {events} where event_type = 'view' group by 1"
-CAMS = "select ts as t, event_id, value as dni from {events} where event_type = 'purchase'"
+CAMS = "select ts as t, event_id, value as dni, value*1.5D as ghi, value*0.5D as dhi from {events} where event_type = 'purchase'"
 VIEWS = "select ts as t, event_id, value as v from {events} where event_type = 'view'"
 PAIRS = """select o_orderdate as day, l_orderkey*8 + l_linenumber as k, l_partkey as k2, l_extendedprice as k3, l_extendedprice/20.0D as real,
     l_extendedprice/20.0D*(1.0D+l_tax)+l_quantity as base, (l_extendedprice/20.0D*(1.0D+l_tax)+l_quantity)*(1.0D-l_discount) as shaded

@@ -37,9 +37,9 @@ def toy(s, d, points=roof):
 R = f"{W}, roof as (select * from pts where cls = 6)"
 
 
-def knn_sql(queries: str, points: str, k: int, axes: str, cell: float, out: str) -> str:
-    """Brute force over neighbouring cells; right while k-th distances are below ``cell``."""
-    cells = ", ".join(f"cast(floor({c}/{cell}D) as int) as c{c}" for c in axes)
+def knn_sql(queries: str, points: str, k: int, axes: str, cell: float | str, out: str) -> str:
+    """Brute force over neighbouring cells; right while k-th distances are below ``cell`` (a number, or SQL for one)."""
+    cells = ", ".join(f"cast(floor({c}/{cell if isinstance(cell, str) else f'{cell}D'}) as int) as c{c}" for c in axes)
     around = " and ".join(f"n.c{c} = q.c{c} + o{c}" for c in axes)
     offsets = " cross join ".join(f"(select unnest([-1, 0, 1]) as o{c}) u{c}" for c in axes)
     dist = "sqrt(" + "+".join(f"(q.{c}-n.{c})*(q.{c}-n.{c})" for c in axes) + ")"
@@ -167,13 +167,13 @@ def queries():
     q["multi_scale_features"] = (lambda s, d: N.multi_scale(roof(s, d)).select("pid", *r4(*multi)), f"{R}, {_scale_sql()} select pid, {', '.join(f'round({c},4) as {c}' for c in multi)} from ms")
     for v in ("v3", "upgrade"):
         q["building_score" + ("" if v == "v3" else "_upgrade")] = (lambda s, d, v=v: N.building_score(N.multi_scale(roof(s, d)), v).select("pid", *r4("score")), f"{R}, {_scale_sql()} select pid, round({score_sql(N.WEIGHTS[v])}, 4) as score from ms")
-    add = f"0.25D*{sig('planarity', 0.4, 12.0)} + 0.3D*{sig('ransac', 0.65, 15.0)} + 0.2D*(1-{sig('normal_z_std', 0.2, 20.0)}) + 0.1D*(1-{sig('sphericity', 0.3, 10.0)}) + 0.15D*(1-{sig('surface_variation', 0.15, 15.0)})"
-    q["building_score_additive"] = (lambda s, d: N.building_score_additive(N.multi_scale(roof(s, d)).withColumn("ransac", F.pmod("pid", F.lit(100)) / 100.0)).select("pid", *r4("score")), f"{R}, {_scale_sql()}, m2 as (select *, (pid % 100)/100.0D as ransac from ms) select pid, round({add}, 4) as score from m2")
-    q["seed_filter"] = (lambda s, d: toy(s, d).where("score >= 0.7").select("pid"), f"{R} select pid from roof where (pid % 1000)/1000.0D >= 0.7D")
     trip = """cb as (select pid, a.i as i, b.i as j, c.i as l from (select distinct pid from k) p cross join (select unnest(range(1, 11)) as i) a join (select unnest(range(1, 11)) as i) b on b.i > a.i join (select unnest(range(1, 11)) as i) c on c.i > b.i),
 kn as (select k.pid, k.rank, roof.x, roof.y, roof.z from k join roof on roof.pid = k.nid),
 nr as (select cb.pid, cb.i, cb.j, cb.l, a.x, a.y, a.z, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) as u, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) as v, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) as w from cb join kn a on a.pid = cb.pid and a.rank = i join kn b on b.pid = cb.pid and b.rank = j join kn c on c.pid = cb.pid and c.rank = l),
 il as (select nr.pid, nr.i, nr.j, nr.l, avg(case when abs((p.x-nr.x)*u+(p.y-nr.y)*v+(p.z-nr.z)*w)/sqrt(u*u+v*v+w*w) <= 0.15D then 1.0D else 0.0D end) as r from nr join kn p on p.pid = nr.pid where u*u+v*v+w*w > 1e-24 group by nr.pid, nr.i, nr.j, nr.l)"""
+    add = f"0.25D*{sig('planarity', 0.4, 12.0)} + 0.3D*{sig('ransac', 0.65, 15.0)} + 0.2D*(1-{sig('normal_z_std', 0.2, 20.0)}) + 0.1D*(1-{sig('sphericity', 0.3, 10.0)}) + 0.15D*(1-{sig('surface_variation', 0.15, 15.0)})"
+    q["building_score_additive"] = (ship_all(lambda s, d: N.building_score_additive(N.multi_scale(roof(s, d)).join(N.plane_inliers(roof(s, d)), "pid")).select("pid", *r4("score"))), f"{R}, {_scale_sql()}, {brute_sql('roof', 10, 'k')}, {trip}, m2 as (select ms.*, il2.ransac from ms join (select pid, max(r) as ransac from il group by pid) il2 on il2.pid = ms.pid) select pid, round({add}, 4) as score from m2")
+    q["seed_filter"] = (lambda s, d: toy(s, d).where("score >= 0.7").select("pid"), f"{R} select pid from roof where (pid % 1000)/1000.0D >= 0.7D")
     q["plane_inlier_ratio"] = (ship_all(lambda s, d: N.plane_inliers(roof(s, d)).select("pid", *r6("ransac"))), f"{R}, {brute_sql('roof', 10, 'k')}, {trip} select pid, round(max(r),6) as ransac from il group by pid")
     q["region_grow"] = (lambda s, d: N.region_grow(toy(s, d), toy(s, d).where("score >= 0.97"), 1.0, 1.5, 0.5, 0.98), f"{R}, {_grow_sql()} select pid, cast(round as int) as round from g5")
     q["dbscan_labels"] = (lambda s, d: N.dbscan(roof(s, d), 0.6), f"{RREC}, {DB} select pid, label from lb")
@@ -183,7 +183,15 @@ il as (select nr.pid, nr.i, nr.j, nr.l, avg(case when abs((p.x-nr.x)*u+(p.y-nr.y
         f"{RREC}, {DB}, {STATS} select label, size, case when label = -1 then 'noise' when size < 20 then 'size' when dx*dy < 20 then 'area' when least(dx,dy) < 2 then 'side' when greatest(dx,dy)/greatest(least(dx,dy),0.01D) > 10 then 'aspect' when z_iqr > 5 then 'z_iqr' when size/greatest(dx*dy,0.01D) < 0.25D then 'density' end as reject from st",
     )
     q["revert_small_clusters"] = (lambda s, d: N.revert_small_clusters(roof(s, d), 0.6, 10, 100).select("pid", "cls"), f"{RREC}, {DB} select pid, cast(case when label <> -1 and count(*) over (partition by label) >= 100 then 6 else 5 end as int) as cls from lb")
-    q["planarity_reclass"] = (lambda s, d: N.planarity_reclass(pts(s, d)).groupBy("cls").agg(F.count("*").alias("n")), "")
-    q["roof_edge_recovery"] = (lambda s, d: N.recover_roof_edges(pts(s, d)).groupBy("cls").agg(F.count("*").alias("n")), "")
-    q["reclassify_buildings"] = (lambda s, d: N.reclassify_buildings(pts(s, d), min_size=50).groupBy("cls").agg(F.count("*").alias("n")), "")
+    # a cell of 2.6 times the reach in which 20 points are expected holds the 20 nearest, at the scene's corners too
+    trees = f"{W}, own as (select * from pts where cls = 5), cs as (select 2.6D*pow(223389.0D/count(*), 1.0D/3.0D) as c from own)"
+    near = lambda k: f"{trees}, {knn_sql('own', 'own', k, 'xyz', '(select c from cs)', 'k')}, {features_sql('k', 'own', 'f')}"
+    q["planarity_reclass"] = (lambda s, d: N.planarity_reclass(pts(s, d)).select("pid", "cls"), f"{near(20)} select pts.pid, cast(case when planarity > 0.7D and e1 > 1e-6 then 6 else cls end as int) as cls from pts left join f on f.pid = pts.pid")
+    q["roof_edge_recovery"] = (
+        lambda s, d: N.recover_roof_edges(pts(s, d)).select("pid", "cls"),
+        f"""{near(15)}, rp as (select * from pts where cls = 6), nr as (select a.pid, a.z, b.z as rz, row_number() over (partition by a.pid order by {DIST}, b.pid) as rn from own a join rp b on {DIST} <= 1.5D)
+select pts.pid, cast(case when nr.pid is not null and f.pid is not null then 6 else cls end as int) as cls from pts left join (select pid from nr where rn = 1 and abs(z-rz) < 0.5D) nr on nr.pid = pts.pid left join (select pid from f where planarity > 0.35D) f on f.pid = pts.pid""",
+    )
+    q["reclassify_buildings"] = (lambda s, d: N.reclassify_buildings(pts(s, d), min_size=50).select("pid", "cls"), "")
+    q["cloud_pipeline"] = (lambda s, d: N.prepare_cloud(pts(s, d), (2.0, 58.0, 2.0, 58.0), min_size=50).select("pid", "cls"), "")
     return {k: (f, duck(sql)) for k, (f, sql) in q.items()}

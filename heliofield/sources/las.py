@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "pid long, x double, y double, z double, cls int"
@@ -47,8 +47,12 @@ def parse_header(raw: bytes) -> Header:
     return Header(kind, f"{major}.{minor}", size, count, start, struct.unpack_from("<3d", raw, 131), struct.unpack_from("<3d", raw, 155))
 
 
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
 def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    system, inner = _system(path)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
@@ -90,7 +94,7 @@ class LasReader(DataSourceReader):
         return out
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        system, _ = _files(self.path)
+        system, _ = _system(self.path)  # the driver listed the files
         with system.open_input_file(partition.path) as source:
             h = parse_header(source.read(375))
             source.seek(h.start + partition.first * h.size)
@@ -112,46 +116,55 @@ class Written(WriterCommitMessage):
     count: int
 
 
-class LasWriter(DataSourceWriter):
-    """One file a partition: version 1.2, point format 0, a scale of ``scale`` (0.001) and whole-metre offsets."""
+class LasWriter(DataSourceArrowWriter):
+    """One file a partition: version 1.2, point format 0, a scale of ``scale`` (0.001) and whole-metre offsets.
+
+    With ``like``, a LAS file, its scales and offsets are kept, so coordinates that were read from it are written as they were stored."""
 
     def __init__(self, options: dict[str, str], schema: StructType):
-        self.path, self.scale = options.get("path") or "", float(options.get("scale", 0.001))
+        self.path, self.scales, self.offsets = options.get("path") or "", (float(options.get("scale", 0.001)),) * 3, None
         self.names = schema.fieldNames()
+        if options.get("like"):
+            system, found = _files(options["like"])
+            with system.open_input_file(found[0]) as source:
+                h = parse_header(source.read(375))
+            self.scales, self.offsets = h.scales, h.offsets
 
-    def write(self, iterator):
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
 
-        rows = [(r["x"], r["y"], r["z"], r["cls"]) for r in iterator]
-        part = TaskContext.get().partitionId()
-        system, inner = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
-        target = f"{inner}/part-{part:05d}-{TaskContext.get().taskAttemptId()}.las"
-        if not rows:
+        columns = [[np.asarray(batch.column(batch.schema.get_field_index(c)), dtype=float) for c in ("x", "y", "z", "cls")] for batch in iterator if batch.num_rows]
+        if not columns:
             return Written("", 0)
-        table = np.array(rows, float)
-        low, high = table[:, :3].min(0), table[:, :3].max(0)
-        offset = np.floor(low)
-        points = np.zeros(len(rows), [("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2")])
-        points["xyz"] = np.rint((table[:, :3] - offset) / self.scale)
-        points["cls"] = table[:, 3]
+        *xyz, cls = (np.concatenate([c[k] for c in columns]) for k in range(4))
+        xyz = np.stack(xyz, 1)
+        low, high = xyz.min(0), xyz.max(0)
+        offsets = np.floor(low) if self.offsets is None else np.array(self.offsets)
+        points = np.zeros(len(xyz), [("xyz", "<i4", 3), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2")])
+        stored = np.rint((xyz - offsets) / np.array(self.scales))
+        if np.abs(stored).max() >= 2**31:
+            raise ValueError("coordinates don't fit the scale and offset")
+        points["xyz"], points["cls"] = stored, cls
         head = bytearray(227)
         head[0:4], head[24], head[25] = b"LASF", 1, 2
         struct.pack_into("<HI", head, 94, 227, 227)
-        struct.pack_into("<BHI", head, 104, 0, 20, len(rows))
-        struct.pack_into("<I", head, 111, len(rows))
-        struct.pack_into("<6d", head, 131, *([self.scale] * 3), *offset)
+        struct.pack_into("<BHI", head, 104, 0, 20, len(xyz))
+        struct.pack_into("<I", head, 111, len(xyz))
+        struct.pack_into("<6d", head, 131, *self.scales, *offsets)
         struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
+        system, inner = _system(self.path)
         system.create_dir(inner, recursive=True)
+        target = f"{inner}/part-{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}.las"
         with system.open_output_stream(target) as out:
             out.write(bytes(head))
             out.write(points.tobytes())
-        return Written(target, len(rows))
+        return Written(target, len(xyz))
 
     def commit(self, messages):
         return None
 
     def abort(self, messages):
-        system, _ = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        system, _ = _system(self.path)
         for m in messages:
             if m and m.path:
                 system.delete_file(m.path)

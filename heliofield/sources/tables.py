@@ -7,7 +7,7 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliofield.operators.matrix import from_wide, to_wide
@@ -97,6 +97,34 @@ def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(sheets, "path string, row long, cells array<string>")
 
 
+def _cell_time(cell: Column, time_format: str) -> Column:
+    """A workbook's time: text in the given format, or a serial day number."""
+    serial = F.make_dt_interval(secs=F.round(cell.try_cast("double") * 86400, 3).cast("decimal(18,6)"))
+    return F.coalesce(F.try_to_timestamp(cell, F.lit(time_format)).cast("timestamp_ntz"), F.expr("timestamp_ntz '1899-12-30 00:00:00'") + serial)
+
+
+def _workbook(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Rows below the header and the units, and the first workbook's headers; all workbooks have the same columns."""
+    rows = read_workbooks(spark, path)
+    first = rows.where("row = 0").orderBy("path").select("cells").first()
+    if first is None:
+        raise ValueError(f"no rows in {path}")
+    return rows.where("row > 1"), [h or f"column_{k}" for k, h in enumerate(first["cells"])]
+
+
+def read_inverter_workbook(spark: SparkSession, path: str, energy: int | str = 2, time_format: str = "dd.MM.yyyy HH:mm") -> DataFrame:
+    """Inverter log in workbooks, laid out as the CSV export is: t, e (Wh)."""
+    rows, headers = _workbook(spark, path)
+    at = headers.index(pick_column(headers, energy)) if isinstance(energy, str) else energy
+    return rows.select(_cell_time(F.get("cells", F.lit(0)), time_format).alias("t"), F.trim(F.get("cells", F.lit(at))).try_cast("double").alias("e")).where("t is not null")
+
+
+def read_inverter_workbook_all(spark: SparkSession, path: str, time_format: str = "dd.MM.yyyy HH:mm") -> DataFrame:
+    """The same log with every column as a number."""
+    rows, headers = _workbook(spark, path)
+    return rows.select(_cell_time(F.get("cells", F.lit(0)), time_format).alias("t"), *(F.trim(F.get("cells", F.lit(k))).try_cast("double").alias(h) for k, h in enumerate(headers) if k)).where("t is not null")
+
+
 def read_shadow_matrix(spark: SparkSession, path: str) -> DataFrame:
     """A wide shadow CSV as alt, az, shadow; empty and NaN cells are 0."""
     return from_wide(spark.read.option("header", True).csv(path))
@@ -113,6 +141,17 @@ def study_area(bounds: DataFrame) -> DataFrame:
     return bounds.select(F.format_string("POLYGON ((%.2f %.2f, %.2f %.2f, %.2f %.2f, %.2f %.2f, %.2f %.2f))", *corners).alias("wkt"))
 
 
+def polygon_of(wkt: str) -> list[tuple[float, float]]:
+    """The outer ring of a WKT polygon, without its closing vertex, as ``crop`` takes it."""
+    ring = re.fullmatch(r"\s*POLYGON\s*Z?\s*\(\s*\(([^()]*)\).*\)\s*", wkt, re.IGNORECASE | re.DOTALL)
+    if not ring:
+        raise ValueError(f"not a WKT polygon: {wkt[:60]!r}")
+    points = [tuple(map(float, p.split()[:2])) for p in ring[1].split(",")]
+    if len(points) < 4 or points[0] != points[-1]:
+        raise ValueError("a polygon's ring needs three vertices and must be closed")
+    return points[:-1]
+
+
 def sample_metrics(spark: SparkSession, days: int = 20) -> DataFrame:
     """A synthetic metric table of consecutive days by a fixed rule (no random numbers)."""
     i = F.col("id")

@@ -24,6 +24,25 @@ def test_las_round_trip_with_pushdown(spark, tmp_path):
     assert got == sorted((round(x, 3), round(y, 3), round(z, 3), c) for x, y, z, c in rows if c in (2, 6) and x <= 100.0)
 
 
+def test_las_written_like_another(spark, tmp_path):
+    las.register(spark)
+    rows = [(500000.125 + i * 0.01, 6900000.5 - i, i * 0.25, 2) for i in range(50)]
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    spark.createDataFrame(rows, "x double, y double, z double, cls int").coalesce(1).write.format("las").option("scale", "0.005").mode("append").save(one)
+    part = spark.read.format("las").load(one).where("pid % 2 = 1")
+    part.select("x", "y", "z", "cls").coalesce(1).write.format("las").option("like", one).mode("append").save(two)
+    heads = [las.parse_header(open(las._files(p)[1][0], "rb").read(375)) for p in (one, two)]
+    assert heads[0].scales == heads[1].scales == (0.005,) * 3 and heads[0].offsets == heads[1].offsets and heads[1].count == 25
+    assert sorted((r.x, r.y, r.z) for r in spark.read.format("las").load(two).collect()) == sorted((r.x, r.y, r.z) for r in part.collect())
+
+
+def test_polygon_text():
+    assert tables.polygon_of("POLYGON ((0 0, 4 0, 4 3, 0 0))") == [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]
+    for bad in ("POINT (1 2)", "POLYGON ((0 0, 1 1, 0 0))", "POLYGON ((0 0, 1 1, 2 0, 3 3))"):
+        with pytest.raises(ValueError, match="polygon"):
+            tables.polygon_of(bad)
+
+
 def test_laz_and_missing_files_are_refused(tmp_path):
     head = bytearray(375)
     head[:4], head[24], head[25] = b"LASF", 1, 2
@@ -57,6 +76,19 @@ def test_workbook(spark, tmp_path):
     assert [r.cells for r in tables.read_workbooks(spark, str(tmp_path / "a.xlsx")).collect()] == [["time", None, "2.5"]]
 
 
+def test_inverter_workbook(spark, tmp_path):
+    cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
+    lines = [("Date and time", "Other", "Energy MPP2"), ("[dd.MM.yyyy HH:mm]", "[x]", "[Wh]"), ("01.06.2021 10:00", "1", " 12.5 "), ("44348.5", "2", "n/a"), ("", "3", "4")]
+    body = "".join(f'<row r="{i + 1}">{"".join(cell(f"{c}{i + 1}", v) for c, v in zip("ABC", row, strict=True))}</row>' for i, row in enumerate(lines))
+    with zipfile.ZipFile(tmp_path / "log.xlsx", "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="m"><sheetData>{body}</sheetData></worksheet>')
+    want = [(dt.datetime(2021, 6, 1, 10, 0), 12.5), (dt.datetime(2021, 6, 1, 12, 0), None)]
+    assert [(r.t, r.e) for r in tables.read_inverter_workbook(spark, str(tmp_path / "log.xlsx"), "MPP2").orderBy("t").collect()] == want
+    assert [(r.t, r.e) for r in tables.read_inverter_workbook(spark, str(tmp_path / "log.xlsx")).orderBy("t").collect()] == want
+    every = tables.read_inverter_workbook_all(spark, str(tmp_path / "log.xlsx"))
+    assert every.columns == ["t", "Other", "Energy MPP2"] and every.count() == 2
+
+
 def test_cached_weather(spark, tmp_path):
     (tmp_path / "w.csv").write_text("timestamp,dni,dhi,ghi,T,wind,albedo\n2021-06-01 00:00:00,1.234,2,3,1,5,0.9\n2021-06-01 00:05:00,1,2,3,1,5,0.9\n")
     got = tables.read_cached_weather(spark, str(tmp_path / "w.csv")).orderBy("ts").first()
