@@ -44,6 +44,8 @@ SKETCHES, SKETCH_BITS = 3, 20
 #: Candidate groups of at most this many texts, and bytes of shingles, are compared in one task, by one matrix product.
 GROUP, GROUP_BYTES = 1024, 64 << 20
 LEVELS = 3
+#: A leader's pairs are dealt over this many tasks.
+SALTS = 16
 _COLUMNS = 4096
 _PART = 1 << 14
 _DRAWS = 1 << 16
@@ -292,9 +294,11 @@ def _verified(pairs: DataFrame, features: DataFrame, idf) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([weighted_jaccard(x.as_buffer(), y.as_buffer(), weight) for x, y in zip(*batch.columns[2:], strict=True)], pa.float64())], names=["a", "b", "similarity"])
 
-    one = features.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
+    # leaders are few, and a third of all texts may have one leader
+    leaders = features.join(pairs.select(F.col("a").alias("node")).distinct(), "node")
+    one = leaders.select(F.col("node").alias("a"), F.col("shingles").alias("left"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     two = features.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, similarity double")
+    return pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(two, "b").join(one, ["a", "salt"]).select("a", "b", "left", "right").mapInArrow(compare, "a long, b long, similarity double")
 
 
 def local_links(ids: list[int], blobs: list[bytes], idf: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -420,7 +424,7 @@ def text_classes(texts: DataFrame, similarity: float = SIMILARITY, bands: int =
     entries = distinct.select("node", "size", F.posexplode("buckets").alias("band", "hash")).select("node", "size", F.xxhash64("band", "hash").alias("bucket"))
     open_ = _counted(entries)
     key = F.concat(F.col("digest"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    wanted = save(distinct.join(open_.select("node").distinct(), "node").select("node", "digest", F.col("least").alias("doc_id")).withColumn("key", key).select("node", "key"), "wanted")
+    wanted = save(distinct.join(open_.select("node").distinct(), "node").select("node", "digest", F.col("least").alias("doc_id")).withColumn("key", key).select("node", "key"), "wanted").hint("merge")  # it grows with the corpus
     held = texts.withColumn("key", key).select("key", "text")
     if not signed.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
         held = held.groupBy("key").agg(F.first("text").alias("text"))  # repeated rows
