@@ -6,9 +6,10 @@ sorted by their first ``K`` words and equal neighbours of different documents ar
 extended left and right: the passages that hold it (at most ``W`` starts) are a run; equal runs are matched whole,
 and runs of one suffix that differ are matched start by start. Overlapping matches are joined to spans.
 
-The sort is Spark's: equal prefixes meet by hash with partial sums (lowest and highest document) before the
-shuffle, so a prefix that a third of all texts share is one row a task; different runs of one prefix, not its
-occurrences, are expanded. Nothing is sampled, and a passage is found if and only if ``PASSAGE`` or more words of it
+Tasks sort their suffixes and merge equal neighbours to one row (lowest and highest document) before the pieces are dealt into ranges and sorted
+whole, so a prefix that a third of all texts share is a few rows a task. Suffixes are sorted by a hash of their prefix, which puts equal ones
+beside each other as the words' own order would; different runs of one prefix, not its occurrences, are expanded.
+Nothing is sampled, and a passage is found if and only if ``PASSAGE`` or more words of it
 occur in two documents. Words, prefixes and runs are compared by 64-bit hashes; a match needs the prefix and the run, or the prefix and the
 passage, to agree, and runs are confirmed by a second, independent hash, so two that differ pass with a probability of about 2^-128.
 
@@ -33,6 +34,7 @@ from heliofield.llm.runtime import save
 K, W = 26, 25
 PASSAGE = K + W - 1
 _OTHER = np.uint64(0xA0761D6478BD642F)
+_PIECE = 1 << 20
 
 
 class Runs:
@@ -65,6 +67,44 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"rid": ids[0][i:j][runs.doc], "who": ids[1][i:j][runs.doc], "at": place.astype(np.int32), "suffix": runs.suffix})
 
 
+def _runs_of(suffix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted suffixes, each once with its lowest and highest document."""
+    edge = np.flatnonzero(np.append(True, suffix[1:] != suffix[:-1]))
+    return suffix[edge], np.minimum.reduceat(lo, edge), np.maximum.reduceat(hi, edge)
+
+
+def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's suffixes in sorted pieces of ``_PIECE`` rows or so, equal neighbours as one row."""
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        suffix, who = (np.concatenate([x[k] for x in waiting]) for k in (0, 1))
+        order = np.argsort(suffix)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in _runs_of(suffix[order], who[order], who[order])], names=["suffix", "lo", "hi"])
+
+    for batch in batches:
+        waiting.append(tuple(batch.column(c).to_numpy() for c in (0, 1)))
+        if sum(len(x[0]) for x in waiting) >= _PIECE:
+            yield flush()
+            waiting = []
+    if sum(len(x[0]) for x in waiting):
+        yield flush()
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes whose sorted neighbours are equal and of other documents; a run may go over batches."""
+    held: tuple[np.ndarray, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = tuple(batch.column(c).to_numpy() for c in range(3))
+        suffix, lo, hi = _runs_of(*(rows if held is None else (np.concatenate(x) for x in zip(held, rows, strict=True))))
+        held = (suffix[-1:], lo[-1:], hi[-1:])
+        yield pa.RecordBatch.from_arrays([pa.array(suffix[:-1][lo[:-1] < hi[:-1]])], names=["suffix"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][held[1] < held[2]])], names=["suffix"])
+
+
 def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = textops.utf8(batch.column(1))
@@ -115,7 +155,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     suffixes = save(named.select("rid", "who", "text").mapInArrow(_suffixes, "rid long, who long, at int, suffix long"), "suffixes")
     # aggregates are saved before they are joined: both sides are then plain scans, and a hot key's rows can be split over
     # tasks; they grow with the corpus, so they are merged, never broadcast
-    shared = save(suffixes.groupBy("suffix").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).where("lo < hi").select("suffix"), "shared").hint("merge")
+    pieces = suffixes.select("suffix", "who").mapInArrow(_sorted, "suffix long, lo long, hi long")
+    ordered = pieces.repartitionByRange("suffix").sortWithinPartitions("suffix")
+    shared = save(ordered.mapInArrow(_neighbours, "suffix long"), "shared").hint("merge")
     kept = suffixes.join(shared, "suffix").groupBy("rid").agg(F.collect_set("at").alias("kept"))  # as long as its text at most
     runs = save(named.join(kept, "rid").select("who", "text", "kept").mapInArrow(_extended, "who long, suffix long, run long, check long, start int, passages array<long>"), "runs")
     key = ["suffix", "run", "check"]

@@ -7,6 +7,7 @@ import collections
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import zlib
@@ -586,6 +587,15 @@ def test_language_model(spark, docs, rows, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/documents.parquet"), reason="no test tables here")
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    from pyspark.sql import functions as F
+
+    scored = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    r = scored.where("held_out").agg((F.sum(F.col("score") - F.col("base_score")) / F.sum("n_tokens")).alias("gain"), F.count("*").alias("n")).first()
+    assert r.n > 50 and r.gain > 0.008  # log10 a token
+
+
 def test_language_model_is_normalised_and_learns():
     rng = np.random.default_rng(5)
     n = 12
