@@ -32,6 +32,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Delete this run's saved tables. Results that were made of them and not yet written are lost, so call it after a query's last action."""
+    root = shared_dir(spark)
+    if root in _known:
+        _remove(spark, root)
+
+
 def save(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: survives lost executors, is computed once."""
     spark = df.sparkSession

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliofield.functions.storage import save
 from heliofield.operators import pv, series
 from heliofield.operators.sun import sun_position
 
@@ -68,6 +69,7 @@ def evaluate_days(days: DataFrame, log: DataFrame, load_weather: Callable[[DataF
     ``days``: day. ``load_weather`` takes the days and returns their weather in UTC (t, dni, dhi, ghi, temp, wind, albedo); days it returns nothing for are
     left out. ``log`` has power_w; all sub-arrays in ``arrays`` feed the one logger."""
     weather = load_weather(days)
-    weather = weather.withColumn("day", F.to_date(ts)).join(days.select("day").distinct(), "day", "left_semi").drop("day")
-    pairs = matched_days(measured_days(log, ts, arrays[0][0]), bank_forecast_days(weather, arrays, shift_minutes, ts), ts)
+    # every sub-array reads the weather twice, and metrics read the pairs twice
+    weather = save(weather.withColumn("day", F.to_date(ts)).join(days.select("day").distinct(), "day", "left_semi").drop("day"), "weather")
+    pairs = save(matched_days(measured_days(log, ts, arrays[0][0]), bank_forecast_days(weather, arrays, shift_minutes, ts), ts), "pairs")
     return pairs, pv.day_metrics(pairs)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliofield.functions.storage import save
+
 GROUND, LOW, MEDIUM, HIGH, BUILDING = 2, 3, 4, 5, 6
 VEGETATION = (LOW, MEDIUM, HIGH)
 RELEVANT = (GROUND, *VEGETATION, BUILDING)
@@ -59,8 +61,8 @@ def fallback_candidates(points: DataFrame) -> DataFrame:
 
 
 def numbered(points: DataFrame, *order: str, name: str = "rn") -> DataFrame:
-    """0-based dense numbers in a global order: range-partitioned sort, then an offset a partition."""
-    placed = points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
+    """0-based dense numbers in a global order: range-partitioned sort, saved, then an offset a partition."""
+    placed = save(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()), "numbered")
     sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))
     base = sizes.select("__p", "__first", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__base"))
     return placed.join(F.broadcast(base), "__p").withColumn(name, F.col("__base") + F.col("__i") - F.col("__first")).drop("__p", "__i", "__first", "__base")  # one row a partition

@@ -10,7 +10,7 @@ from heliofield.functions.packaging import ship
 from heliofield.functions.storage import shared_dir
 from heliofield.operators import geometry as G
 from heliofield.plans.cloud import W, r6
-from heliofield.plans.proxies import INV, MATRIX, duck, frame, matrix, pts
+from heliofield.plans.proxies import INV, MATRIX, TEMP, duck, frame, matrix, pts
 from heliofield.sources import las, tables
 
 
@@ -40,6 +40,22 @@ def inverter_csv(s, d):
     return tables.read_inverter(s, path, "Energy").groupBy(F.to_date("t").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("e"), 4).alias("e"))
 
 
+def inverter_all_csv(s, d):
+    path = _place(s, "inverter-all")
+    rows = frame(s, d, INV).select(F.date_format("t", "dd.MM.yyyy HH:mm").alias("Date and time"), F.when(F.col("e") % 3 < 1, "n/a").otherwise(F.col("event_id").cast("string")).alias("Status"), F.col("e").cast("string").alias("Energy [Wh]"))
+    rows.write.option("header", True).csv(path)
+    every = tables.read_inverter_all(s, path)
+    return every.groupBy(F.to_date("t").alias("day")).agg(F.count("Status").alias("n"), F.sum("Status").cast("long").alias("status"), F.round(F.sum("Energy [Wh]"), 4).alias("e"))
+
+
+def cached_weather(s, d):
+    """A cached day, with two digits and an albedo made anew from its mean temperature."""
+    path = _place(s, "weather")
+    rows = frame(s, d, TEMP).where("temp is not null").select(F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.lit(1.234).alias("dni"), F.lit(2.345).alias("dhi"), (F.col("wind") * 10).alias("ghi"), F.col("temp").alias("T"), "wind", F.lit(0.9).alias("albedo"))
+    rows.write.option("header", True).csv(path)
+    return tables.read_cached_weather(s, path).select("ts", *r6("dni", "dhi"), F.round(F.col("T") - F.round("T", 2), 6).alias("rest"), "albedo")
+
+
 def clear_minutes(s, d):
     path = _place(s, "minutes")
     frame(s, d, INV).select(F.date_format("t", "yyyy MM dd HH mm").alias("value")).write.text(path)
@@ -59,6 +75,9 @@ def queries():
     q["shadow_matrix_csv"] = (matrix_csv, f"select alt, az, round(shadow, 6) as shadow from ({MATRIX}) m")
     q["las_round_trip"] = (las_round_trip, f"{W} select cls, count(*) as n, round(sum(x), 2) as sx, round(sum(y), 2) as sy from pts where cls = 6 group by cls")
     q["inverter_csv"] = (inverter_csv, f"with i0 as ({INV}) select cast(t as date) as day, count(*) as n, round(sum(e), 4) as e from i0 group by 1")
+    q["inverter_all_csv"] = (inverter_all_csv, f"with i0 as ({INV}), x as (select cast(t as date) as day, case when e % 3 < 1 then null else event_id end as st, e from i0) select day, count(st) as n, cast(sum(st) as bigint) as status, round(sum(e), 4) as e from x group by 1")
+    mean = "avg(round(temp, 2))"
+    q["cached_weather_csv"] = (cached_weather, f"with tw as ({TEMP}), w as (select * from tw where temp is not null), a as (select {mean} as m from w) select t as ts, 1.23D as dni, 2.35D as dhi, 0.0D as rest, round(0.65D/(1+exp((m-1)/0.75D)) + 0.2D*(1-1/(1+exp((m-1)/0.75D))), 3) as albedo from w, a")
     q["clear_minutes_text"] = (clear_minutes, f"with i0 as ({INV}) select cast(t as date) as day, count(*) as n from i0 group by 1")
     q["observation_csv"] = (observations, f"with i0 as ({INV}), o as (select t, max(e) as e from i0 group by t) select t as ts, case when minute(t) % 10 = 0 then null else round(e, 6) end as temp from o")
     q["study_area_wkt"] = (

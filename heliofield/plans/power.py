@@ -121,7 +121,7 @@ def matched(s, d):
 
 
 #: Two sub-arrays of one logger (fixed values of the studied site: 8 and 6 of 14 panels).
-NORTH, SOUTH = PV.Site(nominal_w=2640.0, tilt=12.0, azimuth=170.0), PV.Site(nominal_w=1980.0, tilt=15.0, azimuth=190.0)
+NORTH, SOUTH = (PV.Site(nominal_w=w, tilt=20.0, azimuth=260.0, efficiency=0.85) for w in (2640.0, 1980.0))
 
 
 def turned(m):
@@ -178,7 +178,7 @@ o{k} as (select *, greatest(plane/1000.0D*{site.nominal_w}D*(1-0.004D*(coalesce(
   case when dni is null or ghi is null then 0.0D else least(1.0D, greatest(0.0D, dni*greatest(cos(radians(90.0D-altitude)), 0.0D)/greatest(ghi, 1e-6))) end as b,
   case when dhi is null or ghi is null then 0.0D else least(1.0D, greatest(0.0D, dhi/greatest(ghi, 1e-6))) end as d from g{k}),
 s{k} as (select o{k}.*, sd, case when altitude > 0.5D then greatest(0.0D, least(1.0D, shadow)) else 0 end as sb from o{k} cross join h{k} join m{k} on m{k}.alt = r_ and m{k}.az = c_),
-b{k} as (select day, time_bucket(interval '5 minutes', t - interval '30 minutes' + to_hours({OFFSET})) as t, avg(output*0.95D) as base, avg(output*greatest(0.0D, least(1.0D, b*(1-sb) + d*(1-sd) + greatest(0.0D, least(1.0D, 1-b-d))*(1-sd)))*0.95D) as shaded from s{k} group by 1, 2),
+b{k} as (select day, time_bucket(interval '5 minutes', t - interval '30 minutes' + to_hours({OFFSET})) as t, avg(output*{site.efficiency}D) as base, avg(output*greatest(0.0D, least(1.0D, b*(1-sb) + d*(1-sd) + greatest(0.0D, least(1.0D, 1-b-d))*(1-sd)))*{site.efficiency}D) as shaded from s{k} group by 1, 2),
 a{k} as (select sp.day, sp.t, case when b{k}.t is null then 0 else base end as base, case when b{k}.t is null then 0 else shaded end as shaded from spine sp left join b{k} on sp.day = b{k}.day and sp.t = b{k}.t)"""
 
 
