@@ -164,8 +164,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     kinds = save(runs.groupBy(*key).agg(F.min("who").alias("lo"), F.max("who").alias("hi"), F.first("passages").alias("passages")), "kinds")
     varied = save(kinds.groupBy("suffix").agg(F.count("*").alias("kinds")).where("kinds > 1").select("suffix"), "varied").hint("merge")
     starts = kinds.join(varied, "suffix").select(*key, "lo", "hi", F.posexplode("passages").alias("offset", "passage"))
-    met = starts.groupBy("suffix", "passage").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("suffix", "passage")
-    partly = save(starts.join(met, ["suffix", "passage"]).groupBy(*key).agg(F.collect_set("offset").alias("offsets")), "partly").hint("merge")  # W at most
+    starts = starts.withColumn("mark", F.xxhash64("suffix", "passage"))  # not the suffix itself: its rows would stay where the join put them
+    met = starts.groupBy("mark", "passage").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("mark", "passage")
+    partly = save(starts.join(met, ["mark", "passage"]).groupBy(*key).agg(F.collect_set("offset").alias("offsets")), "partly").hint("merge")  # W at most
     whole = runs.join(varied, "suffix", "left_anti").select("who", "start", F.size("passages").alias("n"), F.lit(None).cast("array<int>").alias("offsets"))
     some = runs.join(partly, key).select("who", "start", F.size("passages").alias("n"), "offsets")
     by_doc = whole.unionByName(some).groupBy("who").agg(F.collect_list(F.struct("start", "n", "offsets")).alias("runs"))
