@@ -87,7 +87,8 @@ def _placed(groups: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Dat
         .withColumn("rest", (F.floor(F.col("target") + 0.5) - F.col("epochs") * F.col("source_size")).cast("long"))
         .select("sk", "range", "base", "source_size", "target", "epochs", "rest")
     )
-    run = Window.partitionBy("sk", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    # rows of equal keys have equal texts, and so equal sizes
+    run = Window.partitionBy("sk", "range").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = groups.withColumn("before", F.coalesce(F.sum(words).over(run), F.lit(0))).join(based, ["sk", "range"])
     return placed.withColumn("part", F.greatest(F.lit(0), F.least(words, F.col("rest") - F.col("base") - F.col("before"))).cast("long"))
 
@@ -118,17 +119,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     keyed = docs.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names, strict=True)), *(F.col(c) for c in at))
     tie = F.xxhash64(*names)
     placed = save(_placed(_groups(keyed, seed, tie), weights, max_epochs).where("size > 0"), "mix-placed")
-    order = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size", "tie")
+    order = F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "tie")
     first_cut = placed.where("part < size * n").groupBy("sk").agg(F.min(F.struct(order.alias("at"), "part")).alias("cut"))
     # one row a source, saved, so that its size is known when it is joined
     cuts = save(placed.groupBy("sk").agg(F.first("epochs").alias("epochs")).join(first_cut, "sk", "left").select("sk", "epochs", F.col("cut.at").alias("cut"), F.col("cut.part").alias("part")), "mix-cuts")
-    sized = keyed.select(*names, _source_key().alias("sk"), word_count(F.col("text")).alias("size"), F.struct(_key(seed).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), word_count(F.col("text")).alias("size"), tie.alias("tie")).alias("at"))
-    met = sized.where("size > 0").join(cuts, "sk")
+    place = F.struct(_key(seed).alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), tie.alias("tie"))
+    met = keyed.where(F.col("text").rlike(WORD)).select(*names, _source_key().alias("sk"), place.alias("at")).join(cuts, "sk")
     # all but the rows at the cut: one more pass before it, none after it
     whole = met.where("cut is null or at <> cut").withColumn("copies", F.col("epochs") + F.when(F.col("at") < F.col("cut"), 1).otherwise(0))
     whole = whole.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select(*names)
     # equal rows at the cut: as many more as fit whole, and one in part
-    equal = met.where("at = cut").groupBy(*names, "sk", "size", "epochs", "part").agg(F.count("*").alias("n"), F.first("at.key").alias("key"))
+    equal = met.where("at = cut").withColumn("size", word_count(F.col(at["text"]))).groupBy(*names, "sk", "size", "epochs", "part").agg(F.count("*").alias("n"), F.first("at.key").alias("key"))
+    equal = save(equal, "mix-at-cut")  # one row a source
     total = F.col("epochs") * F.col("n") + F.ceil(F.col("part") / F.col("size"))
     cut = _expanded(equal.where(total > 0), total, "i").withColumn("left", F.col("epochs") * F.col("n") * F.col("size") + F.col("part") - F.col("i") * F.col("size"))
     text = F.array_join(F.slice(F.regexp_extract_all(at["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("left").cast("int")), "")
