@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliofield.llm import decontam, html_extract, lm, mixing, near_dedup, quality, secrets, suffix_dedup, token_output, url_filter
+from heliofield.llm import decontam, html_extract, lm, mixing, near_dedup, pu_quality, quality, secrets, suffix_dedup, token_output, url_filter
 from heliofield.llm.runtime import table
 
 
@@ -30,6 +30,7 @@ def queries():
         "op8_decontaminate": decontam.op8_decontaminate,
         "op9_url_templates": url_filter.op9_url_templates,
         "op10_html_text": op10_html_text,
+        "op11_pu_quality": pu_quality.op11_pu_quality,
     }
 
 
