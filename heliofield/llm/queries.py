@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliofield.llm import decontam, html_extract, lm, mixing, near_dedup, pu_quality, quality, secrets, suffix_dedup, token_output, url_filter
+from heliofield.llm import decontam, html_extract, lm, mixing, near_dedup, pu_quality, quality, secrets, suffix_dedup, token_align, token_output, url_filter
 from heliofield.llm.runtime import table
 
 
@@ -31,6 +31,7 @@ def queries():
         "op9_url_templates": url_filter.op9_url_templates,
         "op10_html_text": op10_html_text,
         "op11_pu_quality": pu_quality.op11_pu_quality,
+        "op13_token_align": token_align.op13_token_align,
     }
 
 
