@@ -13,7 +13,7 @@ from pyspark import SparkFiles, TaskContext
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space of that pattern; runs of this many are encoded without it, since its search recurses once a character.
 LONG = 20_000
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0" + "".join(map(chr, [0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _RUN = re.compile(f"[{_SPACE}]{{{LONG},}}")
 
 _loaded: dict[str, tuple] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliofield.llm import decontam, html_extract, lm, mixing, near_dedup, pu_quality, quality, secrets, suffix_dedup, token_align, token_output, url_filter
+from heliofield.llm import collocations, decontam, html_extract, lm, mixing, near_dedup, pu_quality, quality, secrets, suffix_dedup, token_align, token_output, url_filter
 from heliofield.llm.runtime import table
 
 
@@ -31,9 +31,10 @@ def queries():
         "op9_url_templates": url_filter.op9_url_templates,
         "op10_html_text": op10_html_text,
         "op11_pu_quality": pu_quality.op11_pu_quality,
+        "op12_collocations": collocations.op12_collocations,
         "op13_token_align": token_align.op13_token_align,
     }
 
 
 def oracle_sql():
-    return {"op2_source_mix": mixing.SQL, "op4_quality_rules": quality.SQL, "op9_url_templates": url_filter.SQL}
+    return {"op2_source_mix": mixing.SQL, "op4_quality_rules": quality.SQL, "op9_url_templates": url_filter.SQL, "op12_collocations": collocations.SQL}

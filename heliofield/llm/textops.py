@@ -71,12 +71,12 @@ def slabs(offsets: np.ndarray, limit: int = SLAB) -> Iterator[tuple[int, int]]:
 
 class Words:
     """The words of a slab: ``start``/``end`` byte positions, 64-bit ``hash``, and ``first`` (n_texts + 1)
-    giving each text's range of words."""
+    giving each text's range of words. ``space``: which bytes part words."""
 
     __slots__ = ("data", "end", "first", "hash", "start")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
-        solid = ~_SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: bool = True, space: np.ndarray = _SPACE):
+        solid = ~space[data]
         begin, stop = solid.copy(), solid.copy()
         begin[1:] &= ~solid[:-1]
         stop[:-1] &= ~solid[1:]
