@@ -33,6 +33,32 @@ def las_round_trip(s, d):
     return back.select(F.round("x", 2).alias("x"), F.round("y", 2).alias("y"), F.round("z", 3).alias("z"), "cls").groupBy("cls").agg(F.count("*").alias("n"), F.round(F.sum("x"), 2).alias("sx"), F.round(F.sum("y"), 2).alias("sy"))
 
 
+def _by_class(df):
+    return df.groupBy("cls").agg(F.count("*").alias("n"), F.round(F.sum(F.round("x", 2)), 2).alias("sx"), F.round(F.sum(F.round("y", 2)), 2).alias("sy"))
+
+
+def laz_round_trip(s, d):
+    """The scene in compressed files, read back by runs of chunks."""
+    ship(s)
+    las.register(s)
+    path = _place(s, "laz")
+    pts(s, d).select("x", "y", "z", F.col("cls").cast("int").alias("cls")).write.format("las").option("compressed", "true").option("chunk", "5000").mode("append").save(path)
+    return _by_class(s.read.format("las").option("points_per_partition", "20000").load(path).where(F.col("cls").isin(3, 6)))
+
+
+def las_merge_kept(s, d):
+    """Two compressed tiles as one cloud with high vegetation made medium: all else of their records is kept."""
+    ship(s)
+    las.register(s)
+    tiles, merged = _place(s, "tiles"), _place(s, "merged")
+    for side in ("x < 30", "x >= 30"):
+        pts(s, d).where(side).select("x", "y", "z", F.col("cls").cast("int").alias("cls")).write.format("las").option("compressed", "true").option("chunk", "5000").mode("append").save(tiles)
+    cloud = s.read.format("las").option("record", "true").load(tiles)
+    changed = cloud.withColumn("cls", F.when(F.col("cls") == 5, 4).otherwise(F.col("cls")).cast("int"))
+    changed.write.format("las").option("like", tiles).mode("append").save(merged)
+    return _by_class(s.read.format("las").load(merged))
+
+
 def inverter_csv(s, d):
     path = _place(s, "inverter")
     rows = frame(s, d, INV).select(F.date_format("t", "dd.MM.yyyy HH:mm").alias("Date and time"), F.lit("x").alias("Status"), F.concat(F.lit(" "), F.col("e").cast("string"), F.lit(" ")).alias("Energy [Wh]"))
@@ -74,6 +100,9 @@ def queries():
     q = {}
     q["shadow_matrix_csv"] = (matrix_csv, f"select alt, az, round(shadow, 6) as shadow from ({MATRIX}) m")
     q["las_round_trip"] = (las_round_trip, f"{W} select cls, count(*) as n, round(sum(x), 2) as sx, round(sum(y), 2) as sy from pts where cls = 6 group by cls")
+    by_class = "count(*) as n, round(sum(x), 2) as sx, round(sum(y), 2) as sy"
+    q["laz_round_trip"] = (laz_round_trip, f"{W} select cls, {by_class} from pts where cls in (3, 6) group by cls")
+    q["las_merge_kept"] = (las_merge_kept, f"{W} select cast(case when cls = 5 then 4 else cls end as int) as cls, {by_class} from pts group by 1")
     q["inverter_csv"] = (inverter_csv, f"with i0 as ({INV}) select cast(t as date) as day, count(*) as n, round(sum(e), 4) as e from i0 group by 1")
     q["inverter_all_csv"] = (inverter_all_csv, f"with i0 as ({INV}), x as (select cast(t as date) as day, case when e % 3 < 1 then null else event_id end as st, e from i0) select day, count(st) as n, cast(sum(st) as bigint) as status, round(sum(e), 4) as e from x group by 1")
     mean = "avg(round(temp, 2))"
