@@ -1,7 +1,6 @@
-"""Nearest neighbours, neighbourhood features, growth and clustering of point clouds.
+"""Neighbourhood features, heights, growth and clustering of point clouds.
 
-Space is cut into grid cells; a query meets the points of the cells around it in an equi-join, and the ring of cells grows until the k-th distance is
-inside what was searched, so the result is exact. Ties go to the smaller id.
+The k nearest come from ``space.knn`` (a balanced partition); searches within a radius meet in grid cells of that width, in an equi-join. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -17,12 +16,12 @@ from pyspark.sql import functions as F
 
 from heliofield.functions import sigmoid
 from heliofield.functions.storage import save
+from heliofield.operators import space
 from heliofield.operators.graph import components
 from heliofield.operators.points import BUILDING, GROUND, HIGH, RELEVANT, candidates, class_filter, crop, lowest_percent
+from heliofield.operators.space import knn
 
 SCALES = (10, 20, 40)
-#: A point's own cell may hold this many times the points that the search is made for.
-CROWD = 4
 
 
 def _cells(df: DataFrame, axes: str, cell: float, prefix: str) -> DataFrame:
@@ -64,81 +63,6 @@ def _nearest(met: DataFrame) -> DataFrame:
     return met.groupBy("pid").agg(F.min(F.struct("dist", "nid")).alias("m")).select("pid", F.col("m.nid").alias("nid"), F.col("m.dist").alias("dist"))
 
 
-def typical_cell(points: DataFrame, axes: str, k: int) -> tuple[float, float]:
-    """A cell as wide as the reach in which a typical point has its k nearest, and the longest side of the points' box.
-
-    The box's mean density gives a first width. Where points are clumped, their own cells hold more than that: the width shrinks until a point's cell
-    holds on average (over points) no more than ``CROWD`` times what was meant, so the pairs met stay in proportion to the points."""
-    r = points.agg(F.count("*").alias("n"), *(f(c).alias(f"{n}{c}") for c in axes for f, n in ((F.min, "a"), (F.max, "b")))).first()
-    if not r["n"]:
-        return 1.0, 1.0
-    sides = [max(r[f"b{c}"] - r[f"a{c}"], 1e-3) for c in axes]
-    ball = math.pi if len(axes) == 2 else 4 / 3 * math.pi
-    meant = (k + 3 * math.sqrt(k) + 2) / ball
-    cell = max((meant * math.prod(sides) / r["n"]) ** (1 / len(axes)), 1e-3)
-    while cell > 1e-3:
-        counts = _cells(points.select(*axes), axes, cell, "__c").groupBy(*(f"__c{c}" for c in axes)).agg(F.count("*").alias("n"))
-        own = counts.agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("m")).first()["m"]
-        if own <= CROWD * meant:
-            break
-        cell = max(cell * max((meant / own) ** (1 / len(axes)), 0.25), 1e-3)
-    return cell, max(sides)
-
-
-def _pruned(queries: DataFrame, points: DataFrame, k: int, axes: str, reach: float) -> DataFrame:
-    """Candidates that surely hold the k nearest of each query that appears, within ``reach``, by occupied cells a quarter of it wide.
-
-    The cells' farthest corners and counts bound the k-th distance; only points of cells nearer than that bound are met."""
-    size = reach / 4
-    fine = _cells(points.select(F.col("pid").alias("nid"), *(F.col(c).alias(f"__n{c}") for c in axes), *axes), axes, size, "__f").drop(*axes)
-    cells = fine.groupBy(*(f"__f{c}" for c in axes)).agg(F.count("*").alias("__count"))
-    for c in axes:
-        cells = cells.withColumn(f"__c{c}", F.floor(F.col(f"__f{c}") / 4))
-    near = _around(queries, axes, reach, 1).join(cells, [f"__c{c}" for c in axes])
-    low, high = F.lit(0.0), F.lit(0.0)
-    for c in axes:
-        a, b = F.col(f"__f{c}") * size - F.col(c), F.col(c) - (F.col(f"__f{c}") + 1) * size
-        gap, far = F.greatest(a, b, F.lit(0.0)), F.greatest(F.abs(a), F.abs(b))
-        low, high = low + gap * gap, high + far * far
-    keys = [f"__f{c}" for c in axes]
-    near = near.select("pid", *axes, *keys, "__count", F.sqrt(low).alias("__low"), F.sqrt(high).alias("__high"))
-    upto = F.sum("__count").over(Window.partitionBy("pid").orderBy("__high", *keys).rowsBetween(Window.unboundedPreceding, 0))
-    near = near.withColumn("__upto", upto).withColumn("__bound", F.min(F.when(F.col("__upto") >= k, F.col("__high"))).over(Window.partitionBy("pid")))
-    near = near.where((F.col("__bound") <= reach) & (F.col("__low") <= F.col("__bound") + 1e-9))
-    return near.join(fine, keys).withColumn("dist", _distance(axes))
-
-
-def knn(queries: DataFrame, points: DataFrame, k: int, axes: str = "xyz", cell: float | None = None) -> DataFrame:
-    """pid, nid, dist, rank (1..k): exact nearest points; a query that is in ``points`` is its own first neighbour.
-
-    Most queries end in the first round, in the cells around them; sparse places go on with a reach four times as long."""
-    auto, extent = typical_cell(points, axes, k)
-    box = queries.agg(*(f(c).alias(f"{n}{c}") for c in axes for f, n in ((F.min, "a"), (F.max, "b")))).first()
-    span = extent + max([(box[f"b{c}"] or 0.0) - (box[f"a{c}"] or 0.0) for c in axes] + [1e-3])
-    reach, first = cell or auto, True
-    order = Window.partitionBy("pid").orderBy("dist", "nid")
-    best = lambda met: _nearest(met).withColumn("rank", F.lit(1))
-    ranked = best if k == 1 else lambda met: met.select("pid", "nid", "dist").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    meet = _met_by_points if k == 1 else _met
-    left, done = queries.select("pid", *axes), None
-    while True:
-        if reach > 4 * span:  # everything is within reach
-            found = save(ranked(meet(left, points, axes, reach, 1)), "knn")
-            return found if done is None else done.unionByName(found)
-        if first:
-            found = save(ranked(meet(left, points, axes, reach, 1)), "knn")
-            ok = found.where((F.col("rank") == k) & (F.col("dist") <= reach)).select("pid")
-            sure = found.join(ok, "pid", "left_semi")
-        else:
-            sure = save(ranked(_pruned(left, points, k, axes, reach)), "knn")
-            ok = sure.where(F.col("rank") == 1).select("pid")
-        done = sure if done is None else done.unionByName(sure)
-        left = save(left.join(ok, "pid", "left_anti"), "left")
-        if left.isEmpty():
-            return done
-        reach, first = reach * 4, False
-
-
 def within(queries: DataFrame, points: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
     """pid, nid, dist of all pairs at most ``radius`` apart."""
     return _met(queries.select("pid", *axes), points, axes, radius, 1).where(F.col("dist") <= radius).select("pid", "nid", "dist")
@@ -315,14 +239,67 @@ def region_grow(points: DataFrame, seeds: DataFrame, radius: float = 1.0, z_tol:
     return grown
 
 
+def _core(points: DataFrame, eps: float, min_points: int, side: float) -> tuple[DataFrame, DataFrame]:
+    """Core points (pid, axes, __cx, __cy, __cz), and the neighbours of points in cells that don't prove them core (pid, nid, dist, rank)."""
+    celled = save(_cells(points.select("pid", "x", "y", "z"), "xyz", side, "__c"), "celled")
+    keys = ["__cx", "__cy", "__cz"]
+    full = save(celled.groupBy(*keys).agg(F.count("*").alias("__n")), "counts")
+    sparse = celled.join(full.where(F.col("__n") < min_points), keys, "left_semi")
+    near = save(knn(sparse, celled, min_points), "around")
+    found = near.where((F.col("rank") == min_points) & (F.col("dist") <= eps)).select("pid")
+    dense = celled.join(full.where(F.col("__n") >= min_points), keys, "left_semi")
+    return save(dense.unionByName(celled.join(found, "pid", "left_semi")), "core"), near
+
+
+def _linked_cells(core: DataFrame, eps: float) -> DataFrame:
+    """(node, component) of cells that hold core points; a cell is named by its least core point.
+
+    Cells whose first points are near enough are linked by them. Only neighbours that are then still in different components, and whose boxes
+    are near enough, are searched point by point."""
+    keys = ["__cx", "__cy", "__cz"]
+    box = [f(c).alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "a"), (F.max, "b"))]
+    cells = save(core.groupBy(*keys).agg(F.min(F.struct("pid", "x", "y", "z")).alias("first"), F.count("*").alias("n"), *box).withColumn("node", F.col("first.pid")), "cells")
+    half = [(i, j, k) for i in range(3) for j in range(-2, 3) for k in range(-2, 3) if (i, j, k) > (0, 0, 0)]
+    step = F.explode(F.array(*(F.struct(*(F.lit(v).alias(c) for v, c in zip(o, "ijk", strict=True))) for o in half)))
+    moved = cells.withColumn("__o", step).select(*((F.col(c) + F.col(f"__o.{o}")).alias(c) for c, o in zip(keys, "ijk", strict=True)), *(F.col(c).alias(f"o_{c}") for c in cells.columns if c not in keys))
+    gap = sum((g * g for c in "xyz" for g in [F.greatest(F.col(f"a{c}") - F.col(f"o_b{c}"), F.col(f"o_a{c}") - F.col(f"b{c}"), F.lit(0.0))]), F.lit(0.0))
+    apart = [F.col(f"first.{c}") - F.col(f"o_first.{c}") for c in "xyz"]
+    near = F.sqrt(apart[0] * apart[0] + apart[1] * apart[1] + apart[2] * apart[2]) <= eps
+    pairs = save(cells.join(moved, keys).where(F.sqrt(gap) <= eps * (1 + 1e-9)).select(F.col("node").alias("a"), F.col("o_node").alias("b"), "n", "o_n", near.alias("near")), "pairs")
+    alone = cells.select(F.col("node").alias("a"), F.col("node").alias("b"))
+    known = pairs.where("near").select("a", "b")
+    first = save(cells.select("node").join(components(known), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "linked")
+    left = first.select(F.col("node").alias("a"), F.col("component").alias("ca")), first.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    open_ = save(pairs.where("not near").join(left[0], "a").join(left[1], "b").where("ca <> cb"), "open")
+    if open_.isEmpty():
+        return first
+    few = F.col("n") <= F.col("o_n")
+    sides = open_.select(F.when(few, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(few, F.col("b")).otherwise(F.col("a")).alias("large"), F.greatest("n", "o_n").alias("many"))
+    sides = save(sides.withColumn("shares", F.ceil(F.col("many") / space.QUERIES)), "sides")
+    named = save(core.join(cells.select(*keys, "node"), keys).select("node", F.col("pid").alias("id"), "x", "y", "z"), "named")
+    rows = lambda df, kind, share: df.select(F.xxhash64("small", "large", share.alias("share")).alias("cell"), F.lit(kind).alias("kind"), "id", "x", "y", "z", F.lit(float(eps)).alias("bound"))
+    points = rows(sides.join(named, sides.large == named.node), 0, F.pmod(F.xxhash64("id"), F.col("shares")))
+    asked = rows(sides.join(named, sides.small == named.node).withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))), 1, F.col("share"))
+    met = space.nearest_in_groups(points.unionByName(asked), "xyz", 1)
+    of = named.select("node", "id").join(first, "node").select("id", "component")
+    more = met.join(of.select(F.col("id").alias("pid"), F.col("component").alias("a")), "pid").join(of.select(F.col("id").alias("nid"), F.col("component").alias("b")), "nid").select("a", "b").distinct()
+    whole = components(more).select(F.col("node").alias("component"), F.col("component").alias("__whole"))
+    return first.join(whole, "component", "left").select("node", F.coalesce("__whole", "component").alias("component"))
+
+
 def dbscan(points: DataFrame, eps: float, min_points: int = 10) -> DataFrame:
-    """pid, label: the least core point of the cluster; border points take the least label near them, noise is -1."""
-    edges = save(within(points, points, eps), "eps")
-    core = save(edges.groupBy("pid").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("pid"), "core")
-    linked = edges.join(core, "pid", "left_semi").join(core.select(F.col("pid").alias("nid")), "nid", "left_semi")
-    parts = components(linked.select(F.col("pid").alias("a"), F.col("nid").alias("b")))
-    labels = core.join(parts.select(F.col("node").alias("pid"), F.col("component").alias("label")), "pid", "left").select("pid", F.coalesce("label", "pid").alias("label"))
-    border = edges.join(labels.select(F.col("pid").alias("nid"), "label"), "nid").join(core, "pid", "left_anti").groupBy("pid").agg(F.min("label").alias("label"))
+    """pid, label: the least core point of the cluster; border points take the least label near them, noise is -1.
+
+    Cells are so small that their points are all near each other: one that holds ``min_points`` proves its points core, and core points of a cell are in one cluster.
+    So no list of pairs is made: other points have their ``min_points`` nearest searched, cells are linked to cells, and only cells at the border of two
+    clusters compare points. What is shuffled follows the points, not the pairs."""
+    side = eps / math.sqrt(3) * (1 - 1e-9)
+    core, near = _core(points, eps, min_points, side)
+    keys = ["__cx", "__cy", "__cz"]
+    nodes = core.groupBy(*keys).agg(F.min("pid").alias("node"))
+    labels = save(core.join(nodes, keys).join(_linked_cells(core, eps), "node").select("pid", F.col("component").alias("label")), "labels")
+    # fewer than min_points are near a border point, so they are among its neighbours found
+    border = near.where(F.col("dist") <= eps).join(labels.select(F.col("pid").alias("nid"), "label"), "nid").join(core.select("pid"), "pid", "left_anti").groupBy("pid").agg(F.min("label").alias("label"))
     return points.select("pid").join(labels.unionByName(border), "pid", "left").select("pid", F.coalesce("label", F.lit(-1)).cast("long").alias("label"))
 
 
