@@ -32,6 +32,8 @@ from heliofield.llm.runtime import save, table
 Q = 7
 EDIT_SHARE = 0.1
 BLOCK_BYTES = 4 << 20
+#: A document is only removed for an item of so many bytes of normal text.
+REMOVES = 24
 _MASK = np.uint64((1 << (8 * Q)) - 1)
 _TABLE_BITS = 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -69,6 +71,7 @@ class Index:
             out = out[:-1] if len(out) and out[-1] == 0x20 else out
             (cleaned if len(out) >= Q else short).append((item, out))
         self.ids = [i for i, _ in cleaned] + [i for i, _ in short]
+        self.removes = [len(t) >= REMOVES for _, t in cleaned] + [False] * len(short)
         self.short = [(len(cleaned) + k, t.tobytes().strip()) for k, (_, t) in enumerate(short) if t.tobytes().strip()]
         self.text = [t for _, t in cleaned]
         size = np.array([len(t) for t in self.text], np.int64)
@@ -259,7 +262,8 @@ def _pass(source: DataFrame, block, share: float) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item: each is judged by its own text, whatever its ``doc_id``.
+    """The rows of ``docs`` that hold no benchmark item of ``REMOVES`` bytes or more: each is judged by its own text, whatever its ``doc_id``. Shorter items, a word
+    or two that any text may hold, are reported by ``contaminated`` only.
 
     Rows are filtered where they are read; a benchmark of several blocks takes a saved pass a block."""
     at = docs.columns.index("text")
@@ -274,7 +278,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SH
             index = Index(sent.value, share)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[d for d, *_ in _found(index, batch.column(at))]] = False
+                clean[[d for d, item, *_ in _found(index, batch.column(at)) if index.removes[item]]] = False
                 yield batch.filter(pa.array(clean))
 
         left = left.mapInArrow(keep, left.schema)

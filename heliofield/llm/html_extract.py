@@ -10,15 +10,16 @@ role is a menu, header, footer, sidebar, notice, advert, form or comment. An art
 evidence: it narrows the container where it holds most of its text, stands in where the page has no container,
 and its text is taken for template text only if it recurs on ``MAIN_PAGES`` pages or more.
 
-A class name or role tells a side part only if all its words do ("ad-slot", but not "related-work"); in an article, ids and headings' labels
-don't count. Text is kept or dropped by whole blocks, so a block with one word of its own is kept whole; words inside blocks are no tokens.
+A class name or role tells a side part only if all its words do ("ad-slot", but not "related-work"); in an article, headings' labels and the ids of
+pieces of text don't count. Text is kept or dropped by whole blocks, so a block with one word of its own is kept whole; words inside blocks are no tokens.
 
 Occurrence vectors are compared by a fingerprint summed over pages, so no host is gathered in one task: per
 (host, token) one partial sum a task is shuffled. Templates are small (each token is on half of the host's pages, so there are at most twice
 as many as on its mean page), and
 pages meet them in a broadcast join behind a check of their measured size, or in a join with a salted host.
 
-Defined results: a null or empty page has an empty text; a very long page is read whole; a host with a single page has no template tokens and is
+Defined results: a null or empty page has an empty text; a very long page is read whole, in time that follows its length
+(paths show ``DEEP`` levels, then a hash of the others; of the side elements around a block the outer ``AROUND`` count); a host with a single page has no template tokens and is
 read by roles alone; pages with the same text count as one towards a template, and repeated rows are read alike; of containers that tie in
 depth the one with more text counts; an empty table gives an empty result; other columns are not read.
 """
@@ -76,6 +77,11 @@ _PLAIN_WORDS = frozenset(
     " title head body region zone module component sticky float overlay gdpr privacy policy alert wp id class x size large small wide".split()
 )
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold blocks of their own.
+_PARTS = frozenset("div section ul ol dl table aside form details center".split())
+#: Levels whose steps a path shows, characters of a step, and side elements that are kept of those around a block.
+DEEP, STEP_CHARS, AROUND = 64, 96, 64
+_DIGITS = str.maketrans("0123456789", "ghijklmnop")
 
 
 def _tells_side(label: str) -> bool:
@@ -90,8 +96,23 @@ def _label(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
     main = name in ("article", "main") or any(x in ("main", "articleBody") for _, x in found)
     plain = main or name in ("html", "body")
     side = name in _SIDE or (not plain and any(_tells_side(w) for _, x in found for w in x.split()))
-    inner = name in _SIDE or (not plain and name not in _HEADINGS and any(_tells_side(w) for kind, x in found if kind != "id" for w in x.split()))
-    return re.sub(r"[\d/]+", "", f"{name}.{'.'.join(words.split())}" if words else name), side, inner, main
+    # inside an article the id of a heading, or of a piece of text, is what links point to; that of a part with blocks names the part
+    inner = name in _SIDE or (not plain and name not in _HEADINGS and any(_tells_side(w) for kind, x in found if kind != "id" or name in _PARTS for w in x.split()))
+    step = re.sub(r"[\d/]+", "", f"{name}.{'.'.join(words.split())}" if words else name)
+    return step if len(step) <= STEP_CHARS else f"{step[: STEP_CHARS // 2]}.~{_letters(_hash(step))}", side, inner, main
+
+
+def _letters(number: int) -> str:
+    """A hash without digits, for paths."""
+    return f"{number + 2**63:016x}".translate(_DIGITS)
+
+
+def _below(path: str, depth: int, step: str) -> str:
+    """The path of an element ``depth`` levels down. From ``DEEP`` levels on a path ends in a hash of its further steps, so its length is bounded."""
+    if depth <= DEEP:
+        return f"{path}/{step}"
+    head, _, last = path.rpartition("/")
+    return f"{head if depth > DEEP + 1 else path}/~{_letters(_hash(f'{last}/{step}' if depth > DEEP + 1 else step))}"
 
 
 def _settled(blocks: list[tuple[str, tuple, bool, str]]) -> list[tuple[str, bool, bool, str]]:
@@ -116,23 +137,68 @@ def _settled(blocks: list[tuple[str, tuple, bool, str]]) -> list[tuple[str, bool
     return [(b[0], bool(b[1]), b[2], b[3]) for b in blocks]
 
 
+class _Stack:
+    """The open elements. For each name the places where it is open are kept, so that what a tag closes is found without a walk."""
+
+    def __init__(self):
+        #: name, path, levels of the path, side elements around, in an article
+        self.items: list[tuple[str, str, int, tuple, bool]] = [("", "", 0, (), False)]
+        self.named: dict[str, list[int]] = defaultdict(list)
+        self.blocks, self.scopes, self.cells = [0], [0], []
+
+    def push(self, item: tuple[str, str, int, tuple, bool]) -> None:
+        name, at = item[0], len(self.items)
+        self.items.append(item)
+        self.named[name].append(at)
+        if name in _BLOCK:
+            self.blocks.append(at)
+        if name in _SCOPE:
+            (self.cells if name == "td" else self.scopes).append(at)
+
+    def cut(self, at: int) -> None:
+        while len(self.items) > at:
+            name = self.items.pop()[0]
+            self.named[name].pop()
+            if name in _BLOCK:
+                self.blocks.pop()
+            if name in _SCOPE:
+                (self.cells if name == "td" else self.scopes).pop()
+
+    def _last(self, name: str) -> int:
+        own = self.named.get(name)
+        return own[-1] if own else 0
+
+    def end(self, name: str) -> None:
+        """An inline end tag reaches up to the nearest block, a block's to any of its name."""
+        at = self._last(name)
+        if at and (name in _BLOCK or at > self.blocks[-1]):
+            self.cut(at)
+
+    def close_for(self, name: str) -> None:
+        """What a start tag closes: an open paragraph, and elements of its own sort, within the scope."""
+        if name in _CLOSES_P and (at := self._last("p")) > max(self.scopes[-1], self.cells[-1] if self.cells else 0):
+            self.cut(at)
+        if name in _OWN_CLOSE and (at := max(map(self._last, _OWN_CLOSE[name]))) > self.scopes[-1]:
+            self.cut(at)
+
+
 def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, bool, bool, str]], dict[str, list[int]], list[int]]:
     """Blocks in page order as (path, beside the text, in an article, text), how often and where first each path opens, and the blocks' places."""
     steps = {} if steps is None else steps
-    stack: list[tuple[str, str, tuple, bool]] = [("", "", (), False)]
+    stack = _Stack()
     blocks: list[tuple[str, tuple, bool, str]] = []
     opened: dict[str, list[int]] = {}
     places: list[int] = []
     number = tick = 0
     pending: list[str] = []
-    owner = stack[0]
+    owner: tuple[str, tuple, bool] = ("", (), False)
 
     def flush() -> None:
-        nonlocal owner, tick
+        nonlocal tick
         if pending:
             text = " ".join(html.unescape("".join(pending)).split())
             if text:
-                blocks.append((owner[1], owner[2], owner[3], text))
+                blocks.append((*owner, text))
                 places.append(tick)
                 tick += 1
             pending.clear()
@@ -141,8 +207,8 @@ def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, boo
         text = m["text"]
         if text is not None:
             if not pending:
-                block = next((x for x in reversed(stack) if x[0] in _BLOCK or x[0] == ""), stack[0])
-                owner = (block[0], block[1], stack[-1][2], stack[-1][3])
+                top = stack.items[-1]
+                owner = (stack.items[stack.blocks[-1]][1], top[3], top[4])
             pending.append(text)
             continue
         name = m["name"]
@@ -157,27 +223,9 @@ def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, boo
         if block:
             flush()
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if not block and stack[i][0] in _BLOCK:
-                    break
+            stack.end(name)
             continue
-        if name in _CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPE:
-                    break
-        if name in _OWN_CLOSE:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _OWN_CLOSE[name]:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SCOPE and stack[i][0] != "td":
-                    break
+        stack.close_for(name)
         if name in _VOID or m["attr"].endswith("/"):
             continue
         key = (name, m["attr"])
@@ -187,19 +235,18 @@ def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, boo
             if len(steps) < 10000:
                 steps[key] = got
         step, side, inner, main = got
-        top = stack[-1]
-        side = inner if top[3] else side
-        if name == "header" and top[3]:
-            side = False  # an article's own heading
-        elif name == "header":
-            side = True
-        path = f"{top[1]}/{step}" if block else top[1]
+        _, path, depth, around, article = stack.items[-1]
+        side = inner if article else side
+        if name == "header":
+            side = not article  # an article's own heading
         if block:
+            depth += 1
+            path = _below(path, depth, step)
             opened.setdefault(path, [0, tick])[0] += 1
             tick += 1
         number += 1
-        own = ((number, name in _STRONG or name == "header", top[3]),) if side else ()
-        stack.append((name, path, top[2] + own, top[3] or main))
+        own = ((number, name in _STRONG or name == "header", article),) if side and len(around) < AROUND else ()
+        stack.push((name, path, depth, around + own if own else around, article or main))
     flush()
     return _settled(blocks), opened, places
 

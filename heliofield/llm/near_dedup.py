@@ -311,8 +311,8 @@ def local_links(ids: list[int], blobs: list[bytes], idf: np.ndarray, similarity:
     begin = np.append(True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1]))
     at = np.arange(len(flat))
     again = at - np.maximum.accumulate(np.where(begin, at, 0))  # a shingle's n-th occurrence is an element of its own
-    key, inverse, count = np.unique((flat.astype(np.uint64) << np.uint64(20)) | again.astype(np.uint64), return_inverse=True, return_counts=True)
-    weight = idf[(key >> np.uint64(20)).astype(np.uint32) & np.uint32(len(idf) - 1)].astype(np.float64)
+    key, inverse, count = np.unique((flat.astype(np.uint64) << np.uint64(32)) | again.astype(np.uint64), return_inverse=True, return_counts=True)
+    weight = idf[(key >> np.uint64(32)).astype(np.uint32) & np.uint32(len(idf) - 1)].astype(np.float64)
     total = np.bincount(owner, weight[inverse], minlength=m)
     common = count > 1
     column = np.cumsum(common) - 1

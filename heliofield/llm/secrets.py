@@ -2,11 +2,14 @@
 
 Three base patterns always count. Beyond them, candidates (signed tokens, armoured keys, all base64, base64url or hex
 runs of ``LEAST`` characters or more) are reported only when their structure holds: the base64 or hex decodes, a key's
-nested lengths add up at every level, or a token's header is JSON that names an algorithm. A run may be wrapped over lines, also
-escaped ones, and a key may start at any character of it; header lines of an armour are skipped, and an encrypted body, which has no
-structure of its own, counts under its headers. Spans are ``kind:start:end`` in code points.
-
-Defined results: a null text is empty and has no spans; a very long text is scanned whole; spans that tie in their start go by kind;
+nested lengths add up at every level, or a token's header is JSON that names an algorithm. Of key encodings only private ones count: nine integers of
+a version, or six; version, algorithm and octets; version 1 and octets; an encryption scheme and octets. Public keys, certificates and
+signatures have other members. A run may be wrapped over lines, also escaped ones; header lines of an armour are skipped, and an encrypted body, which has no
+structure of its own, counts under its headers. A run that decodes to text is scanned as a text, ``DEPTH`` levels down, and is
+a key as a whole if that text holds an armour, a key or a token. Spans are ``kind:start:end`` in code points.
+
+Defined results: a null text is empty and has no spans; a very long text is scanned whole, in time that follows its length (a key is decoded by the length it declares;
+a token's header has ``HEAD`` characters at most); spans that tie in their start go by kind;
 repeated rows give repeated results; an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 """
 
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-SIGNED = re.compile(r"(?<![A-Za-z0-9_])((?:ey[JA]|ew[o0k])[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{4,})\.([A-Za-z0-9_-]*)")
-LEAST = 40
+SIGNED = re.compile(r"(?<![A-Za-z0-9_])((?:ey[JA]|ew[o0k])[A-Za-z0-9_-]{8,2048}+)\.([A-Za-z0-9_-]{4,}+)\.([A-Za-z0-9_-]*+)")
+LEAST, HEAD, DEPTH = 40, 2048, 3
 _BREAK = r"(?:\\r\\n|\\n|\\r|\r\n|\n|\r)"
 ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)+?)-----END \1-----", re.DOTALL)
 HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*:[^\r\n]*")
@@ -38,6 +41,8 @@ HEXSTARTS = re.compile(r"(?=30(?:[0-7][0-9A-Fa-f]|8[1-4])|6f70656e737368)", re.I
 INNER = re.compile(r"[_/+-](?=M[A-P]|b3BlbnNza)")
 URLSAFE = str.maketrans("-_", "+/")
 OPENSSH = b"openssh-key-v1\0"
+#: No private key has more bytes.
+KEY_BYTES = 1 << 15
 KINDS = ("assign", "access", "hex", "armour", "key", "signed")
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
 
@@ -65,31 +70,61 @@ def _part(raw: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, at, at + size) if at + size <= end else None
 
 
-def nested_lengths(raw: bytes) -> bool:
-    """Whether ``raw`` is one DER sequence whose members fill it exactly at every level, an integer or sequence first."""
-    top = _part(raw, 0, len(raw))
-    if not top or top[0] != 0x30 or top[2] != len(raw):
-        return False
-    tags: list[int] = []
-    todo = [(top[1], top[2], True)]
+#: Levels of nested lengths that are read; keys have six at most.
+LEVELS = 16
+_NESTED = (0x30, 0x31, 0xA0, 0xA1)
+#: Object identifiers of encryption schemes (fixed values: password-based, versions 5 and 12) and an identifier's tag.
+_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
+def members(raw: bytes, at: int = 0) -> list[tuple[int, int, int]] | None:
+    """(tag, first, end) of what the DER sequence at ``at`` holds, if its members fill it exactly at every level; else None."""
+    top = _part(raw, at, len(raw))
+    if not top or top[0] != 0x30 or top[2] - at > KEY_BYTES:
+        return None
+    out: list[tuple[int, int, int]] = []
+    todo = [(top[1], top[2], 0)]
     while todo:
-        at, end, outer = todo.pop()
+        at, end, level = todo.pop()
         while at < end:
             part = _part(raw, at, end)
-            if not part:
-                return False
-            if outer:
-                tags.append(part[0])
-            if part[0] in (0x30, 0x31, 0xA0, 0xA1):
-                todo.append((part[1], part[2], False))
+            if not part or level > LEVELS:
+                return None
+            if not level:
+                out.append(part)
+            if part[0] in _NESTED:
+                todo.append((part[1], part[2], level + 1))
             at = part[2]
-    return len(tags) >= 2 and tags[0] in (0x02, 0x30) and all(t in (0x02, 0x03, 0x04, 0x05, 0x06, 0x30, 0x31, 0xA0, 0xA1) for t in tags)
+    return out
 
 
-def key_length(raw: bytes) -> int:
-    """Bytes of the key that ``raw`` starts with, 0 if there is none."""
-    if raw.startswith(OPENSSH):
-        at = len(OPENSSH)
+def nested_lengths(raw: bytes) -> bool:
+    """Whether ``raw`` is one DER sequence whose members fill it exactly at every level."""
+    top = _part(raw, 0, len(raw))
+    return bool(top) and top[2] == len(raw) and members(raw) is not None
+
+
+def is_private(raw: bytes, parts: list[tuple[int, int, int]]) -> bool:
+    """Whether a sequence's members are those of a private key."""
+    tags = [t for t, _, _ in parts]
+    inner = [t and t[0] for t in (_part(raw, first, end) if tag == 0x30 else None for tag, first, end in parts[:2])]
+    number = int.from_bytes(raw[parts[0][1] : parts[0][2]], "big") if tags[:1] == [0x02] and parts[0][2] - parts[0][1] == 1 else None
+    if number in (0, 1) and (tags in ([0x02] * 9, [0x02] * 9 + [0x30]) or tags[:3] == [0x02, 0x30, 0x04] and inner[1] == 0x06 and set(tags[3:]) <= {0xA0, 0xA1, 0x81}):
+        return True
+    if number == 1 and tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1}:
+        return True
+    if number == 0 and tags == [0x02] * 6:
+        return True
+    if tags == [0x30, 0x04] and inner[0] == 0x06:
+        scheme = _part(raw, parts[0][1], parts[0][2])
+        return raw[scheme[1] : scheme[2]].startswith(_SCHEMES)
+    return False
+
+
+def key_length(raw: bytes, at: int = 0) -> int:
+    """Bytes of the private key at ``at``, 0 if there is none."""
+    if raw.startswith(OPENSSH, at):
+        start, at = at, at + len(OPENSSH)
         for _ in range(3):  # cipher, derivation and its options
             at += 4 + int.from_bytes(raw[at : at + 4], "big")
             if at + 4 > len(raw):
@@ -100,9 +135,9 @@ def key_length(raw: bytes) -> int:
             if at + 4 > len(raw):
                 return 0
             at += 4 + int.from_bytes(raw[at : at + 4], "big")
-        return at if 1 <= keys <= 64 and at <= len(raw) else 0
-    top = _part(raw, 0, len(raw))
-    return top[2] if top and nested_lengths(raw[: top[2]]) else 0
+        return at - start if 1 <= keys <= 64 and at <= len(raw) else 0
+    parts = members(raw, at)
+    return parts[-1][2] - at if parts and is_private(raw, parts) else 0
 
 
 def _key(body: str) -> bool:
@@ -143,12 +178,15 @@ def _base64_keys(text: str) -> list[tuple[int, int, int]]:
         for head in sorted(set(heads)):
             if head < done or len(clean) - head < LEAST - 2 or clean[head] not in "Mb":
                 continue
-            have = clean[head:]
-            if not have.startswith("b3BlbnNza"):
-                top = _part(_decoded(have[:12]) or b"", 0, 1 << 62)
-                if not top or top[0] != 0x30 or top[2] * 4 > len(have) * 3:
+            if clean.startswith("b3BlbnNza", head):
+                if not (_decoded(clean[head : head + 20]) or b"").startswith(OPENSSH):
+                    continue
+                have = clean[head : head + KEY_BYTES * 4 // 3]
+            else:
+                top = _part(_decoded(clean[head : head + 12]) or b"", 0, 1 << 62)
+                if not top or top[0] != 0x30 or top[2] > KEY_BYTES or top[2] * 4 > (len(clean) - head) * 3:
                     continue
-                have = have[: -(-top[2] * 4 // 3)]
+                have = clean[head : head + -(-top[2] * 4 // 3)]
             if len(have) % 4 == 1:
                 have = have[:-1]
             size = key_length(_decoded(have) or b"")
@@ -167,20 +205,57 @@ def _hex_keys(text: str) -> list[tuple[int, int, int]]:
         if len(m[0]) < LEAST:
             continue
         clean, places, _ = _run(text, m.start(), m.end())
+        read: list[bytes | None] = [None, None]  # from an even and from an odd place
         done = 0
         for s in HEXSTARTS.finditer(clean):
+            side, at = s.start() & 1, s.start() >> 1
             if s.start() < done:
                 continue
-            first = _part(bytes.fromhex(clean[s.start() : s.start() + 12 + (len(clean) - s.start()) % 2][:12]), 0, 1 << 62) if clean.startswith("30", s.start()) and len(clean) - s.start() >= 12 else None
-            if first and first[2] * 2 > len(clean) - s.start():
-                continue
-            size = key_length(bytes.fromhex(clean[s.start() : len(clean) - (len(clean) - s.start()) % 2][: 2 * first[2] if first else None]))
+            if read[side] is None:
+                read[side] = bytes.fromhex(clean[side : len(clean) - (len(clean) - side) % 2])
+            size = key_length(read[side], at)
             if 2 * size >= LEAST - 8:
                 done = s.start() + 2 * size
                 found.append((places[s.start()], 4, places[done - 1] + 1))
     return found
 
 
+def _as_text(raw: bytes | None) -> str | None:
+    """Decoded bytes that are a text of printable characters."""
+    if not raw or any(b < 32 and b not in (9, 10, 13) or b == 127 for b in raw[:24]):
+        return None
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return None
+    return text if not re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text) else None
+
+
+def _wrapped(text: str, depth: int) -> list[tuple[int, int, int]]:
+    """Runs that decode to a text with a key or token in it."""
+    found = []
+    for runs, read in ((RUN, lambda x: _decoded(x.translate(URLSAFE))), (HEXRUN, lambda x: bytes.fromhex(x[: len(x) & ~1]))):
+        for m in runs.finditer(text):
+            if len(m[0]) < LEAST:
+                continue
+            start, end = m.start(), m.start() + len(m[0].rstrip("="))
+            if text[max(start - 1, 0) : start] == "\\" and text[start] in "nr":
+                start += 1  # after an escaped line break
+            clean, places, heads = _run(text, start, end)
+            for head in heads:
+                if len(clean) - head < LEAST or _as_text(read(clean[head : head + 32])) is None:
+                    continue
+                for stop in [len(clean), *(h for h in heads[:-3:-1] if h > head)]:  # a word on the next line may look like more of it
+                    inner = _as_text(read(clean[head : stop - ((stop - head) % 4 == 1)]))
+                    if inner is not None and confirmed_spans(inner, depth - 1):
+                        last = places[stop - 1] + 1
+                        last += next(i for i in range(3) if i == 2 or text[last + i : last + i + 1] != "=")
+                        found.append((places[head], 4, last))
+                        break
+                break  # later lines are of the same run
+    return found
+
+
 def _signed(header: str) -> bool:
     raw = _decoded(header, "-_")
     try:
@@ -198,16 +273,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
+def confirmed_spans(text: str, depth: int = DEPTH) -> list[tuple[int, int, int]]:
     """Further spans whose structure is confirmed."""
     found = []
     if "-----BEGIN " in text:
         found += [(m.start(), 3, m.end()) for m in ARMOUR.finditer(text) if _key(m[2])]
-    armours = list(found)
-    found += [x for x in _base64_keys(text) + _hex_keys(text) if not any(s <= x[0] < e for s, _, e in armours)]
+    outside = lambda spans, held: [x for x in spans if not any(s < x[2] and x[0] < e for s, _, e in held)]
+    found += outside(_base64_keys(text) + _hex_keys(text), list(found))
     if "eyJ" in text or "eyA" in text or "ewo" in text or "ew0" in text or "ewk" in text:
         found += [(m.start(), 5, m.end()) for m in SIGNED.finditer(text) if _signed(m[1])]
-    return found
+    return found + outside(_wrapped(text, depth), list(found)) if depth > 1 else found
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:

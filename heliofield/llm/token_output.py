@@ -10,7 +10,7 @@ slot s lies at byte ``(s mod SHARD) * stride`` of shard ``s div SHARD``.
 ``write_shards`` keeps the tokens and a manifest (input's digest, vocabulary, key, length, shard) beside the shards and writes them in waves of consecutive
 shards, each committed whole. Called again it writes the missing waves only; with another input or key it refuses.
 
-Defined results: a null or empty text gives no sequence; a very long text is tokenised whole and gives as many sequences as it needs; a null
+Defined results: a null or empty text gives no sequence; a very long text, also one long run of white space or of one letter, is tokenised whole and gives as many sequences as it needs; a null
 ``doc_id`` is kept, first in order; rows that tie (equal id and text) are interchangeable and each has its sequences in slots of their own;
 an empty table gives an empty result; only ``doc_id`` and ``text`` are read. The last sequence of a text is padded with the end id to
 the stride; ``n_tokens`` says how many ids are its own.
@@ -18,17 +18,16 @@ the stride; ``n_tokens`` says how many ids are its own.
 
 from __future__ import annotations
 
-import base64
 import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliofield.llm import textops
+from heliofield.llm import bpe, textops
 from heliofield.llm.runtime import save, table
 
 LENGTH = 512
@@ -38,22 +37,12 @@ ROUNDS = 6
 #: A write is committed in this many steps.
 WAVES = 16
 VOCABULARY = os.environ.get("HELIOFIELD_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-#: Pre-splitting pattern of the vocabulary (fixed value of the public tokenizer).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-_loaded: dict[str, tuple] = {}
 
 
 def encoder(path: str = VOCABULARY):
-    """(encoding, end id) of a vocabulary in rank form; the end id is the first free one. Executors read the copy that was sent to them."""
-    if path not in _loaded:
-        import tiktoken
-
-        sent = SparkFiles.get(os.path.basename(path)) if TaskContext.get() else path
-        with open(sent if os.path.exists(sent) else path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _loaded[path] = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
-    return _loaded[path]
+    """(encoding, end id) of a vocabulary; the end id is the first free one. Executors read the copy that was sent to them."""
+    encoding, end, _ = bpe.encoder(path)
+    return encoding, end
 
 
 def _round(half: np.ndarray, key: int, number: int, mask: np.uint64) -> np.ndarray:
@@ -85,7 +74,7 @@ def _tokenised(docs: DataFrame, path: str, length: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.array([*encoding.encode_ordinary(t.as_py()), end], kind) if t.is_valid and len(t.as_buffer()) else None for t in part.column(1)]
+                ids = [np.array([*bpe.encode(encoding, t.as_py()), end], kind) if t.is_valid and len(t.as_buffer()) else None for t in part.column(1)]
                 count = np.array([-(-len(x) // length) if x is not None else 0 for x in ids], np.int64)
                 first = seen + np.cumsum(count) - count
                 seen += int(count.sum())
