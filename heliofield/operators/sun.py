@@ -53,9 +53,9 @@ def sunrise_per_day(days: DataFrame, lat: float = SITE[0], lon: float = SITE[1])
     return sun_position(minute_spine(days), "ts", lat, lon).where("elevation > 0").groupBy("day").agg(F.min("ts").alias("sunrise"))
 
 
-def sun_paths(spark, days: list[str], lat: float = SITE[0], lon: float = SITE[1]) -> DataFrame:
-    """Sun paths of reference days at ten minutes, where the sun is up."""
-    base = spark.createDataFrame([(d,) for d in days], "day string").select(F.to_date("day").alias("day"))
+def sun_paths(spark, days: list[str] | DataFrame, lat: float = SITE[0], lon: float = SITE[1]) -> DataFrame:
+    """Sun paths of reference days (dates, or a DataFrame with ``day``) at ten minutes, where the sun is up."""
+    base = days.select("day").distinct() if isinstance(days, DataFrame) else spark.createDataFrame([(d,) for d in days], "day string").select(F.to_date("day").alias("day"))
     return sun_position(minute_spine(base, 10), "ts", lat, lon).where("elevation > 0")
 
 

@@ -33,7 +33,7 @@ def landmark_sql(name, src, value):
 
 def path_curve(s, d):
     """Altitudes along reference sun paths interpolated at whole azimuths, two degrees up."""
-    paths = SUN.sun_paths(s, ["2021-03-20", "2021-06-21", "2021-12-21"]).select("day", "azimuth", "altitude")
+    paths = SUN.sun_paths(s, sun_at(s, d).select(F.to_date("t").alias("day"))).select("day", "azimuth", "altitude")
     at = paths.select("day").distinct().withColumn("azimuth", F.explode(F.sequence(F.lit(100), F.lit(260), F.lit(20)))).withColumn("azimuth", F.col("azimuth").cast("double"))
     return SUN.interpolate(paths, "azimuth", "altitude", at, "day").select("day", "azimuth", F.round(F.col("altitude") + 2.0, 6).alias("label_altitude"))
 
@@ -58,30 +58,30 @@ def queries():
     )
     sm = smooth_sql(2, 2).replace("with m as", "m as").replace(" select alt, az, round(greatest(0.0D, least(1.0D, shadow)), 6) as shadow from b", ", sm as (select alt, az, greatest(0.0D, least(1.0D, shadow)) as shadow from b)")
     q["shadow_audit"] = (
-        lambda s, d: A.shadow_audit(sun_at(s, d), probes(s, d), matrix(s), M.smooth(matrix(s))).select("probe", "nearest", "row", "col", *r6("altitude", "azimuth", "raw_shadow", "smoothed_shadow")),
+        lambda s, d: A.shadow_audit(sun_at(s, d), probes(s, d), matrix(s, d), M.smooth(matrix(s, d))).select("probe", "nearest", "row", "col", *r6("altitude", "azimuth", "raw_shadow", "smoothed_shadow")),
         f"""with {V}, {sm}, i0 as ({INV}), pr as (select distinct cast(cast(t as date) as timestamp) + interval '10 hours' as probe from i0),
 n as (select probe, p.*, row_number() over (partition by probe order by abs(floor(epoch(t))::bigint - epoch(probe)::bigint), floor(epoch(t)), t) as rn from pr join p on abs(floor(epoch(t))::bigint - epoch(probe)::bigint) <= 14400), o as (select *, {CELL} from n where rn = 1)
 select probe, t as nearest, r_ as "row", c_ as col, round(altitude,6) as altitude, round(azimuth,6) as azimuth, round(case when altitude > 0.5D then m.shadow else 0 end,6) as raw_shadow, round(case when altitude > 0.5D then sm.shadow else 0 end,6) as smoothed_shadow from o join m on m.alt = r_ and m.az = c_ join sm on sm.alt = r_ and sm.az = c_""",
     )
-    q["altitude_profile"] = (lambda s, d: A.altitude_profile(matrix(s), 170).select("alt", *r6("shadow")), f"with m as ({MATRIX}) select alt, round(shadow,6) as shadow from m where az = 170")
+    q["altitude_profile"] = (lambda s, d: A.altitude_profile(matrix(s, d), 170).select("alt", *r6("shadow")), f"with m as ({MATRIX}) select alt, round(shadow,6) as shadow from m where az = 170")
     q["facade_shadows"] = (
-        lambda s, d: A.facade_shadows(sun_at(s, d), matrix(s), 170.0).select("t", *r6("altitude", "azimuth", "beam_shadow")),
+        lambda s, d: A.facade_shadows(sun_at(s, d), matrix(s, d), 170.0).select("t", *r6("altitude", "azimuth", "beam_shadow")),
         f"with {V}, m as ({MATRIX}), o as (select *, {CELL} from p where altitude > 0.5D and abs((azimuth-170.0D+180.0D) - 360.0D*floor((azimuth-170.0D+180.0D)/360.0D) - 180.0D) <= 30) select t, round(altitude,6) as altitude, round(azimuth,6) as azimuth, round(shadow,6) as beam_shadow from o join m on alt = r_ and az = c_ where shadow > 0.3D",
     )
     q["projection_rays"] = (
-        lambda s, d: A.scene_rays(G.panel_points(s, G.BANK1), sun_at(s, d).where("hour(t) = 11").select("t", "altitude", "azimuth"), matrix(s)).select("t", "panel", *r6("transmittance", "end_x", "end_y", "end_z")),
+        lambda s, d: A.scene_rays(G.panel_points(s, G.BANK1), sun_at(s, d).where("hour(t) = 11").select("t", "altitude", "azimuth"), matrix(s, d)).select("t", "panel", *r6("transmittance", "end_x", "end_y", "end_z")),
         f"""with {V}, m as ({MATRIX}), {light.panels_sql(G.BANK1, 'pa', None)}, o as (select *, {CELL} from p where hour(t) = 11)
 select t, panel, round(case when altitude > 0.5D then 1 - shadow else 1 end,6) as transmittance, round(pa.x + 50.0D*(cos(radians(altitude))*sin(radians(azimuth))),6) as end_x, round(pa.y + 50.0D*(cos(radians(altitude))*cos(radians(azimuth))),6) as end_y, round(pa.z + 50.0D*sin(radians(altitude)),6) as end_z from o join m on alt = r_ and az = c_, pa""",
     )
     q["sun_path_labels"] = (
         path_curve,
-        f"""with d0 as (select unnest([date '2021-03-20', date '2021-06-21', date '2021-12-21']) as day), ms as (select day, unnest(generate_series(cast(day as timestamp), cast(day as timestamp) + interval '1430 minutes', interval '10 minutes')) as ts from d0), {sun_sql('ms', 'ts', 'p')},
+        f"""with v as ({VIEWS}), d0 as (select distinct cast(t as date) as day from v), ms as (select day, unnest(generate_series(cast(day as timestamp), cast(day as timestamp) + interval '1430 minutes', interval '10 minutes')) as ts from d0), {sun_sql('ms', 'ts', 'p')},
 c as (select day, azimuth as x0, altitude as y0, lead(azimuth) over (partition by day order by azimuth) as x1, lead(altitude) over (partition by day order by azimuth) as y1 from p where elevation > 0), a as (select day, cast(unnest(range(100, 261, 20)) as double) as azimuth from d0)
 select a.day, a.azimuth, round(coalesce(min(y0 + (azimuth-x0)/(x1-x0)*(y1-y0)), 0) + 2.0D, 6) as label_altitude from a left join c on c.day = a.day and azimuth >= x0 and azimuth <= x1 group by a.day, a.azimuth""",
     )
     q["panel_points_legacy"] = (
-        lambda s, d: G.panel_points(s, G.BANK1, centred=True).select("panel", *r6("x", "y", "z")),
-        f"with {light.panels_sql(G.BANK1, 'pa', None)}, l as (select panel, -n*0.5D + pos as lx, ((n_rows-1-row)*1.6D - (n_rows-1)*0.8D) as yy, cx, cy, cz, tilt, azimuth from (select *, first + pos as panel from pa_l) x), t as (select *, yy*cos(radians(tilt)) as ly, yy*sin(radians(tilt)) as lz from l) select cast(panel as int) as panel, round(lx*cos(radians(180.0D-azimuth)) - ly*sin(radians(180.0D-azimuth)) + cx,6) as x, round(lx*sin(radians(180.0D-azimuth)) + ly*cos(radians(180.0D-azimuth)) + cy,6) as y, round(lz+cz,6) as z from t",
+        lambda s, d: G.panel_points(s, G.BANK1, P.roof_height(light.pts(s, d), 30.0, 27.0), centred=True).select("panel", *r6("x", "y", "z")),
+        f"{light.W}, {light.ROOF}, {light.panels_sql(G.BANK1, 'pa', None)}, l as (select panel, -n*0.5D + pos as lx, ((n_rows-1-row)*1.6D - (n_rows-1)*0.8D) as yy, cx, cy, cz, tilt, azimuth from (select *, first + pos as panel from pa_l) x), t as (select *, yy*cos(radians(tilt)) as ly, yy*sin(radians(tilt)) as lz from l) select cast(panel as int) as panel, round(lx*cos(radians(180.0D-azimuth)) - ly*sin(radians(180.0D-azimuth)) + cx,6) as x, round(lx*sin(radians(180.0D-azimuth)) + ly*cos(radians(180.0D-azimuth)) + cy,6) as y, round(lz + cz + (select anchor_z from roof),6) as z from t",
     )
     q["sky_sweep_capped"] = (
         capped,

@@ -20,7 +20,7 @@ def _place(s, name):
 
 def matrix_csv(s, d):
     path = _place(s, "matrix")
-    tables.write_shadow_matrix(matrix(s), path)
+    tables.write_shadow_matrix(matrix(s, d), path)
     return tables.read_shadow_matrix(s, path).select("alt", "az", *r6("shadow"))
 
 

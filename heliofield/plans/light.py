@@ -138,8 +138,8 @@ SWEEP = "m as (select array_id, alt, az, 1 - avg(t) as shadow from tr group by a
 def queries():
     q = {k: (f, "") for k, f in whole().items()}
     q["panel_points"] = (
-        lambda s, d: G.panel_points(s, G.BANK1 + G.BANK2).select("array_id", "panel", "row", "pos", *r6("x", "y", "z")),
-        f"with {panels_sql(G.BANK1 + G.BANK2, 'panels', None)} select array_id, panel, row, pos, round(x,6) as x, round(y,6) as y, round(z,6) as z from panels",
+        lambda s, d: G.panel_points(s, G.BANK1 + G.BANK2, P.roof_height(pts(s, d), 30.0, 27.0)).select("array_id", "panel", "row", "pos", *r6("x", "y", "z")),
+        f"{W}, {ROOF}, {panels_sql(G.BANK1 + G.BANK2, 'panels', 'roof')} select array_id, panel, row, pos, round(x,6) as x, round(y,6) as y, round(z,6) as z from panels",
     )
     q["optical_center"] = (lambda s, d: G.optical_center(panels_of(s, d)).select(*r6("x", "y", "z")), f"{W}, {ROOF}, {panels_sql(LOCAL, 'panels', 'roof')} select round(avg(x),6) as x, round(avg(y),6) as y, round(avg(z),6) as z from panels")
     q["cone_offsets"] = (lambda s, d: G.cone_offsets(s).select("ray", *r6("ox", "oy")), f"with {OFFS} select ray, round(ox,6) as ox, round(oy,6) as oy from offs")

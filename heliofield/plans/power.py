@@ -117,7 +117,7 @@ def log(s, d):
 
 def matched(s, d):
     """Measured, base and shaded of each day with weather on the five-minute grid, in civil time."""
-    return E.matched_days(E.measured_days(log(s, d)), E.forecast_days(weather(s, d), matrix(s), shift_minutes=-30.0))
+    return E.matched_days(E.measured_days(log(s, d)), E.forecast_days(weather(s, d), matrix(s, d), shift_minutes=-30.0))
 
 
 #: Two sub-arrays of one logger (fixed values of the studied site: 8 and 6 of 14 panels).
@@ -131,7 +131,7 @@ def turned(m):
 
 def evaluated(s, d, arrays=None):
     """Pairs and metrics of the days that have a log, with the weather loaded for them."""
-    m = matrix(s)
+    m = matrix(s, d)
     listed = inv(s, d).select(F.to_date("t").alias("day")).distinct()
     return E.evaluate_days(listed, log(s, d), lambda days: weather(s, d).join(days, "day", "left_semi").drop("day"), arrays or [(NORTH, m), (SOUTH, turned(m))], -30.0)
 
@@ -158,7 +158,7 @@ def gain(s, d):
 
 def sun_fraction(s, d):
     """Fractions and shadow factors at the forecast's times."""
-    return PV.apply_shadows(forecast(s, d), matrix(s)).select("event_id", *r6("altitude", "azimuth", "shadow_beam", "shadow_diffuse", "beam_fraction", "diffuse_fraction", "output_shaded"))
+    return PV.apply_shadows(forecast(s, d), matrix(s, d)).select("event_id", *r6("altitude", "azimuth", "shadow_beam", "shadow_diffuse", "beam_fraction", "diffuse_fraction", "output_shaded"))
 
 
 WEATHER = f"""{WX}, {BINS}, c as (select t, max(dni) as dni, max(ghi) as cg, max(dhi) as cd from ({CAMS}) x group by t), dy as (select cast(t as date) as day, avg(temp) as m from re group by 1),
@@ -200,30 +200,30 @@ LOGGED = "day in (select cast(t as date) from i0)"
 
 def queries():
     q = {}
-    q["matrix_smooth_2x2"] = (lambda s, d: M.smooth(matrix(s), 2, 2).select("alt", "az", *r6("shadow")), smooth_sql(2, 2))
-    q["matrix_smooth_3x3"] = (lambda s, d: M.smooth(matrix(s), 3, 3).select("alt", "az", *r6("shadow")), smooth_sql(3, 3))
-    q["matrix_round_trip"] = (lambda s, d: M.from_wide(M.to_wide(matrix(s))).select("alt", "az", *r6("shadow")), f"select alt, az, round(shadow, 6) as shadow from ({MATRIX}) m")
-    q["shadow_pivot"] = (lambda s, d: M.to_wide(matrix(s), range(0, 361, 90)).select("label", *r6(*(f"Azimuth_{a}" for a in range(0, 361, 90)))), f"with m as ({MATRIX}) select 'Altitude_' || alt as label, {', '.join(f'round(max(case when az = {a} then shadow end), 6) as Azimuth_{a}' for a in range(0, 361, 90))} from m group by alt")
-    q["matrix_completed"] = (lambda s, d: M.completed(matrix(s).where("alt <= 55")).select("alt", "az", *r6("shadow")), f"with m as ({MATRIX}) select alt, az, case when alt <= 55 then round(shadow, 6) end as shadow from m")
-    q["hemisphere_factor"] = (lambda s, d: M.hemisphere_factor(matrix(s)).select(*r6("factor")), f"with m as ({MATRIX}) select round(factor, 6) as factor from ({HEMI}) x")
-    q["matrix_stats"] = (lambda s, d: M.stats(matrix(s)).select(*r6("low", "high", "mean")), f"with m as ({MATRIX}) select round(min(shadow),6) as low, round(max(shadow),6) as high, round(avg(shadow),6) as mean from m")
-    q["matrix_azimuth_sweep"] = (lambda s, d: M.azimuth_sweep(matrix(s), 20).select("az", *r6("shadow")), f"with m as ({MATRIX}) select az, round(shadow,6) as shadow from m where alt = 20")
+    q["matrix_smooth_2x2"] = (lambda s, d: M.smooth(matrix(s, d), 2, 2).select("alt", "az", *r6("shadow")), smooth_sql(2, 2))
+    q["matrix_smooth_3x3"] = (lambda s, d: M.smooth(matrix(s, d), 3, 3).select("alt", "az", *r6("shadow")), smooth_sql(3, 3))
+    q["matrix_round_trip"] = (lambda s, d: M.from_wide(M.to_wide(matrix(s, d))).select("alt", "az", *r6("shadow")), f"select alt, az, round(shadow, 6) as shadow from ({MATRIX}) m")
+    q["shadow_pivot"] = (lambda s, d: M.to_wide(matrix(s, d), range(0, 361, 90)).select("label", *r6(*(f"Azimuth_{a}" for a in range(0, 361, 90)))), f"with m as ({MATRIX}) select 'Altitude_' || alt as label, {', '.join(f'round(max(case when az = {a} then shadow end), 6) as Azimuth_{a}' for a in range(0, 361, 90))} from m group by alt")
+    q["matrix_completed"] = (lambda s, d: M.completed(matrix(s, d).where("alt <= 55")).select("alt", "az", *r6("shadow")), f"with m as ({MATRIX}) select alt, az, case when alt <= 55 then round(shadow, 6) end as shadow from m")
+    q["hemisphere_factor"] = (lambda s, d: M.hemisphere_factor(matrix(s, d)).select(*r6("factor")), f"with m as ({MATRIX}) select round(factor, 6) as factor from ({HEMI}) x")
+    q["matrix_stats"] = (lambda s, d: M.stats(matrix(s, d)).select(*r6("low", "high", "mean")), f"with m as ({MATRIX}) select round(min(shadow),6) as low, round(max(shadow),6) as high, round(avg(shadow),6) as mean from m")
+    q["matrix_azimuth_sweep"] = (lambda s, d: M.azimuth_sweep(matrix(s, d), 20).select("az", *r6("shadow")), f"with m as ({MATRIX}) select az, round(shadow,6) as shadow from m where alt = 20")
     q["sun_position"] = (lambda s, d: SUN.sun_position(views(s, d), "t").select("event_id", *r6("elevation", "altitude", "azimuth")), f"with v as ({VIEWS}), {sun_sql('v', 't', 'p')} select event_id, {round_sql(['elevation', 'altitude', 'azimuth'])} from p")
     mins = "dy as (select distinct cast(t as date) as day from v), ms as (select day, unnest(generate_series(cast(day as timestamp), cast(day as timestamp) + interval '1439 minutes', interval '1 minute')) as ts from dy)"
     q["sunrise_per_day"] = (lambda s, d: SUN.sunrise_per_day(views(s, d).select(F.to_date("t").alias("day")).distinct()), f"with v as ({VIEWS}), {mins}, {sun_sql('ms', 'ts', 'p')} select day, min(ts) as sunrise from p where elevation > 0 group by day")
     q["sun_path"] = (
-        lambda s, d: SUN.sun_paths(s, ["2021-03-20", "2021-06-21", "2021-12-21"]).select("day", "ts", *r6("altitude", "azimuth")),
-        f"with d0 as (select unnest([date '2021-03-20', date '2021-06-21', date '2021-12-21']) as day), ms as (select day, unnest(generate_series(cast(day as timestamp), cast(day as timestamp) + interval '1430 minutes', interval '10 minutes')) as ts from d0), {sun_sql('ms', 'ts', 'p')} select day, ts, round(altitude,6) as altitude, round(azimuth,6) as azimuth from p where elevation > 0",
+        lambda s, d: SUN.sun_paths(s, views(s, d).select(F.to_date("t").alias("day"))).select("day", "ts", *r6("altitude", "azimuth")),
+        f"with v as ({VIEWS}), d0 as (select distinct cast(t as date) as day from v), ms as (select day, unnest(generate_series(cast(day as timestamp), cast(day as timestamp) + interval '1430 minutes', interval '10 minutes')) as ts from d0), {sun_sql('ms', 'ts', 'p')} select day, ts, round(altitude,6) as altitude, round(azimuth,6) as azimuth from p where elevation > 0",
     )
-    q["shadow_lookup"] = (lambda s, d: M.lookup(forecast(s, d), matrix(s)).select("event_id", *r6("beam_shadow")), f"with {FC} select event_id, round(sb, 6) as beam_shadow from fc")
+    q["shadow_lookup"] = (lambda s, d: M.lookup(forecast(s, d), matrix(s, d)).select("event_id", *r6("beam_shadow")), f"with {FC} select event_id, round(sb, 6) as beam_shadow from fc")
     q["shadow_lookup_legacy"] = (
-        lambda s, d: M.lookup(forecast(s, d), matrix(s), legacy=True).select("event_id", *r6("beam_shadow")),
+        lambda s, d: M.lookup(forecast(s, d), matrix(s, d), legacy=True).select("event_id", *r6("beam_shadow")),
         f"with m as ({MATRIX}), v as ({VIEWS}), {sun_sql('v', 't', 'p')}, l as (select p.*, greatest(0, least(90, cast(round_even(greatest(altitude, 1) - 1, 0) as int))) as r_, greatest(0, least(360, cast(round_even(azimuth, 0) as int))) as c_ from p) select event_id, round(case when altitude > 0.5D then shadow else 0 end, 6) as beam_shadow from l join m on alt = r_ and az = c_",
     )
     frac = "case when altitude is null then 0 else least(1.0D, greatest(0.0D, dni*greatest(cos(radians(90.0D-altitude)), 0.0D)/greatest(ghi, 1e-6))) end as b, least(1.0D, greatest(0.0D, dhi/greatest(ghi, 1e-6))) as d"
     shaded = "output*greatest(0.0D, least(1.0D, b*(1-sb) + d*(1-sd) + greatest(0.0D, least(1.0D, 1-b-d))*(1-sd)))"
     q["apply_shadows_beam_diffuse"] = (sun_fraction, f"with {FC}, g as (select *, {frac} from fc) select event_id, {round_sql(['altitude', 'azimuth'])}, round(sb,6) as shadow_beam, round(sd,6) as shadow_diffuse, round(b,6) as beam_fraction, round(d,6) as diffuse_fraction, round({shaded},6) as output_shaded from g")
-    q["apply_shadows_beam_only"] = (lambda s, d: PV.apply_shadows(forecast(s, d), matrix(s), beam_only=True).select("event_id", *r6("output_shaded")), f"with {FC} select event_id, round(output*(1-sb), 6) as output_shaded from fc")
+    q["apply_shadows_beam_only"] = (lambda s, d: PV.apply_shadows(forecast(s, d), matrix(s, d), beam_only=True).select("event_id", *r6("output_shaded")), f"with {FC} select event_id, round(output*(1-sb), 6) as output_shaded from fc")
     q["baseline_power"] = (
         power_model,
         f"""with v as ({VIEWS}), f0 as (select t, event_id, v*2.0D as dni, v as dhi, v*3.0D as ghi from v), {sun_sql('f0', 't', 'p')},

@@ -42,11 +42,13 @@ def pts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, sf_dir, PTS)
 
 
-def matrix(spark: SparkSession) -> DataFrame:
-    return spark.sql("""select cast(a.id as int) as alt, cast(z.id as int) as az,
-        greatest(0.0D, least(1.0D, 0.5D + 0.5D*sin(radians(z.id*3))*cos(radians(a.id)))) as shadow from range(0, 91) a cross join range(0, 361) z""")
+#: Seen shade by direction; directions that the table doesn't have follow a formula.
+SEEN = "select cast((l_orderkey*7 + l_linenumber) % 91 as int) as s_alt, cast((l_partkey*13 + l_suppkey) % 361 as int) as s_az, round(avg(l_discount)*10.0D, 9) as seen from {lineitem} group by 1, 2"
+_SHADE = "greatest(0.0D, least(1.0D, coalesce(seen, 0.5D + 0.5D*sin(radians(z.az*3))*cos(radians(a.alt)))))"
+MATRIX = f"""select cast(a.alt as int) as alt, cast(z.az as int) as az, {_SHADE} as shadow
+    from (select unnest(range(0, 91)) as alt) a cross join (select unnest(range(0, 361)) as az) z left join ({SEEN}) s on s.s_alt = a.alt and s.s_az = z.az"""
 
 
-MATRIX = """select cast(a.alt as int) as alt, cast(z.az as int) as az,
-    greatest(0.0D, least(1.0D, 0.5D + 0.5D*sin(radians(z.az*3))*cos(radians(a.alt)))) as shadow
-    from (select unnest(range(0, 91)) as alt) a cross join (select unnest(range(0, 361)) as az) z"""
+def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A full matrix of 91 x 361 directions, measured ones from the table."""
+    return frame(spark, sf_dir, f"select cast(a.alt as int) as alt, cast(z.az as int) as az, {_SHADE} as shadow from (select id as alt from range(0, 91)) a cross join (select id as az from range(0, 361)) z left join ({SEEN}) s on s.s_alt = a.alt and s.s_az = z.az")
