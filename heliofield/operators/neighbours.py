@@ -197,12 +197,12 @@ def building_score_additive(features: DataFrame) -> DataFrame:
     return features.withColumn("score", s)
 
 
-def plane_inliers(points: DataFrame, k: int = 10, threshold: float = 0.15) -> DataFrame:
+def plane_inliers(points: DataFrame, k: int = 10, threshold: float = 0.15, queries: DataFrame | None = None) -> DataFrame:
     """pid, ransac: the largest share of a neighbourhood within ``threshold`` of a plane through three of its points.
 
     All triples of the k neighbours are tried (distinct points, degenerate triples skipped), so no random numbers are drawn."""
     at = points.select(F.col("pid").alias("nid"), "x", "y", "z")
-    near = knn(points, points, k).join(at, "nid").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y", "z"))).alias("n"))  # k a point
+    near = knn(points if queries is None else queries, points, k).join(at, "nid").groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("rank", "x", "y", "z"))).alias("n"))  # k a point
 
     def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
