@@ -75,7 +75,7 @@ def inverter_all_csv(s, d):
 
 
 def cached_weather(s, d):
-    """A cached day, with two digits and an albedo made anew from its mean temperature."""
+    """Cached days, with two digits and an albedo made anew from each one's mean temperature."""
     path = _place(s, "weather")
     rows = frame(s, d, TEMP).where("temp is not null").select(F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), F.lit(1.234).alias("dni"), F.lit(2.345).alias("dhi"), (F.col("wind") * 10).alias("ghi"), F.col("temp").alias("T"), "wind", F.lit(0.9).alias("albedo"))
     rows.write.option("header", True).csv(path)
@@ -106,7 +106,7 @@ def queries():
     q["inverter_csv"] = (inverter_csv, f"with i0 as ({INV}) select cast(t as date) as day, count(*) as n, round(sum(e), 4) as e from i0 group by 1")
     q["inverter_all_csv"] = (inverter_all_csv, f"with i0 as ({INV}), x as (select cast(t as date) as day, case when e % 3 < 1 then null else event_id end as st, e from i0) select day, count(st) as n, cast(sum(st) as bigint) as status, round(sum(e), 4) as e from x group by 1")
     mean = "avg(round(temp, 2))"
-    q["cached_weather_csv"] = (cached_weather, f"with tw as ({TEMP}), w as (select * from tw where temp is not null), a as (select {mean} as m from w) select t as ts, 1.23D as dni, 2.35D as dhi, 0.0D as rest, round(0.65D/(1+exp((m-1)/0.75D)) + 0.2D*(1-1/(1+exp((m-1)/0.75D))), 3) as albedo from w, a")
+    q["cached_weather_csv"] = (cached_weather, f"with tw as ({TEMP}), w as (select * from tw where temp is not null), a as (select cast(t as date) as d, {mean} as m from w group by 1) select t as ts, 1.23D as dni, 2.35D as dhi, 0.0D as rest, round(0.65D/(1+exp((m-1)/0.75D)) + 0.2D*(1-1/(1+exp((m-1)/0.75D))), 3) as albedo from w join a on a.d = cast(w.t as date)")
     q["clear_minutes_text"] = (clear_minutes, f"with i0 as ({INV}) select cast(t as date) as day, count(*) as n from i0 group by 1")
     q["observation_csv"] = (observations, f"with i0 as ({INV}), o as (select t, max(e) as e from i0 group by t) select t as ts, case when minute(t) % 10 = 0 then null else round(e, 6) end as temp from o")
     q["study_area_wkt"] = (

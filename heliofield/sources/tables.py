@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
+from array import array
+from itertools import islice
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,11 +27,13 @@ def read_observations(spark: SparkSession, path: str, values: dict[str, str]) ->
 
 
 def read_cached_weather(spark: SparkSession, path: str, recompute_albedo: bool = True) -> DataFrame:
-    """Cached weather: six columns rounded to two digits; the albedo may be made anew from the mean temperature."""
+    """Cached weather: six columns rounded to two digits; the albedo may be made anew from each day's mean temperature."""
     raw = spark.read.option("header", True).schema("timestamp string, dni double, dhi double, ghi double, T double, wind double, albedo double").csv(path)
     out = raw.select(F.to_timestamp_ntz("timestamp").alias("ts"), *(F.round(c, 2).alias(c) for c in ("dni", "dhi", "ghi", "T", "wind", "albedo")))
     if recompute_albedo:
-        out = out.crossJoin(F.broadcast(out.agg(F.avg("T").alias("__t")))).withColumn("albedo", albedo(F.col("__t"))).drop("__t")  # one row
+        day = F.to_date("ts")
+        daily = out.groupBy(day.alias("__d")).agg(F.avg("T").alias("__t"))
+        out = out.join(daily, day.eqNullSafe(F.col("__d"))).withColumn("albedo", albedo(F.col("__t"))).drop("__t", "__d")
     return out
 
 
@@ -61,40 +67,95 @@ def read_inverter_all(spark: SparkSession, path: str, time_format: str = "dd.MM.
     return raw.select(F.try_to_timestamp(F.col(f"`{first}`"), F.lit(time_format)).cast("timestamp_ntz").alias("t"), *(F.trim(F.col(f"`{c}`")).try_cast("double").alias(c) for c in rest)).where("t is not null")
 
 
-def _sheet(raw: bytes) -> list[list[str | None]]:
-    """Cells of a workbook's first sheet as text."""
-    tag = lambda e: e.tag.rsplit("}", 1)[-1]
+class _Strings:
+    """A workbook's shared strings, as bytes and their ends, read once through."""
+
+    def __init__(self, source=None):
+        self.data, self.ends = bytearray(), array("Q", [0])
+        for element in _elements(source, "si") if source else ():
+            for t in element.iter():
+                if _tag(t) == "t" and t.text:
+                    self.data += t.text.encode()
+            self.ends.append(len(self.data))
+
+    def __getitem__(self, k: int) -> str:
+        return self.data[self.ends[k] : self.ends[k + 1]].decode()
+
+
+def _tag(element) -> str:
+    return element.tag.rsplit("}", 1)[-1]
+
+
+def _elements(source, name: str):
+    """The elements of a name as they end; each is let go before the next."""
+    above = []
+    for event, element in ElementTree.iterparse(source, ("start", "end")):
+        if event == "start":
+            above.append(element)
+            continue
+        above.pop()
+        if _tag(element) == name:
+            yield element
+            element.clear()
+            if above:
+                above[-1].clear()
+
+
+def _sheet_part(book: zipfile.ZipFile, sheet: str | None) -> str:
+    """The part of a sheet, by name or the first, through the workbook's relations; without them the only or first worksheet."""
+    names = book.namelist()
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        sheets = [(e.get("name"), next((v for k, v in e.attrib.items() if k.rsplit("}", 1)[-1] == "id"), None)) for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if _tag(e) == "sheet"]
+        targets = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")).iter() if _tag(e) == "Relationship"}
+        for name, number in sheets:
+            if sheet in (None, name) and targets.get(number):
+                target = targets[number]
+                return target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+        raise ValueError(f"no sheet {sheet!r}; sheets: {[n for n, _ in sheets]}")
+    if sheet is not None:
+        raise ValueError("the workbook does not name its sheets")
+    return min(n for n in names if n.startswith("xl/worksheets/") and n.endswith(".xml"))
+
+
+def _sheet(raw: bytes, sheet: str | None = None):
+    """The rows of a sheet, as lists of cells as text."""
     with zipfile.ZipFile(io.BytesIO(raw)) as book:
-        shared = []
+        shared = _Strings()
         if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in si.iter() if tag(t) == "t") for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if tag(si) == "si"]
-        sheet = ElementTree.fromstring(book.read("xl/worksheets/sheet1.xml"))
-    rows = []
-    for row in (r for r in sheet.iter() if tag(r) == "row"):
-        cells: list[str | None] = []
-        for c in (x for x in row if tag(x) == "c"):
-            letters = re.match("[A-Z]+", c.get("r", "A"))[0]
-            at = 0
-            for ch in letters:
-                at = at * 26 + ord(ch) - 64
-            cells += [None] * (at - len(cells))
-            value = next((x.text for x in c.iter() if tag(x) in ("v", "t")), None)
-            cells[at - 1] = shared[int(value)] if c.get("t") == "s" and value is not None else value
-        rows.append(cells)
-    return rows
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """path, row, cells: the rows of every workbook's first sheet, a workbook a task."""
+            with book.open("xl/sharedStrings.xml") as source:
+                shared = _Strings(source)
+        with book.open(_sheet_part(book, sheet)) as source:
+            for row in _elements(source, "row"):
+                cells: list[str | None] = []
+                for c in (x for x in row if _tag(x) == "c"):
+                    letters = re.match("[A-Z]*", c.get("r", ""))[0]
+                    at = len(cells) + 1  # a cell without a place follows the one before
+                    if letters:
+                        at = 0
+                        for ch in letters:
+                            at = at * 26 + ord(ch) - 64
+                    cells += [None] * (at - len(cells))
+                    if c.get("t") == "inlineStr":
+                        value = "".join(x.text or "" for x in c.iter() if _tag(x) == "t")
+                    else:
+                        value = next((x.text for x in c.iter() if _tag(x) == "v"), None)
+                    cells[at - 1] = shared[int(value)] if c.get("t") == "s" and value is not None else value
+                yield cells
+
+
+def read_workbooks(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """path, row, cells: the rows of a sheet (its name, or the first) of every workbook, a workbook a task. Rows are read as they stand in the file and
+    leave in batches, so a task holds the packed file, its shared strings and one batch."""
 
     def sheets(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame([(name, i, cells) for i, cells in enumerate(_sheet(raw))], columns=["path", "row", "cells"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(sheets, "path string, row long, cells array<string>")
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, first = _sheet(raw.as_buffer().to_pybytes(), sheet), 0
+                while held := list(islice(rows, 4096)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(range(first, first + len(held)), pa.int64()), pa.array(held, pa.list_(pa.string()))], names=["path", "row", "cells"])
+                    first += len(held)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(sheets, "path string, row long, cells array<string>")
 
 
 def _cell_time(cell: Column, time_format: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import struct
+import tracemalloc
 import zipfile
 
 import numpy as np
@@ -234,6 +235,50 @@ def test_workbook(spark, tmp_path):
     assert [r.cells for r in tables.read_workbooks(spark, str(tmp_path / "a.xlsx")).collect()] == [["time", None, "2.5"]]
 
 
+def book(path, sheets, relations=True, shared=()):
+    """A workbook of (name, part, rows) sheets; cells are numbers, or indexes of shared strings as ("s", k)."""
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for _, part, rows in sheets:
+            with z.open(f"xl/{part}", "w") as out:
+                out.write(b'<?xml version="1.0"?><worksheet xmlns="m"><cols><col/></cols><sheetData>')
+                for i, row in enumerate(rows):
+                    cells = "".join(f'<c r="{"ABCDEF"[k]}{i + 1}"' + (f' t="s"><v>{v[1]}</v></c>' if isinstance(v, tuple) else f"><v>{v}</v></c>") for k, v in enumerate(row) if v is not None)
+                    out.write(f'<row r="{i + 1}">{cells}</row>'.encode())
+                out.write(b"</sheetData><pageMargins/></worksheet>")
+        if shared:
+            z.writestr("xl/sharedStrings.xml", '<sst xmlns="m">' + "".join(f"<si>{x}</si>" for x in shared) + "</sst>")
+        if relations:
+            z.writestr("xl/workbook.xml", '<workbook xmlns="m" xmlns:r="o"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{k}" r:id="rId{k}"/>' for k, (n, _, _) in enumerate(sheets)) + "</sheets></workbook>")
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="p">' + "".join(f'<Relationship Id="rId{k}" Target="{"/xl/" if k else ""}{p}"/>' for k, (_, p, _) in enumerate(sheets)) + "</Relationships>")
+
+
+def test_sheets_are_found_by_relations(spark, tmp_path):
+    path = str(tmp_path / "a.xlsx")
+    book(path, [("Log", "worksheets/data7.xml", [[1, None, ("s", 1)], [2]]), ("Notes", "other/x.xml", [[("s", 0), 5]])], shared=("<t>plain</t>", "<r><t>of </t></r><r><t>runs é</t></r>"))
+    assert [(r.row, r.cells) for r in tables.read_workbooks(spark, path).orderBy("row").collect()] == [(0, ["1", None, "of runs é"]), (1, ["2"])]
+    assert [r.cells for r in tables.read_workbooks(spark, path, "Notes").collect()] == [["plain", "5"]]
+    with pytest.raises(Exception, match="Log"):
+        tables.read_workbooks(spark, path, "None").count()
+    bare = str(tmp_path / "b.xlsx")
+    book(bare, [("", "worksheets/sheet3.xml", [[4]])], relations=False)
+    assert [r.cells for r in tables.read_workbooks(spark, bare).collect()] == [["4"]]
+
+
+def test_long_sheets_are_read_in_batches(tmp_path):
+    n = 200_000
+    path = tmp_path / "long.xlsx"
+    book(path, [("Log", "worksheets/sheet1.xml", ([("s", k % 50_000), k, k * 0.5] for k in range(n)))], shared=[f"<t>text {k}</t>" for k in range(50_000)])
+    raw = path.read_bytes()
+    tracemalloc.start()
+    seen = 0
+    for row in tables._sheet(raw):
+        assert seen % 5000 or row == [f"text {seen % 50_000}", str(seen), str(seen * 0.5)]
+        seen += 1
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert seen == n and peak < 12 << 20
+
+
 def test_inverter_workbook(spark, tmp_path):
     cell = lambda at, v: f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>'
     lines = [("Date and time", "Other", "Energy MPP2"), ("[dd.MM.yyyy HH:mm]", "[x]", "[Wh]"), ("01.06.2021 10:00", "1", " 12.5 "), ("44348.5", "2", "n/a"), ("", "3", "4")]
@@ -252,6 +297,9 @@ def test_cached_weather(spark, tmp_path):
     got = tables.read_cached_weather(spark, str(tmp_path / "w.csv")).orderBy("ts").first()
     assert (got.dni, got.albedo) == (1.23, 0.425)
     assert tables.read_cached_weather(spark, str(tmp_path / "w.csv"), False).first().albedo == 0.9
+    (tmp_path / "x.csv").write_text("timestamp,dni,dhi,ghi,T,wind,albedo\n2021-06-02 00:00:00,1,2,3,20,5,0.9\n")
+    both = tables.read_cached_weather(spark, str(tmp_path / "*.csv")).orderBy("ts").collect()
+    assert [r.albedo for r in both] == [0.425, 0.425, 0.2]  # each day has a mean of its own
 
 
 def test_streams(spark, tmp_path):
