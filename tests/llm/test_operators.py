@@ -682,7 +682,7 @@ def test_decontamination_decides_rows(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, c0 int")
     bench = spark.createDataFrame([(1, leak), (2, "tiny"), (None, None), (3, " ")], "item_id long, text string")
     left = decontam.decontaminated(frame, bench)
-    assert left.columns == frame.columns and sorted(r.c0 for r in left.collect()) == [2, 4, 5, 7, 9]
+    assert left.columns == frame.columns and sorted(r.c0 for r in left.collect()) == [2, 4, 5, 7, 8, 9, 10]  # a short item is reported, but decides nothing
     short = {r.doc_id: (r.start, r.end) for r in decontam.contaminated(frame, bench).where("item_id = 2").collect()}
     assert short == {9: (3, 7), 11: (0, 4)}
 
