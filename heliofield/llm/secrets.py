@@ -149,7 +149,7 @@ def _key(body: str) -> bool:
         return False
     if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in headers):
         return any(x.startswith("DEK-Info:") for x in headers) and len(raw) >= 32 and len(raw) % 8 == 0
-    return key_length(raw) == len(raw) or raw.startswith(OPENSSH)
+    return nested_lengths(raw) or raw.startswith(OPENSSH)  # the armour says that it is private
 
 
 def _run(text: str, start: int, end: int) -> tuple[str, list[int], list[int]]:

@@ -321,7 +321,7 @@ def der(tag, body):
 
 
 def test_secrets(spark, docs, empty):
-    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 120))) + der(2, b"\x01\0\x01"))
+    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 40))) + der(2, b"\x01\0\x01") + b"".join(der(2, bytes(range(k, k + 12))) for k in range(1, 7)))
     b64 = base64.b64encode(key).decode()
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
     bad = base64.urlsafe_b64encode(b'{"nope": 12345678}').decode().rstrip("=")
@@ -408,7 +408,7 @@ def test_secret_base_spans_against_a_plain_scanner():
 
 
 def test_secrets_in_their_usual_forms(spark):
-    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 120))) + der(2, b"\x01\0\x01"))
+    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 40))) + der(2, b"\x01\0\x01") + b"".join(der(2, bytes(range(k, k + 12))) for k in range(1, 7)))
     text = lambda x: len(x).to_bytes(4, "big") + x
     ssh = b"openssh-key-v1\0" + text(b"none") + text(b"none") + text(b"") + (1).to_bytes(4, "big") + text(bytes(51)) + text(bytes(range(136)))
     b64, url = base64.b64encode(key).decode(), base64.urlsafe_b64encode(key).decode().rstrip("=")
