@@ -7,8 +7,8 @@ split. A keyed Feistel network over the next even number of bits, walked until i
 slots: a bijection that needs no table and can be inverted. ``SHARD`` consecutive slots are a shard; a range of shards is one partition, and
 slot s lies at byte ``(s mod SHARD) * stride`` of shard ``s div SHARD``.
 
-``write_shards`` keeps the tokens and a manifest (input's digest, vocabulary, key, length, shard) beside the shards and writes them in waves of consecutive
-shards, each committed whole. Called again it writes the missing waves only; with another input or key it refuses.
+``write_shards`` keeps the tokens and a manifest (input's digest, vocabulary, key, length, shard) beside the shards, deals the sequences once over waves of
+consecutive shards, and writes these one by one, each committed whole. Called again it writes the missing waves only; with another input or key it refuses.
 
 Defined results: a null or empty text gives no sequence; a very long text, also one long run of white space or of one letter, is tokenised whole and gives as many sequences as it needs; a null
 ``doc_id`` is kept, first in order; rows that tie (equal id and text) are interchangeable and each has its sequences in slots of their own;
@@ -190,10 +190,16 @@ def write_shards(docs: DataFrame, target: str, path: str = VOCABULARY, length: i
         _tokenised(docs, path, length).write.mode("overwrite").option("compression", "zstd").parquet(f"{target}/_tokens")
     numbered, n = _numbered(spark.read.parquet(f"{target}/_tokens"))
     shards, done = -(-n // shard), []
+    wave_of = F.expr(f"cast((shard + 1) * {waves} - 1 as long) div {max(shards, 1)}")  # of shards * k div waves up to the next
+    if n and not _committed(spark, f"{target}/_placed"):
+        _placed(numbered, n, path, length, shard, key).withColumn("_wave", wave_of).write.mode("overwrite").partitionBy("_wave").parquet(f"{target}/_placed")
     for wave in range(waves):
-        first, last = (min(n, shards * k // waves * shard) for k in (wave, wave + 1))
+        first, last = (shards * k // waves for k in (wave, wave + 1))
         if first < last and not _committed(spark, f"{target}/wave={wave}"):
-            shard_files(_placed(numbered, n, path, length, shard, key, first, last)).write.mode("overwrite").parquet(f"{target}/wave={wave}")
+            own = spark.read.parquet(f"{target}/_placed").where(F.col("_wave") == wave)
+            parts = min(last - first, int(spark.conf.get("spark.sql.shuffle.partitions")))
+            dealt = own.repartitionById(parts, F.expr(f"cast((shard - {first}) * {parts} div {last - first} as int)")).sortWithinPartitions("slot")
+            shard_files(dealt).write.mode("overwrite").parquet(f"{target}/wave={wave}")
             done.append(wave)
     return done
 
