@@ -16,7 +16,6 @@ from heliofield.plans.proxies import duck, pts
 ALTS, AZS = [float(a) for a in range(5, 90, 10)], [float(a) for a in range(0, 360, 30)]
 ALL_ALTS, ALL_AZS = [float(a) for a in range(1, 91)], [float(a) for a in range(360)]
 LOCAL = (G.Array("Bank 1", (28.0, 24.0, 0.0), 12.0, 170.0, (5, 4, 3)),)
-DENSE_BYTES = 256 << 20
 TWO = (G.Array("North", (22.0, 28.0, 107.0), 20.0, 260.0, (6, 2)), G.Array("South", (36.0, 32.0, 107.0), 20.0, 260.0, (4, 2), "right"))
 
 
@@ -47,12 +46,8 @@ def whole_rays(spark, d, panels=None, top=90.0):
 
 
 def per_ray_whole(spark, d, panels=None, top=90.0):
-    """Every traced direction, by the kernel where the dense grid may be sent to the tasks."""
-    rays, grid, box = whole_rays(spark, d, panels, top), grid_of(spark, d), box_of(spark, d)
-    b = box.first()
-    if b["nx"] * b["ny"] * b["nz"] * 5 <= DENSE_BYTES:
-        return R.march(rays, grid, box, SIZE)
-    return R.transmittance(R.segments(rays, box, SIZE), grid)
+    """Every traced direction, by the kernel, which meets a grid that is too large for the tasks by segments."""
+    return R.march(whole_rays(spark, d, panels, top), grid_of(spark, d), box_of(spark, d), SIZE)
 
 
 def sweep_whole(spark, d, panels=None, top=90.0):
