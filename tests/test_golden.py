@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from heliofield.functions import civil_offset, last_sunday
 from heliofield.operators import forensics, geometry, graph, matrix, neighbours, points, pv, rays, series, stats, sun, voxel
+from heliofield.plans import proxies, registry
 
 GRID = "ix long, iy long, iz long, cls int"
 CLOUD = "pid long, x double, y double, z double, cls int"
@@ -290,6 +291,17 @@ def test_stats(spark):
     assert fit.equation == "y = 2.00x - 1.00"
 
 
+def test_ids_of_points_past_64_bits(spark, tmp_path):
+    orders = [0, 576_459, 576_460, 576_461, 9_000_000, 54_000_000]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    rows = [(o, p, 7, n, 1.0, price, 0.0, 0.0) for o in orders for n, p, price in ((1, 19_999, 1234.5), (6, 0, 104_949.99), (7, 1_199_999, 0.01))]
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = sorted((((r[0] * 8 + r[3]) * 20_000 + r[1]) * 10**8 + round(r[5] * 100)) % 2**63 for r in rows)
+    assert [r.pid for r in proxies.pts(spark, str(tmp_path)).orderBy("pid").collect()] == want
+    assert len(set(want)) == len(rows)
+    assert registry.queries()["class_filter"](spark, str(tmp_path)).dtypes[0] == ("pid", "bigint")
+
+
 def test_merge_needs_equal_formats(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 2)], CLOUD)
     assert points.merge_clouds([(a, 1), (a, 1)]).count() == 2
