@@ -149,7 +149,7 @@ def power_model(s, d):
 def probes(s, d):
     p = days(s, d).select((F.col("day").cast("timestamp_ntz") + F.expr("interval '12' hour")).alias("probe"))
     series = views(s, d).groupBy("t").agg(F.max("v").alias("v"))
-    return S.nearest_in_time(series, p, "t", ["v"], 240)
+    return S.nearest_in_time(series, p, "t", ["v"], 240, rounded=True)
 
 
 def gain(s, d):

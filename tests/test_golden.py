@@ -140,6 +140,20 @@ def test_asof_carries_over_days_and_keeps_null_rows(spark):
     assert got[1] is None and got[2].v == 7.0 and got[3].v is None and got[3].t == ts("2021-01-04 00:00")
 
 
+def test_nearest_in_time_within_a_second(spark):
+    noon = dt.datetime(2024, 1, 1, 12)
+    at = lambda s: noon + dt.timedelta(seconds=s)
+    probe = spark.createDataFrame([(noon,)], "probe timestamp_ntz")
+    near = lambda rows, **how: series.nearest_in_time(spark.createDataFrame([(at(s), v) for s, v in rows], "t timestamp_ntz, v double").repartition(2), probe, "t", ["v"], 60, **how).first()
+    for rows in ([(5.9, 1.0), (5.1, 2.0)], [(5.1, 2.0), (5.9, 1.0)], [(5.1, 2.0), (-4.8, 1.0), (5.1, 3.0)]):  # seconds begun: 5 and -5
+        assert near(rows).v == (1.0 if rows[1][0] < 0 else 2.0)
+    assert near([(-1.4, 1.0), (1.3, 2.0)]).v == 2.0  # begun 2 seconds before and 1 after
+    assert near([(-1.4, 1.0), (1.3, 2.0)], rounded=True).v == 1.0  # a second either way: the earlier
+    assert near([(-1.5, 1.0), (1.6, 2.0), (2.5, 3.0)], rounded=True).v == 1.0
+    assert near([(3.0, 2.0), (3.0, 1.0)], rounded=True).v == 1.0
+    assert near([(-3600.0, 1.0)]).v == 1.0 and near([(-3600.1, 1.0)], rounded=True).v is None
+
+
 def test_day_grid_zeroes_only_missing_slots(spark):
     rows = spark.createDataFrame([(dt.date(2021, 1, 1), ts("2021-01-01 00:05"), None), (dt.date(2021, 1, 1), ts("2021-01-01 00:10"), 3.0)], "day date, t timestamp_ntz, v double")
     got = {r.t: r.v for r in series.day_grid(rows, "day", "t", ["v"]).collect()}
