@@ -89,17 +89,18 @@ def _tells_side(label: str) -> bool:
     return any(w in _SIDE_WORDS for w in words) and all(w in _SIDE_WORDS or w in _PLAIN_WORDS for w in words)
 
 
-def _label(name: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """Path step (digits dropped), whether the element is beside the text outside an article and inside one, whether it is the article."""
+def _label(name: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """Path step (digits dropped), whether the element is beside the text outside an article and inside one, whether it is so inside only by its id, whether it is the article."""
     found = [(m[1].lower(), next(filter(None, m.groups()[1:]), "")) for m in _LABEL.finditer(attributes)] if attributes else []
     words = " ".join(x for _, x in found)
     main = name in ("article", "main") or any(x in ("main", "articleBody") for _, x in found)
     plain = main or name in ("html", "body")
     side = name in _SIDE or (not plain and any(_tells_side(w) for _, x in found for w in x.split()))
     # inside an article the id of a heading, or of a piece of text, is what links point to; that of a part with blocks names the part
-    inner = name in _SIDE or (not plain and name not in _HEADINGS and any(_tells_side(w) for kind, x in found if kind != "id" or name in _PARTS for w in x.split()))
+    inner = name in _SIDE or (not plain and name not in _HEADINGS and any(_tells_side(w) for kind, x in found if kind != "id" for w in x.split()))
+    named = not inner and not plain and name in _PARTS and any(_tells_side(w) for kind, x in found if kind == "id" for w in x.split())
     step = re.sub(r"[\d/]+", "", f"{name}.{'.'.join(words.split())}" if words else name)
-    return step if len(step) <= STEP_CHARS else f"{step[: STEP_CHARS // 2]}.~{_letters(_hash(step))}", side, inner, main
+    return step if len(step) <= STEP_CHARS else f"{step[: STEP_CHARS // 2]}.~{_letters(_hash(step))}", side, inner or named, named, main
 
 
 def _letters(number: int) -> str:
@@ -190,6 +191,7 @@ def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, boo
     opened: dict[str, list[int]] = {}
     places: list[int] = []
     number = tick = 0
+    bare: set[int] = set()  # parts of an article that only an id tells, as long as they hold no blocks
     pending: list[str] = []
     owner: tuple[str, tuple, bool] = ("", (), False)
 
@@ -234,8 +236,10 @@ def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, boo
             got = _label(*key)
             if len(steps) < 10000:
                 steps[key] = got
-        step, side, inner, main = got
+        step, side, inner, named, main = got
         _, path, depth, around, article = stack.items[-1]
+        if block and bare:
+            bare.difference_update(x[0] for x in around)
         side = inner if article else side
         if name == "header":
             side = not article  # an article's own heading
@@ -246,8 +250,12 @@ def read_page(page: str, steps: dict | None = None) -> tuple[list[tuple[str, boo
             tick += 1
         number += 1
         own = ((number, name in _STRONG or name == "header", article),) if side and len(around) < AROUND else ()
+        if own and article and named:
+            bare.add(number)
         stack.push((name, path, depth, around + own if own else around, article or main))
     flush()
+    if bare:
+        blocks = [(path, tuple(x for x in around if x[0] not in bare), article, text) for path, around, article, text in blocks]
     return _settled(blocks), opened, places
 
 

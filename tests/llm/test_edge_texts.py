@@ -222,3 +222,10 @@ def test_short_items_are_reported_but_remove_nothing(spark):
     items = spark.createDataFrame([(1, "yes"), (2, "A"), (3, "What is the answer to this rather long question of the test?")], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()} >= {(1, 1), (2, 2), (3, 3)}
     assert {r.doc_id for r in decontam.decontaminated(docs, items).collect()} == {1, 2}
+
+
+def test_ids_of_parts_without_blocks_are_anchors():
+    page = """<article><p>aa</p><div id="search">bb <b>cc</b></div><section id="comments"><div id="menu">dd</div><p>ee</p></section><div id="related"><span>ff</span></div>
+    <div id="share" class="share">gg</div><ul id="social"><li>hh</li></ul></article>"""
+    blocks, _, _ = html_extract.read_page(page)
+    assert [b[3] for b in blocks if not b[1]] == ["aa", "bb cc", "ff"]
