@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import base64
+import os
 import random
 import re
+import subprocess
+import sys
 import time
 
 import numpy as np
 import pytest
 
-from heliofield.llm import decontam, html_extract, near_dedup, quality, secrets, suffix_dedup, token_output
+from heliofield.llm import decontam, html_extract, near_dedup, quality, secrets, suffix_dedup, token_align, token_output
 
 B64 = lambda raw: base64.b64encode(raw).decode()
 
@@ -229,3 +232,24 @@ def test_ids_of_parts_without_blocks_are_anchors():
     <div id="share" class="share">gg</div><ul id="social"><li>hh</li></ul></article>"""
     blocks, _, _ = html_extract.read_page(page)
     assert [b[3] for b in blocks if not b[1]] == ["aa", "bb cc", "ff"]
+
+
+def test_slab_of_texts_is_aligned_in_bounded_memory():
+    code = """
+import random, resource
+from heliofield.llm import token_align as t
+rng = random.Random(5)
+word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+texts, size = [], 0
+while size < t.SLAB:
+    texts.append(" ".join(word() for _ in range(500)))
+    size += len(texts[-1])
+t.Slab(["a b"], t.BYTE_VOCABULARY, t.PIECE_MODEL).row(0, [0])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+t.Slab(texts, t.BYTE_VOCABULARY, t.PIECE_MODEL).row(0, list(range(len(texts))))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) >> 10)
+"""
+    if not os.path.exists(token_align.BYTE_VOCABULARY):
+        pytest.skip("no vocabularies here")
+    made = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True)
+    assert int(made.stdout) < 400  # MB, of words that are all distinct
