@@ -5,8 +5,7 @@
    them by their counts, so scores are of the whole open vocabulary.
 3. A context's vector is x[u] + y[v], with a vector for each word at either place before; a word's score is its product with q[w], plus b[w]. Tasks
    take noise-contrastive steps from the same parameters; parameters, and the sums of squares that set each vector's rate, are averaged by tokens after a round.
-   A round has a third of the training rows where they hold ``PRESENTED`` tokens, so that each is used once in ``ROUNDS`` rounds; fewer rows are all used in every
-   round, in as many rounds (``MOST_ROUNDS`` at most) as bring about that many. The rate falls from round to round.
+   Each of the ``ROUNDS`` rounds uses all training rows, at any size of the table; the rate falls from round to round.
 4. exp(score) factorises over the two context words, so the normalisers of all contexts are one product of two matrices, and a token's
    normalised log-probability is a look-up.
 
@@ -34,11 +33,10 @@ from heliofield.llm.runtime import save, table
 VOCABULARY = 2047
 FREQUENT = 1 << 17
 SIZE = 32
-ROUNDS, MOST_ROUNDS = 3, 8
-PRESENTED = 8_000_000
-BATCH = 1024
-NOISE = 64
-RATE = 0.1
+ROUNDS = 2
+BATCH = 512
+NOISE = 128
+RATE = 0.15
 FAN_IN = 32
 ALPHA = 0.1
 END = np.uint64(0x0E0D0E0D0E0D0E0D)
@@ -178,8 +176,12 @@ def model_of(noise: np.ndarray, values: np.ndarray, size: int = SIZE) -> Model:
     return out
 
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def _sigmoid_of_minus(z: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(z)), in place; what overflows gives 0."""
+    with np.errstate(over="ignore"):
+        np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 class Trainer:
@@ -190,31 +192,41 @@ class Trainer:
         self.log_noise = (np.log(model.noise) + np.log(NOISE)).astype(np.float32)
         self.upto = np.cumsum(model.noise)
 
-    def _step(self, name: str, gradient: np.ndarray, rows: np.ndarray) -> None:
-        """Gradients of some rows; those of the same row are added up first."""
-        value, past = getattr(self.m, name), self.m.past[name]
-        order = np.argsort(rows, kind="stable")
-        at = rows[order]
+    def _step(self, rows: np.ndarray, **gradients: np.ndarray) -> None:
+        """Gradients of some rows, by name; those of the same row are added up first."""
+        order = rows.argsort(kind="stable")
+        at = rows.take(order)
         edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-        gradient, rows = np.add.reduceat(gradient[order], edge), at[edge]
-        square = gradient * gradient
-        past[rows] += square if value.ndim == 1 else square.mean(1)
-        root = np.sqrt(past[rows])
-        value[rows] -= self.rate * gradient / (root if value.ndim == 1 else root[:, None])
+        at = at.take(edge)
+        for name, gradient in gradients.items():
+            value, past = getattr(self.m, name), self.m.past[name]
+            gradient = np.add.reduceat(gradient.take(order, 0), edge)
+            total = gradient * gradient if value.ndim == 1 else np.einsum("ij,ij->i", gradient, gradient) / np.float32(value.shape[1])
+            total += past.take(at)
+            past[at] = total
+            pace = -self.rate / np.sqrt(total)
+            gradient *= pace if value.ndim == 1 else pace[:, None]
+            gradient += value.take(at, 0)
+            value[at] = gradient
 
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         """A batch: u is the word before each w, v the one before that; all its words share one draw of noise."""
         m = self.m
-        noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE) * self.upto[-1]), len(m.noise) - 1)
-        r, qw, qn = m.x[u] + m.y[v], m.q[w], m.q[noise]
-        good = _sigmoid(self.log_noise[w] - (r * qw).sum(1) - m.b[w]).astype(np.float32)
-        bad = _sigmoid(r @ qn.T + m.b[noise] - self.log_noise[noise]).astype(np.float32)
-        dr = bad @ qn - good[:, None] * qw
-        rows = np.concatenate((w, noise))
-        self._step("q", np.concatenate((-good[:, None] * r, bad.T @ r)), rows)
-        self._step("b", np.concatenate((-good, bad.sum(0))), rows)
-        self._step("x", dr, u)
-        self._step("y", dr, v)
+        noise = np.minimum(self.upto.searchsorted(self.rng.random(NOISE) * self.upto[-1]), len(m.noise) - 1)
+        r, qw, qn = m.x.take(u, 0), m.q.take(w, 0), m.q.take(noise, 0)
+        r += m.y.take(v, 0)
+        bias = m.b - self.log_noise
+        good = _sigmoid_of_minus(np.einsum("ij,ij->i", r, qw) + bias.take(w))
+        bad = r @ qn.T
+        bad = _sigmoid_of_minus(np.subtract(-bias.take(noise), bad, out=bad))
+        dr = bad @ qn
+        qw *= good[:, None]
+        dr -= qw
+        more = bad.T @ r
+        r *= -good[:, None]
+        self._step(np.concatenate((w, noise)), q=np.concatenate((r, more)), b=np.concatenate((-good, bad.sum(0))))
+        self._step(u, x=dr)
+        self._step(v, y=dr)
 
 
 def _contexts(ids: np.ndarray, edge: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,17 +255,15 @@ def _mean(models) -> tuple[int, np.ndarray | None]:
     return tokens, (total / tokens).astype(np.float32) if tokens else None
 
 
-def train(encoded: DataFrame, model: Model, tokens: int) -> Model:
-    """Rounds over the training rows, which hold ``tokens`` tokens."""
+def train(encoded: DataFrame, model: Model) -> Model:
+    """Rounds over the training rows."""
     spark = encoded.sparkSession
-    passes = -(-PRESENTED // max(tokens, 1))
-    rounds, parts = (ROUNDS, ROUNDS) if passes == 1 else (max(ROUNDS, min(passes, MOST_ROUNDS)), 1)
-    for number in range(rounds):
+    for number in range(ROUNDS):
         sent = spark.sparkContext.broadcast((model.noise, model.flat()))
 
         def steps(batches: Iterator[pa.RecordBatch], sent=sent, number=number) -> Iterator[pa.RecordBatch]:
             own = model_of(*sent.value)
-            trainer, seen = Trainer(own, number * 1_000_003 + TaskContext.get().partitionId(), RATE * (1 - number / rounds)), 0
+            trainer, seen = Trainer(own, number * 1_000_003 + TaskContext.get().partitionId(), RATE * (1 - number / ROUNDS)), 0
             for batch in batches:
                 for at in range(0, batch.num_rows, 128):
                     ids, edge = _joined(batch.column(0).slice(at, 128))
@@ -270,7 +280,7 @@ def train(encoded: DataFrame, model: Model, tokens: int) -> Model:
                 yield pa.RecordBatch.from_pydict({"tokens": [n], "values": [values.tobytes()]})
 
         kind = "tokens long, values binary"
-        rows = encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("row"), F.lit(parts)) == number % parts)).select("ids")
+        rows = encoded.where(~F.col("held_out")).select("ids")
         models, tasks = rows.mapInArrow(steps, kind), rows.rdd.getNumPartitions()
         while tasks > FAN_IN:  # a sum takes about FAN_IN models at a time, in as many levels as that needs
             tasks = -(-tasks // FAN_IN)
@@ -304,7 +314,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     model = Model(mass / mass.sum())
     known = spark.sparkContext.broadcast(Known(word, count, vocabulary))
     encoded = _encoded(split, known, vocabulary)
-    model = train(encoded, model, n)
+    model = train(encoded, model)
     sent = spark.sparkContext.broadcast((model.noise, model.flat()))
     others = encoded.select("row", F.explode(F.arrays_zip("words", "times")).alias("p")).select("row", F.col("p.words").alias("word"), F.col("p.times").alias("times"))
     met = others.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -596,6 +596,14 @@ def test_language_model_beats_the_base_on_held_out_texts(spark):
     assert r.n > 50 and r.gain > 0.008  # log10 a token
 
 
+def test_language_model_takes_the_same_rounds_at_every_size(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k * k) % 23}" for k in range(60))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    scores = lambda: [r.score for r in lm.score_documents(rows).orderBy("doc_id").collect()]
+    before = scores()
+    monkeypatch.setattr(lm, "PRESENTED", 1, raising=False)  # the number of tokens above which rows were used once
+    assert scores() == before
+
+
 def test_language_model_is_normalised_and_learns():
     rng = np.random.default_rng(5)
     n = 12
