@@ -18,6 +18,11 @@ def _place(s, name):
     return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _spread(df):
+    """The same rows, alike in number, over as many tasks as a shuffle has: compression takes its time by the point, and a table's row groups may be few or unlike."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def matrix_csv(s, d):
     path = _place(s, "matrix")
     tables.write_shadow_matrix(matrix(s, d), path)
@@ -42,7 +47,7 @@ def laz_round_trip(s, d):
     ship(s)
     las.register(s)
     path = _place(s, "laz")
-    pts(s, d).select("x", "y", "z", F.col("cls").cast("int").alias("cls")).write.format("las").option("compressed", "true").option("chunk", "5000").mode("append").save(path)
+    _spread(pts(s, d).select("x", "y", "z", F.col("cls").cast("int").alias("cls"))).write.format("las").option("compressed", "true").option("chunk", "5000").mode("append").save(path)
     return _by_class(s.read.format("las").option("points_per_partition", "20000").load(path).where(F.col("cls").isin(3, 6)))
 
 
@@ -52,7 +57,7 @@ def las_merge_kept(s, d):
     las.register(s)
     tiles, merged = _place(s, "tiles"), _place(s, "merged")
     for side in ("x < 30", "x >= 30"):
-        pts(s, d).where(side).select("x", "y", "z", F.col("cls").cast("int").alias("cls")).write.format("las").option("compressed", "true").option("chunk", "5000").mode("append").save(tiles)
+        _spread(pts(s, d).where(side).select("x", "y", "z", F.col("cls").cast("int").alias("cls"))).write.format("las").option("compressed", "true").option("chunk", "5000").mode("append").save(tiles)
     cloud = s.read.format("las").option("record", "true").load(tiles)
     changed = cloud.withColumn("cls", F.when(F.col("cls") == 5, 4).otherwise(F.col("cls")).cast("int"))
     changed.write.format("las").option("like", tiles).mode("append").save(merged)

@@ -319,3 +319,14 @@ def test_streams(spark, tmp_path):
     q.stop()
     means = {r.ts: (r.mean, r.n) for r in spark.sql("select * from means").collect()}
     assert means[start] == (0.0, 1) or start in means
+
+
+def test_compressed_clouds_are_written_by_many_tasks_where_the_table_is_one_row_group(spark, tmp_path, monkeypatch):
+    from heliofield.plans import files
+
+    monkeypatch.setattr(files, "_place", lambda s, name: str(tmp_path / name))
+    rows = sorted(map(tuple, files.laz_round_trip(spark, "/root/testdata/sf0.001").collect()))
+    assert len(list((tmp_path / "laz").glob("*.laz"))) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merged = {r.cls: tuple(r) for r in files.las_merge_kept(spark, "/root/testdata/sf0.001").collect()}
+    assert len(list((tmp_path / "tiles").glob("*.laz"))) == 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [merged[3], merged[6]] == rows
