@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from heliofield.llm import bpe, collocations, lm, pu_quality, token_align
+from heliofield.llm import bpe, collocations, lm, pu_quality, textops, token_align
 
 DATA = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, rank long, n long, slab long, x string"
@@ -197,6 +197,19 @@ def test_automata_blocks(monkeypatch):
     assert collocations.shard_counts(texts, "en", full, full) == whole
 
 
+def test_a_shard_is_hashed_by_slabs(monkeypatch):
+    """Words and hashes take many times a text's size, so they are never made of a whole shard at once; counts are of the whole shard all the same."""
+    import pyarrow as pa
+
+    texts = pa.array([f"of the sea w{i % 7} " * 8000 for i in range(30)])
+    full = collocations.Sketch(1 << 4, np.full((2, 1 << 4), collocations.LEAST, np.uint8))
+    sizes, phrases = [], collocations.Phrases
+    monkeypatch.setattr(collocations, "Phrases", lambda texts, lang: (sizes.append(sum(len(t) for t in texts.to_pylist())), phrases(texts, lang))[1])
+    got = collocations.shard_counts(texts, "en", full, full)
+    assert max(sizes) <= textops.SLAB < sum(sizes) == sum(len(t) for t in texts.to_pylist())
+    assert got["of"] == got["of the sea"] == 30 * 8000 and got["w0 of"] == 5 * 7999
+
+
 # --- quality
 
 
