@@ -120,3 +120,53 @@ def test_dbscan_by_cells(spark, monkeypatch, kind, eps, least):
     monkeypatch.setattr(space, "QUERIES", 50)
     got = {r.pid: r.label for r in neighbours.dbscan(frame(spark, p), eps, least).collect()}
     assert [got[i] for i in range(len(p))] == clusters(p, eps, least).tolist()
+
+
+@pytest.mark.parametrize(("margin", "within"), [("guessed", np.inf), ("none", np.inf), ("none", 0.4), ("guessed", 0.4)])
+def test_answers_with_values(spark, monkeypatch, margin, within):
+    rng = np.random.default_rng(4)
+    p, v = rng.normal(0, 1, (1500, 3)), rng.random(1500)
+    p[:300] = np.round(p[:300] * 2)
+    p[-200:] *= 0.02
+    if margin == "none":  # all balls that leave a cell go on
+        monkeypatch.setattr(space, "_margins", lambda tree, *_: np.zeros(len(tree.leaves)))
+    rows = spark.createDataFrame([(i, *map(float, r), float(x), f"n{i}") for i, (r, x) in enumerate(zip(p, v, strict=True))], "pid long, x double, y double, z double, v double, name string").repartition(4)
+
+    def fold(found):
+        return [found.values[:, :, 0].sum(1), found.ids[:, -1], found.at[:, -1, 2], found.dist[:, -1]]
+
+    got = {r.pid: r for r in space.answers(None, rows, 6, fold, "s double, last long, z_last double, far double", values=("v",), carry=("name",), within=within, cell=100).collect()}
+    assert len(got) == len(p)
+    for i, near in enumerate(nearest(p, p, np.arange(len(p)), 6)):
+        near = [(j, d) for j, d in near if d <= within]
+        r = got[i]
+        assert (r.name, r.found, r.last, r.z_last, r.far) == (f"n{i}", len(near), near[-1][0], p[near[-1][0], 2], near[-1][1])
+        assert r.s == pytest.approx(sum(v[j] for j, _ in near))
+
+
+@pytest.mark.parametrize("job", ["scales", "covariances", "normals", "outliers", "planes", "growth", "heights", "clusters"])
+def test_no_table_of_pairs(spark, monkeypatch, job):
+    """What is saved follows the points: a row each, not k."""
+    rng = np.random.default_rng(5)
+    cloud = spark.createDataFrame([(i, *map(float, r), int(2 + i % 2 * 3), i % 100 / 100, 1.0) for i, r in enumerate(rng.random((1200, 3)) * 4)], "pid long, x double, y double, z double, cls int, score double, normal_z double").repartition(4).cache()
+    sizes, put = [], space.save
+
+    def saved(df, *a):
+        out = put(df, *a)
+        sizes.append(out.count())
+        return out
+
+    for module in (space, neighbours):
+        monkeypatch.setattr(module, "save", saved)
+    jobs = {
+        "scales": lambda: neighbours.multi_scale(cloud),
+        "covariances": lambda: neighbours.nearest_covariances(None, cloud, 20),
+        "normals": lambda: neighbours.nearest_normal_spread(cloud, 20),
+        "outliers": lambda: neighbours.remove_outliers(cloud, 20),
+        "planes": lambda: neighbours.plane_inliers(cloud),
+        "growth": lambda: neighbours.region_grow(cloud, cloud.where("score >= 0.9")),
+        "heights": lambda: neighbours.height_above_ground(cloud),
+        "clusters": lambda: neighbours.dbscan(cloud, 0.25, 10),
+    }
+    assert jobs[job]().count()
+    assert sizes and max(sizes) <= 1200
