@@ -108,3 +108,18 @@ def test_large_grids_are_met_by_segments(spark):
     two = {x.ray: x.t for x in rays.march(r, grid, box, 2.0, most_bytes=1).collect()}
     assert set(one) == set(two) == set(range(6))
     assert all(one[k] == pytest.approx(two[k], abs=1e-9) for k in one) and any(x < 1 for x in one.values())
+
+
+def test_describe_holds_no_column_in_a_task(spark):
+    """Quartiles by numbers of sorted rows: no aggregate that keeps all values of a column."""
+    from heliofield.operators import stats
+
+    v = np.random.default_rng(3).normal(0, 5, 401)
+    rows = spark.createDataFrame([(float(x), None if i % 3 else float(round(x)), None) for i, x in enumerate(v)], "a double, b double, c double").repartition(4)
+    out = stats.describe(rows, ["a", "b", "c"])
+    assert "percentile" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["column"]: r for r in out.collect()}
+    for name, own in (("a", v), ("b", np.round(v[::3]))):
+        r = got[name]
+        assert [r["count"], r["mean"], r["std"], r["min"], r["p25"], r["p50"], r["p75"], r["max"]] == pytest.approx([len(own), own.mean(), own.std(ddof=1), own.min(), *np.quantile(own, [0.25, 0.5, 0.75]), own.max()])
+    assert got["c"]["count"] == 0 and got["c"]["p50"] is None
