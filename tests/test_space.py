@@ -170,3 +170,19 @@ def test_no_table_of_pairs(spark, monkeypatch, job):
     }
     assert jobs[job]().count()
     assert sizes and max(sizes) <= 1200
+
+
+def test_cells_leave_one_link_each(spark, monkeypatch):
+    """A dense cloud's cells are linked within blocks: what is saved of links follows the cells, not their pairs."""
+    rng = np.random.default_rng(9)
+    cloud = frame(spark, rng.random((4000, 3)) * 2)
+    sizes, put = {}, neighbours.save
+
+    def saved(df, name, *a):
+        out = put(df, name, *a)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neighbours, "save", saved)
+    assert neighbours.dbscan(cloud, 0.4, 10).select("label").distinct().count() == 1
+    assert sizes["pairs"] <= 3 * sizes["cells"]
